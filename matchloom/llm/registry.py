@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm import op01_bpe, op04_exact
+from matchloom.llm import op01_bpe, op04_exact, op06_binary, op07_counts
 from matchloom.llm.common import documents
 
 
@@ -18,5 +19,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_exact.exact_groups(documents(spark, sf_dir), digest=True)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_exact_dedup": op4_exact_dedup}
+def op6_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    return op06_binary.checksums(op06_binary.write_and_read(documents(spark, sf_dir), vocab.path("byte_bpe_50k.json"), end_id=2))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    counted = op07_counts.count_tokens(documents(spark, sf_dir), vocab.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op6_binary, op7_token_counts)}
 ORACLES = {"op4_exact_dedup": op04_exact.ORACLE}
