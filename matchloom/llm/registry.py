@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import op01_bpe, op04_exact, op06_binary, op07_counts
+from matchloom.llm import op01_bpe, op02_decontaminate, op04_exact, op06_binary, op07_counts
 from matchloom.llm.common import documents
 
 
@@ -15,6 +15,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_bpe.round_trip(documents(spark, sf_dir), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op02_decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_exact.exact_groups(documents(spark, sf_dir), digest=True)
 
@@ -32,5 +40,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_exact_dedup, op6_binary, op7_token_counts)}
-ORACLES = {"op4_exact_dedup": op04_exact.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op4_exact_dedup, op6_binary, op7_token_counts)}
+ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op4_exact_dedup": op04_exact.ORACLE}
