@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import materialise
+
 #: Words of 64 bits in the bit table: 2**20 bits, 128 KB.
 TABLE_WORDS = 1 << 14
 #: Characters of a text that its prefix hash reads.
@@ -61,7 +63,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     test = F.expr("shiftright(bits[cast(shiftright(slot, 6) as int)], cast(slot & 63 as int)) & 1L") == 1
     rows = rows.join(bits, F.lit(True)).withColumn("company", test).drop("bits")
     full = F.sha2("norm", 256)
+    spark = docs.sparkSession
     rows = rows.select("doc_id", "len", "company", (full if digest else F.when(F.col("company"), full)).alias("text_sha256"))
+    rows, _ = materialise(spark, rows, "digests")  # some 60 bytes a row, so that texts are read twice in all
     groups = rows.where("company").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     crowd = rows.where("company").join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     single = rows.where("not company").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
