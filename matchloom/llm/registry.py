@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import op01_bpe, op02_decontaminate, op04_exact, op06_binary, op07_counts
+from matchloom.llm import op01_bpe, op02_decontaminate, op03_jaccard, op04_exact, op06_binary, op07_counts
 from matchloom.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_exact.exact_groups(documents(spark, sf_dir), digest=True)
 
@@ -40,5 +44,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op4_exact_dedup, op6_binary, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_jaccard, op4_exact_dedup, op6_binary, op7_token_counts)}
 ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op4_exact_dedup": op04_exact.ORACLE}

@@ -19,7 +19,7 @@ NONSPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, np.uint64)[_FOLD] | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(256, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) <= n:
-        _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, _STEP, np.uint64))])
+        _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(512, 2 * n), _STEP, np.uint64))])
     return _POWERS
 
 
