@@ -14,9 +14,11 @@ import json
 import re
 
 #: Parts whose ids a worker keeps (about 200 bytes each): the first ones seen, which are the frequent ones.
-KEPT_PARTS = 700_000
+KEPT_PARTS = 450_000
 
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+#: Signs that end a word and, however many, are one pre-token of byte-level patterns.
+_TAIL = ".,;:!?#$%&*|)]}\"/"
 _LOADED: dict = {}
 
 
@@ -63,12 +65,14 @@ class ByteLevel:
         self.letters = {chr(b): x for b, x in enumerate(letters)}  # of latin-1 decoded bytes
         self.letters = str.maketrans(self.letters)
         self.tokens: dict[str, bytes] = {}
+        self.names = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.space = letters[32]
         self.parts = _Table(self._part)
 
     def _token(self, mapped: str) -> bytes:
         got = self.tokens.get(mapped)
         if got is None:
-            got = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            got = b"".join([self.names[t.id] for t in self.model.tokenize(mapped)])
             if len(mapped) < 8 and len(self.tokens) < KEPT_PARTS // 10:
                 self.tokens[mapped] = got
         return got
@@ -79,11 +83,14 @@ class ByteLevel:
 
     def _part(self, part: str) -> bytes:
         core = part[1:] if part[:1] == " " else part
-        if core and core[-1] < "ɐ" and core.isalpha() and max(core) < "ɐ":
+        if core.isascii() and core is not part:
+            if core.isalpha():
+                return b"".join([self.names[t.id] for t in self.model.tokenize(self.space + core)])
+        elif core and core[-1] < "ɐ" and core.isalpha() and max(core) < "ɐ":
             return self._word(part)
-        if len(core) > 1 and core[-1] in ".,;:!?" and core[:-1].isalpha() and max(core) < "ɐ":
-            stem = self.parts[core[:-1]] if core is not part else self._word(core[:-1])
-            return stem + self._token(core[-1])
+        stem = core.rstrip(_TAIL)
+        if stem and len(stem) < len(core) and stem.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            return (self.parts[stem] if core is not part else self._word(stem)) + self._token(core[len(stem) :])
         left, newline, right = part.partition("\n")
         if newline and left and right and not left[-1].isspace() and not right[0].isspace():
             return (self.parts[left[1:]] if left[0] == " " and len(left) > 1 else self._part(left)) + self._word("\n") + self._part(right)
