@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import op01_bpe, op02_decontaminate, op03_jaccard, op04_exact, op05_toxicity, op06_binary, op07_counts, op09_pii, op10_quality
+from matchloom.llm import op01_bpe, op02_decontaminate, op03_jaccard, op04_exact, op05_toxicity, op06_binary, op07_counts, op08_maxent, op09_pii, op10_quality
 from matchloom.llm.common import documents
 
 
@@ -51,6 +51,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_lm_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return op08_maxent.score(docs, op05_toxicity.fold_of("doc_id", 5) == 1)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return op09_pii.find(docs, op09_pii.learn(docs))
@@ -63,5 +68,5 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (op05_toxicity.fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.expr("if(score >= 0.3, 1, 0)").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_jaccard, op4_exact_dedup, op5_toxicity, op6_binary, op7_token_counts, op9_pii, op10_quality_crf)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_jaccard, op4_exact_dedup, op5_toxicity, op6_binary, op7_token_counts, op8_lm_maxent, op9_pii, op10_quality_crf)}
 ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op4_exact_dedup": op04_exact.ORACLE}
