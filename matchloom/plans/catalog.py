@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
 
@@ -21,7 +23,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """Imports the modules whose queries register themselves."""
+    for name in ("basics",):
+        importlib.import_module(f"matchloom.plans.{name}")
 
 
 def queries() -> dict:
