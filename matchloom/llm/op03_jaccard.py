@@ -8,11 +8,12 @@ links with nothing). Two sets link when 100 * |intersection| >= PERCENT * |union
 2. Shingles get one order for the whole corpus, rare before frequent, from counts over all rows in a
    table whose size follows the input. A link needs a common shingle among the first
    |x| - ceil(.9 |x|) + 1 of either set: those are the short inverted lists.
-3. Nodes whose lists have company are searched in blocks around the node they share most lists with:
-   lists are divided, the short ones heap-merged and the long ones binary-probed (DivideSkip), and
-   who reaches the required overlap links. That collapses large groups of near copies.
-4. What is left, exactly: every pair that shares a short list, passes the length and position
-   bounds and isn't yet in one component is probed in the same way.
+3. A pair in a short list stays a candidate while sizes, places in the order and a 512-bit parity
+   sketch allow the overlap; all three bounds only drop pairs that can't link.
+4. Candidates are first searched in blocks around the node they share most lists with: lists are
+   divided, the short ones heap-merged and the long ones binary-probed (DivideSkip), and who reaches
+   the required overlap links. That collapses large groups of near copies.
+5. What is left, exactly: every candidate pair that isn't yet in one component is probed likewise.
 
 No list is capped and no pair is dropped. A hot list is split by Spark's skew joins or by block.
 Sets are compared by 64-bit hashes of shingles. Repeated rows are copies. Null ids never name a
@@ -213,11 +214,17 @@ def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return s[np.argsort((level << np.uint64(57)) | (s >> np.uint64(7)), kind="stable")]
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of members falls on each. They differ in no more bits than sets do in members."""
+    odd = np.bincount((words.mix(s) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _short_lists(n: int, levels, percent: int):
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, bits = [], [], [], []
             for s in sets(b.column(0), n):
                 if 100 * len(s) >= percent * (len(s) + 1) or 100 * (len(s) - 1) >= percent * len(s):  # else only an equal set links
                     node = signature(s)
@@ -226,7 +233,8 @@ def _short_lists(n: int, levels, percent: int):
                         nodes.append(node)
                         sizes.append(len(s))
                         keys.append(_ordered(s, levels.value)[: prefix_size(len(s), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "keys"])
+                        bits.append(parity(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "keys", "bits"])
 
     return run
 
@@ -281,10 +289,11 @@ def _probe(percent: int):
 
 
 def _near(x: str, y: str, percent: int) -> str:
-    """SQL: sizes and places of a common list allow a link; of a linked pair's first common list it holds."""
+    """SQL: sizes, places of a common list and parities allow a link; for a linked pair's first common list it holds."""
     return (
         f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and "
-        f"{100 + percent} * (1 + least({x}.size - {x}.at, {y}.size - {y}.at) - 1) >= {percent} * ({x}.size + {y}.size)"
+        f"{100 + percent} * least({x}.size - {x}.at, {y}.size - {y}.at) >= {percent} * ({x}.size + {y}.size) and "
+        f"aggregate(zip_with({x}.parity, {y}.parity, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c) <= {x}.size + {y}.size - 2 * ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
     )
 
 
@@ -295,7 +304,7 @@ def link_classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: st
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
-    slots = 1 << int(np.clip(np.ceil(np.log2(max(1, (total["b"] or 0) / 200))), 16, 26))
+    slots = 1 << int(np.clip(np.ceil(np.log2(max(1, (total["b"] or 0) / 400))), 16, 26))
     words64 = 1 << int(np.clip(np.ceil(np.log2(max(1, total["n"] / 4))), 10, 20))
     asked = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text))
     told, _ = materialise(spark, asked.mapInArrow(_describe(n, slots), "doc_id long, check long, size long, node long, piece int, counts binary"), "sets")
@@ -303,33 +312,39 @@ def link_classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: st
     levels = spark.sparkContext.broadcast(_levels(told.where("piece is not null").select("piece", "counts"), slots))
 
     only_text = docs.select(F.col(text))
-    lists, _ = materialise(spark, only_text.mapInArrow(_short_lists(n, levels, percent), "node long, size int, keys array<long>"), "short-lists")
+    lists, _ = materialise(spark, only_text.mapInArrow(_short_lists(n, levels, percent), "node long, size int, keys array<long>, bits array<long>"), "short-lists")
     shared = lists.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared, _ = materialise(spark, shared, "shared-lists")
-    posted = lists.select("node", "size", F.posexplode("keys").alias("at", "key"))
+    posted = lists.select("node", "size", F.col("bits").alias("parity"), F.posexplode("keys").alias("at", "key"))
     posted = _maybe(posted, "key", _bits(shared, "key", words64), words64).dropDuplicates(["key", "node"])
-    posted, _ = materialise(spark, posted.join(shared, "key", "left_semi").select("key", "node", "size", "at"), "postings")
-    alive = posted.select("node").distinct()
-    found = _alive_sets(docs, rows, alive, n, text, words64)
+    posted, _ = materialise(spark, posted.join(shared, "key", "left_semi").select("key", "node", "size", "at", "parity"), "postings")
 
-    links = None
-    roots = None
+    links, roots, found = None, None, None
     for r in range(rounds):
         now = posted if roots is None else _cross(posted, roots)
-        new = _around_leaders(now, found, r, percent)
-        new, _ = materialise(spark, new, "links")
+        best, _ = materialise(spark, _best_leaders(now, r, percent), "leaders")
+        if best.isEmpty():
+            break
+        if found is None:
+            found = _sets_of(docs, rows, best.select("node").unionByName(best.select(F.col("leader").alias("node"))), n, text, words64)
+        new, _ = materialise(spark, _around_leaders(best, found, percent), "links")
         links = new if links is None else links.unionByName(new)
         roots, _ = materialise(spark, components(links), "roots")
-    left = _cross(posted, roots)
-    last, _ = materialise(spark, _left_over(left, found, percent), "links")
-    if not last.isEmpty():
-        roots = components(links.unionByName(last))
+    if roots is None:  # no list holds a candidate pair with its first node; others still may
+        roots = spark.createDataFrame([], "node long, root long")
+    pairs, _ = materialise(spark, _candidates(_cross(posted, roots), percent), "candidates")
+    if not pairs.isEmpty():
+        found = _sets_of(docs, rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n, text, words64)
+        last, _ = materialise(spark, _probed(pairs, found, percent), "links")
+        if not last.isEmpty():
+            roots = components(last if links is None else links.unionByName(last))
     return rows, roots
 
 
-def _alive_sets(docs: DataFrame, rows: DataFrame, alive: DataFrame, n: int, text: str, words64: int) -> DataFrame:
-    """node, members of the nodes that share a list. Texts are told apart by their hash before they are read as sets."""
+def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, text: str, words64: int) -> DataFrame:
+    """node, members of the given nodes. Texts are told apart by their hash before they are read as sets."""
     spark = docs.sparkSession
+    alive, _ = materialise(spark, nodes.distinct(), "alive")
     checks = rows.join(alive, "node", "left_semi").select("check").distinct()
     maybe = _maybe(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("t")), "check", _bits(checks, "check", words64), words64)
     all_sets = maybe.select("t").mapInArrow(_whole_sets(n), "node long, members binary")
@@ -339,18 +354,22 @@ def _alive_sets(docs: DataFrame, rows: DataFrame, alive: DataFrame, n: int, text
 
 def _cross(posted: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings with their component, of the lists that hold more than one."""
-    named = posted.drop("comp").join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("comp"))
+    named = posted.drop("comp").join(roots, "node", "left").select("key", "node", "size", "at", "parity", F.coalesce("root", "node").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     return named.join(mixed, "key", "left_semi")
 
 
-def _around_leaders(posted: DataFrame, found: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Links in blocks: each node goes to the leader with which it shares most lists; a crowd is split."""
-    leader = posted.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "at")).alias("x"))
-    leader = leader.select("key", "x.*").withColumnRenamed("node", "leader")
-    near = posted.alias("p").join(leader.alias("l"), F.col("p.key") == F.col("l.key")).where(F.expr(f"100 * least(p.size, l.size) >= {percent} * greatest(p.size, l.size)"))
-    pairs = near.groupBy("p.node", "l.leader").agg(F.count("*").alias("n"))
-    best = pairs.where("node <> leader").groupBy("node").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+def _best_leaders(posted: DataFrame, turn: int, percent: int) -> DataFrame:
+    """node, leader: of each list's leader that may link with a node, the one that it shares most lists with."""
+    leader = posted.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "at", "parity")).alias("x")).select("key", "x.*")
+    p, x = posted.alias("p"), leader.alias("l")
+    near = p.join(x, (F.col("p.key") == F.col("l.key")) & (F.col("p.node") != F.col("l.node")) & F.expr(_near("p", "l", percent)))
+    pairs = near.groupBy(F.col("p.node").alias("node"), F.col("l.node").alias("leader")).agg(F.count("*").alias("n"))
+    return pairs.groupBy("node").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+
+
+def _around_leaders(best: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links in blocks: each node goes to its leader; a crowd is split, with the leader in each part."""
     crowd = best.groupBy("leader").agg(F.count("*").alias("n"))
     split = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_NODES).cast("long"))
     members = best.join(crowd, "leader").select("node", "leader", split.alias("part"))
@@ -359,8 +378,8 @@ def _around_leaders(posted: DataFrame, found: DataFrame, turn: int, percent: int
     return every.join(found, "node").groupBy("leader", "part").applyInArrow(_search_blocks(percent), "a long, b long")
 
 
-def _left_over(left: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """All links between nodes of different components that share a list.
+def _candidates(left: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of different components that share a list and may link.
 
     In a list, only rows outside its largest component are joined with all rows, so a list that is
     nearly one group of near copies stays cheap.
@@ -370,7 +389,11 @@ def _left_over(left: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     minor = left.join(main, "key").where("comp <> main").drop("main")
     x, y = left.alias("x"), minor.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(_near("x", "y", percent)))
-    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def _probed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link."""
     with_a = pairs.join(found.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
     with_b = with_a.join(found.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
     return with_b.select("a", "b", "of_a", "of_b").mapInArrow(_probe(percent), "a long, b long")
