@@ -28,9 +28,13 @@ def unit(a: Column) -> Column:
 
 def blend(weighted: list[tuple[Column, float]]) -> Column:
     """Unit vector of a weighted sum."""
+
+    def times(w: float):
+        return lambda x: x * w
+
     total = None
     for v, w in weighted:
-        part = F.transform(v.cast("array<double>"), lambda x, w=w: x * w)
+        part = F.transform(v.cast("array<double>"), times(w))
         total = part if total is None else F.zip_with(total, part, lambda x, y: x + y)
     n = norm(total) + 1e-9
     return F.transform(total, lambda x: x / n)
