@@ -8,12 +8,14 @@ links with nothing). Two sets link when 100 * |intersection| >= PERCENT * |union
 2. Shingles get one order for the whole corpus, rare before frequent, from counts over all rows in a
    table whose size follows the input. A link needs a common shingle among the first
    |x| - ceil(.9 |x|) + 1 of either set: those are the short inverted lists.
-3. A pair in a short list stays a candidate while sizes, places in the order and a 512-bit parity
-   sketch allow the overlap; all three bounds only drop pairs that can't link.
-4. Candidates are first searched in blocks around the node they share most lists with: lists are
-   divided, the short ones heap-merged and the long ones binary-probed (DivideSkip), and who reaches
-   the required overlap links. That collapses large groups of near copies.
-5. What is left, exactly: every candidate pair that isn't yet in one component is probed likewise.
+3. First, nodes with the same first (then second) shingle in that order are searched as a block: lists
+   are divided, the short ones heap-merged and the long ones binary-probed (DivideSkip), and who
+   reaches the required overlap links. That collapses groups of near copies, whatever their size; a
+   crowd is split into blocks that share one member.
+4. What is left, exactly: only short lists that hold nodes of different components matter now. Every
+   pair in them stays a candidate while sizes, places in the order and a 512-bit parity sketch allow
+   the overlap (all three bounds only drop pairs that can't link), and each candidate pair that isn't
+   yet in one component is probed likewise.
 
 No list is capped and no pair is dropped. A hot list is split by Spark's skew joins or by block.
 Sets are compared by 64-bit hashes of shingles. Repeated rows are copies. Null ids never name a
@@ -240,13 +242,14 @@ def _short_lists(n: int, levels, percent: int):
 
 
 def _whole_sets(n: int):
+    """Texts -> node, members of each set, once a task."""
+
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            got = [(signature(s), s) for s in sets(b.column(0), n) if len(s)]
             new = []
-            for node, s in got:
-                if node not in seen:
+            for s in sets(b.column(0), n):
+                if len(s) and (node := signature(s)) not in seen:
                     seen.add(node)
                     new.append((node, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([x for _, x in new], pa.binary())], names=["node", "members"])
@@ -254,6 +257,40 @@ def _whole_sets(n: int):
     return run
 
 
+def _keyed_sets(n: int, levels, percent: int, turn: int, wanted):
+    """Texts -> key, node, members of each set whose shingle at place `turn` of the order may be wanted, once a task."""
+
+    def run(batches):
+        bits = wanted.value
+        seen: set[int] = set()
+        for b in batches:
+            new = []
+            for s in sets(b.column(0), n):
+                if len(s) > turn and prefix_size(len(s), percent) > turn:
+                    key = int(_ordered(s, levels.value)[turn])
+                    slot = int(words.mix(np.array([key], np.uint64))[0]) % (8 * len(bits))
+                    if bits[slot >> 3] >> (slot & 7) & 1 and (node := signature(s)) not in seen:
+                        seen.add(node)
+                        new.append((key, node, s.tobytes()))
+            keys = np.array([x[0] for x in new], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.binary())], names=["key", "node", "members"])
+
+    return run
+
+
+def _set_bits(size: int):
+    """Keys -> one bit table a task."""
+
+    def run(batches):
+        table = np.zeros(size, np.uint8)
+        for b in batches:
+            slot = words.mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(8 * size)
+            np.bitwise_or.at(table, (slot >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
 def _bits(values: DataFrame, column: str, words64: int) -> DataFrame:
     """One row: a bit table of a fixed size in which the values' slots are set."""
     spark = values.sparkSession
@@ -271,9 +308,9 @@ def _maybe(df: DataFrame, column: str, bits: DataFrame, words64: int) -> DataFra
 
 def _search_blocks(percent: int):
     def run(key, table):
-        nodes = table.column("node").to_pylist()
-        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        found = search_block(nodes, members, percent)
+        known = dict(zip(table.column("node").to_pylist(), table.column("members")))  # a set may come from several tasks
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in known.values()]
+        found = search_block(list(known), members, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -289,11 +326,18 @@ def _probe(percent: int):
 
 
 def _near(x: str, y: str, percent: int) -> str:
-    """SQL: sizes, places of a common list and parities allow a link; for a linked pair's first common list it holds."""
+    """SQL: sizes and places of a common list allow a link; for a linked pair's first common list it holds."""
     return (
         f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and "
-        f"{100 + percent} * least({x}.size - {x}.at, {y}.size - {y}.at) >= {percent} * ({x}.size + {y}.size) and "
-        f"aggregate(zip_with({x}.parity, {y}.parity, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c) <= {x}.size + {y}.size - 2 * ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
+        f"{100 + percent} * least({x}.size - {x}.at, {y}.size - {y}.at) >= {percent} * ({x}.size + {y}.size)"
+    )
+
+
+def _alike(x: str, y: str, percent: int) -> str:
+    """SQL: parities differ in no more bits than linked sets of these sizes do in members."""
+    return (
+        f"aggregate(zip_with({x}.parity, {y}.parity, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c) <= "
+        f"{x}.size + {y}.size - 2 * ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
     )
 
 
@@ -313,34 +357,51 @@ def link_classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: st
 
     only_text = docs.select(F.col(text))
     lists, _ = materialise(spark, only_text.mapInArrow(_short_lists(n, levels, percent), "node long, size int, keys array<long>, bits array<long>"), "short-lists")
-    shared = lists.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared, _ = materialise(spark, shared, "shared-lists")
-    posted = lists.select("node", "size", F.col("bits").alias("parity"), F.posexplode("keys").alias("at", "key"))
-    posted = _maybe(posted, "key", _bits(shared, "key", words64), words64).dropDuplicates(["key", "node"])
-    posted, _ = materialise(spark, posted.join(shared, "key", "left_semi").select("key", "node", "size", "at", "parity"), "postings")
-
-    links, roots, found = None, None, None
+    links, roots = None, spark.createDataFrame([], "node long, root long")
     for r in range(rounds):
-        now = posted if roots is None else _cross(posted, roots)
-        best, _ = materialise(spark, _best_leaders(now, r, percent), "leaders")
-        if best.isEmpty():
-            break
-        if found is None:
-            found = _sets_of(docs, rows, best.select("node").unionByName(best.select(F.col("leader").alias("node"))), n, text, words64)
-        new, _ = materialise(spark, _around_leaders(best, found, percent), "links")
+        firsts = _named(lists.where(F.size("keys") > r).select("node", "size", F.col("keys")[r].alias("key")).dropDuplicates(["node"]), roots)
+        crowds, _ = materialise(spark, firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.min("node").alias("leader")).where("x <> y").select("key", "n", "leader"), "blocks")
+        new, _ = materialise(spark, _in_blocks(only_text, crowds, n, levels, percent, r, words64), "links")
         links = new if links is None else links.unionByName(new)
         roots, _ = materialise(spark, components(links), "roots")
-    if roots is None:  # no list holds a candidate pair with its first node; others still may
-        roots = spark.createDataFrame([], "node long, root long")
-    pairs, _ = materialise(spark, _candidates(_cross(posted, roots), percent), "candidates")
+
+    named = _named(lists, roots)
+    mixed = named.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    mixed, _ = materialise(spark, mixed, "mixed-lists")
+    posted = named.select("node", "size", "comp", F.posexplode("keys").alias("at", "key"))
+    posted = _maybe(posted, "key", _bits(mixed, "key", words64), words64).dropDuplicates(["key", "node"])
+    posted, _ = materialise(spark, posted.join(mixed, "key", "left_semi").select("key", "node", "size", "at", "comp"), "postings")
+    sketches = lists.select("node", F.col("bits").alias("parity")).dropDuplicates(["node"])
+    pairs, _ = materialise(spark, _candidates(posted, sketches, percent), "candidates")
     if not pairs.isEmpty():
         found = _sets_of(docs, rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n, text, words64)
         last, _ = materialise(spark, _probed(pairs, found, percent), "links")
         if not last.isEmpty():
-            roots = components(last if links is None else links.unionByName(last))
+            roots = components(links.unionByName(last))
     return rows, roots
 
 
+def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with their component."""
+    return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def _in_blocks(only_text: DataFrame, crowds: DataFrame, n: int, levels, percent: int, turn: int, words64: int) -> DataFrame:
+    """Links found among nodes whose shingle at place `turn` is the same; sets go straight from the texts to their block."""
+    spark = only_text.sparkSession
+    size = 8 * words64
+    table = np.zeros(size, np.uint8)
+    for row in crowds.select("key").coalesce(8).mapInArrow(_set_bits(size), "bits binary").toLocalIterator():  # tables of a fixed size
+        table |= np.frombuffer(row["bits"], np.uint8)
+    wanted = spark.sparkContext.broadcast(table)
+    keyed = only_text.mapInArrow(_keyed_sets(n, levels, percent, turn, wanted), "key long, node long, members binary").join(crowds, "key")
+    parts = F.ceil(F.col("n") / BLOCK_NODES).cast("long")
+    mine = F.array(F.pmod(F.xxhash64("node"), parts))
+    everywhere = F.sequence(F.lit(0).cast("long"), parts - 1)
+    placed = keyed.select("key", F.explode(F.when(F.col("node") == F.col("leader"), everywhere).otherwise(mine)).alias("part"), "node", "members")
+    return placed.groupBy("key", "part").applyInArrow(_search_blocks(percent), "a long, b long")
+
+
 def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, text: str, words64: int) -> DataFrame:
     """node, members of the given nodes. Texts are told apart by their hash before they are read as sets."""
     spark = docs.sparkSession
@@ -352,33 +413,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, text: s
     return every
 
 
-def _cross(posted: DataFrame, roots: DataFrame) -> DataFrame:
-    """Postings with their component, of the lists that hold more than one."""
-    named = posted.drop("comp").join(roots, "node", "left").select("key", "node", "size", "at", "parity", F.coalesce("root", "node").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return named.join(mixed, "key", "left_semi")
-
-
-def _best_leaders(posted: DataFrame, turn: int, percent: int) -> DataFrame:
-    """node, leader: of each list's leader that may link with a node, the one that it shares most lists with."""
-    leader = posted.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "size", "at", "parity")).alias("x")).select("key", "x.*")
-    p, x = posted.alias("p"), leader.alias("l")
-    near = p.join(x, (F.col("p.key") == F.col("l.key")) & (F.col("p.node") != F.col("l.node")) & F.expr(_near("p", "l", percent)))
-    pairs = near.groupBy(F.col("p.node").alias("node"), F.col("l.node").alias("leader")).agg(F.count("*").alias("n"))
-    return pairs.groupBy("node").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
-
-
-def _around_leaders(best: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links in blocks: each node goes to its leader; a crowd is split, with the leader in each part."""
-    crowd = best.groupBy("leader").agg(F.count("*").alias("n"))
-    split = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_NODES).cast("long"))
-    members = best.join(crowd, "leader").select("node", "leader", split.alias("part"))
-    heads = crowd.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK_NODES).cast("long") - 1)).alias("part"))
-    every = members.unionByName(heads.select(F.col("leader").alias("node"), "leader", "part"))
-    return every.join(found, "node").groupBy("leader", "part").applyInArrow(_search_blocks(percent), "a long, b long")
-
-
-def _candidates(left: DataFrame, percent: int) -> DataFrame:
+def _candidates(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """a, b: all pairs of different components that share a list and may link.
 
     In a list, only rows outside its largest component are joined with all rows, so a list that is
@@ -389,7 +424,14 @@ def _candidates(left: DataFrame, percent: int) -> DataFrame:
     minor = left.join(main, "key").where("comp <> main").drop("main")
     x, y = left.alias("x"), minor.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(_near("x", "y", percent)))
-    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    first = F.col("x.node") > F.col("y.node")
+    one = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (a, b), (sa, sb) = one("node"), one("size")
+    pairs = pairs.select(a.alias("a"), b.alias("b"), sa.alias("sa"), sb.alias("sb")).distinct()
+    of_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("parity").alias("pa")), "a")
+    both = of_a.join(sketches.select(F.col("node").alias("b"), F.col("parity").alias("pb")), "b")
+    both = both.select("a", "b", F.struct(F.col("sa").alias("size"), F.col("pa").alias("parity")).alias("x"), F.struct(F.col("sb").alias("size"), F.col("pb").alias("parity")).alias("y"))
+    return both.where(F.expr(_alike("x", "y", percent))).select("a", "b")
 
 
 def _probed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
