@@ -53,7 +53,7 @@ def fleiss_kappa(votes: DataFrame, item: str, category: str, n: str = "n") -> Da
     """One row: kappa of counts of raters (the same number, two or more, for every item) by item and category."""
     per = votes.groupBy(item).agg(F.sum(n).alias("raters"), F.sum(F.col(n) * F.col(n)).alias("squares"))
     agree = per.agg(F.avg((F.col("squares") - F.col("raters")) / (F.col("raters") * (F.col("raters") - 1))).alias("seen"), F.sum("raters").alias("all"))
-    share = votes.groupBy(category).agg(F.sum(n).alias("c")).join(F.broadcast(agree), F.lit(True)).agg(F.sum(F.pow(F.col("c") / F.col("all"), 2)).alias("chance"))
+    share = votes.groupBy(category).agg(F.sum(n).alias("__votes")).join(F.broadcast(agree), F.lit(True)).agg(F.sum(F.pow(F.col("__votes") / F.col("all"), 2)).alias("chance"))
     return agree.join(F.broadcast(share), F.lit(True)).select(F.when(F.col("chance") == 1, 1.0).otherwise((F.col("seen") - F.col("chance")) / (1 - F.col("chance"))).alias("kappa"))
 
 
