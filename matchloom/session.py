@@ -58,7 +58,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def materialise(spark: SparkSession, df, name: str):
     """Write df in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
