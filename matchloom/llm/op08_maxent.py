@@ -2,8 +2,8 @@
 
 Tokens are words (runs of what isn't ASCII white space, A-Z folded) and one end a document. A word's
 hash names its class and its place among the class's members; a softmax over classes and one over the
-members of the class, both over hashed features (the word before, the one before that as a skip, both
-together, and a constant), give a bucket's probability, and within its bucket a word has its smoothed
+members of the class, both over hashed features (the word before, both words before together and, for
+classes, the second word before as a skip), give a bucket's probability, and within its bucket a word has its smoothed
 share of the training counts, unseen words one share together as in the base. Probabilities of all
 known words and one unknown word sum to 1.
 
@@ -30,8 +30,8 @@ from matchloom.session import materialise
 
 #: Classes and members of each; slots for features of classes and, with the class, of members.
 CLASSES, MEMBERS = 32, 32
-CLASS_SLOTS, MEMBER_SLOTS = 1 << 14, 1 << 15
-ROUNDS, BATCH, RATE = 4, 8_192, 0.1
+CLASS_SLOTS, MEMBER_SLOTS = 1 << 14, 1 << 14
+ROUNDS, BATCH, RATE = 4, 16_384, 0.1
 #: Tokens after which a unit of documents is closed; weights in a piece on their way to the sum.
 UNIT_TOKENS, PIECE = 4_000_000, 1 << 14
 
@@ -58,11 +58,27 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _slot(x: np.ndarray, slots: int) -> np.ndarray:
-    return (words.mix(x) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+    return (words.mix(x) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.uint16)  # radix-sorted where sorted
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of whole numbers, compressed behind their number of bytes a value and their count."""
+    x = np.ascontiguousarray(x)
+    return np.array([x.itemsize, len(x)], "<i8").tobytes() + (pa.compress(x.tobytes(), "zstd", asbytes=True) if len(x) else b"")
+
+
+def _unpack(raw) -> np.ndarray:
+    view = memoryview(raw)
+    size, n = np.frombuffer(view[:16], "<i8").tolist()
+    return np.frombuffer(pa.decompress(view[16:], size * n, "zstd", asbytes=True) if n else b"", f"<u{size}")
+
+
+def _counts_type(x: np.ndarray):
+    return "<u4" if not len(x) or x.max() < 1 << 32 else "<u8"
 
 
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of each token's features: constant, word before, word before that, both."""
+    """Hashes of each token's features: word before, both words before, second word before."""
     n = len(h)
     one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     one[1:] = h[:-1]
@@ -73,7 +89,7 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     later = begins + 1
     two[later[later < first[1:]]] = 0
     k = np.uint64(0x9FB21C651E98DF25)
-    return np.stack([np.full(n, 1, np.uint64), one * k + np.uint64(2), two * k + np.uint64(3), (one * k ^ two) * k + np.uint64(4)])
+    return np.stack([one * k + np.uint64(2), (one * k ^ two) * k + np.uint64(4), two * k + np.uint64(3)])
 
 
 class Model:
@@ -100,7 +116,7 @@ class Model:
         """Slots and probabilities of both softmaxes, and the class and member of each token."""
         c, m = b // MEMBERS, b % MEMBERS
         top = [_slot(f, CLASS_SLOTS) for f in feats]
-        low = [_slot(f + (c.astype(np.uint64) + np.uint64(17)) * np.uint64(0xD6E8FEB86659FD93), MEMBER_SLOTS) for f in feats]
+        low = [_slot(f + (c.astype(np.uint64) + np.uint64(17)) * np.uint64(0xD6E8FEB86659FD93), MEMBER_SLOTS) for f in feats[:2]]
         return c, m, top, low, self._softmax(self.top, top, self.top_prior), self._softmax(self.low, low, self.low_prior[c])
 
     def log10(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -122,6 +138,7 @@ def _descend(table, gain, slots, delta):
     starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
     rows = sorted_at[starts]
     g = np.add.reduceat(delta[order % len(delta)], starts, axis=0)
+    rows = rows.astype(np.int64)
     gain[rows] += (g * g).mean(1)
     table[rows] -= (RATE / np.sqrt(gain[rows]))[:, None] * g
 
@@ -130,7 +147,7 @@ def _piece_rows(flat: np.ndarray, weight: float):
     for k in range(0, len(flat), PIECE):
         part = flat[k : k + PIECE]
         if part.any():
-            yield k // PIECE, weight, (part * weight).astype("<f4").tobytes()
+            yield k // PIECE, weight, part.astype("<f2").tobytes()
 
 
 _PIECES = pa.schema([("piece", pa.int32()), ("weight", pa.float64()), ("sum", pa.binary())])
@@ -161,12 +178,12 @@ def _train(prior, weights):
 
 
 def _sum_pieces(key, table):
-    total = np.zeros(PIECE, np.float64)
-    for x in table.column("sum"):
-        part = np.frombuffer(x.as_buffer(), "<f4")
-        total[: len(part)] += part
-    weight = float(np.sum(table.column("weight").to_numpy()))
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([weight]), "sum": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+    """Changes of a piece, each weighted by the tokens that made it."""
+    total, weights = np.zeros(PIECE, np.float64), table.column("weight").to_numpy()
+    for x, w in zip(table.column("sum"), weights):
+        part = np.frombuffer(x.as_buffer(), "<f2" if len(x.as_buffer()) <= 2 * PIECE else "<f4")
+        total[: len(part)] += part * (w if part.dtype == np.dtype("<f2") else 1.0)
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([float(weights.sum())]), "sum": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
 def train(rows: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -177,7 +194,7 @@ def train(rows: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
     for r in range(rounds):
         sent = context.broadcast(flat)
         pieces = rows.where(F.col("share") == r).select("t").mapInArrow(_train(prior, sent), ddl)
-        halfway = pieces.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("piece", "salt").applyInArrow(_sum_pieces, ddl)
+        halfway = pieces.withColumn("salt", F.expr("spark_partition_id() div 16")).groupBy("piece", "salt").applyInArrow(_sum_pieces, ddl)
         change, seen = np.zeros(_SIZE, np.float32), 0.0
         for row in halfway.groupBy("piece").applyInArrow(_sum_pieces, ddl).toLocalIterator():  # as many as the weights have pieces
             if row["piece"] < 0:
@@ -225,10 +242,10 @@ def _stage(ranges: int):
             for r in range(ranges):
                 a, b = edges[r], edges[r + 1]
                 if b > a:
-                    yield _row(unit=unit, range=r, idx=place[a:b].astype("<u4").tobytes(), hash=vocab[a:b].astype("<u8").tobytes(), n=np.minimum(n[a:b], 0xFFFFFFFF).astype("<u4").tobytes())
+                    yield _row(unit=unit, range=r, idx=_pack(place[a:b].astype("<u4")), hash=vocab[a:b].astype("<u8").tobytes(), n=_pack(n[a:b].astype(_counts_type(n))))
             for p in pending:
                 lens = np.diff(p[1])
-                yield _row(unit=unit, docs=p[3], held=p[2].tolist(), lens=lens.tolist(), ids=ids[at : at + len(p[0])].tobytes())
+                yield _row(unit=unit, docs=p[3], held=p[2].tolist(), lens=lens.tolist(), ids=_pack(ids[at : at + len(p[0])]))
                 at += len(p[0])
 
         for b in batches:
@@ -246,43 +263,36 @@ def _stage(ranges: int):
     return run
 
 
-_COUNTED = "unit long, idx binary, hash binary, n binary, within binary, vocabulary long, total long"
+_COUNTED = "unit long, idx binary, hash binary, n binary, known binary"
 
 
 def _count(key, table):
-    """One range of hashes: the corpus's count of each unit's words, and their log10 share of their bucket."""
+    """One range of hashes: the corpus's count of each unit's words and, once, how many known words each bucket has."""
     hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("hash")]
-    every = np.concatenate(hashes)
-    n = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("n")]).astype(np.int64)
-    vocab, at = np.unique(every, return_inverse=True)
+    n = np.concatenate([_unpack(x.as_buffer()) for x in table.column("n")]).astype(np.int64)
+    vocab, at = np.unique(np.concatenate(hashes), return_inverse=True)
     c = np.bincount(at, weights=n, minlength=len(vocab)).astype(np.int64)
-    names = bucket(vocab)
-    tokens_in = np.bincount(names, weights=c, minlength=_BUCKETS)
-    known_in = np.bincount(names, weights=c > 0, minlength=_BUCKETS)
-    within = np.log10((np.where(c > 0, c, 0) + 0.5) / (tokens_in + 0.5 * (known_in + 1))[names])
-    cuts = np.cumsum([len(h) for h in hashes])[:-1]
-    counts = [x.astype("<i8").tobytes() for x in np.split(c[at], cuts)]
-    shares = [x.astype("<f4").tobytes() for x in np.split(within[at], cuts)]
-    k = len(hashes)
-    first = [True] + [False] * (k - 1)
-    return pa.table({
-        "unit": table.column("unit"), "idx": table.column("idx"), "hash": table.column("hash"), "n": pa.array(counts, pa.binary()), "within": pa.array(shares, pa.binary()),
-        "vocabulary": pa.array([int((c > 0).sum()) if f else 0 for f in first], pa.int64()), "total": pa.array([int(c.sum()) if f else 0 for f in first], pa.int64()),
-    })
-
-
-def _score(prior, weights, total: int, vocabulary: int):
+    known = np.bincount(bucket(vocab), weights=c > 0, minlength=_BUCKETS).astype("<u4")
+    counts = [_pack(x.astype(_counts_type(c))) for x in np.split(c[at], np.cumsum([len(h) for h in hashes])[:-1])]
+    once = [_pack(known)] + [None] * (len(hashes) - 1)
+    return pa.table({"unit": table.column("unit"), "idx": table.column("idx"), "hash": table.column("hash"), "n": pa.array(counts, pa.binary()), "known": pa.array(once, pa.binary())})
+
+
+def _score(prior, known_in, weights):
+    total, vocabulary = int(prior.sum()), int(known_in.sum())
+
     def run(key, docs, known):
-        size = sum(len(x.as_buffer()) // 4 for x in known.column("idx"))
-        h, c, within = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size)
-        for i, x, n, s in zip(*(known.column(k) for k in ("idx", "hash", "n", "within"))):
-            at = np.frombuffer(i.as_buffer(), "<u4")
-            h[at], c[at], within[at] = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<i8"), np.frombuffer(s.as_buffer(), "<f4")
+        size = sum(len(x.as_buffer()) // 8 for x in known.column("hash"))
+        h, c = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        for i, x, n in zip(*(known.column(k) for k in ("idx", "hash", "n"))):
+            at = _unpack(i.as_buffer())
+            h[at], c[at] = np.frombuffer(x.as_buffer(), "<u8"), _unpack(n.as_buffer())
+        within = np.log10((c + 0.5) / (prior + 0.5 * (known_in + 1.0))[bucket(h)])  # a word's share of its bucket
         model = Model(prior, weights.value)
         base = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for d, held, lens, raw in zip(*(docs.column(k) for k in ("docs", "held", "lens", "ids"))):
-            ids = np.frombuffer(raw.as_buffer(), "<u4")
+            ids = _unpack(raw.as_buffer())
             n = np.array(lens.as_py(), np.int64)
             first = np.concatenate([[0], np.cumsum(n)])
             got = model.log10(h[ids], first) + within[ids]
@@ -315,9 +325,11 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
     weights = spark.sparkContext.broadcast(train(asked.where("not held").select(share.alias("share"), "t"), prior))
     vocab = staged.where("range is not null").select("unit", "range", "idx", "hash", "n")
     counted, _ = materialise(spark, vocab.groupBy("range").applyInArrow(_count, _COUNTED), "counts")
-    told = counted.agg(F.sum("vocabulary").alias("v"), F.sum("total").alias("n")).first()
+    known_in = np.zeros(_BUCKETS, np.int64)
+    for row in counted.where("known is not null").select("known").toLocalIterator():  # one a range
+        known_in += _unpack(row["known"]).astype(np.int64)
     pages = staged.where("docs is not null").select("unit", "docs", "held", "lens", "ids").groupBy("unit")
-    run = _score(prior, weights, told["n"] or 0, told["v"] or 0)
-    return pages.cogroup(counted.select("unit", "idx", "hash", "n", "within").groupBy("unit")).applyInArrow(
+    run = _score(prior, known_in, weights)
+    return pages.cogroup(counted.select("unit", "idx", "hash", "n").groupBy("unit")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
