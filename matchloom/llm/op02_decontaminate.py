@@ -96,7 +96,15 @@ def _report(column: pa.Array, known: WindowSet):
         yield b - a, int(hit[a:b].sum()), sorted(items.get(d, ())), spans
 
 
-_FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+def _names(prefix: str) -> list[str]:
+    return [prefix + n for n in ("n_words", "n_hit", "items", "spans")]
+
+
+def _found(prefix: str) -> str:
+    kinds = ("long", "long", "array<string>", "array<struct<start:long,end:long>>")
+    return ", ".join(f"`{n}` {k}" for n, k in zip(_names(prefix), kinds))
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -112,12 +120,12 @@ def small_enough(benchmark: DataFrame, text: str, limit: int) -> bool:
     return (benchmark.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0) <= limit
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The columns of `keep`, n_words, n_hit, items (sorted item ids as strings), spans (bytes of each run of hit words)."""
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, prefix: str = "") -> DataFrame:
+    """The columns of `keep`, n_words, n_hit, items (sorted item ids as strings), spans (bytes of each run of hit words); `prefix` goes before these names."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     if not small_enough(items, "t", broadcast_bytes):
-        return _find_by_join(docs, items, n, text, keep, ddl)
+        return _find_by_join(docs, items, n, text, keep, ddl, prefix)
     known = docs.sparkSession.sparkContext.broadcast([(r["item"], r["t"]) for r in items.collect()])
     made: dict = {}
 
@@ -125,12 +133,12 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
         if "set" not in made:
             made["set"] = WindowSet(known.value, n)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_columns(_report(b.column(b.num_columns - 1), made["set"]))], names=[*keep, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_columns(_report(b.column(b.num_columns - 1), made["set"]))], names=[*keep, *_names(prefix)])
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, f"{ddl}, {_FOUND}")
+    return docs.select(*keep, F.col(text)).mapInArrow(run, f"{ddl}, {_found(prefix)}")
 
 
-def _find_by_join(docs: DataFrame, items: DataFrame, n: int, text: str, keep: tuple[str, ...], ddl: str) -> DataFrame:
+def _find_by_join(docs: DataFrame, items: DataFrame, n: int, text: str, keep: tuple[str, ...], ddl: str, prefix: str) -> DataFrame:
     """For a benchmark that is too large to broadcast: windows meet by hash in a shuffled join.
 
     Only occurrences go back to their document, whose key is its text's digest, so equal texts share them.
@@ -161,7 +169,7 @@ def _find_by_join(docs: DataFrame, items: DataFrame, n: int, text: str, keep: tu
     seen = docs.select(key.alias("key"), F.col(text)).mapInArrow(of_docs, "key binary, at long, size int, words binary")
     found = seen.join(wanted, ["size", "words"]).groupBy("key", "at", "size").agg(F.collect_set("item").alias("names"))
     found = found.groupBy("key").agg(F.collect_list(F.struct("at", "size", "names")).alias("found"))
-    both = docs.select(*keep, key.alias("__key"), F.col(text).alias("__text")).join(found, F.col("__key") == F.col("key"), "left").select(*keep, "found", "__text")
+    both = docs.select(*keep, key.alias("__key"), F.col(text).alias("__text")).join(found.select(F.col("key").alias("__found_key"), F.col("found").alias("__found")), F.col("__key") == F.col("__found_key"), "left").select(*keep, "__found", "__text")
 
     class Given:
         def __init__(self, occurrences):
@@ -173,33 +181,33 @@ def _find_by_join(docs: DataFrame, items: DataFrame, n: int, text: str, keep: tu
     def run(batches):
         for b in batches:
             told = Given(b.column(b.num_columns - 2).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *_columns(_report(b.column(b.num_columns - 1), told))], names=[*keep, "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *_columns(_report(b.column(b.num_columns - 1), told))], names=[*keep, *_names(prefix)])
 
-    return both.mapInArrow(run, f"{ddl}, {_FOUND}")
+    return both.mapInArrow(run, f"{ddl}, {_found(prefix)}")
 
 
 def _cut(batches):
     for b in batches:
         texts = []
-        for t, spans in zip(b.column("__text").to_pylist(), b.column("spans").to_pylist()):
+        for t, spans in zip(b.column("__text").to_pylist(), b.column("__found_spans").to_pylist()):
             raw, at, out = (t or "").encode(), 0, []
             for s in spans:
                 out.append(raw[at : s["start"]])
                 at = s["end"]
             texts.append(None if t is None else b"".join([*out, raw[at:]]).decode())
-        yield b.drop_columns(["__text", "spans"]).append_column("__cut", pa.array(texts, pa.string()))
+        yield b.drop_columns(["__text", "__found_spans"]).append_column("__cut", pa.array(texts, pa.string()))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that no window occurs in."""
     keep = tuple(docs.columns)
-    return find(docs, benchmark, keep=keep, **options).where("n_hit = 0").select(*keep)
+    return find(docs, benchmark, keep=keep, prefix="__found_", **options).where("__found_n_hit = 0").select(*keep)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs with the hit words cut out of their texts."""
     keep = tuple(docs.columns)
-    found = find(docs, benchmark, text=text, keep=keep, **options).withColumn("__text", F.col(text)).select(*keep, "__text", "spans")
+    found = find(docs, benchmark, text=text, keep=keep, prefix="__found_", **options).withColumn("__text", F.col(text)).select(*keep, "__text", "__found_spans")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return found.mapInArrow(_cut, f"{ddl}, __cut string").withColumn(text, F.col("__cut")).drop("__cut")
 
