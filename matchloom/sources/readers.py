@@ -42,7 +42,8 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that are no objects are dropped."""
     wide = StructType.fromDDL(schema).add("_corrupt_record", "string")
-    return spark.read.schema(wide).option("mode", "PERMISSIVE").json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", wide).alias("r"))
+    return lines.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
 def optional_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
