@@ -121,6 +121,6 @@ def test_tagger_gradient():
 
 
 def test_base_spans():
-    found = op09_pii.base_spans("x@y.co 1.2.3.4 300.1.1.1 4242 4242 4242 4242 +1 (555) 555-5136 4242424242424241")
-    assert op09_pii.written(found) == "email:0:6,ip:7:14,card:25:44"
+    found = op09_pii.base_spans("x@y.co 1.2.3.4 300.1.1.1, 4242 4242 4242 4242; +1 (555) 555-5136 4242424242424241")
+    assert op09_pii.written(found) == "email:0:6,ip:7:14,card:26:45"
     assert op09_pii.base_spans("") == []
