@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def materialise(spark: SparkSession, df, name: str):
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are over: it does so when the driver finds them unreachable."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers, wherever the driver was started."""
     ctx = spark.sparkContext
