@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import words
 from matchloom.llm.components import components
-from matchloom.session import materialise
+from matchloom.session import materialise, release
 
 PERCENT = 90
 #: Nodes in a block of the search around a leader.
 BLOCK_NODES = 256
+#: Shingles of a block that are held in lists at a time.
+BLOCK_SHINGLES = 150_000
 #: Slots in a piece of the count table.
 PIECE = 4096
 
@@ -309,8 +311,15 @@ def _maybe(df: DataFrame, column: str, bits: DataFrame, words64: int) -> DataFra
 def _search_blocks(percent: int):
     def run(key, table):
         known = dict(zip(table.column("node").to_pylist(), table.column("members")))  # a set may come from several tasks
-        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in known.values()]
-        found = search_block(list(known), members, percent)
+        nodes, members, found = list(known), [np.frombuffer(x.as_buffer(), np.uint64) for x in known.values()], []
+        first, held, begin = (nodes[0], members[0]), 0, 0
+        for i, s in enumerate(members):  # long sets: several searches that share the first member
+            held += len(s)
+            if held > BLOCK_SHINGLES and i > begin or i + 1 == len(members):
+                part = slice(begin, i + 1)
+                extra = begin > 0
+                found += search_block([first[0]] * extra + nodes[part], [first[1]] * extra + members[part], percent)
+                begin, held = i + 1, 0
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -364,15 +373,19 @@ def link_classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: st
         new, _ = materialise(spark, _in_blocks(only_text, crowds, n, levels, percent, r, words64), "links")
         links = new if links is None else links.unionByName(new)
         roots, _ = materialise(spark, components(links), "roots")
+        release(spark)
 
     named = _named(lists, roots)
     mixed = named.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     mixed, _ = materialise(spark, mixed, "mixed-lists")
+    release(spark)
     posted = named.select("node", "size", "comp", F.posexplode("keys").alias("at", "key"))
     posted = _maybe(posted, "key", _bits(mixed, "key", words64), words64).dropDuplicates(["key", "node"])
     posted, _ = materialise(spark, posted.join(mixed, "key", "left_semi").select("key", "node", "size", "at", "comp"), "postings")
+    release(spark)
     sketches = lists.select("node", F.col("bits").alias("parity")).dropDuplicates(["node"])
     pairs, _ = materialise(spark, _candidates(posted, sketches, percent), "candidates")
+    release(spark)
     if not pairs.isEmpty():
         found = _sets_of(docs, rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n, text, words64)
         last, _ = materialise(spark, _probed(pairs, found, percent), "links")
@@ -410,6 +423,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, text: s
     maybe = _maybe(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("t")), "check", _bits(checks, "check", words64), words64)
     all_sets = maybe.select("t").mapInArrow(_whole_sets(n), "node long, members binary")
     every, _ = materialise(spark, all_sets.join(alive, "node", "left_semi").dropDuplicates(["node"]), "members")
+    release(spark)
     return every
 
 
