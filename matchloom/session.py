@@ -63,6 +63,22 @@ def materialise(spark: SparkSession, df, name: str):
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Intermediate tables of one operator, deleted together when its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df, name: str):
+        df, path = materialise(self.spark, df, name)
+        self.paths.append(path)
+        return df
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that are over: it does so when the driver finds them unreachable."""
     gc.collect()
