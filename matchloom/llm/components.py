@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.session import materialise
+from matchloom.session import Scratch
 
 _STATE = ("count(*) as n", "coalesce(sum(cast(xxhash64(u, v) as decimal(38,0))), 0) as h")
 
@@ -24,18 +24,17 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) of every node but the roots themselves.
 
     Alternates star steps until nothing changes: a number of rounds that grows with the logarithm of
     the size, each written to the shared folder.
     """
-    spark = links.sparkSession
     now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, _ = materialise(spark, now, "links")
+    now = scratch.keep(now, "links")
     before = now.selectExpr(*_STATE).first()
     while before["n"]:
-        now, _ = materialise(spark, _small(_large(now)), "links")
+        now = scratch.keep(_small(_large(now)), "links")
         after = now.selectExpr(*_STATE).first()
         if after == before:
             break

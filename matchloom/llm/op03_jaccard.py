@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import words
 from matchloom.llm.components import components
-from matchloom.session import materialise, release
+from matchloom.session import Scratch, release
 
 PERCENT = 90
 #: Nodes in a block of the search around a leader.
@@ -299,13 +299,16 @@ def _bits(values: DataFrame, column: str, words64: int) -> DataFrame:
     slot = F.pmod(F.xxhash64(column), F.lit(words64 * 64))
     parts = values.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
     every = parts.unionByName(spark.range(words64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("b"))).groupBy("word").agg(F.bit_or("b").alias("b"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "b"))), lambda x: x["b"]).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "b"))), lambda x: x["b"]).alias("__bits"))
 
 
 def _maybe(df: DataFrame, column: str, bits: DataFrame, words64: int) -> DataFrame:
-    slot = f"pmod(xxhash64({column}), {words64 * 64}L)"
-    test = F.expr(f"shiftright(bits[cast(shiftright({slot}, 6) as int)], cast({slot} & 63 as int)) & 1L") == 1
-    return df.join(F.broadcast(bits), F.lit(True)).where(test).drop("bits")
+    return df.join(F.broadcast(bits), F.lit(True)).where(_tested(column, words64)).drop("__bits")
+
+
+def _tested(column: str, words64: int):
+    slot = f"pmod(xxhash64(`{column}`), {words64 * 64}L)"
+    return F.expr(f"shiftright(__bits[cast(shiftright({slot}, 6) as int)], cast({slot} & 63 as int)) & 1L") == 1
 
 
 def _search_blocks(percent: int):
@@ -350,7 +353,7 @@ def _alike(x: str, y: str, percent: int) -> str:
     )
 
 
-def link_classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rounds: int = 2):
+def link_classes(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rounds: int = 2):
     """(a row a document: doc_id, check, size, node; node and root of every node that isn't its component's root).
 
     check is a hash of the text, to tell rows with the same id apart.
@@ -360,37 +363,37 @@ def link_classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: st
     slots = 1 << int(np.clip(np.ceil(np.log2(max(1, (total["b"] or 0) / 400))), 16, 26))
     words64 = 1 << int(np.clip(np.ceil(np.log2(max(1, total["n"] / 4))), 10, 20))
     asked = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text))
-    told, _ = materialise(spark, asked.mapInArrow(_describe(n, slots), "doc_id long, check long, size long, node long, piece int, counts binary"), "sets")
+    told = scratch.keep(asked.mapInArrow(_describe(n, slots), "doc_id long, check long, size long, node long, piece int, counts binary"), "sets")
     rows = told.where("piece is null").select("doc_id", "check", "size", "node")
     levels = spark.sparkContext.broadcast(_levels(told.where("piece is not null").select("piece", "counts"), slots))
 
     only_text = docs.select(F.col(text))
-    lists, _ = materialise(spark, only_text.mapInArrow(_short_lists(n, levels, percent), "node long, size int, keys array<long>, bits array<long>"), "short-lists")
+    lists = scratch.keep(only_text.mapInArrow(_short_lists(n, levels, percent), "node long, size int, keys array<long>, bits array<long>"), "short-lists")
     links, roots = None, spark.createDataFrame([], "node long, root long")
     for r in range(rounds):
         firsts = _named(lists.where(F.size("keys") > r).select("node", "size", F.col("keys")[r].alias("key")).dropDuplicates(["node"]), roots)
-        crowds, _ = materialise(spark, firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.min("node").alias("leader")).where("x <> y").select("key", "n", "leader"), "blocks")
-        new, _ = materialise(spark, _in_blocks(only_text, crowds, n, levels, percent, r, words64), "links")
+        crowds = scratch.keep(firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.min("node").alias("leader")).where("x <> y").select("key", "n", "leader"), "blocks")
+        new = scratch.keep(_in_blocks(only_text, crowds, n, levels, percent, r, words64), "links")
         links = new if links is None else links.unionByName(new)
-        roots, _ = materialise(spark, components(links), "roots")
+        roots = scratch.keep(components(links, scratch), "roots")
         release(spark)
 
     named = _named(lists, roots)
     mixed = named.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    mixed, _ = materialise(spark, mixed, "mixed-lists")
+    mixed = scratch.keep(mixed, "mixed-lists")
     release(spark)
     posted = named.select("node", "size", "comp", F.posexplode("keys").alias("at", "key"))
     posted = _maybe(posted, "key", _bits(mixed, "key", words64), words64).dropDuplicates(["key", "node"])
-    posted, _ = materialise(spark, posted.join(mixed, "key", "left_semi").select("key", "node", "size", "at", "comp"), "postings")
+    posted = scratch.keep(posted.join(mixed, "key", "left_semi").select("key", "node", "size", "at", "comp"), "postings")
     release(spark)
     sketches = lists.select("node", F.col("bits").alias("parity")).dropDuplicates(["node"])
-    pairs, _ = materialise(spark, _candidates(posted, sketches, percent), "candidates")
+    pairs = scratch.keep(_candidates(posted, sketches, percent), "candidates")
     release(spark)
     if not pairs.isEmpty():
-        found = _sets_of(docs, rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n, text, words64)
-        last, _ = materialise(spark, _probed(pairs, found, percent), "links")
+        found = _sets_of(docs, scratch, rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n, text, words64)
+        last = scratch.keep(_probed(pairs, found, percent), "links")
         if not last.isEmpty():
-            roots = components(links.unionByName(last))
+            roots = components(links.unionByName(last), scratch)
     return rows, roots
 
 
@@ -415,14 +418,14 @@ def _in_blocks(only_text: DataFrame, crowds: DataFrame, n: int, levels, percent:
     return placed.groupBy("key", "part").applyInArrow(_search_blocks(percent), "a long, b long")
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, text: str, words64: int) -> DataFrame:
+def _sets_of(docs: DataFrame, scratch: Scratch, rows: DataFrame, nodes: DataFrame, n: int, text: str, words64: int) -> DataFrame:
     """node, members of the given nodes. Texts are told apart by their hash before they are read as sets."""
     spark = docs.sparkSession
-    alive, _ = materialise(spark, nodes.distinct(), "alive")
+    alive = scratch.keep(nodes.distinct(), "alive")
     checks = rows.join(alive, "node", "left_semi").select("check").distinct()
     maybe = _maybe(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("t")), "check", _bits(checks, "check", words64), words64)
     all_sets = maybe.select("t").mapInArrow(_whole_sets(n), "node long, members binary")
-    every, _ = materialise(spark, all_sets.join(alive, "node", "left_semi").dropDuplicates(["node"]), "members")
+    every = scratch.keep(all_sets.join(alive, "node", "left_semi").dropDuplicates(["node"]), "members")
     release(spark)
     return every
 
@@ -457,9 +460,13 @@ def _probed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, check, n_shingles, component_id of every row."""
-    rows, roots = link_classes(docs, n, percent, doc_id, text)
+    spark = docs.sparkSession
+    scratch, result = Scratch(spark), Scratch(spark)
+    rows, roots = link_classes(docs, scratch, n, percent, doc_id, text)
     named = rows.join(roots, "node", "left").select("doc_id", "check", "size", F.coalesce("root", "node").alias("comp"))
-    named, _ = materialise(docs.sparkSession, named, "classes")
+    named = result.keep(named, "classes")  # all that the result reads
+    scratch.clear()
+    release(spark)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     joined = named.where("comp is not null").join(least, "comp").select("doc_id", "check", "size", "least")
     alone = named.where("comp is null").select("doc_id", "check", "size", F.col("doc_id").alias("least"))
@@ -469,4 +476,11 @@ def classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "
 def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id names their component."""
     gone = classes(docs, n, percent, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"))
-    return docs.join(gone, (docs[doc_id] == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__check")), "left_anti")
+    spark = docs.sparkSession
+    gone = Scratch(spark).keep(gone, "gone")
+    words64 = 1 << 14
+    bits = F.broadcast(_bits(gone, "__id", words64))  # one row; most texts needn't be shuffled to be kept
+    marked = docs.join(bits, F.lit(True)).withColumn("__maybe", _tested(doc_id, words64)).drop("__bits")
+    maybe = marked.where("__maybe").drop("__maybe")
+    same = (maybe[doc_id] == F.col("__id")) & (F.xxhash64(maybe[text]) == F.col("__check"))
+    return marked.where("not __maybe").drop("__maybe").unionByName(maybe.join(gone, same, "left_anti"))

@@ -42,26 +42,30 @@ def _slot() -> Column:
 
 
 def surviving(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row: `bits`, the table of (length, prefix) groups with two rows or more.
+    """One row: `__bits`, the table of (length, prefix) groups with two rows or more.
 
     First the lengths that only one text has drop out, then the prefixes.
     """
-    spark = docs.sparkSession
     groups = _narrow(docs, doc_id, text).groupBy("len", "prefix").agg(F.count("*").alias("n"))
     lengths = groups.groupBy("len").agg(F.sum("n").alias("of_len")).where("of_len > 1")
     hot = groups.where("n > 1").join(lengths, "len", "left_semi").select(_slot().alias("slot"))
-    words = hot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
-    every = words.unionByName(spark.range(TABLE_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("b")))
+    return _table(hot)
+
+
+def _table(slots: DataFrame) -> DataFrame:
+    """One row: `__bits`, with the bit of every slot set."""
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
+    every = words.unionByName(slots.sparkSession.range(TABLE_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("b")))
     every = every.groupBy("word").agg(F.bit_or("b").alias("b"))
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "b"))), lambda x: x["b"]).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "b"))), lambda x: x["b"]).alias("__bits"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept and, if `digest`, text_sha256 of every row."""
     bits = F.broadcast(surviving(docs, doc_id, text))  # one row of 128 KB
     rows = _narrow(docs, doc_id, text).withColumn("slot", _slot())
-    test = F.expr("shiftright(bits[cast(shiftright(slot, 6) as int)], cast(slot & 63 as int)) & 1L") == 1
-    rows = rows.join(bits, F.lit(True)).withColumn("company", test).drop("bits")
+    test = F.expr("shiftright(__bits[cast(shiftright(slot, 6) as int)], cast(slot & 63 as int)) & 1L") == 1
+    rows = rows.join(bits, F.lit(True)).withColumn("company", test).drop("__bits")
     full = F.sha2("norm", 256)
     spark = docs.sparkSession
     rows = rows.select("doc_id", "len", "company", (full if digest else F.when(F.col("company"), full)).alias("text_sha256"))
@@ -81,8 +85,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     only if its (id, text) row is.
     """
     gone = exact_groups(docs, doc_id, text, digest=True).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    same = (docs[doc_id].eqNullSafe(F.col("__id"))) & (F.sha2(normalised(docs[text]), 256) == F.col("__sha"))
-    return docs.join(gone, same, "left_anti")
+    gone, _ = materialise(docs.sparkSession, gone, "gone")
+    slot = F.pmod(F.xxhash64(F.col("__id")), F.lit(TABLE_WORDS * 64))
+    bits = F.broadcast(_table(gone.select(slot.alias("slot"))))  # one row; most texts needn't be shuffled to be kept
+    at = f"pmod(xxhash64(`{doc_id}`), {TABLE_WORDS * 64}L)"
+    test = F.expr(f"shiftright(__bits[cast(shiftright({at}, 6) as int)], cast({at} & 63 as int)) & 1L") == 1
+    marked = docs.join(bits, F.lit(True)).withColumn("__maybe", test).drop("__bits")
+    maybe = marked.where("__maybe").drop("__maybe")
+    same = (maybe[doc_id].eqNullSafe(F.col("__id"))) & (F.sha2(normalised(maybe[text]), 256) == F.col("__sha"))
+    return marked.where("not __maybe").drop("__maybe").unionByName(maybe.join(gone, same, "left_anti"))
 
 
 ORACLE = r"""
