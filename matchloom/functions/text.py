@@ -134,6 +134,27 @@ def rebuilt(inverted: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(kept, lambda x: x["word"]), " "), F.lit(""))
 
 
+#: A module code, and what stands where no code is known yet.
+CODE = "[A-Za-z]{2,4}[0-9]{1,4}[A-Za-z0-9]{0,3}"
+NO_CODES = ("TB", "TBC", "TBA")
+
+
+def code_and_title(code: Column, title: Column, slug_text: Column) -> tuple[Column, Column]:
+    """(code, title): the title without leading codes; the code if it is one, else from the title, the slug, or a code run into a title; else N/A."""
+    c, t, s = (F.trim(F.coalesce(x, F.lit(""))) for x in (code, title, slug_text))
+    lead = rf"^({CODE})\s*[-:]\s*"
+    in_title = F.upper(F.regexp_extract(t, lead, 1))
+    rest = F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, lead, "")), lead, ""))
+    plain_title = F.when((in_title != "") & (rest != ""), rest).otherwise(t)
+    mashed = F.upper(F.replace(plain_title, F.lit(" "), F.lit("")))
+    usable = lambda x: F.when((x != "") & ~x.isin(*NO_CODES) & (x != mashed), x)
+    given = usable(F.upper(F.regexp_extract(c, f"^({CODE})$", 1)))
+    from_slug = F.nullif(F.upper(F.regexp_extract(s, r"^([a-z]{2,4}[0-9]{1,4}[a-z0-9]{0,3})-", 1)), F.lit(""))
+    run_in = F.nullif(F.upper(F.regexp_extract(c, r"^([A-Za-z]{2,4}[0-9]{2,4}[A-Za-z0-9]{0,2})[A-Za-z]+$", 1)), F.lit(""))
+    found = F.coalesce(given, F.nullif(in_title, F.lit("")), from_slug, run_in, F.lit(""))
+    return F.coalesce(usable(found), F.lit("N/A")), plain_title
+
+
 # ---- what only Python has; meant for distinct labels ---------------------------------------------
 
 

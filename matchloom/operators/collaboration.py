@@ -104,3 +104,36 @@ def rerank(df: DataFrame, semantic: str, graph: str, group: str, ids: str, share
     hybrid = F.round(share * F.col(semantic) + (1 - share) * F.coalesce(graph, F.lit(0.0)), 6)
     w = Window.partitionBy(group).orderBy(F.desc("hybrid"), F.desc(semantic), ids)
     return df.withColumn("hybrid", hybrid).withColumn("rank", F.row_number().over(w))
+
+
+def foundation(pairs: DataFrame, topics: DataFrame, vectors: DataFrame, least: float = 0.80, most: int = 5) -> DataFrame:
+    """a, b -> kind (exact, semantic or none), similarity and evidence of what two people share.
+
+    pairs: a, b; topics: staff_id, topic (few for a person); vectors: topic, vector. Pairs with a topic
+    in common are exact; only the others are compared topic by topic.
+    """
+    from matchloom.functions.vectors import cosine
+
+    one = topics.select(F.col("staff_id").alias("a"), F.col("topic").alias("ta"))
+    two = topics.select(F.col("staff_id").alias("b"), F.col("topic").alias("tb"))
+    exact = pairs.join(one, "a").join(two, "b").where("ta = tb").groupBy("a", "b").agg(F.array_sort(F.collect_set("ta")).alias("common"))
+    rest = pairs.join(exact, ["a", "b"], "left_anti").join(one, "a").join(two, "b")
+    known = rest.join(vectors.select(F.col("topic").alias("ta"), F.col("vector").alias("va")), "ta").join(vectors.select(F.col("topic").alias("tb"), F.col("vector").alias("vb")), "tb")
+    scored = known.withColumn("s", cosine(F.col("va"), F.col("vb")))
+    w = Window.partitionBy("a", "b").orderBy(F.desc(F.round("s", 9)), "ta", "tb")
+    kept = scored.withColumn("k", F.row_number().over(w))
+    near = kept.groupBy("a", "b").agg(F.max("s").alias("best"), F.array_sort(F.collect_list(F.when((F.col("k") <= most) & (F.col("s") >= least), F.concat_ws("~", "ta", "tb")))).alias("like"))
+    out = pairs.join(exact, ["a", "b"], "left").join(near, ["a", "b"], "left")
+    like = F.coalesce("like", F.array().cast("array<string>"))
+    kind = F.when(F.col("common").isNotNull(), "exact").when(F.size(like) > 0, "semantic").otherwise("none")
+    return out.select("a", "b", kind.alias("kind"), F.when(F.col("common").isNotNull(), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("similarity"), F.coalesce("common", like).alias("evidence"))
+
+
+def unified(modules: DataFrame, taught: Column, primary: DataFrame, found_gaps: DataFrame, fillers: DataFrame) -> DataFrame:
+    """One record a module: classification, primary candidates, gaps and collaborators; modules that aren't taught have no second layer."""
+    one = primary.groupBy("module_id").agg(F.array_sort(F.collect_list(F.struct("rank", "staff_id", "score"))).alias("candidates"))
+    two = found_gaps.groupBy("module_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("gap")).alias("order"), "aspect", "need"))).alias("gaps"))
+    three = fillers.groupBy("module_id").agg(F.array_sort(F.collect_list(F.struct("aspect", "staff_id", "score"))).alias("collaborators"))
+    rows = modules.withColumn("taught", taught).join(one, "module_id", "left").join(two, "module_id", "left").join(three, "module_id", "left")
+    kept = lambda c: F.when(F.col("taught"), F.col(c))
+    return rows.select(*modules.columns, F.when(F.col("taught"), "taught_academic").otherwise("independent_project_placement").alias("classification"), "candidates", kept("gaps").alias("gaps"), kept("collaborators").alias("collaborators"))

@@ -224,3 +224,75 @@ def _(spark, sf):
     p = _publications(spark, sf)
     done = p.where("cast(publication_id as int) % 3 = 0").select("publication_id", F.lit("enriched").alias("status"))
     return N.pending(p, done).select("publication_id")
+
+
+@query("f11_code_and_title", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'CS' || CAST(10 + p_partkey % 90 AS VARCHAR) WHEN 1 THEN 'ED' || CAST(10 + p_partkey % 90 AS VARCHAR) WHEN 2 THEN 'BE' || CAST(10 + p_partkey % 90 AS VARCHAR) WHEN 3 THEN 'BB' || CAST(10 + p_partkey % 90 AS VARCHAR) || 'FU' ELSE 'N/A' END AS code, p_name AS title FROM part""")
+def _(spark, sf):
+    from matchloom.functions.text import code_and_title
+
+    k, n = F.col("p_partkey") % 5, (10 + F.col("p_partkey") % 90).cast("string")
+    code = F.when(k == 0, F.concat(F.lit(" cs"), n)).when(k == 3, F.concat(F.lit("BB"), n, F.lit("FUNDAMENTALS"))).when(k == 4, "TBC")
+    title = F.when(k == 1, F.concat(F.lit("ED"), n, F.lit(" - ed"), n, F.lit(": "), "p_name")).otherwise(F.col("p_name"))
+    c, t = code_and_title(code, title, F.when(k == 2, F.concat(F.lit("be"), n, F.lit("-something"))))
+    return table(spark, sf, "part").select("p_partkey", c.alias("code"), t.alias("title"))
+
+
+@query("c9_foundation", """WITH t AS (SELECT vec_id % 40 AS s, label AS topic FROM embeddings WHERE vec_id < 200 GROUP BY ALL), p AS (SELECT s AS a, s + 1 AS b FROM range(39) r(s))
+SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM t x JOIN t y ON x.topic = y.topic WHERE x.s = a AND y.s = b) THEN 'exact' ELSE 'other' END AS kind FROM p""")
+def _(spark, sf):
+    """People of the first two hundred vectors' catalogue: do neighbours share a topic or a similar one?"""
+    from matchloom.operators import collaboration as C
+
+    e = table(spark, sf, "embeddings").where("vec_id < 200")
+    topics = e.select((F.col("vec_id") % 40).alias("staff_id"), F.col("label").cast("string").alias("topic")).distinct()
+    vectors = e.groupBy(F.col("label").cast("string").alias("topic")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    found = C.foundation(spark.range(39).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), topics, vectors)
+    return found.select("a", "b", F.when(F.col("kind") == "exact", "exact").otherwise("other").alias("kind"))
+
+
+@query("c13_unified_records", f"WITH {MODULE_SQL}, {SCORE_SQL}, t AS (SELECT module_id, count(*) AS n FROM score GROUP BY module_id) SELECT m.module_id, CASE WHEN regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad') THEN 'independent_project_placement' ELSE 'taught_academic' END AS classification, coalesce(least(n, 5), 0) AS candidates, NOT regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad') AS second_layer FROM module m LEFT JOIN t USING (module_id)")
+def _(spark, sf):
+    from matchloom.operators import collaboration as C
+    from matchloom.operators import policy
+    from matchloom.operators.ranking import top_k
+
+    m = modules(spark, sf).select("module_id", "title")
+    primary = top_k(scores(spark, sf), ["module_id"], [F.desc("score"), F.col("staff_id")], 5)
+    gaps = m.select("module_id", F.lit("ethics").alias("aspect"), F.lit(0.3).alias("gap"), F.lit("Moderate Co-Delivery Need").alias("need"))
+    fillers = m.select("module_id", F.lit("ethics").alias("aspect"), F.lit(1).cast("long").alias("staff_id"), F.lit(0.5).alias("score"))
+    got = C.unified(m, policy.is_taught(F.col("title")), primary, gaps, fillers)
+    return got.select("module_id", "classification", F.coalesce(F.when(F.col("candidates").isNull(), 0).otherwise(F.size("candidates")), F.lit(0)).cast("long").alias("candidates"), F.col("gaps").isNotNull().alias("second_layer"))
+
+
+@query("o2_nulls_last", f"WITH {SCORE_SQL}, r AS (SELECT module_id, count(*) AS n FROM score WHERE staff_id % 50 = 0 GROUP BY module_id) SELECT p_partkey, row_number() OVER (ORDER BY n ASC NULLS LAST, p_partkey) AS place FROM part LEFT JOIN r ON module_id = p_partkey QUALIFY place <= 200")
+def _(spark, sf):
+    """The first two hundred of an order in which missing ranks come last: a top-k report."""
+    from pyspark.sql import Window
+
+    r = scores(spark, sf).where("staff_id % 50 = 0").groupBy("module_id").agg(F.count("*").alias("n"))
+    first = table(spark, sf, "part").join(r, F.col("module_id") == F.col("p_partkey"), "left").orderBy(F.asc_nulls_last("n"), "p_partkey").limit(200)
+    return first.select("p_partkey", F.row_number().over(Window.orderBy(F.asc_nulls_last("n"), "p_partkey")).cast("long").alias("place"))
+
+
+@query("c3_hierarchy_mapping", f"WITH {STAFF_SQL} SELECT staff_id, 'resolved' AS status, path FROM staff")
+def _(spark, sf):
+    """People under the units that their department labels name; the source's own mapping wins."""
+    from matchloom.operators import hierarchy as H
+
+    people = staff(spark, sf)
+    index = people.select(F.lower("department").alias("label"), "path").distinct()
+    labels = people.select("staff_id", F.lower("department").alias("label"))
+    return H.resolve(labels, index, index.limit(0)).select("staff_id", "status", "path")
+
+
+@query("u4_pool", f"WITH {STAFF_SQL}, {SCORE_SQL} SELECT staff_id FROM staff WHERE position <> '' UNION SELECT staff_id FROM score WHERE score > 0.9")
+def _(spark, sf):
+    pool = staff(spark, sf).where("position <> ''").select("staff_id")
+    return pool.union(scores(spark, sf).where("score > 0.9").select("staff_id")).distinct()
+
+
+@query("a23_a25_reports", f"WITH {MODULE_SQL} SELECT department, count(*) AS modules, count_if(regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad')) AS exempt FROM module GROUP BY department")
+def _(spark, sf):
+    from matchloom.operators import policy
+
+    return modules(spark, sf).groupBy("department").agg(F.count("*").alias("modules"), F.count_if(~policy.is_taught(F.col("title"))).alias("exempt"))
