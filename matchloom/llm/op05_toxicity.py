@@ -30,6 +30,8 @@ LABELLED, ENTRIES = 20_000, 5_000
 #: Lengths of the word beginnings that can become entries.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
+#: Share of an entry's rows that must be toxic, and of those, up to a number, that must show it after different words.
+PURE, VARIED, ENOUGH = 0.9, 0.4, 20
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -103,13 +105,16 @@ class Lexicon:
 
 
 def weigh(counts: list[tuple[str, int, int]], positive: int, negative: int, tried: int) -> dict[str, float]:
-    """Log odds of the patterns that labelled rows speak for beyond chance, given how many patterns were tried."""
+    """Log odds of the patterns that labelled rows speak for beyond chance, given how many patterns were tried.
+
+    Words of copied texts still pass here; `learn` drops them, for they always follow the same word.
+    """
     if not positive or not negative:
         return {}
     base = positive / (positive + negative)
     out = {}
     for name, p, n in counts:
-        if p < 0.7 * (p + n):
+        if p < PURE * (p + n):
             continue
         gain = p * math.log(p / ((p + n) * base)) + (n * math.log(n / ((p + n) * (1 - base))) if n else 0)
         if gain > math.log(max(tried, 1)) + 1:
@@ -173,11 +178,18 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = rows.groupBy("y").count().collect()
     size = {r["y"]: r["count"] for r in n}
     counts = rows.mapInArrow(_count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
-    tried = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr("if(pos >= 3 and pos >= 0.7 * (pos + neg), 1, 0)")), F.lit(0)).alias("m")).first()
-    best = counts.where("pos >= 3 and pos >= 0.7 * (pos + neg)").orderBy(F.desc("pos"), "neg", "name").limit(20 * ENTRIES)
+    tried = counts.agg(F.count("*").alias("n")).first()
+    best = counts.where(f"pos >= 3 and pos >= {PURE} * (pos + neg)").orderBy(F.desc("pos"), "neg", "name").limit(20 * ENTRIES)
     weights = weigh([(r["name"], r["pos"], r["neg"]) for r in best.collect()], size.get(1, 0), size.get(0, 0), tried["n"])
-    phrases = rows.mapInArrow(_phrases(Lexicon(weights)), "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) if weights else None
-    exceptions = {r["phrase"] for r in phrases.where("pos = 0 and neg >= 3").orderBy(F.desc("neg"), "phrase").limit(ENTRIES).collect()} if weights else set()
+    exceptions: set[str] = set()
+    if weights:
+        phrases = rows.mapInArrow(_phrases(Lexicon(weights)), "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        name = F.element_at(F.split("phrase", " "), -1)
+        kinds = phrases.where("pos > 0").groupBy(name.alias("name")).agg(F.count("*").alias("kinds"), F.sum("pos").alias("pos"))
+        told = {r["name"]: (r["kinds"], r["pos"]) for r in kinds.collect()}  # one a lexicon entry
+        weights = {k: w for k, w in weights.items() if k in told and told[k][0] >= max(2, min(ENOUGH, VARIED * told[k][1]))}
+        benign = phrases.where(name.isin(*weights)) if weights else phrases.limit(0)
+        exceptions = {r["phrase"] for r in benign.where("pos = 0 and neg >= 3").orderBy(F.desc("neg"), "phrase").limit(ENTRIES).collect()}
     seen = rows.mapInArrow(_raws(weights, exceptions), "raw double, y int").groupBy(F.round("raw", 2).alias("raw"), "y").count().collect()
     raw = np.repeat([r["raw"] for r in seen], [r["count"] for r in seen]).astype(float)
     y = np.repeat([r["y"] for r in seen], [r["count"] for r in seen]).astype(float)
