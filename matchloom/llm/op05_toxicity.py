@@ -86,7 +86,7 @@ class Lexicon:
             whole = end + 1 == len(folded) or not folded[end + 1].isalpha()
             for name in names:
                 if whole or name[-1] == "*":
-                    before = _WORD.findall(folded, max(0, start - 40), start)
+                    before = folded[max(0, start - 40) : start].split()
                     yield start, name, f"{before[-1] if before else ''} {name}"
 
     def raw(self, text: str) -> float:
