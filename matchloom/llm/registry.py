@@ -69,4 +69,4 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_jaccard, op4_exact_dedup, op5_toxicity, op6_binary, op7_token_counts, op8_lm_maxent, op9_pii, op10_quality_crf)}
-ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op4_exact_dedup": op04_exact.ORACLE}
+ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op3_jaccard": op03_jaccard.ORACLE, "op4_exact_dedup": op04_exact.ORACLE}
