@@ -87,6 +87,19 @@ def test_bucket_probabilities_sum_to_one():
     assert abs((10**p).sum() - 1) < 1e-3
 
 
+def test_both_softmaxes_use_every_feature():
+    h = np.arange(1, 9, dtype=np.uint64) << np.uint64(55)
+    first = np.array([0, len(h)])
+    feats = op08_maxent.features(h, first)
+    top, low = op08_maxent.Model(np.ones(op08_maxent._BUCKETS)).parts(feats, op08_maxent.bucket(h))[2:4]
+    assert len(feats) == len(top) == len(low) == 4 and len(set(feats[0].tolist())) == 1
+    skipped = h.copy()
+    skipped[3] += np.uint64(7)  # two words before the sixth: its skip and pair features change, in both softmaxes
+    other = op08_maxent.Model(np.ones(op08_maxent._BUCKETS)).parts(op08_maxent.features(skipped, first), op08_maxent.bucket(h))[2:4]
+    for a, b in zip((top, low), other):
+        assert [x[5] != y[5] for x, y in zip(a, b)] == [False, False, True, True]
+
+
 def test_crf_marginals_equal_enumeration():
     import itertools
 
