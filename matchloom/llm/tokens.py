@@ -91,9 +91,25 @@ class ByteLevel:
         stem = core.rstrip(_TAIL)
         if stem and len(stem) < len(core) and stem.isalpha() and (core.isascii() or max(core) < "ɐ"):
             return (self.parts[stem] if core is not part else self._word(stem)) + self._token(core[len(stem) :])
-        left, newline, right = part.partition("\n")
-        if newline and left and right and not left[-1].isspace() and not right[0].isspace():
-            return (self.parts[left[1:]] if left[0] == " " and len(left) > 1 else self._part(left)) + self._word("\n") + self._part(right)
+        if "\n" not in part:
+            return self._pre_tokens(part)
+        lines, at, out = part.split("\n"), 0, []
+        for k in range(len(lines) - 1):
+            left, right = lines[k], lines[k + 1]
+            if not left or not right or left[-1].isspace() or right[0].isspace():
+                continue  # not a safe newline: it stays inside its piece
+            piece = "\n".join(lines[at : k + 1])
+            if "\n" in piece:
+                out.append(self._pre_tokens(piece))
+            else:
+                out.append(self.parts[piece[1:]] if piece[0] == " " and len(piece) > 1 else self._part(piece))
+            out.append(self._word("\n"))
+            at = k + 1
+        rest = "\n".join(lines[at:])
+        out.append(self._part(rest) if at and "\n" not in rest else self._pre_tokens(rest))
+        return b"".join(out)
+
+    def _pre_tokens(self, part: str) -> bytes:
         return b"".join([self._token(mapped) for mapped, _ in self.pre.pre_tokenize_str(part)])
 
     def _whole(self, text: str) -> bytes:

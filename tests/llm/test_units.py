@@ -33,6 +33,13 @@ def test_fast_tokens_equal_the_library():
     assert tokens.load(vocab.path("piece_bpe_32k.model")).count("a b") > 0
 
 
+def test_many_lines_without_spaces_equal_the_library():
+    e = tokens.load(vocab.path("byte_bpe_50k.json"))
+    for line in ("1234567", "https://a.b/c?d=1", "a,b,c", "日本語の行"):
+        for t in ("\n".join([line] * 5_000), "x \n" + "\n".join([line] * 5_000) + "\n\n1\r\n2\n end", "\n\n1\n2\n\n3"):
+            assert np.frombuffer(e.ids(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_words_equal_the_patterns():
     for kind, pattern in ((words.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (words.NONSPACE, r"[^\x20\x09-\x0D]+")):
         texts = mixed(3, 400) + ["", None]
