@@ -7,7 +7,8 @@ with the word before it) don't count. The weights' sum, each word's repeats damp
 slowly growing function of the text's length and becomes a probability.
 
 Lexicon, exceptions and the two numbers of the last step are learned from labelled rows, at most
-LABELLED of them (those with the smallest hash of their id); the lexicon has at most ENTRIES entries.
+LABELLED of them (those with the smallest hash of their id), copies of a text counting once; the
+lexicon has at most ENTRIES entries.
 Texts that are null, empty or without letters score as a text without hits. Repeated rows score
 alike. With no labelled rows of either kind nothing is learned and every text gets the same score.
 An empty table gives an empty result; extra columns are kept only where rows are passed on.
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import Scratch
+
 #: Labelled rows that are learned from at most, and entries of the lexicon at most.
 LABELLED, ENTRIES = 20_000, 5_000
 #: Lengths of the word beginnings that can become entries.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Share of an entry's rows that must be toxic, and of those, up to a number, that must show it after different words.
-PURE, VARIED, ENOUGH = 0.9, 0.4, 20
+#: Share of an entry's texts that must be toxic.
+PURE = 0.9
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -105,10 +108,7 @@ class Lexicon:
 
 
 def weigh(counts: list[tuple[str, int, int]], positive: int, negative: int, tried: int) -> dict[str, float]:
-    """Log odds of the patterns that labelled rows speak for beyond chance, given how many patterns were tried.
-
-    Words of copied texts still pass here; `learn` drops them, for they always follow the same word.
-    """
+    """Log odds of the patterns that labelled rows speak for beyond chance, given how many patterns were tried."""
     if not positive or not negative:
         return {}
     base = positive / (positive + negative)
@@ -170,11 +170,19 @@ def calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.05)), float(min(w[1], -1.0))
 
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """One of the rows (t, y) whose texts are equal but for case and white space; a text with both labels stays once with each."""
+    same = F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"[\x20\x09-\x0D]+", " ")), 256)
+    return rows.groupBy(same.alias("same"), "y").agg(F.min("t").alias("t")).select("t", "y")
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = LABELLED):
     """weights, exceptions, slope and offset, from the rows of labels (ids and 0 or 1)."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit))  # 12 bytes a row
     rows = docs.join(chosen, docs[doc_id] == F.col("__id")).select(F.col(text).alias("t"), F.col("__y").alias("y"))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(distinct(rows), "labelled")  # read five times
     n = rows.groupBy("y").count().collect()
     size = {r["y"]: r["count"] for r in n}
     counts = rows.mapInArrow(_count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
@@ -184,15 +192,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     exceptions: set[str] = set()
     if weights:
         phrases = rows.mapInArrow(_phrases(Lexicon(weights)), "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        name = F.element_at(F.split("phrase", " "), -1)
-        kinds = phrases.where("pos > 0").groupBy(name.alias("name")).agg(F.count("*").alias("kinds"), F.sum("pos").alias("pos"))
-        told = {r["name"]: (r["kinds"], r["pos"]) for r in kinds.collect()}  # one a lexicon entry
-        weights = {k: w for k, w in weights.items() if k in told and told[k][0] >= max(2, min(ENOUGH, VARIED * told[k][1]))}
-        benign = phrases.where(name.isin(*weights)) if weights else phrases.limit(0)
-        exceptions = {r["phrase"] for r in benign.where("pos = 0 and neg >= 3").orderBy(F.desc("neg"), "phrase").limit(ENTRIES).collect()}
+        exceptions = {r["phrase"] for r in phrases.where("pos = 0 and neg >= 3").orderBy(F.desc("neg"), "phrase").limit(ENTRIES).collect()}
     seen = rows.mapInArrow(_raws(weights, exceptions), "raw double, y int").groupBy(F.round("raw", 2).alias("raw"), "y").count().collect()
     raw = np.repeat([r["raw"] for r in seen], [r["count"] for r in seen]).astype(float)
     y = np.repeat([r["y"] for r in seen], [r["count"] for r in seen]).astype(float)
+    scratch.clear()
     return (weights, exceptions, *calibrate(raw, y))
 
 

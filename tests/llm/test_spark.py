@@ -121,6 +121,18 @@ def test_op5(spark, docs, nothing):
     assert all(scored[i] == (i % 5 == 0) for i in range(200, 300))
 
 
+def test_op5_counts_a_copied_text_once(spark):
+    copied = [f"{w} villain" for w in "an old new bad sad mad big fat odd wet".split()]
+    toxic = ["you villain again and again"] * 400 + [f"{c} {i}" for i, c in enumerate(copied)]
+    long = " ".join(f"word{chr(97 + i)} harbour" for i in range(25))
+    texts = toxic + [long] * 200 + [f"plain talk of things {i}" for i in range(400)]
+    toxics = len(toxic) + 200
+    many = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = spark.createDataFrame([(i, int(i < toxics)) for i in range(len(texts))], "doc_id long, toxic int")
+    weights = op05_toxicity.learn(many, told)[0]
+    assert "villain" in weights and "harbour" not in weights
+
+
 def test_op6(spark, docs, nothing):
     from tokenizers import Tokenizer
 
