@@ -1,8 +1,10 @@
 """Operator 5: toxicity by a weighted lexicon.
 
-Texts are folded first: lower case, look-alike letters of other scripts to Latin, full-width forms to
-ASCII, and a digit or sign between two letters to the letter it stands for. An Aho-Corasick automaton
-then finds the lexicon's words and word beginnings; hits inside a learned exception phrase (a hit
+Texts are folded first: lower case, compatibility forms (full width, mathematical letters) to plain
+ones, accents and invisible characters away, look-alike letters of other scripts to Latin, and digits
+and signs in a word that has a letter to the letters they stand for. As a digit or sign at a word's edge
+may also be just that, a second reading folds only single ones between two letters; hits in either
+count, once. An Aho-Corasick automaton finds the lexicon's words and word beginnings; hits inside a learned exception phrase (a hit
 with the word before it) don't count. The weights' sum, each word's repeats damped, is divided by a
 slowly growing function of the text's length and becomes a probability.
 
@@ -38,26 +40,47 @@ PURE = 0.9
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
-    "аеорсухіјѕԁһӏкмтвнαορτυνικ",
-    "aeopcyxijsdhlkmtbhaoptuvik",
+    "аеорсухіјѕԁһӏкмтвнαορτυνικıłøđħŧɑɡɩʟɴʀʏ",
+    "aeopcyxijsdhlkmtbhaoptuvikilodhtagilnry",
 )
 #: Digits and signs that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
-_FAR = re.compile("[Ͱ-԰＀-￯]")
+#: Combining accents, and characters that are not seen: format characters, fillers and variation selectors.
+_UNSEEN = re.compile("[\u0300-\u036f\u00ad\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
+#: A run of letters, digits and signs with at least one sign; only its beginnings are tried.
+_TOKEN = re.compile(r"(?<![^\W_])(?<![@$!])[^\W_]*[0134578@$!](?:[^\W_]|[@$!])*")
+_LETTER = re.compile(r"[^\W\d_]")
+_MEANT = str.maketrans(SIGNS)
 _SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$!](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str) -> str:
+def _plain(text: str) -> str:
     text = text.lower()
-    if _FAR.search(text):
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
         text = unicodedata.normalize("NFKC", text).lower().translate(LOOKALIKES)
-    if _SIGN.search(text):
-        text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
     return text
 
 
+def _meant(token: re.Match) -> str:
+    word = token[0].rstrip("!")  # marks of a sentence's end stay
+    return word.translate(_MEANT) + token[0][len(word) :] if _LETTER.search(word) else token[0]
+
+
+def fold(text: str) -> str:
+    """The reading with all signs folded that stand in a word with a letter."""
+    return _TOKEN.sub(_meant, _plain(text))
+
+
+def readings(text: str) -> list[str]:
+    """The folded text and, where it differs, the one with only single signs between letters folded; both have the same length."""
+    text = _plain(text)
+    full, inner = _TOKEN.sub(_meant, text), _SIGN.sub(lambda m: SIGNS[m[0]], text)
+    return [full] if full == inner else [full, inner]
+
+
 def patterns(folded: str) -> set[str]:
     """Words, and beginnings of longer words with a `*` behind."""
     found = set(_WORD.findall(folded))
@@ -92,16 +115,21 @@ class Lexicon:
                     before = folded[max(0, start - 40) : start].split()
                     yield start, name, f"{before[-1] if before else ''} {name}"
 
+    def found(self, read: list[str]):
+        """Hits in every reading of a text."""
+        for folded in read:
+            yield from self.hits(folded)
+
     def raw(self, text: str) -> float:
-        folded = fold(text)
+        read = readings(text)
         best: dict[int, str] = {}
-        for start, name, phrase in self.hits(folded):
+        for start, name, phrase in self.found(read):
             if phrase not in self.exceptions and (start not in best or self.weights[name] > self.weights[best[start]]):
                 best[start] = name
         if not best:
             return 0.0
         total = sum(self.weights[name] * (1 + math.log(n)) for name, n in Counter(best.values()).items())
-        return total / (1 + 0.15 * math.log2(1 + len(folded) / 300))
+        return total / (1 + 0.15 * math.log2(1 + len(read[0]) / 300))
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * self.raw(text) + self.offset))))
@@ -126,7 +154,7 @@ def _count(batches):
     found: dict[str, list[int]] = {}
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for p in patterns(fold(t or "")):
+            for p in set().union(*map(patterns, readings(t or ""))):
                 found.setdefault(p, [0, 0])[1 - y] += 1
     names = list(found)
     for at in range(0, len(names), 100_000):
@@ -139,7 +167,7 @@ def _phrases(known: Lexicon):
         for b in batches:
             rows = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += [(phrase, y, 1 - y) for phrase in {x[2] for x in known.hits(fold(t or ""))}]
+                rows += [(phrase, y, 1 - y) for phrase in {x[2] for x in known.found(readings(t or ""))}]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["phrase", "pos", "neg"])
 
     return run

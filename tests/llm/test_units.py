@@ -85,6 +85,15 @@ def test_folding():
     assert op05_toxicity.Lexicon({}).score("") < 0.3
 
 
+def test_disguises_fold():
+    known = op05_toxicity.Lexicon({"idiot": 5.0, "loser": 5.0, "stupid": 5.0, "worthless": 5.0})
+    told = ["id10t", "l053r", "1diot", "5tupid", "idi07", "worthle55", "1d10t!!", "𝐢𝐝𝐢𝐨𝐭", "ıdıot", "ídíöt", "id\u200biot", "i\u00addiot", "i\u0336diot", "@idiot", "idiot1", "idiot!!you", "a\n$tup1d b"]
+    assert [t for t in told if known.raw(t) <= 0] == []
+    assert op05_toxicity.fold("1100 $5 10:07 !") == "1100 $5 10:07 !" and op05_toxicity.fold("がぎ 한국 日本") == "がぎ 한국 日本"
+    assert known.raw("1diot idiot") == known.raw("idiot idiot") and known.raw("idiotic 5 1d 10t") == 0
+    assert len(op05_toxicity.fold("x" * 200_000 + "1")) == 200_001
+
+
 def test_bucket_probabilities_sum_to_one():
     model = op08_maxent.Model(np.arange(op08_maxent._BUCKETS), np.random.default_rng(1).normal(0, 1, op08_maxent._SIZE).astype(np.float32))
     h = (np.arange(op08_maxent._BUCKETS, dtype=np.uint64) << np.uint64(54)) + np.uint64(1)
