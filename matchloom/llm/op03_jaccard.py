@@ -5,17 +5,18 @@ ASCII white space; a shorter text is one shingle, a text without words or null h
 links with nothing). Two sets link when 100 * |intersection| >= PERCENT * |union|.
 
 1. Equal sets become one node (64-bit signature of the set). Copies are never paired.
-2. Shingles get one order for the whole corpus, rare before frequent, from counts over all rows in a
-   table whose size follows the input. A link needs a common shingle among the first
-   |x| - ceil(.9 |x|) + 1 of either set: those are the short inverted lists.
-3. First, nodes with the same first (then second) shingle in that order are searched as a block: lists
-   are divided, the short ones heap-merged and the long ones binary-probed (DivideSkip), and who
-   reaches the required overlap links. That collapses groups of near copies, whatever their size; a
-   crowd is split into blocks that share one member.
-4. What is left, exactly: only short lists that hold nodes of different components matter now. Every
-   pair in them stays a candidate while sizes, places in the order and a 512-bit parity sketch allow
-   the overlap (all three bounds only drop pairs that can't link), and each candidate pair that isn't
-   yet in one component is probed likewise.
+2. Shingles get one order for the whole corpus, rare before frequent: by how far their slot of a count
+   table exceeds the usual, then by the rarest of their words, then by all their words. A link needs a
+   common shingle among the first |x| - ceil(.9 |x|) + 1 of either set: those are the short inverted
+   lists. A shingle with a word that occurs once in the corpus has a list of one and isn't posted.
+3. Lists with one node drop out. Then, in turns, each node takes its first list that holds several
+   components, and the nodes of a list are searched as a block: lists are divided, the short ones
+   heap-merged and the long ones binary-probed (DivideSkip), and who reaches the required overlap
+   links. That collapses groups of near copies; a crowd is split into blocks that share two members.
+4. In the lists that still hold several components, one node stands for each component of a list, then
+   all do. Pairs stay candidates while sizes, places in the order and a 512-bit parity sketch allow the
+   overlap (bounds that only drop pairs that can't link). A node is searched among its candidates, again
+   by DivideSkip, and gives one link to each component that it reaches.
 
 No list is capped and no pair is dropped. A hot list is split by Spark's skew joins or by block.
 Sets are compared by 64-bit hashes of shingles. Repeated rows are copies. Null ids never name a
@@ -37,25 +38,26 @@ from matchloom.llm.components import components
 from matchloom.session import Scratch, release
 
 PERCENT = 90
-#: Nodes in a block of the search around a leader.
-BLOCK_NODES = 256
-#: Shingles of a block that are held in lists at a time.
-BLOCK_SHINGLES = 150_000
-#: Slots in a piece of the count table.
-PIECE = 4096
+#: Nodes and, about, shingles in a block.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 150_000
+#: Turns in which each node is searched in its first list of several components, and in which components are represented.
+BLOCK_TURNS, STAND_IN_TURNS = 2, 3
+#: Slots in a piece of the count tables, and their number at most (a byte each where they are broadcast).
+PIECE, MOST_SLOTS = 4096, 1 << 26
 
 
 def sets(column: pa.Array, n: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending."""
-    w = words.scan(column, words.NONSPACE)
+    return list(_sets(words.scan(column, words.NONSPACE), n))
+
+
+def _sets(w: words.Words, n: int):
     whole = words.windows(w.hash, n)
-    out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= n:
-            out.append(np.unique(whole[a : b - n + 1]))
+            yield np.unique(whole[a : b - n + 1])
         else:
-            out.append(words.windows(w.hash[a:b], b - a) if b > a else whole[:0])
-    return out
+            yield words.windows(w.hash[a:b], b - a) if b > a else whole[:0]
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -165,57 +167,88 @@ def search_block(nodes: list[int], members: list[np.ndarray], percent: int = PER
     return out
 
 
+def search_one(mine: np.ndarray, others: list[np.ndarray], comps: list[int], percent: int = PERCENT) -> list[int]:
+    """Places of one linked set of each component among the others."""
+    lists: dict[int, list[int]] = {t: [] for t in mine.tolist()}
+    for k, s in enumerate(others):
+        for t in np.intersect1d(mine, s, assume_unique=True).tolist():
+            lists[t].append(k)
+    out, reached = [], set()
+    for k, common in divide_skip(list(lists.values()), max(1, required(-(-percent * len(mine) // 100), len(mine), percent))).items():
+        if comps[k] not in reached and 100 * common >= percent * (len(mine) + len(others[k]) - common):
+            reached.add(comps[k])
+            out.append(k)
+    return out
+
+
 # ---- the distributed part ------------------------------------------------------------------------
 
 
-def _describe(n: int, slots: int):
-    """doc_id, text -> a row a document (place, size, node), then the task's shingle counts in pieces."""
+def _slots(h: np.ndarray, slots: int) -> np.ndarray:
+    return h >> np.uint64(64 - slots.bit_length() + 1)
+
+
+def _describe(n: int, slots: int, word_slots: int):
+    """doc_id, check, text -> a row a document (size, node), then the task's counts of shingles and words in pieces."""
 
     def run(batches):
-        counts = np.zeros(slots, np.uint32)
+        counts, used = np.zeros(slots, np.uint32), np.zeros(word_slots, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+        seen: set[int] = set()
         for b in batches:
-            found = sets(b.column(2), n)
-            for s in found:
-                counts[s >> np.uint64(64 - slots.bit_length() + 1)] += 1
+            w = words.scan(b.column(2), words.NONSPACE)
+            found = list(_sets(w, n))
+            nodes = [signature(s) if len(s) else None for s in found]
+            fresh = [d for d, x in enumerate(nodes) if x is not None and x not in seen and not seen.add(x)]
+            if fresh:
+                np.add.at(counts, _slots(np.concatenate([found[d] for d in fresh]), slots), 1)
+                np.add.at(used, _slots(np.concatenate([w.hash[w.first[d] : w.first[d + 1]] for d in fresh]), word_slots), 1)
             k = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([signature(s) if len(s) else None for s in found], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema,
-            )
-        small = np.minimum(counts, 255).astype(np.uint8)
-        at = [p for p in range(0, slots, PIECE) if small[p : p + PIECE].any()]
-        k = len(at)
-        nulls = [pa.nulls(k, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array([p // PIECE for p in at], pa.int32()), pa.array([small[p : p + PIECE].tobytes() for p in at], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+        for base, table in ((0, counts), (slots // PIECE, used)):
+            at = [p for p in range(0, len(table), PIECE) if table[p : p + PIECE].any()]
+            for part in (at[i : i + 1024] for i in range(0, len(at), 1024)):
+                k = len(part)
+                small = [np.minimum(table[p : p + PIECE], 255).astype(np.uint8).tobytes() for p in part]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array([base + p // PIECE for p in part], pa.int32()), pa.array(small, pa.binary())], schema=schema)
 
     return run
 
 
-def _add(key, table):
+def _summed(table: pa.Table) -> np.ndarray:
     total = np.zeros(PIECE, np.uint32)
     for x in table.column("counts"):
         raw = np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) <= PIECE else np.uint32)
         total[: len(raw)] += raw
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return total
 
 
-def _levels(counted: DataFrame, slots: int) -> np.ndarray:
-    """For each slot how many times more than usual it was hit, in powers of two."""
-    schema = "piece int, counts binary"
-    halfway = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("piece", "salt").applyInArrow(_add, schema)
-    total = np.zeros(slots, np.uint32)
-    for r in halfway.groupBy("piece").applyInArrow(_add, schema).toLocalIterator():  # the table's size, whatever the input's
-        raw = np.frombuffer(r["counts"], np.uint32)
-        at = r["piece"] * PIECE
-        total[at : at + PIECE] = raw[: slots - at]
-    usual = 2 * total.mean() + 8
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)) + 1, 0, 60).astype(np.uint8)
+def _add(key, table):
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_summed(table).tobytes()], pa.binary())})
+
+
+def _grade(shingle_pieces: int, usual: float):
+    """Counts of a piece as bytes: of shingles how far beyond the usual in powers of two, of words half powers of two, 0 up to one."""
 
+    def run(key, table):
+        total, piece = np.maximum(_summed(table), 1), key[0].as_py()
+        if piece < shingle_pieces:
+            grade = np.clip(np.floor(np.log2(total / usual)) + 1, 0, 60)
+        else:
+            grade = np.where(total > 1, 1 + np.floor(2 * np.log2(total)), 0)
+        return pa.table({"piece": pa.array([piece], pa.int32()), "counts": pa.array([grade.astype(np.uint8).tobytes()], pa.binary())})
 
-def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set's shingles, rare before frequent; the same order in every set."""
-    level = levels[s >> np.uint64(64 - len(levels).bit_length() + 1)].astype(np.uint64)
-    return s[np.argsort((level << np.uint64(57)) | (s >> np.uint64(7)), kind="stable")]
+    return run
+
+
+def _tables(counted: DataFrame, slots: int, word_slots: int, shingles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grades of all slots of shingles and of words."""
+    schema = "piece int, counts binary"
+    halfway = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("piece", "salt").applyInArrow(_add, schema)
+    total = np.zeros(slots + word_slots, np.uint8)
+    for r in halfway.groupBy("piece").applyInArrow(_grade(slots // PIECE, 2 * shingles / slots + 8), schema).toLocalIterator():  # the tables' size, whatever the input's
+        total[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], np.uint8)
+    return total[:slots], total[slots:]
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -224,71 +257,55 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _short_lists(n: int, levels, percent: int):
+def ordered(w: words.Words, n: int, tables) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: its distinct shingles ascending, their places in the order of the corpus, and whether more than one set can hold them."""
+    levels, grades = tables
+    of_word = grades[_slots(w.hash, len(grades))].astype(np.uint64)
+    whole = words.windows(w.hash, n)
+    rarest, every = of_word[: len(whole)].copy(), of_word[: len(whole)].copy()
+    for k in range(1, n):
+        np.minimum(rarest, of_word[k : k + len(whole)], out=rarest)
+        every += of_word[k : k + len(whole)]
+    out = []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        if b - a >= n:
+            s, at = np.unique(whole[a : b - n + 1], return_index=True)
+            low, sums = rarest[a : b - n + 1][at], every[a : b - n + 1][at]
+        elif b > a:
+            s, low, sums = words.windows(w.hash[a:b], b - a), of_word[a:b].min(keepdims=True), of_word[a:b].sum(keepdims=True)
+        else:
+            s, low, sums = whole[:0], of_word[:0], of_word[:0]
+        level = levels[_slots(s, len(levels))].astype(np.uint64)
+        rank = (level << np.uint64(58)) | (low << np.uint64(51)) | (np.minimum(sums, np.uint64(511)) << np.uint64(42)) | (s >> np.uint64(22))
+        out.append((s, np.argsort(rank, kind="stable"), low > 0))
+    return out
+
+
+_LISTS = "node long, size int, postings array<struct<at:int,key:long>>, bits array<long>"
+
+
+def _short_lists(n: int, tables, percent: int):
     def run(batches):
         seen: set[int] = set()
+        posting = pa.struct([("at", pa.int32()), ("key", pa.int64())])
         for b in batches:
-            nodes, sizes, keys, bits = [], [], [], []
-            for s in sets(b.column(0), n):
+            nodes, sizes, ends, places, keys, bits = [], [], [0], [], [], []
+            for s, order, shared in ordered(words.scan(b.column(0), words.NONSPACE), n, tables.value):
                 if 100 * len(s) >= percent * (len(s) + 1) or 100 * (len(s) - 1) >= percent * len(s):  # else only an equal set links
                     node = signature(s)
                     if node not in seen:
                         seen.add(node)
+                        first = order[: prefix_size(len(s), percent)]
+                        at = np.flatnonzero(shared[first])
                         nodes.append(node)
                         sizes.append(len(s))
-                        keys.append(_ordered(s, levels.value)[: prefix_size(len(s), percent)].view(np.int64))
+                        ends.append(ends[-1] + len(at))
+                        places.append(at.astype(np.int32))
+                        keys.append(s[first[at]].view(np.int64))
                         bits.append(parity(s))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "keys", "bits"])
-
-    return run
-
-
-def _whole_sets(n: int):
-    """Texts -> node, members of each set, once a task."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            new = []
-            for s in sets(b.column(0), n):
-                if len(s) and (node := signature(s)) not in seen:
-                    seen.add(node)
-                    new.append((node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([x for _, x in new], pa.binary())], names=["node", "members"])
-
-    return run
-
-
-def _keyed_sets(n: int, levels, percent: int, turn: int, wanted):
-    """Texts -> key, node, members of each set whose shingle at place `turn` of the order may be wanted, once a task."""
-
-    def run(batches):
-        bits = wanted.value
-        seen: set[int] = set()
-        for b in batches:
-            new = []
-            for s in sets(b.column(0), n):
-                if len(s) > turn and prefix_size(len(s), percent) > turn:
-                    key = int(_ordered(s, levels.value)[turn])
-                    slot = int(words.mix(np.array([key], np.uint64))[0]) % (8 * len(bits))
-                    if bits[slot >> 3] >> (slot & 7) & 1 and (node := signature(s)) not in seen:
-                        seen.add(node)
-                        new.append((key, node, s.tobytes()))
-            keys = np.array([x[0] for x in new], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.binary())], names=["key", "node", "members"])
-
-    return run
-
-
-def _set_bits(size: int):
-    """Keys -> one bit table a task."""
-
-    def run(batches):
-        table = np.zeros(size, np.uint8)
-        for b in batches:
-            slot = words.mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(8 * size)
-            np.bitwise_or.at(table, (slot >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), f.type) for x, f in zip((places, keys), posting)], fields=list(posting))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "postings", "bits"])
 
     return run
 
@@ -307,36 +324,30 @@ def _maybe(df: DataFrame, column: str, bits: DataFrame, words64: int) -> DataFra
 
 
 def _tested(column: str, words64: int):
-    slot = f"pmod(xxhash64(`{column}`), {words64 * 64}L)"
+    slot = f"pmod(xxhash64(cast(`{column}` as bigint)), {words64 * 64}L)"
     return F.expr(f"shiftright(__bits[cast(shiftright({slot}, 6) as int)], cast({slot} & 63 as int)) & 1L") == 1
 
 
-def _search_blocks(percent: int):
+def _search(n: int, percent: int):
+    """The texts of a block -> links. With rows that ask, only these are searched among the others."""
+
     def run(key, table):
-        known = dict(zip(table.column("node").to_pylist(), table.column("members")))  # a set may come from several tasks
-        nodes, members, found = list(known), [np.frombuffer(x.as_buffer(), np.uint64) for x in known.values()], []
-        first, held, begin = (nodes[0], members[0]), 0, 0
-        for i, s in enumerate(members):  # long sets: several searches that share the first member
-            held += len(s)
-            if held > BLOCK_SHINGLES and i > begin or i + 1 == len(members):
-                part = slice(begin, i + 1)
-                extra = begin > 0
-                found += search_block([first[0]] * extra + nodes[part], [first[1]] * extra + members[part], percent)
-                begin, held = i + 1, 0
+        table = table.combine_chunks()
+        nodes, comps, asks = (table.column(c).to_pylist() for c in ("node", "comp", "asks"))
+        texts = table.column("t").combine_chunks()
+        members, seen, found = sets(texts if isinstance(texts, pa.Array) else texts.chunk(0), n), set(), []
+        once = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]  # a text may come twice where rows are repeated
+        if any(asks):
+            others = [i for i in once if not asks[i]]
+            for i in (i for i in once if asks[i]):
+                found += [(nodes[i], nodes[others[k]]) for k in search_one(members[i], [members[j] for j in others], [comps[j] for j in others], percent)]
+        else:
+            found = search_block([nodes[i] for i in once], [members[i] for i in once], percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def _probe(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def _near(x: str, y: str, percent: int) -> str:
     """SQL: sizes and places of a common list allow a link; for a linked pair's first common list it holds."""
     return (
@@ -347,143 +358,168 @@ def _near(x: str, y: str, percent: int) -> str:
 
 def _alike(x: str, y: str, percent: int) -> str:
     """SQL: parities differ in no more bits than linked sets of these sizes do in members."""
-    return (
-        f"aggregate(zip_with({x}.parity, {y}.parity, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c) <= "
-        f"{x}.size + {y}.size - 2 * ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
-    )
-
-
-def link_classes(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rounds: int = 2):
+    differ = " + ".join(f"bit_count({x}.p{i} ^ {y}.p{i})" for i in range(8))
+    return f"{differ} <= {x}.size + {y}.size - 2 * ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
+
+
+class _Join:
+    """The tables of one join, and its steps."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, n: int, percent: int, doc_id: str, text: str):
+        self.spark, self.docs, self.scratch, self.n, self.percent, self.doc_id, self.text = docs.sparkSession, docs, scratch, n, percent, doc_id, text
+        total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
+        size = lambda x, least, most: 1 << int(np.clip(np.ceil(np.log2(max(1, x))), least, most.bit_length() - 1))
+        self.words64 = size(total["n"] / 4, 10, 1 << 20)
+        slots, word_slots = size((total["b"] or 0) / 400, 16, MOST_SLOTS), size((total["b"] or 0) / 32, 16, MOST_SLOTS >> 2)
+        asked = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text))
+        told = scratch.keep(asked.mapInArrow(_describe(n, slots, word_slots), "doc_id long, check long, size long, node long, piece int, counts binary"), "sets")
+        self.rows = told.where("piece is null").select("doc_id", "check", "size", "node")
+        shingles = self.rows.agg(F.sum("size").alias("n")).first()["n"] or 0
+        tables = self.spark.sparkContext.broadcast(_tables(told.where("piece is not null").select("piece", "counts"), slots, word_slots, shingles))
+        self.lists = scratch.keep(docs.select(F.col(text)).mapInArrow(_short_lists(n, tables, percent), _LISTS), "short-lists")
+        release(self.spark)
+        flat = self.lists.select("node", "size", F.explode("postings").alias("p")).select("node", "size", "p.at", "p.key")
+        shared = scratch.keep(flat.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared-lists")
+        release(self.spark)
+        posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).dropDuplicates(["key", "node"])
+        self.posted = scratch.keep(posted.join(shared, "key", "left_semi").select("key", "node", "size", "at"), "postings")
+        release(self.spark)
+        self.links, self.roots = None, self.spark.createDataFrame([], "node long, root long")
+
+    def mixed(self) -> DataFrame:
+        """The postings of lists that hold several components: key, node, size, at, comp."""
+        named = self.posted.join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        return self.scratch.keep(named.join(keys, "key", "left_semi").select("key", "node", "size", "at", "comp"), "mixed-postings")
+
+    def add(self, links: DataFrame) -> bool:
+        """Takes links in; whether there were any."""
+        links = self.scratch.keep(links, "links")
+        release(self.spark)
+        if links.isEmpty():
+            return False
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.roots = self.scratch.keep(components(self.links, self.scratch), "roots")
+        release(self.spark)
+        return True
+
+    def searched(self, asked: DataFrame) -> DataFrame:
+        """Links among the nodes of each block. asked: block, part, node, comp, asks."""
+        asked = self.scratch.keep(asked, "asked")
+        wanted = asked.select("node").distinct()
+        chosen = self.rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "check")).alias("r"))  # one row's text for each node
+        chosen = asked.join(chosen, "node").select("block", "part", "node", "comp", "asks", F.col("r.doc_id").alias("__id"), F.col("r.check").alias("__check"))
+        chosen = self.scratch.keep(chosen, "chosen")
+        seen = self.docs.select(F.col(self.doc_id).cast("long").alias("id"), F.xxhash64(self.text).alias("check"), F.col(self.text).alias("t"))
+        seen = _maybe(seen, "check", _bits(chosen.select("__check").distinct(), "__check", self.words64), self.words64)
+        told = seen.join(chosen, (F.col("check") == F.col("__check")) & F.col("id").eqNullSafe(F.col("__id"))).select("block", "part", "node", "comp", "asks", "t")
+        return told.groupBy("block", "part").applyInArrow(_search(self.n, self.percent), "a long, b long")
+
+    def by_first_list(self, left: DataFrame) -> DataFrame:
+        """Blocks of the nodes whose first list of several components is the same; two of them are in every block of a list."""
+        firsts = left.groupBy("node").agg(F.min_by(F.struct("key", "comp", "size"), "at").alias("f")).select("node", "f.*")
+        crowds = firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("size").alias("held"), F.min("node").alias("one"), F.max("node").alias("two")).where("x <> y")
+        parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("long")
+        crowds = crowds.select("key", parts.alias("parts"), "one", "two")
+        mine, everywhere = F.array(F.pmod(F.xxhash64("node"), F.col("parts"))), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        part = F.explode(F.when(F.col("node").isin(F.col("one"), F.col("two")), everywhere).otherwise(mine))
+        return firsts.join(crowds, "key").select(F.col("key").alias("block"), part.alias("part"), "node", "comp", F.lit(False).alias("asks"))
+
+    def candidates(self, x: DataFrame, y: DataFrame, also) -> DataFrame:
+        """a, a_comp, a_size, b, b_comp: pairs of different components that share a list and may link."""
+        both = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & also & F.expr(_near("x", "y", self.percent)) & F.expr(_alike("x", "y", self.percent)))
+        first = F.col("x.node") > F.col("y.node")
+        one = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+        (a, b), (ca, cb), (sa, _) = one("node"), one("comp"), one("size")
+        return both.select(a.alias("a"), ca.alias("a_comp"), sa.alias("a_size"), b.alias("b"), cb.alias("b_comp")).distinct()
+
+    def among_candidates(self, pairs: DataFrame) -> DataFrame:
+        """Blocks of a node that asks and those that it may link with; long lists of these are split."""
+        width = F.greatest(F.lit(1), F.least(F.lit(BLOCK_NODES), F.lit(BLOCK_SHINGLES) / F.col("a_size"))).cast("long")
+        sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / width).cast("long")))
+        others = sized.select(F.col("a").alias("block"), "part", F.col("b").alias("node"), F.col("b_comp").alias("comp"), F.lit(False).alias("asks"))
+        asking = sized.select(F.col("a").alias("block"), "part", F.col("a").alias("node"), F.col("a_comp").alias("comp"), F.lit(True).alias("asks")).distinct()
+        return others.unionByName(asking)
+
+    def stand_ins(self, left: DataFrame) -> DataFrame:
+        """Candidates among one node of each component of a list, another one in each list."""
+        one = F.min_by(F.struct(*[c for c in left.columns if c not in ("key", "comp")]), F.xxhash64("node", "key"))
+        some = self.scratch.keep(left.groupBy("key", "comp").agg(one.alias("r")).select("key", "comp", "r.*"), "stand-ins")
+        return self.candidates(some, some, F.col("x.node") > F.col("y.node"))
+
+    def everybody(self, left: DataFrame) -> DataFrame:
+        """Candidates among all nodes; those of a list's largest component needn't meet each other."""
+        per = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        return self.candidates(left, left.join(per, "key").where("comp <> main").drop("main"), F.lit(True))
+
+    def run(self) -> None:
+        for _ in range(BLOCK_TURNS):
+            if not self.add(self.searched(self.by_first_list(self.mixed()))):
+                break
+        sketches = self.lists.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in range(8)]).dropDuplicates(["node"])
+        tested, found, left = None, True, None
+        for choose in [self.stand_ins] * STAND_IN_TURNS + [self.everybody]:
+            if choose == self.stand_ins and not found:
+                continue  # what stands for others links with nothing more
+            if found:
+                left = self.scratch.keep(self.mixed().join(sketches, "node"), "sketched")
+                release(self.spark)
+            pairs = choose(left)
+            pairs = self.scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+            release(self.spark)
+            found = not pairs.isEmpty() and self.add(self.searched(self.among_candidates(pairs)))
+            tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+
+
+def link_classes(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"):
     """(a row a document: doc_id, check, size, node; node and root of every node that isn't its component's root).
 
     check is a hash of the text, to tell rows with the same id apart.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
-    slots = 1 << int(np.clip(np.ceil(np.log2(max(1, (total["b"] or 0) / 400))), 16, 26))
-    words64 = 1 << int(np.clip(np.ceil(np.log2(max(1, total["n"] / 4))), 10, 20))
-    asked = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text))
-    told = scratch.keep(asked.mapInArrow(_describe(n, slots), "doc_id long, check long, size long, node long, piece int, counts binary"), "sets")
-    rows = told.where("piece is null").select("doc_id", "check", "size", "node")
-    levels = spark.sparkContext.broadcast(_levels(told.where("piece is not null").select("piece", "counts"), slots))
-
-    only_text = docs.select(F.col(text))
-    lists = scratch.keep(only_text.mapInArrow(_short_lists(n, levels, percent), "node long, size int, keys array<long>, bits array<long>"), "short-lists")
-    links, roots = None, spark.createDataFrame([], "node long, root long")
-    for r in range(rounds):
-        firsts = _named(lists.where(F.size("keys") > r).select("node", "size", F.col("keys")[r].alias("key")).dropDuplicates(["node"]), roots)
-        crowds = scratch.keep(firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.min("node").alias("leader")).where("x <> y").select("key", "n", "leader"), "blocks")
-        new = scratch.keep(_in_blocks(only_text, crowds, n, levels, percent, r, words64), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = scratch.keep(components(links, scratch), "roots")
-        release(spark)
-
-    named = _named(lists, roots)
-    mixed = named.select("comp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    mixed = scratch.keep(mixed, "mixed-lists")
-    release(spark)
-    posted = named.select("node", "size", "comp", F.posexplode("keys").alias("at", "key"))
-    posted = _maybe(posted, "key", _bits(mixed, "key", words64), words64).dropDuplicates(["key", "node"])
-    posted = scratch.keep(posted.join(mixed, "key", "left_semi").select("key", "node", "size", "at", "comp"), "postings")
-    release(spark)
-    sketches = lists.select("node", F.col("bits").alias("parity")).dropDuplicates(["node"])
-    pairs = scratch.keep(_candidates(posted, sketches, percent), "candidates")
-    release(spark)
-    if not pairs.isEmpty():
-        found = _sets_of(docs, scratch, rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), n, text, words64)
-        last = scratch.keep(_probed(pairs, found, percent), "links")
-        if not last.isEmpty():
-            roots = components(links.unionByName(last), scratch)
-    return rows, roots
-
-
-def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes with their component."""
-    return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-
-
-def _in_blocks(only_text: DataFrame, crowds: DataFrame, n: int, levels, percent: int, turn: int, words64: int) -> DataFrame:
-    """Links found among nodes whose shingle at place `turn` is the same; sets go straight from the texts to their block."""
-    spark = only_text.sparkSession
-    size = 8 * words64
-    table = np.zeros(size, np.uint8)
-    for row in crowds.select("key").coalesce(8).mapInArrow(_set_bits(size), "bits binary").toLocalIterator():  # tables of a fixed size
-        table |= np.frombuffer(row["bits"], np.uint8)
-    wanted = spark.sparkContext.broadcast(table)
-    keyed = only_text.mapInArrow(_keyed_sets(n, levels, percent, turn, wanted), "key long, node long, members binary").join(crowds, "key")
-    parts = F.ceil(F.col("n") / BLOCK_NODES).cast("long")
-    mine = F.array(F.pmod(F.xxhash64("node"), parts))
-    everywhere = F.sequence(F.lit(0).cast("long"), parts - 1)
-    placed = keyed.select("key", F.explode(F.when(F.col("node") == F.col("leader"), everywhere).otherwise(mine)).alias("part"), "node", "members")
-    return placed.groupBy("key", "part").applyInArrow(_search_blocks(percent), "a long, b long")
-
-
-def _sets_of(docs: DataFrame, scratch: Scratch, rows: DataFrame, nodes: DataFrame, n: int, text: str, words64: int) -> DataFrame:
-    """node, members of the given nodes. Texts are told apart by their hash before they are read as sets."""
-    spark = docs.sparkSession
-    alive = scratch.keep(nodes.distinct(), "alive")
-    checks = rows.join(alive, "node", "left_semi").select("check").distinct()
-    maybe = _maybe(docs.select(F.xxhash64(text).alias("check"), F.col(text).alias("t")), "check", _bits(checks, "check", words64), words64)
-    all_sets = maybe.select("t").mapInArrow(_whole_sets(n), "node long, members binary")
-    every = scratch.keep(all_sets.join(alive, "node", "left_semi").dropDuplicates(["node"]), "members")
-    release(spark)
-    return every
-
+    join = _Join(docs, scratch, n, percent, doc_id, text)
+    join.run()
+    return join.rows, join.roots
 
-def _candidates(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs of different components that share a list and may link.
 
-    In a list, only rows outside its largest component are joined with all rows, so a list that is
-    nearly one group of near copies stays cheap.
-    """
-    per = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    minor = left.join(main, "key").where("comp <> main").drop("main")
-    x, y = left.alias("x"), minor.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(_near("x", "y", percent)))
-    first = F.col("x.node") > F.col("y.node")
-    one = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
-    (a, b), (sa, sb) = one("node"), one("size")
-    pairs = pairs.select(a.alias("a"), b.alias("b"), sa.alias("sa"), sb.alias("sb")).distinct()
-    of_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("parity").alias("pa")), "a")
-    both = of_a.join(sketches.select(F.col("node").alias("b"), F.col("parity").alias("pb")), "b")
-    both = both.select("a", "b", F.struct(F.col("sa").alias("size"), F.col("pa").alias("parity")).alias("x"), F.struct(F.col("sb").alias("size"), F.col("pb").alias("parity")).alias("y"))
-    return both.where(F.expr(_alike("x", "y", percent))).select("a", "b")
-
-
-def _probed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link."""
-    with_a = pairs.join(found.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
-    with_b = with_a.join(found.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-    return with_b.select("a", "b", "of_a", "of_b").mapInArrow(_probe(percent), "a long, b long")
+def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, Scratch]:
+    """(doc_id, check, size, comp of every row, what it is read from)."""
+    scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows, roots = link_classes(docs, scratch, n, percent, doc_id, text)
+    named = result.keep(rows.join(roots, "node", "left").select("doc_id", "check", "size", F.coalesce("root", "node").alias("comp")), "classes")
+    scratch.clear()
+    release(docs.sparkSession)
+    return named, result
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, check, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
-    scratch, result = Scratch(spark), Scratch(spark)
-    rows, roots = link_classes(docs, scratch, n, percent, doc_id, text)
-    named = rows.join(roots, "node", "left").select("doc_id", "check", "size", F.coalesce("root", "node").alias("comp"))
-    named = result.keep(named, "classes")  # all that the result reads
-    scratch.clear()
-    release(spark)
+    """doc_id, n_shingles, component_id of every row."""
+    named, _ = _classes(docs, n, percent, doc_id, text)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    joined = named.where("comp is not null").join(least, "comp").select("doc_id", "check", "size", "least")
-    alone = named.where("comp is null").select("doc_id", "check", "size", F.col("doc_id").alias("least"))
-    return joined.unionByName(alone).select("doc_id", "check", F.col("size").alias("n_shingles"), F.col("least").alias("component_id"))
+    joined = named.where("comp is not null").join(least, "comp").select("doc_id", "size", "least")
+    alone = named.where("comp is null").select("doc_id", "size", F.col("doc_id").alias("least"))
+    return joined.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id names their component."""
-    gone = classes(docs, n, percent, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"))
+    """One row of docs, with all its columns, of each component: the one with the smallest id (a null id is larger than any other).
+
+    Of rows with that id the text with the smallest hash stays, and of rows with the same id and text any one.
+    Rows without words are no component and all stay.
+    """
+    named, scratch = _classes(docs, n, percent, doc_id, text)
     spark = docs.sparkSession
-    gone = Scratch(spark).keep(gone, "gone")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")
+    groups = named.where("comp is not null").groupBy("comp").agg(F.min(row).alias("best"), F.count("*").alias("n")).where("n > 1")
+    crowd = named.join(groups, "comp").groupBy("doc_id", "check").agg(F.max((row == F.col("best")).cast("int")).alias("best"), F.count("*").alias("n"))
+    gone = scratch.keep(crowd.where("best = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("best").alias("__best")), "gone")
     words64 = 1 << 14
     bits = F.broadcast(_bits(gone, "__id", words64))  # one row; most texts needn't be shuffled to be kept
     marked = docs.join(bits, F.lit(True)).withColumn("__maybe", _tested(doc_id, words64)).drop("__bits")
-    maybe = marked.where("__maybe").drop("__maybe")
-    same = (maybe[doc_id] == F.col("__id")) & (F.xxhash64(maybe[text]) == F.col("__check"))
-    return marked.where("not __maybe").drop("__maybe").unionByName(maybe.join(gone, same, "left_anti"))
+    rest, maybe = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe").withColumn("__hash", F.xxhash64(text))
+    same = maybe[doc_id].cast("long").eqNullSafe(F.col("__id")) & (maybe["__hash"] == F.col("__check"))
+    out = rest.unionByName(maybe.join(gone, same, "left_anti").drop("__hash"))
+    again = gone.where("__best = 1")  # rows that stay but come more than once
+    return out if again.isEmpty() else out.unionByName(maybe.join(again, same, "left_semi").dropDuplicates([doc_id, "__hash"]).drop("__hash"))
 
 
 ORACLE = r"""

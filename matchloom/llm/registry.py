@@ -24,7 +24,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op03_jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return op03_jaccard.classes(documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
