@@ -382,7 +382,7 @@ class _Join:
         shared = scratch.keep(flat.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared-lists")
         release(self.spark)
         posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).dropDuplicates(["key", "node"])
-        self.posted = scratch.keep(posted.join(shared, "key", "left_semi").select("key", "node", "size", "at"), "postings")
+        self.posted = scratch.keep(posted.join(shared, "key").select("key", "node", "size", "at"), "postings")
         release(self.spark)
         self.links, self.roots = None, self.spark.createDataFrame([], "node long, root long")
 
@@ -512,14 +512,14 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str =
     groups = named.where("comp is not null").groupBy("comp").agg(F.min(row).alias("best"), F.count("*").alias("n")).where("n > 1")
     crowd = named.join(groups, "comp").groupBy("doc_id", "check").agg(F.max((row == F.col("best")).cast("int")).alias("best"), F.count("*").alias("n"))
     gone = scratch.keep(crowd.where("best = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("best").alias("__best")), "gone")
-    words64 = 1 << 14
+    words64 = 1 << int(np.clip(gone.count() // 4, 1 << 10, 1 << 20)).bit_length()
     bits = F.broadcast(_bits(gone, "__id", words64))  # one row; most texts needn't be shuffled to be kept
     marked = docs.join(bits, F.lit(True)).withColumn("__maybe", _tested(doc_id, words64)).drop("__bits")
     rest, maybe = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe").withColumn("__hash", F.xxhash64(text))
-    same = maybe[doc_id].cast("long").eqNullSafe(F.col("__id")) & (maybe["__hash"] == F.col("__check"))
-    out = rest.unionByName(maybe.join(gone, same, "left_anti").drop("__hash"))
-    again = gone.where("__best = 1")  # rows that stay but come more than once
-    return out if again.isEmpty() else out.unionByName(maybe.join(again, same, "left_semi").dropDuplicates([doc_id, "__hash"]).drop("__hash"))
+    met = maybe.join(gone, maybe[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__check")), "left")
+    out = rest.unionByName(met.where("__best is null").select(*docs.columns))
+    again = met.where("__best = 1")  # rows that stay, but come more than once
+    return out if gone.where("__best = 1").isEmpty() else out.unionByName(again.dropDuplicates([doc_id, "__hash"]).select(*docs.columns))
 
 
 ORACLE = r"""
