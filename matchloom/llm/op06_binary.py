@@ -7,8 +7,11 @@ first. Reading looks a control byte up in a table of four lengths and gathers th
 numpy. The files are blocks in ascending doc_id order (by `part`, then `block`); Spark's writers put
 them in the store, so no task needs a file system of its own.
 
+Texts are encoded where they are read; ids, packed to two bytes where the vocabulary allows, are what
+is put in order, and their frequencies are counted in the same pass.
+
 Null texts count as empty; a document always has its end id. Null doc_ids come first; rows with the
-same doc_id are ordered by text. An empty table gives empty files. A document longer than a block is
+same doc_id are ordered by their ids. An empty table gives empty files. A document longer than a block is
 a block of its own.
 """
 
@@ -21,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import tokens
-from matchloom.session import materialise, remove, scratch
+from matchloom.session import Scratch, release, scratch
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
 
-_STAGED = "part int, block int, first long, doc_ids array<long>, lens array<long>, ids binary"
+_ENCODED = "d long, n long, ids binary, counts binary"
 _CODED = "part int, block int, first long, doc_ids array<long>, lens array<long>, n long, control binary, data binary"
 
 #: Lengths of the four values of each control byte.
@@ -56,29 +59,25 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _stage(path: str, end_id: int):
-    def run(batches):
-        encoder, end = tokens.load(path), np.uint32(end_id).tobytes()
-        part, block, first, held, ids, lens, docs = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
-
-        def closed():
-            cols = [[part], [block], [first], [docs], [lens], [b"".join(ids)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "block", "first", "doc_ids", "lens", "ids"])
+def _encode(path: str, end_id: int):
+    """d, text -> d, number of ids, packed ids; then the task's counts of ids."""
 
+    def run(batches):
+        encoder, end, total = tokens.load(path), np.uint32(end_id).tobytes(), np.zeros(0, np.int64)
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = encoder.ids(t or "")
-                n = len(got) // 4 + 1
-                if docs and held + n > BLOCK_IDS:
-                    yield closed()
-                    block, first, held, ids, lens, docs = block + 1, first + held, 0, [], [], []
-                ids += [got, end]
-                lens.append(n)
-                docs.append(d)
-                held += n
-        if docs:
-            yield closed()
+            found = [encoder.ids(t or "") + end for t in b.column(1).to_pylist()]
+            n = np.array([len(x) // 4 for x in found], np.int64)
+            flat = np.frombuffer(b"".join(found), "<u4")
+            if len(flat):
+                counts = np.bincount(flat)
+                if len(counts) > len(total):
+                    total, counts = counts, total
+                total[: len(counts)] += counts
+            ends, width = np.cumsum(n), 2 if not len(flat) or flat.max() < 1 << 16 else 4
+            raw = flat.astype(f"<u{width}").tobytes()
+            packed = [raw[width * (e - k) : width * e] for e, k in zip(ends.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.binary())], names=["d", "n", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["d", "n", "ids", "counts"])
 
     return run
 
@@ -86,36 +85,60 @@ def _stage(path: str, end_id: int):
 def _histogram(batches):
     total = np.zeros(0, np.int64)
     for b in batches:
-        for ids in b.column(0):
-            found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+        for counts in b.column(0):
+            found = np.frombuffer(counts.as_buffer(), "<i8")
             if len(found) > len(total):
-                total, found = found, total
+                total, found = found.copy(), total
             total[: len(found)] += found
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
 
-def _code(rank: np.ndarray):
+def _blocks(rank: np.ndarray):
+    """Documents in order -> blocks of coded ranks."""
+
     def run(batches):
+        part, block, first, held, ids, lens, docs = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
+
+        def closed():
+            control, data = encode_values(rank[np.concatenate(ids)])
+            values = [part, block, first, docs, lens, held, control, data]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _CODED_TYPES.values())], names=list(_CODED_TYPES))
+
         for b in batches:
-            cols = [encode_values(rank[np.frombuffer(x.as_buffer(), "<u4")]) for x in b.column(5)]
-            sizes = pa.array([len(x.as_buffer()) // 4 for x in b.column(5)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], sizes, pa.array([c for c, _ in cols], pa.binary()), pa.array([d for _, d in cols], pa.binary())], names=["part", "block", "first", "doc_ids", "lens", "n", "control", "data"])
+            for d, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if docs and held + n > BLOCK_IDS:
+                    yield closed()
+                    block, first, held, ids, lens, docs = block + 1, first + held, 0, [], [], []
+                buffer = raw.as_buffer()
+                ids.append(np.frombuffer(buffer, f"<u{len(buffer) // n}"))
+                lens.append(n)
+                docs.append(d)
+                held += n
+        if docs:
+            yield closed()
 
     return run
 
 
+_CODED_TYPES = {
+    "part": pa.int32(), "block": pa.int32(), "first": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lens": pa.list_(pa.int64()), "n": pa.int64(), "control": pa.binary(), "data": pa.binary(),
+}
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> list[int]:
     """Writes the files under path; returns the ids in order of rank (as many as the vocabulary has)."""
-    spark = docs.sparkSession
-    ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
-    staged, staging = materialise(spark, ordered.mapInArrow(_stage(tokenizer, end_id), _STAGED), "token-ids")
-    counted = staged.select("ids").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    scratch = Scratch(docs.sparkSession)
+    asked = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
+    encoded = scratch.keep(asked.mapInArrow(_encode(tokenizer, end_id), _ENCODED), "token-ids")
+    counted = encoded.where("counts is not null").select("counts").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()]
     rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank[np.array(by_rank, np.int64)] = np.arange(len(by_rank), dtype=np.uint32)
-    staged.mapInArrow(_code(rank), _CODED).write.parquet(path)
-    remove(spark, staging)
+    ordered = encoded.where("ids is not null").select("d", "n", "ids").repartitionByRange("d").sortWithinPartitions("d", "ids")
+    ordered.mapInArrow(_blocks(rank), _CODED).write.parquet(path)
+    scratch.clear()
+    release(docs.sparkSession)
     return by_rank
 
 
