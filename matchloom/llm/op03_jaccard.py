@@ -40,6 +40,8 @@ from matchloom.session import Scratch, release
 PERCENT = 90
 #: Nodes and, about, shingles in a block.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 150_000
+#: Nodes of a list whose pairs are looked at before texts are.
+FEW = 64
 #: Turns in which each node is searched in its first list of several components, and in which components are represented.
 BLOCK_TURNS, STAND_IN_TURNS = 2, 3
 #: Slots in a piece of the count tables, and their number at most (a byte each where they are broadcast).
@@ -384,13 +386,16 @@ class _Join:
         posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).dropDuplicates(["key", "node"])
         self.posted = scratch.keep(posted.join(shared, "key").select("key", "node", "size", "at"), "postings")
         release(self.spark)
-        self.links, self.roots = None, self.spark.createDataFrame([], "node long, root long")
+        self.sketches = self.lists.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in range(8)]).dropDuplicates(["node"])
+        self.sketches = scratch.keep(self.sketches.join(self.posted.select("node").distinct(), "node"), "sketches")
+        self.links, self.roots, self.left = None, self.spark.createDataFrame([], "node long, root long"), self.posted
 
     def mixed(self) -> DataFrame:
         """The postings of lists that hold several components: key, node, size, at, comp."""
-        named = self.posted.join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        named = self.left.select("key", "node", "size", "at").join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        return self.scratch.keep(named.join(keys, "key", "left_semi").select("key", "node", "size", "at", "comp"), "mixed-postings")
+        self.left = self.scratch.keep(named.join(keys, "key", "left_semi").select("key", "node", "size", "at", "comp"), "mixed-postings")  # what is one component stays one
+        return self.left
 
     def add(self, links: DataFrame) -> bool:
         """Takes links in; whether there were any."""
@@ -416,8 +421,19 @@ class _Join:
         return told.groupBy("block", "part").applyInArrow(_search(self.n, self.percent), "a long, b long")
 
     def by_first_list(self, left: DataFrame) -> DataFrame:
-        """Blocks of the nodes whose first list of several components is the same; two of them are in every block of a list."""
-        firsts = left.groupBy("node").agg(F.min_by(F.struct("key", "comp", "size"), "at").alias("f")).select("node", "f.*")
+        """Blocks of the nodes whose first list of several components is the same; two of them are in every block of a list.
+
+        In a list of few, nodes that may link with none of the others stay out.
+        """
+        firsts = left.groupBy("node").agg(F.min_by(F.struct("key", "comp", "size", "at"), "at").alias("f")).select("node", "f.*")
+        firsts = self.scratch.keep(firsts, "firsts")
+        lists = firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", (F.col("n") <= FEW).alias("few"))
+        listed = firsts.join(lists, "key")
+        some = self.scratch.keep(listed.where("few").drop("few").join(self.sketches, "node"), "of-few")
+        pairs = self.candidates(some, some, F.col("x.node") > F.col("y.node"))
+        alike = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        firsts = firsts.join(listed.where("not few").select("node").unionByName(alike), "node")
+        firsts = self.scratch.keep(firsts, "searched-firsts")
         crowds = firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("size").alias("held"), F.min("node").alias("one"), F.max("node").alias("two")).where("x <> y")
         parts = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("long")
         crowds = crowds.select("key", parts.alias("parts"), "one", "two")
@@ -456,13 +472,12 @@ class _Join:
         for _ in range(BLOCK_TURNS):
             if not self.add(self.searched(self.by_first_list(self.mixed()))):
                 break
-        sketches = self.lists.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in range(8)]).dropDuplicates(["node"])
         tested, found, left = None, True, None
         for choose in [self.stand_ins] * STAND_IN_TURNS + [self.everybody]:
             if choose == self.stand_ins and not found:
                 continue  # what stands for others links with nothing more
             if found:
-                left = self.scratch.keep(self.mixed().join(sketches, "node"), "sketched")
+                left = self.scratch.keep(self.mixed().join(self.sketches, "node"), "sketched")
                 release(self.spark)
             pairs = choose(left)
             pairs = self.scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
