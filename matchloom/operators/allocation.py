@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.components import components
+from matchloom.session import Scratch
+
+#: Offers that hang together at most: one task solves them.
+MOST_OFFERS = 2_000_000
 #: What it costs to go beyond a person's capacity (extra places, cost of each), and to leave a module out.
 TIERS = ((2, 5_000), (15, 25_000))
 LEFT_OUT, SCALE, RANK_COST = 200_000, 10_000, 5
@@ -20,63 +25,59 @@ def cost(score: float, rank: int) -> int:
 def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIERS, left_out: int = LEFT_OUT) -> dict[int, int]:
     """module -> person of a cheapest assignment; modules that are left out are missing.
 
-    edges: (module, person, cost). Successive shortest paths with potentials: one path a module, and a
-    person's places cost more tier by tier, so their convex cost is an order, not a network. Modules and
-    persons are taken in ascending order, which settles ties.
+    edges: (module, person, cost). Successive shortest paths with potentials, one path a module, each
+    search ending where it first reaches the sink. A person's places cost more tier by tier, so their
+    convex cost is an order, not a network. Modules and persons are taken in ascending order, which
+    settles ties.
     """
-    by_module: dict[int, list[tuple[int, int]]] = {}
+    offers: dict[int, dict[int, int]] = {}
     for m, p, c in sorted(edges):
-        by_module.setdefault(m, []).append((p, c))
-    prices = {p: [0] * capacity.get(p, 0) + [c for n, c in tiers for _ in range(n)] for p in {e[1] for e in edges}}
+        offers.setdefault(m, {})[p] = c
+    prices = {p: [0] * capacity.get(p, 0) + [c for n, c in tiers for _ in range(n)] for _, p, _ in edges}
     taken: dict[int, list[int]] = {p: [] for p in prices}
-    chosen: dict[int, tuple[int, int]] = {}
-    pot: dict[tuple[str, int], int] = {}
-    for start in sorted(by_module):
-        # shortest way from the new module over persons and the modules they would give up
-        dist, back, done = {("m", start): 0}, {}, set()
-        heap, best, goal = [(0, 0, ("m", start))], None, None
-        while heap:
-            d, _, v = heapq.heappop(heap)
+    chosen: dict[int, int] = {}
+    pot: dict[tuple[int, int], int] = {}  # of (0, module) and (1, person); the sink's stays 0
+    sink = (2, 0)
+
+    def ways(v):
+        kind, x = v
+        if kind == 0:
+            yield from (((1, p), c) for p, c in offers[x].items() if chosen.get(x) != p)
+            yield sink, left_out
+        else:
+            yield from (((0, m), -offers[m][x]) for m in taken[x])
+            if len(taken[x]) < len(prices[x]):
+                yield sink, prices[x][len(taken[x])]
+
+    for start in offers:
+        dist, back, done, heap = {(0, start): 0}, {}, set(), [(0, (0, start))]
+        while sink not in done:
+            d, v = heapq.heappop(heap)
             if v in done:
                 continue
             done.add(v)
-            real = d - pot.get(("m", start), 0) + pot.get(v, 0)
-            ends = []
-            if v[0] == "m":
-                ends = [(("p", p), c) for p, c in by_module[v[1]] if chosen.get(v[1], (None,))[0] != p]
-                if best is None or real + left_out < best:
-                    best, goal = real + left_out, (v, None)
-            else:
-                used = len(taken[v[1]])
-                if used < len(prices[v[1]]) and (best is None or real + prices[v[1]][used] < best):
-                    best, goal = real + prices[v[1]][used], (v, used)
-                ends = [(("m", m), -chosen[m][1]) for m in taken[v[1]]]
-            for w, c in ends:
+            if v == sink:
+                break
+            for w, c in ways(v):
                 step = d + c + pot.get(v, 0) - pot.get(w, 0)
-                if w not in done and (w not in dist or step < dist[w]):
+                if w not in done and step < dist.get(w, step + 1):
                     dist[w], back[w] = step, v
-                    heapq.heappush(heap, (step, 0 if w[0] == "p" else 1, w))
-        far = max((dist[v] for v in done), default=0)
+                    heapq.heappush(heap, (step, w))
         for v in done:
-            pot[v] = pot.get(v, 0) + min(dist[v], far)
-        for v in list(pot):
-            if v not in done:
-                pot[v] = pot[v] + far
-        v, way = goal[0], []
+            pot[v] = pot.get(v, 0) + dist[v] - dist[sink]
+        v, path = sink, []
         while v in back:
-            way.append(v)
+            path.append((back[v], v))
             v = back[v]
-        way.append(("m", start))
-        way.reverse()
-        for a, b in zip(way, way[1:]):
-            if a[0] == "m":
-                chosen[a[1]] = (b[1], dict(by_module[a[1]])[b[1]])
-                taken[b[1]].append(a[1])
-            else:
-                taken[a[1]].remove(b[1])
-        if goal[1] is None and goal[0][0] == "m":
-            chosen.pop(goal[0][1], None)
-    return {m: p for m, (p, _) in chosen.items()}
+        for (kind, x), (to, y) in reversed(path):
+            if (kind, to) == (0, 1):  # a module takes a person's place
+                chosen[x] = y
+                taken[y].append(x)
+            elif (kind, to) == (1, 0):  # a person gives a module up
+                taken[x].remove(y)
+            elif kind == 0:
+                chosen.pop(x, None)
+    return chosen
 
 
 def objective(assigned: dict[int, int], edges, capacity, tiers=TIERS, left_out: int = LEFT_OUT) -> int:
@@ -96,11 +97,21 @@ def objective(assigned: dict[int, int], edges, capacity, tiers=TIERS, left_out:
     return total
 
 
-def balance(offers: DataFrame, tiers=TIERS) -> DataFrame:
-    """module_id, staff_id, rank, rank_shift of the cheapest allocation.
+def parts(offers: DataFrame) -> DataFrame:
+    """offers with `part`: the connected component of modules and people that an offer is in."""
+    scratch = Scratch(offers.sparkSession)
+    m, p = F.col("module_id") * 2, F.col("staff_id") * 2 + 1  # one range of ids for both
+    named = components(offers.select(m.cast("long").alias("a"), p.cast("long").alias("b")), scratch)
+    found = offers.join(named.select((F.col("node") / 2).cast("long").alias("module_id"), F.col("root").alias("__root")).where("node % 2 = 0"), "module_id", "left")
+    return found.withColumn("part", F.coalesce("__root", F.col("module_id") * 2)).drop("__root")
+
+
+def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS) -> DataFrame:
+    """module_id, staff_id, rank, rank_shift of the cheapest allocation of the modules that get somebody.
 
-    offers: module_id, staff_id, rank, score, capacity, and part: modules whose people don't meet those
-    of other parts, as connected components give them; each part is solved in one task.
+    offers: module_id, staff_id, rank, score, capacity. Modules that share people are one problem, so a
+    person's capacity counts once: each connected component is solved in one task. What has more than
+    `most` offers is no task's work, and an error tells so (a catalogue by year or campus comes apart).
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -109,11 +120,49 @@ def balance(offers: DataFrame, tiers=TIERS) -> DataFrame:
         found = solve(edges, capacity, tiers)
         return pd.DataFrame({"module_id": list(found), "staff_id": list(found.values())}, dtype="int64")
 
-    chosen = offers.groupBy("part").applyInPandas(run, "module_id long, staff_id long")
+    marked = parts(offers)
+    largest = marked.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest > most:
+        raise ValueError(f"{largest} offers hang together, {most} are allowed")
+    chosen = marked.groupBy("part").applyInPandas(run, "module_id long, staff_id long")
     ranks = offers.select("module_id", "staff_id", "rank")
     return chosen.join(ranks, ["module_id", "staff_id"]).withColumn("rank_shift", F.col("rank") - 1)
 
 
+def extraction(taught: DataFrame, offers: DataFrame, balanced: DataFrame) -> DataFrame:
+    """module_id, taught, staff_id, score, greedy_id, greedy_score, rank_shift, displaced (staff_id, score, rank of those passed over).
+
+    taught: module_id, taught. A module that isn't taught keeps its first choice and shifts nothing; so does one
+    that the allocation left out. A module without offers has nobody.
+    """
+    per = offers.groupBy("module_id").agg(F.array_sort(F.collect_list(F.struct("rank", "staff_id", "score"))).alias("all"))
+    rows = taught.join(per, "module_id", "left").join(balanced.select("module_id", F.col("staff_id").alias("given")), "module_id", "left")
+    first = F.get("all", 0)
+    mine = F.when(F.col("taught") & F.col("given").isNotNull(), F.get(F.filter("all", lambda x: x["staff_id"] == F.col("given")), 0)).otherwise(first)
+    rows = rows.withColumn("mine", mine).withColumn("rank_shift", F.coalesce(F.col("mine.rank") - 1, F.lit(0)))
+    passed = F.transform(F.filter(F.coalesce("all", F.array().cast("array<struct<rank:bigint,staff_id:bigint,score:double>>")), lambda x: x["rank"] < F.col("mine.rank")), lambda x: F.struct(x["staff_id"].alias("staff_id"), x["score"].alias("score"), x["rank"].alias("rank")))
+    displaced = F.when(F.col("rank_shift") > 0, passed).otherwise(F.array().cast("array<struct<staff_id:bigint,score:double,rank:bigint>>"))
+    return rows.select("module_id", "taught", F.col("mine.staff_id").alias("staff_id"), F.col("mine.score").alias("score"), first["staff_id"].alias("greedy_id"), first["score"].alias("greedy_score"), "rank_shift", displaced.alias("displaced"))
+
+
+def deltas(extracted: DataFrame, pool: DataFrame) -> DataFrame:
+    """One row: what balancing changes for taught modules against everybody's first choice."""
+    some = extracted.where("taught and staff_id is not null")
+    sides = {}
+    for side, who, score in (("g", "greedy_id", "greedy_score"), ("b", "staff_id", "score")):
+        load = workloads(some.select(F.col(who).alias("staff_id")), pool)
+        row = fairness(load).select(*[F.col(c).alias(f"{side}_{c}") for c in ("gini", "utilisation", "ten_share")])
+        sides[side] = row.join(F.broadcast(some.agg(F.avg(score).alias(f"{side}_score"))), F.lit(True))
+    moved = some.agg(F.count("*").alias("modules"), F.count_if(F.col("rank_shift") > 0).alias("reallocated"))
+    row = sides["g"].join(F.broadcast(sides["b"]), F.lit(True)).join(F.broadcast(moved), F.lit(True))  # one row each
+    c, pct = F.col, lambda a, b, other: F.round(F.when(b == 0, other).otherwise(100.0 * a / b), 2)
+    return row.select(
+        "modules", "reallocated", pct(c("reallocated"), c("modules"), 0.0).alias("reallocated_pct"), F.round(c("g_gini") - c("b_gini"), 4).alias("gini_reduction"),
+        pct(c("g_gini") - c("b_gini"), c("g_gini"), 0.0).alias("gini_reduction_pct"), F.round(c("b_utilisation") - c("g_utilisation"), 2).alias("utilisation_increase"),
+        F.round(c("g_ten_share") - c("b_ten_share"), 2).alias("ten_share_reduction"), F.round(c("g_score") - c("b_score"), 4).alias("relevance_cost"), pct(c("b_score"), c("g_score"), 100.0).alias("relevance_retention"),
+    )
+
+
 def workloads(assigned: DataFrame, pool: DataFrame, staff_id: str = "staff_id") -> DataFrame:
     """staff_id, load of everyone in the pool or assigned; who has nothing has 0. Nobody stands for unassigned modules."""
     load = assigned.where(F.col(staff_id).isNotNull()).groupBy(staff_id).agg(F.count("*").alias("load"))
@@ -121,26 +170,31 @@ def workloads(assigned: DataFrame, pool: DataFrame, staff_id: str = "staff_id")
     return everyone.join(load, staff_id, "left").select(staff_id, F.coalesce("load", F.lit(0)).cast("long").alias("load"))
 
 
+def _steps(load: DataFrame, group: list[str], falling: bool = False) -> DataFrame:
+    """Different loads with their number k, how many people come before them, and the load of those before; as many rows as there are different loads."""
+    steps = load.groupBy(*group, "load").agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("load") if falling else "load").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0))).withColumn("gone", F.coalesce(F.sum(F.col("k") * F.col("load")).over(w), F.lit(0)))
+
+
 def gini(load: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Gini of loads; 0 where there are none. Equal loads are one row with their number, so the order stays small."""
     group = group or []
-    steps = load.groupBy(*group, "load").agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*group).orderBy("load").rowsBetween(Window.unboundedPreceding, -1)
-    before = steps.withColumn("before", F.coalesce(F.sum("k").over(w), F.lit(0)))
     # ranks before+1 .. before+k share a load: their sum times the load
     part = F.col("load") * (F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2)
-    total = before.groupBy(*group).agg(F.sum(part).alias("ranked"), F.sum(F.col("k") * F.col("load")).alias("total"), F.sum("k").alias("n"))
+    total = _steps(load, group).groupBy(*group).agg(F.sum(part).alias("ranked"), F.sum(F.col("k") * F.col("load")).alias("total"), F.sum("k").alias("n"))
     return total.select(*group, F.when(F.col("total") == 0, 0.0).otherwise(2.0 * F.col("ranked") / (F.col("n") * F.col("total")) - (F.col("n") + 1.0) / F.col("n")).alias("gini"))
 
 
 def lorenz(load: DataFrame, points: int = 10) -> DataFrame:
-    """staff_share, load_share at `points` even places of the ordered loads."""
-    w = Window.orderBy("load", "staff_id")
-    run = load.withColumn("i", F.row_number().over(w) - 1).withColumn("cum", F.sum("load").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = load.agg(F.count("*").alias("n"), F.sum("load").alias("total"))
-    both = run.join(F.broadcast(size), F.lit(True))  # one row
-    at = F.array(*[F.floor(F.lit(k) * (F.col("n") - 1) / (points - 1)) for k in range(points)])
-    return both.where(F.array_contains(at, F.col("i").cast("long"))).select(F.round(F.col("i") / F.greatest(F.col("n") - 1, F.lit(1)), 4).alias("staff_share"), F.round(F.col("cum") / F.greatest("total", F.lit(1)), 4).alias("load_share"))
+    """staff_share, load_share at `points` even places of the ordered loads; places that fall together are one."""
+    steps = _steps(load, [])
+    size = steps.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("load")).alias("total"))
+    at = F.array_distinct(F.array(*[F.floor(F.lit(k) * (F.col("n") - 1) / (points - 1)) for k in range(points)]))
+    wanted = size.select("n", "total", F.explode(at).alias("i"))
+    both = steps.join(F.broadcast(wanted), (F.col("i") >= F.col("before")) & (F.col("i") < F.col("before") + F.col("k")))  # as many rows as points
+    reached = F.col("gone") + (F.col("i") - F.col("before") + 1) * F.col("load")
+    return both.select(F.round(F.col("i") / F.greatest(F.col("n") - 1, F.lit(1)), 4).alias("staff_share"), F.round(reached / F.greatest("total", F.lit(1)), 4).alias("load_share"))
 
 
 def fairness(load: DataFrame) -> DataFrame:
@@ -148,10 +202,10 @@ def fairness(load: DataFrame) -> DataFrame:
     busy = load.where("load > 0")
     base = load.agg(F.count("*").alias("pool"), F.sum("load").alias("modules"), F.count_if(F.col("load") > 0).alias("allocated"))
     spread = busy.agg(F.max("load").alias("most"), F.min("load").alias("least"), F.avg("load").alias("mean"), F.stddev_pop("load").alias("deviation"))
-    w = Window.orderBy(F.desc("load"), "staff_id")
-    head = busy.withColumn("i", F.row_number().over(w)).join(F.broadcast(base), F.lit(True))
+    head = _steps(busy, [], falling=True).join(F.broadcast(base), F.lit(True))
     few = F.greatest(F.lit(1), F.ceil(0.05 * F.col("pool")))
-    top = head.agg(F.sum(F.when(F.col("i") <= 10, F.col("load")).otherwise(0)).alias("ten"), F.sum(F.when(F.col("i") <= few, F.col("load")).otherwise(0)).alias("busiest"))
+    first = lambda n: F.coalesce(F.sum(F.col("load") * F.greatest(F.lit(0), F.least("k", n - F.col("before")))), F.lit(0))
+    top = head.agg(first(F.lit(10)).alias("ten"), first(few).alias("busiest"))
     row = base.join(F.broadcast(spread), F.lit(True)).join(F.broadcast(top), F.lit(True)).join(F.broadcast(gini(load)), F.lit(True))  # rows of one aggregate each
     pct = lambda a, b: F.round(F.when(b == 0, 0.0).otherwise(100.0 * a / b), 2)
     c = F.col

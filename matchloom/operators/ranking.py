@@ -16,6 +16,14 @@ def best(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, group, order, 1, "__best").drop("__best")
 
 
+def home_or_fallback(pool: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The k best of a group's home rows, or of all its rows where none is at home; status tells which, and whether home has fewer than k."""
+    w = Window.partitionBy(group)
+    some = pool.withColumn("some", F.bool_or("home").over(w)).where(F.col("home") == F.col("some")).withColumn("pool_n", F.count("*").over(w))
+    status = F.when(~F.col("some"), "university_fallback_ranked").when(F.col("pool_n") < k, "limited_internal_pool").otherwise("home_department_ranked")
+    return top_k(some.withColumn("status", status), [group], order, k)
+
+
 def gated_top_k(df: DataFrame, group: list[str], order: list[Column], passed: Column, k: int, factor: int = 3) -> DataFrame:
     """The first factor * k rows of each group, examined in order until k have passed.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
@@ -194,12 +197,14 @@ def _(spark, sf):
     return audit.dangling({"lines without orders": (t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"), "orders without lines": (t("orders"), "o_orderkey", t("lineitem"), "l_orderkey"), "documents without labels": (t("documents"), "doc_id", t("labels"), "doc_id")})
 
 
-@query("j3_code_sets", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_nationkey < 12)
-SELECT 'both' AS side, count(*) AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)""")
+@query("j3_code_sets", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT c_custkey AS k FROM customer)
+SELECT 'both' AS side, count(*) AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'second', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
 def _(spark, sf):
-    a = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    b = table(spark, sf, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("k")).distinct()
-    return a.intersect(b).agg(F.lit("both").alias("side"), F.count("*").alias("n")).unionByName(a.exceptAll(b).agg(F.lit("first").alias("side"), F.count("*").alias("n")))
+    """Customers with urgent orders against all customers."""
+    a = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")).distinct()
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).distinct()
+    sides = {"both": a.intersect(b), "first": a.exceptAll(b), "second": b.exceptAll(a)}
+    return reduce(DataFrame.unionByName, [d.agg(F.lit(k).alias("side"), F.count("*").alias("n")) for k, d in sides.items()])
 
 
 # ---- policies ------------------------------------------------------------------------------------

@@ -14,13 +14,15 @@ from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
 from matchloom.tables import table
 
-_LOAD_SQL = """g AS (SELECT module_id, staff_id FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) WHERE k = 1 AND staff_id % 3 <> 1),
+_LOAD_SQL = """g AS (SELECT module_id, staff_id FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) JOIN supplier ON s_suppkey = staff_id WHERE k = 1 AND s_acctbal >= 0),
 load AS (SELECT s_suppkey AS staff_id, count(module_id) AS load FROM supplier LEFT JOIN g ON staff_id = s_suppkey GROUP BY s_suppkey)"""
 
 
 def _load(spark, sf):
-    greedy = ranking.best(scores(spark, sf), ["module_id"], [F.desc("score"), F.col("staff_id")]).where("staff_id % 3 <> 1")
-    return A.workloads(greedy.select("module_id", "staff_id"), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("staff_id")))
+    """First choices whose accounts aren't overdrawn; the others stay in the pool without a load."""
+    people = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("staff_id"), "s_acctbal")
+    greedy = ranking.best(scores(spark, sf), ["module_id"], [F.desc("score"), F.col("staff_id")]).join(people.where("s_acctbal >= 0"), "staff_id")
+    return A.workloads(greedy.select("module_id", "staff_id"), people)
 
 
 @query("w9_gini", f"WITH {SCORE_SQL}, {_LOAD_SQL}, r AS (SELECT load, row_number() OVER (ORDER BY load) AS i, count(*) OVER () AS n, sum(load) OVER () AS t FROM load) SELECT round(2.0 * sum(i * load) / (any_value(n) * any_value(t)) - (any_value(n) + 1.0) / any_value(n), 4) AS gini FROM r")
@@ -41,37 +43,50 @@ def _(spark, sf):
     return A.fairness(_load(spark, sf))
 
 
-def _offers(spark, sf):
-    """Taught modules' five best, each with capacity and part. A part holds the modules of one size class and its own places."""
+def _offers(spark, sf, taught_only: bool = True):
+    """Modules' five best, each with capacity."""
     best = ranking.top_k(scores(spark, sf), ["module_id"], [F.desc("score"), F.col("staff_id")], 5)
-    taught = modules(spark, sf).where(policy.is_taught(F.col("title"))).select("module_id", (F.col("size") % 10).alias("part"))
+    kept = modules(spark, sf).where(policy.is_taught(F.col("title")) | F.lit(not taught_only)).select("module_id")
     cap = staff(spark, sf).select("staff_id", policy.capacity(F.col("position")).alias("capacity"))
-    return best.join(taught, "module_id").join(cap, "staff_id").select("module_id", "staff_id", F.col("rank").cast("long").alias("rank"), "score", "capacity", "part")
+    return best.join(kept, "module_id").join(cap, "staff_id").select("module_id", "staff_id", F.col("rank").cast("long").alias("rank"), "score", "capacity")
+
+
+def _extracted(spark, sf):
+    catalogue = modules(spark, sf).select("module_id", policy.is_taught(F.col("title")).alias("taught"))
+    return A.extraction(catalogue, _offers(spark, sf, taught_only=False), A.balance(_offers(spark, sf)))
 
 
 @query("c14_balance")
 def _(spark, sf):
-    """One row a part: an optimal assignment isn't unique, so its size and the modules moved off their first choice stand for it."""
+    """All taught modules as one problem; an optimal assignment isn't unique, so tests compare its cost and not its rows."""
+    return A.balance(_offers(spark, sf)).select("module_id", "staff_id", "rank")
+
+
+@query("c14_quota", f"""WITH {STAFF_SQL}, {SCORE_SQL}, {MODULE_SQL}, t AS (SELECT module_id FROM module WHERE NOT regexp_matches(lower(title), '{"|".join(policy.UNTAUGHT_TITLES)}')),
+o AS (SELECT module_id, staff_id FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) JOIN t USING (module_id) WHERE k <= 5) SELECT DISTINCT staff_id, true AS within FROM o""")
+def _(spark, sf):
+    """Whether everyone who is offered a module keeps within capacity and both extra tiers."""
     offers = _offers(spark, sf)
-    found = A.balance(offers).join(offers.select("module_id", "part").distinct(), "module_id")
-    return found.groupBy("part").agg(F.count("*").alias("assigned"))
+    load = A.balance(offers).groupBy("staff_id").agg(F.count("*").alias("load"))
+    people = offers.select("staff_id", "capacity").distinct().join(load, "staff_id", "left")
+    return people.select("staff_id", (F.coalesce("load", F.lit(0)) <= F.col("capacity") + sum(n for n, _ in A.TIERS)).alias("within"))
 
 
 @query("c15_extraction")
 def _(spark, sf):
-    offers = _offers(spark, sf)
-    greedy = offers.where("rank = 1").select("module_id", F.col("staff_id").alias("greedy_id"), F.col("score").alias("greedy_score"))
-    return A.balance(offers).join(greedy, "module_id").select("module_id", "staff_id", "rank_shift", (F.col("staff_id") != F.col("greedy_id")).alias("displaced"))
+    return _extracted(spark, sf).select("module_id", "taught", "staff_id", "greedy_id", "rank_shift", F.size("displaced").alias("displaced"))
+
+
+@query("c15_exempt", f"""WITH {SCORE_SQL}, {MODULE_SQL}, b AS (SELECT module_id, staff_id FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) WHERE k = 1)
+SELECT module_id, staff_id, staff_id AS greedy_id, CAST(0 AS BIGINT) AS rank_shift, 0 AS displaced FROM module LEFT JOIN b USING (module_id) WHERE regexp_matches(lower(title), '{"|".join(policy.UNTAUGHT_TITLES)}')""")
+def _(spark, sf):
+    """Modules outside the capacity rules keep their first choice."""
+    return _extracted(spark, sf).where("not taught").select("module_id", "staff_id", "greedy_id", F.col("rank_shift").cast("long").alias("rank_shift"), F.size("displaced").alias("displaced"))
 
 
 @query("c16_balance_deltas")
 def _(spark, sf):
-    offers = _offers(spark, sf)
-    pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("staff_id"))
-    rows = []
-    for name, found in (("greedy", offers.where("rank = 1")), ("balanced", A.balance(offers))):
-        rows.append(A.fairness(A.workloads(found.select("module_id", "staff_id"), pool)).withColumn("model", F.lit(name)))
-    return reduce(DataFrame.unionByName, rows)
+    return A.deltas(_extracted(spark, sf), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("staff_id")))
 
 
 @query("c17_capacity_sweep")
@@ -198,16 +213,15 @@ def _(spark, sf):
 # ---- policy ranking of whole modules ---------------------------------------------------------------
 
 
-@query("c1_home_ranking", f"""WITH {STAFF_SQL}, {MODULE_SQL}, {SCORE_SQL}, e AS (SELECT s.*, m.department = t.department AS home FROM score s JOIN module m USING (module_id) JOIN staff t USING (staff_id) WHERE regexp_matches(lower(position), 'lecturer|professor|reader|teaching fellow') AND NOT regexp_matches(lower(position), 'emeritus|visiting|research fellow|technician')),
-h AS (SELECT module_id, bool_or(home) AS some_ FROM e GROUP BY module_id), p AS (SELECT e.*, some_, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS rank, count(*) OVER (PARTITION BY module_id) AS n FROM e JOIN h USING (module_id) WHERE home = some_)
-SELECT module_id, staff_id, rank, CASE WHEN NOT some_ THEN 'university_fallback_ranked' WHEN n < 5 THEN 'limited_internal_pool' ELSE 'home_department_ranked' END AS status FROM p WHERE rank <= 5""")
+@query("c1_home_ranking", f"""WITH {STAFF_SQL}, {MODULE_SQL}, {SCORE_SQL}, e AS (SELECT s.module_id, s.staff_id, s.score, m.department = t.department AS home FROM score s JOIN module m USING (module_id) JOIN staff t USING (staff_id) WHERE regexp_matches(lower(position), 'lecturer|professor|reader|teaching fellow') AND NOT regexp_matches(lower(position), 'emeritus|visiting|research fellow|technician')),
+h AS (SELECT module_id, bool_or(home) AS some_ FROM e GROUP BY module_id), p AS (SELECT e.*, some_, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS rank, count(*) OVER (PARTITION BY module_id) AS pool_n FROM e JOIN h USING (module_id) WHERE home = some_)
+SELECT module_id, staff_id, rank, CASE WHEN NOT some_ THEN 'university_fallback_ranked' WHEN pool_n < 2 THEN 'limited_internal_pool' ELSE 'home_department_ranked' END AS status FROM p WHERE rank <= 2""")
 def _(spark, sf):
+    """The two best of the home department, or of the university where it has nobody eligible."""
     people = staff(spark, sf).where(policy.is_eligible(F.col("position"))).select("staff_id", F.col("department").alias("theirs"))
-    pool = scores(spark, sf).join(modules(spark, sf).select("module_id", "department"), "module_id").join(people, "staff_id").withColumn("home", F.col("department") == F.col("theirs"))
-    some = pool.groupBy("module_id").agg(F.bool_or("home").alias("some"))
-    used = pool.join(some, "module_id").where(F.col("home") == F.col("some")).withColumn("n", F.count("*").over(Window.partitionBy("module_id")))
-    status = F.when(~F.col("some"), "university_fallback_ranked").when(F.col("n") < 5, "limited_internal_pool").otherwise("home_department_ranked")
-    return ranking.top_k(used, ["module_id"], [F.desc("score"), F.col("staff_id")], 5).select("module_id", "staff_id", F.col("rank").cast("long").alias("rank"), status.alias("status"))
+    pool = scores(spark, sf).select("module_id", "staff_id", "score").join(modules(spark, sf).select("module_id", "department"), "module_id").join(people, "staff_id")
+    found = ranking.home_or_fallback(pool.withColumn("home", F.col("department") == F.col("theirs")), "module_id", [F.desc("score"), F.col("staff_id")], 2)
+    return found.select("module_id", "staff_id", F.col("rank").cast("long").alias("rank"), "status")
 
 
 @query("c2_hierarchy_status", f"""WITH {STAFF_SQL}, {MODULE_SQL}, {SCORE_SQL}, i AS (SELECT m.module_id, t.staff_id, t.position FROM module m JOIN staff t ON t.path = m.path OR starts_with(t.path, m.path || '/')),
@@ -263,10 +277,11 @@ def _(spark, sf):
     return a.unionByName(top.groupBy(F.lit("band").alias("series"), policy.band(F.col("score")).alias("x")).agg(F.count("*").alias("y")))
 
 
-@query("p21_c19_uncovered", """WITH g AS (SELECT p_size AS k, count(*) AS n, count_if(p_partkey % 2 = 0) AS even FROM part WHERE p_partkey % 5 = 0 GROUP BY p_size) SELECT k, CASE WHEN n < 2 THEN 'no_active_gaps' WHEN even = n THEN 'all_gaps_covered_by_lead' WHEN even = 0 THEN 'no_external_candidate' ELSE 'below_score_threshold' END AS reason FROM g""")
+@query("p21_c19_uncovered", """WITH g AS (SELECT p_brand AS brand, p_size AS size, count(*) AS n, count_if(p_type IN ('PROMO', 'ECONOMY')) AS led FROM part GROUP BY ALL) SELECT brand, size, CASE WHEN n < 2 THEN 'no_active_gaps' WHEN led = n THEN 'all_gaps_covered_by_lead' WHEN led = 0 THEN 'no_external_candidate' ELSE 'below_score_threshold' END AS reason FROM g""")
 def _(spark, sf):
-    g = table(spark, sf, "part").where("p_partkey % 5 = 0").groupBy(F.col("p_size").alias("k")).agg(F.collect_list(F.col("p_partkey") % 2 == 0).alias("covered"))
-    return g.select("k", explain.uncovered_reason(F.col("covered"), least=2).alias("reason"))
+    """Every part is a gap of its brand and size; the lead covers some types."""
+    g = table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).agg(F.collect_list(F.col("p_type").isin("PROMO", "ECONOMY")).alias("covered"))
+    return g.select("brand", "size", explain.uncovered_reason(F.col("covered"), least=2).alias("reason"))
 
 
 @query("p22_c20_fallback_cause", f"WITH {STAFF_SQL}, {MODULE_SQL}, c AS (SELECT m.module_id, count(t.staff_id) AS n, count_if(position <> '') AS placed, count_if(regexp_matches(lower(position), 'lecturer|professor|reader')) AS fit FROM module m LEFT JOIN staff t USING (department) GROUP BY m.module_id) SELECT module_id, CASE WHEN n = 0 THEN 'no_staff_in_department' WHEN placed = 0 THEN 'positions_missing' WHEN fit = 0 THEN 'no_eligible_role' ELSE 'covered' END AS cause FROM c")

@@ -155,9 +155,10 @@ def _(spark, sf):
     return pairs.groupBy("module_id").agg(F.count("*").alias("n"), F.min("staff_id").alias("least"))
 
 
-@query("j7_home_and_external", f"WITH {STAFF_SQL}, {MODULE_SQL}, h AS (SELECT DISTINCT department FROM module WHERE module_id % 5 = 0) SELECT staff_id, department IN (SELECT department FROM h) AS home FROM staff")
+@query("j7_home_and_external", f"WITH {STAFF_SQL}, {MODULE_SQL}, h AS (SELECT DISTINCT department FROM module WHERE size = 50) SELECT staff_id, department IN (SELECT department FROM h) AS home FROM staff")
 def _(spark, sf):
-    home = modules(spark, sf).where("module_id % 5 = 0").select("department").distinct()
+    """Whether one of the largest modules is at home in a person's department."""
+    home = modules(spark, sf).where("size = 50").select("department").distinct()
     people = staff(spark, sf)
     inside, outside = people.join(home, "department", "left_semi"), people.join(home, "department", "left_anti")
     return inside.select("staff_id", F.lit(True).alias("home")).unionByName(outside.select("staff_id", F.lit(False).alias("home")))
@@ -208,21 +209,21 @@ def _(spark, sf):
     return best.select("module_id", F.col("staff_id").alias("a")).join(best.select("module_id", F.col("staff_id").alias("b")), "module_id").where("a < b")
 
 
-@query("j15_foundation", f"""WITH v AS ({_EMB}), t AS (SELECT vec_id % 25 AS staff_id, vec_id FROM embeddings WHERE vec_id < 200), p AS (SELECT DISTINCT a.staff_id AS a, b.staff_id AS b FROM t a JOIN t b ON b.staff_id = a.staff_id + 1),
+@query("j15_foundation", f"""WITH v AS ({_EMB}), t AS (SELECT vec_id // 8 AS staff_id, vec_id FROM embeddings), p AS (SELECT DISTINCT a.staff_id AS a, b.staff_id AS b FROM t a JOIN t b ON b.staff_id = a.staff_id + 1),
 c AS (SELECT p.a, p.b, {_COS.format('e').replace('a.e', 'x.e').replace('b.e', 'y.e')} AS c FROM p JOIN t s ON s.staff_id = p.a JOIN t u ON u.staff_id = p.b JOIN v x ON x.vec_id = s.vec_id JOIN v y ON y.vec_id = u.vec_id WHERE s.vec_id <> u.vec_id)
 SELECT a, b, round(max(c), 4) AS best, count_if(c >= 0.3) AS n FROM c GROUP BY a, b""")
 def _(spark, sf):
-    """Topics of two people compared pairwise by cosine; the two hundred topics are those of the catalogue."""
-    e = table(spark, sf, "embeddings").where("vec_id < 200").select((F.col("vec_id") % 25).alias("staff_id"), "vec_id", "embedding")
+    """Topics of two people compared pairwise by cosine; a person has eight, whatever the table's size."""
+    e = table(spark, sf, "embeddings").select(F.expr("vec_id div 8").alias("staff_id"), "vec_id", "embedding")
     a = e.select(F.col("staff_id").alias("a"), F.col("vec_id").alias("va"), F.col("embedding").alias("ea"))
     b = e.select(F.col("staff_id").alias("b"), F.col("vec_id").alias("vb"), F.col("embedding").alias("eb"))
     both = a.join(b, (F.col("b") == F.col("a") + 1) & (F.col("va") != F.col("vb"))).withColumn("c", V.cosine(F.col("ea"), F.col("eb")))
     return both.groupBy("a", "b").agg(F.round(F.max("c"), 4).alias("best"), F.count_if(F.col("c") >= 0.3).alias("n"))
 
 
-@query("j16_decorated", f"WITH {STAFF_SQL}, {SCORE_SQL} SELECT module_id, staff_id, coalesce(full_name, 'unknown') AS name, full_name IS NOT NULL AS matched FROM score LEFT JOIN (SELECT * FROM staff WHERE staff_id % 3 <> 0) USING (staff_id)")
+@query("j16_decorated", f"WITH {STAFF_SQL}, {SCORE_SQL} SELECT module_id, staff_id, coalesce(full_name, 'unknown') AS name, full_name IS NOT NULL AS matched FROM score LEFT JOIN (SELECT * FROM staff WHERE balance >= 0) USING (staff_id)")
 def _(spark, sf):
-    known = staff(spark, sf).where("staff_id % 3 <> 0")
+    known = staff(spark, sf).where("balance >= 0")
     return scores(spark, sf).join(known, "staff_id", "left").select("module_id", "staff_id", F.coalesce("full_name", F.lit("unknown")).alias("name"), F.col("full_name").isNotNull().alias("matched"))
 
 
@@ -284,19 +285,19 @@ def _(spark, sf):
     return x.join(y, "module_id").select("module_id", F.size(F.array_except("y", "x")).cast("long").alias("entered"), F.size(F.array_except("x", "y")).cast("long").alias("gone"))
 
 
-@query("u5_jaccard", """WITH t AS (SELECT DISTINCT l_suppkey AS s, p_brand AS t FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45), i AS (SELECT a.s AS a, b.s AS b, count(*) AS n FROM t a JOIN t b ON a.t = b.t AND b.s = a.s + 1 GROUP BY ALL), c AS (SELECT s, count(*) AS n FROM t GROUP BY s)
+@query("u5_jaccard", """WITH t AS (SELECT DISTINCT l_suppkey AS s, p_brand || p_name || CAST(p_size AS VARCHAR) AS t FROM lineitem JOIN part ON p_partkey = l_partkey), i AS (SELECT a.s AS a, b.s AS b, count(*) AS n FROM t a JOIN t b ON a.t = b.t AND b.s = a.s + 1 GROUP BY ALL), c AS (SELECT s, count(*) AS n FROM t GROUP BY s)
 SELECT x.s AS a, y.s AS b, round(coalesce(i.n, 0) / CAST(x.n + y.n - coalesce(i.n, 0) AS DOUBLE), 4) AS jaccard FROM c x JOIN c y ON y.s = x.s + 1 LEFT JOIN i ON i.a = x.s AND i.b = y.s""")
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity > 45").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    sets = lines.groupBy(F.col("l_suppkey").alias("a")).agg(F.collect_set("p_brand").alias("x"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    sets = lines.groupBy(F.col("l_suppkey").alias("a")).agg(F.collect_set(F.concat("p_brand", "p_name", F.col("p_size").cast("string"))).alias("x"))
     other = sets.select((F.col("a") - 1).alias("a"), F.col("x").alias("y"))
     return sets.join(other, "a").select("a", (F.col("a") + 1).alias("b"), F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 4).alias("jaccard"))
 
 
 # ---- collaboration -------------------------------------------------------------------------------
 
-_PROFILE_SQL = """st AS (SELECT l_suppkey AS staff_id, p_brand AS topic, count(*) / 20.0 AS w FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 25 AND (l_suppkey + CAST(substr(p_brand, 7) AS INT)) % 3 = 0 GROUP BY ALL),
-mt AS (SELECT p_size AS module_id, p_brand AS topic, count(*) / 2.0 AS w FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL)"""
+_PROFILE_SQL = """st AS (SELECT l_suppkey AS staff_id, p_brand || p_type AS topic, count(*) / 20.0 AS w FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+mt AS (SELECT p_size AS module_id, p_brand || p_type AS topic, count(*) / 2.0 AS w FROM part GROUP BY ALL)"""
 _REL_SQL = f"""{_PROFILE_SQL}, tot AS (SELECT module_id, sum(w) AS total FROM mt GROUP BY module_id),
 rel AS (SELECT mt.module_id, st.staff_id, count(*) AS matched, sum(least(mt.w, st.w)) / any_value(total) AS relevance FROM mt JOIN st USING (topic) JOIN tot ON tot.module_id = mt.module_id GROUP BY ALL),
 cand AS (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(relevance, 9) DESC, matched DESC, staff_id DESC) AS place FROM rel WHERE round(relevance, 9) >= 0.1 QUALIFY place <= 20)"""
@@ -304,9 +305,10 @@ cand AS (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(rele
 
 def _profiles(spark, sf):
     p = table(spark, sf, "part")
-    lines = table(spark, sf, "lineitem").where("l_quantity > 25").join(p, F.col("p_partkey") == F.col("l_partkey"))
-    st = lines.where("(l_suppkey + cast(substr(p_brand, 7) as int)) % 3 = 0").groupBy(F.col("l_suppkey").alias("staff_id"), F.col("p_brand").alias("topic")).agg((F.count("*") / 20.0).alias("w"))
-    mt = p.where("p_partkey % 3 = 0").groupBy(F.col("p_size").alias("module_id"), F.col("p_brand").alias("topic")).agg((F.count("*") / 2.0).alias("w"))
+    topic = F.concat("p_brand", "p_type").alias("topic")
+    lines = table(spark, sf, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    st = lines.groupBy(F.col("l_suppkey").alias("staff_id"), topic).agg((F.count("*") / 20.0).alias("w"))
+    mt = p.groupBy(F.col("p_size").alias("module_id"), topic).agg((F.count("*") / 2.0).alias("w"))
     return st, mt
 
 
@@ -365,16 +367,16 @@ def _(spark, sf):
     return C.rerank(both, "score", "graph", "module_id", "staff_id").select("module_id", "staff_id", F.round("hybrid", 4).alias("hybrid"))
 
 
-_GAP_SQL = """aff AS (SELECT p_size AS module_id, p_brand AS aspect, (count(*) % 40) / 100.0 AS affinity, (sum(p_partkey) % 70) / 100.0 AS lead FROM part GROUP BY ALL),
+_GAP_SQL = """aff AS (SELECT p_size AS module_id, p_brand AS aspect, (12 + count(*) % 40) / 100.0 AS affinity, (sum(p_partkey) % 70) / 100.0 AS lead FROM part GROUP BY ALL),
 g AS (SELECT *, round(affinity * greatest(0, 1 - lead / 0.65), 4) AS gap FROM (SELECT *, CASE WHEN max(affinity) OVER (PARTITION BY module_id) >= 0.2 THEN 0.2 ELSE 0.18 END AS least_ FROM aff) WHERE affinity >= least_)"""
 
 
 def _gap_rows(spark, sf):
-    aff = table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("module_id"), F.col("p_brand").alias("aspect")).agg(((F.count("*") * 7 % 40) / 100.0).alias("affinity"), ((F.sum("p_partkey") % 70) / 100.0).alias("lead"))
+    aff = table(spark, sf, "part").groupBy(F.col("p_size").cast("long").alias("module_id"), F.col("p_brand").alias("aspect")).agg(((12 + F.count("*") * 7 % 40) / 100.0).alias("affinity"), ((F.sum("p_partkey") % 70) / 100.0).alias("lead"))
     return C.gaps(aff)
 
 
-@query("c10_gaps", f"""WITH {_GAP_SQL.replace('(count(*) % 40)', '(count(*) * 7 % 40)')} SELECT module_id, aspect, affinity, gap, CASE WHEN lead >= 0.55 THEN 'Covered By Primary Lead' WHEN gap >= 0.35 THEN 'High Co-Delivery Need' ELSE 'Moderate Co-Delivery Need' END AS need FROM g""")
+@query("c10_gaps", f"""WITH {_GAP_SQL.replace('(12 + count(*) % 40)', '(12 + count(*) * 7 % 40)')} SELECT module_id, aspect, affinity, gap, CASE WHEN lead >= 0.55 THEN 'Covered By Primary Lead' WHEN gap >= 0.35 THEN 'High Co-Delivery Need' ELSE 'Moderate Co-Delivery Need' END AS need FROM g""")
 def _(spark, sf):
     return _gap_rows(spark, sf).select("module_id", "aspect", "affinity", "gap", "need")
 
@@ -387,9 +389,15 @@ def _(spark, sf):
     return e.join(y, "vec_id").join(z, "vec_id").select("vec_id", F.round(mixed[0], 4).alias("first"))
 
 
+def _offer_rows(spark, sf):
+    """Who can bring an aspect to a module: affinity is a person's share of the most lines that anybody has of it there."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    per = lines.groupBy(F.col("p_size").cast("long").alias("module_id"), F.col("p_brand").alias("aspect"), F.col("l_suppkey").alias("staff_id")).agg(F.count("*").alias("n"), ((F.sum("l_partkey") % 100) / 100.0).alias("fit"))
+    most = F.max("n").over(ranking.Window.partitionBy("module_id", "aspect"))
+    return per.select("module_id", "aspect", "staff_id", (F.col("n") / most).alias("affinity"), "fit")
+
+
 @query("c12_gap_fillers")
 def _(spark, sf):
     found = _gap_rows(spark, sf)
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    offers = lines.groupBy(F.col("p_size").cast("long").alias("module_id"), F.col("p_brand").alias("aspect"), F.col("l_suppkey").alias("staff_id")).agg(F.least(F.lit(1.0), F.count("*") / 10.0).alias("affinity"), ((F.sum("l_partkey") % 100) / 100.0).alias("fit"))
-    return C.gap_fillers(found, offers).select("module_id", "aspect", "staff_id", F.round("score", 4).alias("score"))
+    return C.gap_fillers(found, _offer_rows(spark, sf)).select("module_id", "aspect", "staff_id", F.round("score", 4).alias("score"))

@@ -164,12 +164,12 @@ def _(spark, sf):
     return table(spark, sf, "events").select(F.explode(F.json_object_keys("props")).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("s22_web_bundle", f"WITH {SCORE_SQL}, t AS (SELECT module_id, staff_id, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) SELECT module_id, staff_id, coalesce(n, 0) AS n_links FROM t LEFT JOIN (SELECT l_partkey AS module_id, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1) USING (module_id) WHERE k = 1")
+@query("s22_web_bundle", f"WITH {SCORE_SQL}, t AS (SELECT module_id, staff_id, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) SELECT module_id, staff_id, coalesce(n, 0) AS n_links FROM t LEFT JOIN (SELECT l_partkey AS module_id, count(*) AS n FROM lineitem GROUP BY 1) USING (module_id) WHERE k = 1")
 def _(spark, sf):
     from matchloom.operators.ranking import best
 
     one = best(scores(spark, sf), ["module_id"], [F.desc("score"), F.col("staff_id")]).select("module_id", "staff_id")
-    links = table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("module_id"), "l_orderkey", "l_linenumber")
+    links = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("module_id"), "l_orderkey", "l_linenumber")
     return sinks.bundle(None, one, links).select("module_id", "staff_id", F.size("links").cast("long").alias("n_links"))
 
 
@@ -212,9 +212,9 @@ def _(spark, sf):
     return _merged(spark, sf).select("publication_id", "status", "title", "year", "abstract")
 
 
-@query("a9_roll_up", """WITH l AS (SELECT DISTINCT l_suppkey AS staff_id, l_partkey AS k FROM lineitem WHERE l_quantity > 48) SELECT s_suppkey AS staff_id, count(k) AS publications, count_if(k % 7 <> 0 AND k % 5 <> 0) AS enriched, CASE WHEN count_if(k % 7 <> 0 AND k % 5 <> 0) > 0 THEN 'Robots' ELSE '' END AS topics FROM supplier LEFT JOIN l ON staff_id = s_suppkey GROUP BY s_suppkey""")
+@query("a9_roll_up", """WITH l AS (SELECT DISTINCT l_suppkey AS staff_id, l_partkey AS k FROM lineitem) SELECT s_suppkey AS staff_id, count(k) AS publications, count_if(k % 7 <> 0 AND k % 5 <> 0) AS enriched, CASE WHEN count_if(k % 7 <> 0 AND k % 5 <> 0) > 0 THEN 'Robots' ELSE '' END AS topics FROM supplier LEFT JOIN l ON staff_id = s_suppkey GROUP BY s_suppkey""")
 def _(spark, sf):
-    links = table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("staff_id"), F.col("l_partkey").cast("string").alias("publication_id")).distinct()
+    links = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("staff_id"), F.col("l_partkey").cast("string").alias("publication_id")).distinct()
     people = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("staff_id"))
     return N.roll_up(people, links, _merged(spark, sf)).select("staff_id", "publications", "enriched", "topics")
 
@@ -264,12 +264,12 @@ def _(spark, sf):
     return got.select("module_id", "classification", F.coalesce(F.when(F.col("candidates").isNull(), 0).otherwise(F.size("candidates")), F.lit(0)).cast("long").alias("candidates"), F.col("gaps").isNotNull().alias("second_layer"))
 
 
-@query("o2_nulls_last", f"WITH {SCORE_SQL}, r AS (SELECT module_id, count(*) AS n FROM score WHERE staff_id % 50 = 0 GROUP BY module_id) SELECT p_partkey, row_number() OVER (ORDER BY n ASC NULLS LAST, p_partkey) AS place FROM part LEFT JOIN r ON module_id = p_partkey QUALIFY place <= 200")
+@query("o2_nulls_last", f"WITH {SCORE_SQL}, r AS (SELECT module_id, count(*) AS n FROM score WHERE score >= 0.9 GROUP BY module_id) SELECT p_partkey, row_number() OVER (ORDER BY n ASC NULLS LAST, p_partkey) AS place FROM part LEFT JOIN r ON module_id = p_partkey QUALIFY place <= 200")
 def _(spark, sf):
     """The first two hundred of an order in which missing ranks come last: a top-k report."""
     from pyspark.sql import Window
 
-    r = scores(spark, sf).where("staff_id % 50 = 0").groupBy("module_id").agg(F.count("*").alias("n"))
+    r = scores(spark, sf).where("score >= 0.9").groupBy("module_id").agg(F.count("*").alias("n"))
     first = table(spark, sf, "part").join(r, F.col("module_id") == F.col("p_partkey"), "left").orderBy(F.asc_nulls_last("n"), "p_partkey").limit(200)
     return first.select("p_partkey", F.row_number().over(Window.orderBy(F.asc_nulls_last("n"), "p_partkey")).cast("long").alias("place"))
 
