@@ -8,22 +8,25 @@ quality through a logistic curve.
 
 Only documents are labelled, so lines start with their document's label; lines of bad documents that
 look like those of good ones are then called good, but never a bad document's worst line. It is
-learned from at most LABELLED labelled rows (those with the smallest hash of their id), at most
-LABELLED_LINES evenly spread lines of each. Texts that are null, empty or blank get the share of good
-labels. Repeated rows score alike; without labels of both kinds every text gets that share, or a half.
+learned from whole texts of labelled rows: at most LABELLED of them, in the order of a hash of their
+id, and only as many as have LINES lines in all. Texts that are null, empty or blank get the share of
+good labels. Texts of any length are scored whole. Repeated rows score alike; without labels of both
+kinds every text gets that share, or a half. An empty table gives an empty result; extra columns are
+dropped unless named in `keep`, which may hold any name but __score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
+from matchloom.session import Scratch
 
-#: Labelled documents, and lines of each, that are learned from at most.
-LABELLED, LABELLED_LINES = 8_000, 400
+#: Labelled documents that are learned from at most, and their lines in all (68 bytes each on the driver).
+LABELLED, LINES = 8_000, 2_000_000
 THRESHOLD = 0.3
 
 #: Kinds of bytes: 0 lower-case or non-ASCII, 1 upper-case, 2 digit, 3 white space, 4 sentence sign, 5 bar, 6 hash, star and the like, 7 other.
@@ -75,16 +78,36 @@ def lines(column: pa.Array):
     return first, size.astype(np.float64), x
 
 
-def with_neighbours(first: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Each line's features, those of the lines before and after, whether it has those, and a constant."""
-    n = len(x)
-    before, after, ends = np.zeros_like(x), np.zeros_like(x), np.ones((n, 3), np.float32)
-    if n:
-        before[1:], after[:-1] = x[:-1], x[1:]
-        begins = first[:-1][np.diff(first) > 0]
-        stops = first[1:][np.diff(first) > 0] - 1
-        before[begins], after[stops], ends[begins, 0], ends[stops, 1] = 0, 0, 0, 0
-    return np.concatenate([x, before, after, ends], 1)
+class Context:
+    """Lines' features with those of the lines before and after, whether there are such lines, and a constant; never laid out side by side."""
+
+    def __init__(self, first: np.ndarray, x: np.ndarray):
+        self.x, some = x, np.diff(first) > 0
+        self.begins, self.stops = first[:-1][some], first[1:][some] - 1
+        self.width = 3 * x.shape[1] + 3
+
+    def _moved(self, v: np.ndarray, by: int) -> np.ndarray:
+        """Each line's value from the line before (1) or after (-1), 0 where there is none."""
+        out = np.zeros_like(v)
+        if len(v):
+            out[max(by, 0) : len(v) + min(by, 0)] = v[max(-by, 0) : len(v) - max(by, 0)]
+            out[self.begins if by > 0 else self.stops] = 0
+        return out
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        k = self.x.shape[1]
+        own, before, after = (self.x @ w[i * k : (i + 1) * k].astype(np.float32) for i in range(3))
+        out = own.astype(np.float64) + self._moved(before, 1) + self._moved(after, -1) + w[3 * k :].sum()
+        out[self.begins] -= w[3 * k]
+        out[self.stops] -= w[3 * k + 1]
+        return out
+
+    def sums(self, r: np.ndarray) -> np.ndarray:
+        """Sum of each feature, weighted by r."""
+        parts = [v.astype(np.float32) @ self.x for v in (r, self._moved(r, -1), self._moved(r, 1))]
+        # what a line takes from the one before it, that one gives to the one after
+        total = r.sum()
+        return np.concatenate([*parts, [total - r[self.begins].sum(), total - r[self.stops].sum(), total]]).astype(np.float64)
 
 
 def marginals(first: np.ndarray, emit: np.ndarray, pair: np.ndarray):
@@ -155,37 +178,37 @@ def fit(first: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray):
     base = float(y.mean()) if len(y) else 0.5
     if not len(x) or y.min() == y.max():
         return np.zeros(3 * N_LINE + 3), np.zeros((2, 2)), np.zeros(3), base
-    full = with_neighbours(first, x).astype(np.float64)
+    full = Context(first, x)
     doc = np.repeat(np.arange(len(y)), np.diff(first))
     # every document counts alike, and both labels do
-    weight = 1 / np.diff(first)[doc] * np.where(y[doc] == 1, 0.5 / base, 0.5 / (1 - base)) * len(full) / len(y)
+    weight = 1 / np.diff(first)[doc] * np.where(y[doc] == 1, 0.5 / base, 0.5 / (1 - base)) * len(x) / len(y)
     target = y[doc].astype(np.float64)
-    w = np.zeros(full.shape[1])
+    w = np.zeros(full.width)
     for turn in range(3):
         def grad(w):
-            p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-            return full.T @ ((p - target) * weight) / len(full) + 1e-4 * w
+            p = 1 / (1 + np.exp(-np.clip(full.scores(w), -30, 30)))
+            return full.sums((p - target) * weight) / len(x) + 1e-4 * w
 
         w = _adam(grad, w, 150, 0.1)
         if turn < 2:  # lines of bad documents that look good become good
-            p = full @ w
+            p = full.scores(w)
             usual = np.quantile(p[y[doc] == 1], 0.3)
             worst = np.zeros(len(y)) + np.inf
             np.minimum.at(worst, doc, p)
             target = np.where((y[doc] == 1) | ((p > usual) & (p > worst[doc])), 1.0, 0.0)
     pairs = np.zeros((2, 2))
-    inner = np.ones(len(full), bool)
+    inner = np.ones(len(x), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     at = np.flatnonzero(inner)
     np.add.at(pairs, (target[at - 1].astype(int), target[at].astype(int)), 1)
 
     def chain(v):
-        good, expected = marginals(first, full @ v[:-4], v[-4:].reshape(2, 2))
-        return np.concatenate([full.T @ (good - target), (expected - pairs).reshape(-1)]) / len(full) + 1e-4 * v
+        good, expected = marginals(first, full.scores(v[:-4]), v[-4:].reshape(2, 2))
+        return np.concatenate([full.sums(good - target), (expected - pairs).reshape(-1)]) / len(x) + 1e-4 * v
 
     v = _adam(chain, np.concatenate([w, np.zeros(4)]), 60, 0.03)
     emission, pair = v[:-4], v[-4:].reshape(2, 2)
-    s = summary(first, size, marginals(first, full @ emission, pair)[0])
+    s = summary(first, size, marginals(first, full.scores(emission), pair)[0])
     keep = ~np.isnan(s[:, 0])
     z = np.concatenate([s[keep], np.ones((keep.sum(), 1))], 1)
 
@@ -199,7 +222,7 @@ def fit(first: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray):
 def quality(column: pa.Array, model) -> np.ndarray:
     emission, pair, curve, base = model
     first, size, x = lines(column)
-    good, _ = marginals(first, with_neighbours(first, x).astype(np.float64) @ emission, pair)
+    good, _ = marginals(first, Context(first, x).scores(emission), pair)
     s = summary(first, size, good)
     p = 1 / (1 + np.exp(-np.clip(s @ curve[:2] + curve[2], -30, 30)))
     return np.where(np.isnan(p), base, p)
@@ -208,25 +231,25 @@ def quality(column: pa.Array, model) -> np.ndarray:
 def _featured(batches):
     for b in batches:
         first, size, x = lines(b.column(0))
-        rows = []
-        for i, (a, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            at = np.arange(a, e)
-            if e - a > LABELLED_LINES:
-                at = np.linspace(a, e - 1, LABELLED_LINES).astype(np.int64)
-            rows.append((size[at].astype("<f4").tobytes(), x[at].astype("<f2").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), b.column(1)], names=["size", "x", "y"])
+        rows = [(size[a:e].astype("<f4").tobytes(), x[a:e].astype("<f4").tobytes()) for a, e in zip(first[:-1].tolist(), first[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.diff(first)), *b.columns[1:]], names=["size", "x", "n", "y", "place"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = LABELLED):
-    chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = LABELLED, most_lines: int = LINES):
+    """The model, from the rows of labels (ids and 0 or 1); a row without a label or id doesn't count, nor does an id's second label."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit))  # 12 bytes a row
-    rows = docs.join(chosen, docs[doc_id] == F.col("__id")).select(F.col(text).alias("t"), F.col("__y").alias("y"))
-    got = rows.mapInArrow(_featured, "size binary, x binary, y int").limit(limit).collect()
+    rows = docs.join(chosen, docs[doc_id] == F.col("__id")).select(F.col(text).alias("t"), F.col("__y").alias("y"), F.xxhash64("__id").alias("place"))
+    scratch = Scratch(docs.sparkSession)
+    told = scratch.keep(rows.mapInArrow(_featured, "size binary, x binary, n long, y int, place long"), "labelled-lines")
+    upto = told.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("place", "n", "y").rowsBetween(Window.unboundedPreceding, 0)))  # LABELLED rows
+    got = upto.where(F.col("upto") <= most_lines).orderBy("place", "n", "y").limit(limit).select("size", "x", "y").collect()
+    scratch.clear()
     size = [np.frombuffer(r["size"], "<f4").astype(np.float64) for r in got]
-    x = [np.frombuffer(r["x"], "<f2").reshape(-1, N_LINE) for r in got]
+    x = [np.frombuffer(r["x"], "<f4").reshape(-1, N_LINE) for r in got]
     first = np.concatenate([[0], np.cumsum([len(s) for s in size])]).astype(np.int64)
     y = np.array([r["y"] for r in got], np.int64)
-    return fit(first, np.concatenate(size) if size else np.zeros(0), np.concatenate(x).astype(np.float32) if x else np.zeros((0, N_LINE), np.float32), y)
+    return fit(first, np.concatenate(size) if size else np.zeros(0), np.concatenate(x) if x else np.zeros((0, N_LINE), np.float32), y)
 
 
 def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
