@@ -9,8 +9,8 @@ with the word before it) don't count. The weights' sum, each word's repeats damp
 slowly growing function of the text's length and becomes a probability.
 
 Lexicon, exceptions and the two numbers of the last step are learned from labelled rows, at most
-LABELLED of them (those with the smallest hash of their id), copies of a text counting once; the
-lexicon has at most ENTRIES entries.
+LABELLED of them (those with the smallest hash of their id), copies of a text counting once; these
+rows bound the lexicon, which has as many entries as they speak for.
 Texts that are null, empty or without letters score as a text without hits. Repeated rows score
 alike. With no labelled rows of either kind nothing is learned and every text gets the same score.
 An empty table gives an empty result; extra columns are kept only where rows are passed on.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from matchloom.session import Scratch
 
-#: Labelled rows that are learned from at most, and entries of the lexicon at most.
-LABELLED, ENTRIES = 20_000, 5_000
+#: Labelled rows that are learned from at most.
+LABELLED = 20_000
 #: Lengths of the word beginnings that can become entries.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -87,6 +87,17 @@ def patterns(folded: str) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
 
 
+def word_before(text: str, at: int) -> str:
+    """What stands between the white space before `at` and the white space before that."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end]
+
+
 class Lexicon:
     def __init__(self, weights: dict[str, float], exceptions: set[str] = frozenset(), slope: float = 1.0, offset: float = -3.0):
         import ahocorasick
@@ -112,8 +123,7 @@ class Lexicon:
             whole = end + 1 == len(folded) or not folded[end + 1].isalpha()
             for name in names:
                 if whole or name[-1] == "*":
-                    before = folded[max(0, start - 40) : start].split()
-                    yield start, name, f"{before[-1] if before else ''} {name}"
+                    yield start, name, f"{word_before(folded, start)} {name}"
 
     def found(self, read: list[str]):
         """Hits in every reading of a text."""
@@ -147,7 +157,7 @@ def weigh(counts: list[tuple[str, int, int]], positive: int, negative: int, trie
         gain = p * math.log(p / ((p + n) * base)) + (n * math.log(n / ((p + n) * (1 - base))) if n else 0)
         if gain > math.log(max(tried, 1)) + 1:
             out[name] = math.log((p + 0.5) / (n + 0.5)) - math.log(positive / negative)
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    return out
 
 
 def _count(batches):
@@ -215,12 +225,12 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     size = {r["y"]: r["count"] for r in n}
     counts = rows.mapInArrow(_count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
     tried = counts.agg(F.count("*").alias("n")).first()
-    best = counts.where(f"pos >= 3 and pos >= {PURE} * (pos + neg)").orderBy(F.desc("pos"), "neg", "name").limit(20 * ENTRIES)
+    best = counts.where(f"pos >= 3 and pos >= {PURE} * (pos + neg)")  # few, as the labelled rows are
     weights = weigh([(r["name"], r["pos"], r["neg"]) for r in best.collect()], size.get(1, 0), size.get(0, 0), tried["n"])
     exceptions: set[str] = set()
     if weights:
         phrases = rows.mapInArrow(_phrases(Lexicon(weights)), "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        exceptions = {r["phrase"] for r in phrases.where("pos = 0 and neg >= 3").orderBy(F.desc("neg"), "phrase").limit(ENTRIES).collect()}
+        exceptions = {r["phrase"] for r in phrases.where("pos = 0 and neg >= 3").collect()}
     seen = rows.mapInArrow(_raws(weights, exceptions), "raw double, y int").groupBy(F.round("raw", 2).alias("raw"), "y").count().collect()
     raw = np.repeat([r["raw"] for r in seen], [r["count"] for r in seen]).astype(float)
     y = np.repeat([r["y"] for r in seen], [r["count"] for r in seen]).astype(float)
