@@ -30,13 +30,17 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     Alternates star steps until nothing changes: a number of rounds that grows with the logarithm of
     the size, each written to the shared folder.
     """
+    steps = Scratch(scratch.spark)
     now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = scratch.keep(now, "links")
+    now = steps.keep(now, "links")
     before = now.selectExpr(*_STATE).first()
     while before["n"]:
-        now = scratch.keep(_small(_large(now)), "links")
+        last, steps = steps, Scratch(scratch.spark)
+        now = steps.keep(_small(_large(now)), "links")
+        last.clear()
         after = now.selectExpr(*_STATE).first()
         if after == before:
             break
         before = after
+    scratch.paths += steps.paths
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -70,8 +70,10 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def keep(self, df, name: str):
+        """df written and read back; the shuffle files of what made it can go."""
         df, path = materialise(self.spark, df, name)
         self.paths.append(path)
+        release(self.spark)
         return df
 
     def clear(self) -> None:
