@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
-from matchloom.llm.components import components
-from matchloom.session import Scratch, release
+from matchloom.operators.components import components
+from matchloom.session import Scratch
 
 PERCENT = 90
 #: Nodes and, about, shingles in a block.
@@ -211,7 +211,7 @@ def _describe(n: int, slots: int, word_slots: int):
             at = [p for p in range(0, len(table), PIECE) if table[p : p + PIECE].any()]
             for part in (at[i : i + 1024] for i in range(0, len(at), 1024)):
                 k = len(part)
-                small = [np.minimum(table[p : p + PIECE], 255).astype(np.uint8).tobytes() for p in part]
+                small = [pa.compress(np.minimum(table[p : p + PIECE], 255).astype(np.uint8).tobytes(), "zstd", asbytes=True) for p in part]
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array([base + p // PIECE for p in part], pa.int32()), pa.array(small, pa.binary())], schema=schema)
 
     return run
@@ -219,14 +219,13 @@ def _describe(n: int, slots: int, word_slots: int):
 
 def _summed(table: pa.Table) -> np.ndarray:
     total = np.zeros(PIECE, np.uint32)
-    for x in table.column("counts"):
-        raw = np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) <= PIECE else np.uint32)
-        total[: len(raw)] += raw
+    for x, wide in zip(table.column("counts"), table.column("wide").to_pylist()):
+        total += np.frombuffer(pa.decompress(x.as_buffer(), PIECE * (4 if wide else 1), "zstd"), np.uint32 if wide else np.uint8)
     return total
 
 
 def _add(key, table):
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_summed(table).tobytes()], pa.binary())})
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pa.compress(_summed(table).tobytes(), "zstd", asbytes=True)], pa.binary()), "wide": pa.array([True])})
 
 
 def _grade(shingle_pieces: int, usual: float):
@@ -246,7 +245,8 @@ def _grade(shingle_pieces: int, usual: float):
 def _tables(counted: DataFrame, slots: int, word_slots: int, shingles: int) -> tuple[np.ndarray, np.ndarray]:
     """Grades of all slots of shingles and of words."""
     schema = "piece int, counts binary"
-    halfway = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("piece", "salt").applyInArrow(_add, schema)
+    salted = counted.withColumns({"wide": F.lit(False), "salt": F.expr("spark_partition_id() div 16")})
+    halfway = salted.groupBy("piece", "salt").applyInArrow(_add, schema + ", wide boolean")
     total = np.zeros(slots + word_slots, np.uint8)
     for r in halfway.groupBy("piece").applyInArrow(_grade(slots // PIECE, 2 * shingles / slots + 8), schema).toLocalIterator():  # the tables' size, whatever the input's
         total[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counts"], np.uint8)
@@ -379,33 +379,29 @@ class _Join:
         shingles = self.rows.agg(F.sum("size").alias("n")).first()["n"] or 0
         tables = self.spark.sparkContext.broadcast(_tables(told.where("piece is not null").select("piece", "counts"), slots, word_slots, shingles))
         self.lists = scratch.keep(docs.select(F.col(text)).mapInArrow(_short_lists(n, tables, percent), _LISTS), "short-lists")
-        release(self.spark)
         flat = self.lists.select("node", "size", F.explode("postings").alias("p")).select("node", "size", "p.at", "p.key")
         shared = scratch.keep(flat.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared-lists")
-        release(self.spark)
-        posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).dropDuplicates(["key", "node"])
-        self.posted = scratch.keep(posted.join(shared, "key").select("key", "node", "size", "at"), "postings")
-        release(self.spark)
+        posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).join(shared, "key").dropDuplicates(["key", "node"])
+        self.posted = scratch.keep(posted.select("key", "node", "size", "at", F.col("node").alias("comp"), F.lit(True).alias("moved")), "postings")
         self.sketches = self.lists.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in range(8)]).dropDuplicates(["node"])
         self.sketches = scratch.keep(self.sketches.join(self.posted.select("node").distinct(), "node"), "sketches")
-        self.links, self.roots, self.left = None, self.spark.createDataFrame([], "node long, root long"), self.posted
+        self.links, self.roots, self.left = None, None, self.posted
 
     def mixed(self) -> DataFrame:
-        """The postings of lists that hold several components: key, node, size, at, comp."""
-        named = self.left.select("key", "node", "size", "at").join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        self.left = self.scratch.keep(named.join(keys, "key", "left_semi").select("key", "node", "size", "at", "comp"), "mixed-postings")  # what is one component stays one
+        """The postings of lists that hold several components: key, node, size, at, comp, and whether the list's components have changed."""
+        if self.roots is not None:
+            named = self.left.withColumnRenamed("comp", "old").drop("moved").join(self.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+            keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bool_or(F.col("comp") != F.col("old")).alias("moved")).where("x <> y").select("key", "moved")
+            self.left = self.scratch.keep(named.join(keys, "key").select("key", "node", "size", "at", "comp", "moved"), "mixed-postings")  # what is one component stays one
         return self.left
 
     def add(self, links: DataFrame) -> bool:
         """Takes links in; whether there were any."""
         links = self.scratch.keep(links, "links")
-        release(self.spark)
         if links.isEmpty():
             return False
         self.links = links if self.links is None else self.links.unionByName(links)
         self.roots = self.scratch.keep(components(self.links, self.scratch), "roots")
-        release(self.spark)
         return True
 
     def searched(self, asked: DataFrame) -> DataFrame:
@@ -457,31 +453,33 @@ class _Join:
         asking = sized.select(F.col("a").alias("block"), "part", F.col("a").alias("node"), F.col("a_comp").alias("comp"), F.lit(True).alias("asks")).distinct()
         return others.unionByName(asking)
 
+    def sketched(self, postings: DataFrame) -> DataFrame:
+        return self.scratch.keep(postings.join(self.sketches, "node"), "sketched")
+
     def stand_ins(self, left: DataFrame) -> DataFrame:
-        """Candidates among one node of each component of a list, another one in each list."""
-        one = F.min_by(F.struct(*[c for c in left.columns if c not in ("key", "comp")]), F.xxhash64("node", "key"))
-        some = self.scratch.keep(left.groupBy("key", "comp").agg(one.alias("r")).select("key", "comp", "r.*"), "stand-ins")
+        """Candidates among one node of each component of a list, another one in each list; lists that haven't changed since give the same and are left out."""
+        one = F.min_by(F.struct("node", "size", "at"), F.xxhash64("node", "key"))
+        some = self.sketched(left.where("moved").groupBy("key", "comp").agg(one.alias("r")).select("key", "comp", "r.*"))
         return self.candidates(some, some, F.col("x.node") > F.col("y.node"))
 
     def everybody(self, left: DataFrame) -> DataFrame:
-        """Candidates among all nodes; those of a list's largest component needn't meet each other."""
-        per = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-        return self.candidates(left, left.join(per, "key").where("comp <> main").drop("main"), F.lit(True))
+        """Candidates among all nodes; those of a list's largest component needn't meet each other. Where every component has one node, it stood for itself."""
+        per = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).where("m.n > 1").select("key", F.col("m.comp").alias("main"))
+        all_ = self.sketched(left.join(per, "key"))
+        return self.candidates(all_, all_.where("comp <> main"), F.lit(True))
 
     def run(self) -> None:
         for _ in range(BLOCK_TURNS):
             if not self.add(self.searched(self.by_first_list(self.mixed()))):
                 break
-        tested, found, left = None, True, None
+        tested, found, left = None, True, self.posted
         for choose in [self.stand_ins] * STAND_IN_TURNS + [self.everybody]:
             if choose == self.stand_ins and not found:
                 continue  # what stands for others links with nothing more
             if found:
-                left = self.scratch.keep(self.mixed().join(self.sketches, "node"), "sketched")
-                release(self.spark)
+                left = self.mixed() if tested is not None else self.mixed().withColumn("moved", F.lit(True))
             pairs = choose(left)
             pairs = self.scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-            release(self.spark)
             found = not pairs.isEmpty() and self.add(self.searched(self.among_candidates(pairs)))
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
 
@@ -493,7 +491,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = P
     """
     join = _Join(docs, scratch, n, percent, doc_id, text)
     join.run()
-    return join.rows, join.roots
+    return join.rows, join.roots if join.roots is not None else docs.sparkSession.createDataFrame([], "node long, root long")
 
 
 def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, Scratch]:
@@ -502,7 +500,6 @@ def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> t
     rows, roots = link_classes(docs, scratch, n, percent, doc_id, text)
     named = result.keep(rows.join(roots, "node", "left").select("doc_id", "check", "size", F.coalesce("root", "node").alias("comp")), "classes")
     scratch.clear()
-    release(docs.sparkSession)
     return named, result
 
 
