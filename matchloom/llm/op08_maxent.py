@@ -1,20 +1,25 @@
 """Operator 8: language-model scores by a hashed maximum-entropy model.
 
 Tokens are words (runs of what isn't ASCII white space, A-Z folded) and one end a document. A word's
-hash names its class and its place among the class's members; a softmax over classes and one over the
-members of the class, both over hashed features (the word before, the one before that as a skip, both
-together, and a constant), give a bucket's probability, and within its bucket a word has its smoothed
+hash names its bucket; the softmax over buckets is factored into levels of classes, each level a
+softmax over the two classes that a class divides into, with hashed features: a constant of the class,
+the word before, the one before that as a skip, and both together. Within its bucket a word has its smoothed
 share of the training counts, unseen words one share together as in the base. Probabilities of all
-known words and one unknown word sum to 1.
+known words and one unknown word a bucket sum to 1.
+
+The model grows with the corpus: a level for each doubling of the vocabulary (WORDS words a bucket)
+and weights in proportion to the training tokens (one for TOKENS of them), up to MOST_WEIGHTS, which bounds what is broadcast.
 
 Counts are exact and cover all training documents: each unit of scanned documents sends its distinct
 words with their counts, packed, to the range that their hash is in, and gets them back with the
 corpus's counts, so a frequent word costs one entry a unit. Weights are trained in ROUNDS rounds over
-disjoint shares of all training documents; each task takes gradient steps from the last weights and
-the changes are averaged, weighted by tokens. Scoring is in sparse numpy batches.
+disjoint shares of all training documents; each task takes gradient steps from the last weights and a
+weight's changes are averaged over the tasks that moved it. A task reads several times what it sends.
+Scoring is in sparse numpy batches.
 
-Null and empty texts have one token, the end. Repeated rows all count and all score. Without training
-documents every count is 0 and the base is that of an empty corpus. Extra columns are ignored.
+Null and empty texts have one token, the end. A text of any length is scored whole. Repeated rows all
+count and all score. Without training documents every count is 0 and the base is that of an empty
+corpus. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,18 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
-from matchloom.session import materialise
+from matchloom.session import Scratch, release
 
-#: Classes and members of each; slots for features of classes and, with the class, of members.
-CLASSES, MEMBERS = 32, 32
-CLASS_SLOTS, MEMBER_SLOTS = 1 << 14, 1 << 15
-ROUNDS, BATCH, RATE = 4, 8_192, 0.1
+#: Levels at least and at most, distinct training words a bucket, training tokens a weight, weights at least and at most.
+LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 1024, 8, 1 << 21, 1 << 23
+ROUNDS, BATCH, RATE = 2, 4_096, 0.1
+#: Training tasks of a round at least; bytes of text that a task reads for a byte that it sends.
+TASKS, READ_FOR_SENT = 6, 8
 #: Tokens after which a unit of documents is closed; weights in a piece on their way to the sum.
 UNIT_TOKENS, PIECE = 4_000_000, 1 << 14
 
 _END = np.uint64(0x5851F42D4C957F2D)
-_BUCKETS = CLASSES * MEMBERS
-_SIZE = CLASS_SLOTS * CLASSES + MEMBER_SLOTS * MEMBERS
+#: Buckets of the finest level.
+_FINE = 1 << MOST_DEPTH
 
 
 def tokens(column: pa.Array):
@@ -53,12 +59,8 @@ def tokens(column: pa.Array):
     return h, first
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 10)).astype(np.int64)
-
-
-def _slot(x: np.ndarray, slots: int) -> np.ndarray:
-    return (words.mix(x) >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.uint16)  # radix-sorted where sorted
+def bucket(h: np.ndarray, depth: int = MOST_DEPTH) -> np.ndarray:
+    return (h >> np.uint64(64 - depth)).astype(np.int64)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -78,7 +80,7 @@ def _counts_type(x: np.ndarray):
 
 
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of each token's features: constant, word before, word before that, both."""
+    """Hashes of each token's features besides the constant: word before, word before that, both."""
     n = len(h)
     one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     one[1:] = h[:-1]
@@ -89,120 +91,113 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     later = begins + 1
     two[later[later < first[1:]]] = 0
     k = np.uint64(0x9FB21C651E98DF25)
-    return np.stack([np.full(n, 1, np.uint64), one * k + np.uint64(2), two * k + np.uint64(3), (one * k ^ two) * k + np.uint64(4)])
+    found = np.stack([one * k + np.uint64(2), two * k + np.uint64(3), (one * k ^ two) * k + np.uint64(4)])
+    return (words.mix(found) >> np.uint64(32)).astype(np.uint32)
+
+
+def shape(tokens: int, vocabulary: int) -> tuple[int, int]:
+    """(levels, weights) for a corpus of so many training tokens and distinct training words."""
+    log2 = lambda x: int(np.ceil(np.log2(max(1, x))))
+    return int(np.clip(log2(vocabulary / WORDS), LEAST_DEPTH, MOST_DEPTH)), 1 << int(np.clip(log2(tokens / TOKENS), LEAST_WEIGHTS.bit_length() - 1, MOST_WEIGHTS.bit_length() - 1))
 
 
 class Model:
-    """Two tables of weights; their sum over a token's features is added to the log prior."""
-
-    def __init__(self, prior: np.ndarray, flat: np.ndarray | None = None):
-        flat = np.zeros(_SIZE, np.float32) if flat is None else flat
-        self.top = flat[: CLASS_SLOTS * CLASSES].reshape(CLASS_SLOTS, CLASSES)
-        self.low = flat[CLASS_SLOTS * CLASSES :].reshape(MEMBER_SLOTS, MEMBERS)
-        share = (prior + 1.0).reshape(CLASSES, MEMBERS)
-        self.top_prior = np.log(share.sum(1) / share.sum()).astype(np.float32)
-        self.low_prior = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
-
-    def _softmax(self, table, slots, prior):
-        z = prior + table[slots[0]]
-        for s in slots[1:]:
-            z += table[s]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
-
-    def parts(self, feats, b):
-        """Slots and probabilities of both softmaxes, and the class and member of each token."""
-        c, m = b // MEMBERS, b % MEMBERS
-        top = [_slot(f, CLASS_SLOTS) for f in feats]
-        low = [_slot(f + (c.astype(np.uint64) + np.uint64(17)) * np.uint64(0xD6E8FEB86659FD93), MEMBER_SLOTS) for f in feats]
-        return c, m, top, low, self._softmax(self.top, top, self.top_prior), self._softmax(self.low, low, self.low_prior[c])
+    """Hashed weights, then a constant for each class; their sum is added to the log odds of the class's halves."""
+
+    def __init__(self, prior: np.ndarray, weights: int, flat: np.ndarray | None = None):
+        self.depth = len(prior).bit_length() - 1
+        flat = np.zeros(weights + len(prior), np.float32) if flat is None else flat
+        self.table, self.constant = flat[:weights], flat[weights:]
+        tree = np.concatenate([np.zeros(len(prior)), prior + 1.0])
+        for level in range(self.depth - 1, -1, -1):
+            tree[1 << level : 2 << level] = tree[2 << level : 4 << level].reshape(-1, 2).sum(1)
+        odds = np.zeros(len(prior))
+        odds[1:] = np.log(tree[2:].reshape(-1, 2)[:, 1]) - np.log(tree[2:].reshape(-1, 2)[:, 0])
+        self.odds = odds.astype(np.float32)
+        self.names = (words.mix(np.arange(len(prior), dtype=np.uint64) + np.uint64(99)) >> np.uint64(32)).astype(np.uint32)
+        self.shift = np.uint32(32 - (weights.bit_length() - 1))
+        self.level = np.arange(self.depth)[:, None]
+
+    def path(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class at each level of each bucket, and which half of it the bucket is in."""
+        return (1 << self.level) + (b >> (self.depth - self.level)), (b >> (self.depth - 1 - self.level)) & 1
+
+    def slots(self, feats: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return (((feats[:, None, :] ^ self.names[node]) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.intp)
+
+    def log_odds(self, node: np.ndarray, at: np.ndarray) -> np.ndarray:
+        got = self.table[at]
+        return self.odds[node] + self.constant[node] + got[0] + got[1] + got[2]
 
     def log10(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 P of each token's bucket."""
-        feats, b = features(h, first), bucket(h)
+        feats, b = features(h, first), bucket(h, self.depth)
         out = np.empty(len(h))
         for k in range(0, len(h), BATCH):
-            c, m, _, _, p, q = self.parts(feats[:, k : k + BATCH], b[k : k + BATCH])
-            rows = np.arange(len(c))
-            out[k : k + BATCH] = np.log10(p[rows, c]) + np.log10(q[rows, m])
+            node, half = self.path(b[k : k + BATCH])
+            z = self.log_odds(node, self.slots(feats[:, k : k + BATCH], node))
+            out[k : k + BATCH] = -np.logaddexp(0, np.where(half == 1, -z, z)).sum(0) / np.log(10)
         return out
 
-
-def _descend(table, gain, slots, delta):
-    """One step on the rows that a batch's features use, each with its own falling rate."""
-    at = np.concatenate(slots)
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-    rows = sorted_at[starts]
-    g = np.add.reduceat(delta[order % len(delta)], starts, axis=0)
-    rows = rows.astype(np.int64)
-    gain[rows] += (g * g).mean(1)
-    table[rows] -= (RATE / np.sqrt(gain[rows]))[:, None] * g
-
-
-def _piece_rows(flat: np.ndarray, weight: float):
-    for k in range(0, len(flat), PIECE):
-        part = flat[k : k + PIECE]
-        if part.any():
-            yield k // PIECE, weight, part.astype("<f2").tobytes()
+    def descend(self, feats: np.ndarray, b: np.ndarray, gains: tuple[np.ndarray, np.ndarray]) -> None:
+        """One step on a batch, each weight with its own falling rate."""
+        node, half = self.path(b)
+        at = self.slots(feats, node)
+        wrong = (1 / (1 + np.exp(-self.log_odds(node, at))) - half).astype(np.float32)
+        for table, gain, where, d in ((self.table, gains[0], at.reshape(-1), np.broadcast_to(wrong, at.shape).reshape(-1)), (self.constant, gains[1], node.reshape(-1), wrong.reshape(-1))):
+            np.add.at(gain, where, d * d)
+            np.subtract.at(table, where, np.float32(RATE) * d / np.sqrt(gain[where]))
 
 
-_PIECES = pa.schema([("piece", pa.int32()), ("weight", pa.float64()), ("sum", pa.binary())])
+_PIECES = pa.schema([("piece", pa.int32()), ("scale", pa.float64()), ("sum", pa.binary()), ("moved", pa.binary())])
 
 
-def _train(prior, weights):
+def _train(prior, weights, sent):
     def run(batches):
-        flat = weights.value.copy()
-        model = Model(prior, flat)
-        gains = np.ones(CLASS_SLOTS, np.float32), np.ones(MEMBER_SLOTS, np.float32)
-        seen = 0
+        flat = sent.value.copy()
+        model = Model(prior, weights, flat)
+        gains = np.ones(weights, np.float32), np.ones(len(prior), np.float32)
         for b in batches:
             h, first = tokens(b.column(0))
-            feats, names = features(h, first), bucket(h)
+            feats, names = features(h, first), bucket(h, model.depth)
             for k in range(0, len(h), BATCH):
-                c, m, top, low, p, q = model.parts(feats[:, k : k + BATCH], names[k : k + BATCH])
-                rows = np.arange(len(c))
-                p[rows, c] -= 1
-                q[rows, m] -= 1
-                _descend(model.top, gains[0], top, p)
-                _descend(model.low, gains[1], low, q)
-            seen += len(h)
-        found = list(_piece_rows(flat - weights.value, float(seen))) if seen else []
-        found.append((-1, float(seen), b""))
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(_PIECES.types)], schema=_PIECES)
+                model.descend(feats[:, k : k + BATCH], names[k : k + BATCH], gains)
+        for k in range(0, len(flat), PIECE):
+            part = flat[k : k + PIECE] - sent.value[k : k + PIECE]
+            scale = float(np.abs(part).max()) / 127  # changes go as bytes
+            if scale:
+                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([scale]), pa.array([np.rint(part / scale).astype(np.int8).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], schema=_PIECES)
 
     return run
 
 
 def _sum_pieces(key, table):
-    """Changes of a piece, each weighted by the tokens that made it."""
-    total, weights = np.zeros(PIECE, np.float64), table.column("weight").to_numpy()
-    for x, w in zip(table.column("sum"), weights):
-        part = np.frombuffer(x.as_buffer(), "<f2" if len(x.as_buffer()) <= 2 * PIECE else "<f4")
-        total[: len(part)] += part * (w if part.dtype == np.dtype("<f2") else 1.0)
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([float(weights.sum())]), "sum": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+    """Changes of a piece, and how many tasks moved each weight of it."""
+    total, moved = np.zeros(PIECE, np.float32), np.zeros(PIECE, np.uint32)
+    for scale, x, n in zip(table.column("scale").to_pylist(), table.column("sum"), table.column("moved")):
+        part = np.frombuffer(x.as_buffer(), np.int8 if n.as_py() is None else "<f4")
+        total[: len(part)] += part * np.float32(scale)
+        moved[: len(part)] += part != 0 if n.as_py() is None else np.frombuffer(n.as_buffer(), "<u4")[: len(part)]
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "scale": pa.array([1.0]), "sum": pa.array([total.astype("<f4").tobytes()], pa.binary()), "moved": pa.array([moved.astype("<u4").tobytes()], pa.binary())})
 
 
-def train(rows: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after all rounds. rows: share (0 to rounds - 1) and text of the training documents."""
+def train(rows: DataFrame, prior: np.ndarray, weights: int, size: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after all rounds. rows: share (0 to rounds - 1) and text of the training documents, of `size` bytes."""
     context = rows.sparkSession.sparkContext
-    flat = np.zeros(_SIZE, np.float32)
-    ddl = "piece int, weight double, sum binary"
+    flat = np.zeros(weights + len(prior), np.float32)
+    ddl = "piece int, scale double, sum binary, moved binary"
+    tasks = max(TASKS, size // (rounds * READ_FOR_SENT * weights))
     for r in range(rounds):
         sent = context.broadcast(flat)
-        pieces = rows.where(F.col("share") == r).select("t").mapInArrow(_train(prior, sent), ddl)
+        pieces = rows.where(F.col("share") == r).select("t").coalesce(tasks).mapInArrow(_train(prior, weights, sent), ddl)
         halfway = pieces.withColumn("salt", F.expr("spark_partition_id() div 16")).groupBy("piece", "salt").applyInArrow(_sum_pieces, ddl)
-        change, seen = np.zeros(_SIZE, np.float32), 0.0
+        flat = flat.copy()
         for row in halfway.groupBy("piece").applyInArrow(_sum_pieces, ddl).toLocalIterator():  # as many as the weights have pieces
-            if row["piece"] < 0:
-                seen = row["weight"]
-            else:
-                at = row["piece"] * PIECE
-                change[at : at + PIECE] += np.frombuffer(row["sum"], "<f4")[: _SIZE - at]
-        flat = flat + change / max(seen, 1.0)
+            at = slice(row["piece"] * PIECE, min(len(flat), (row["piece"] + 1) * PIECE))
+            total, moved = np.frombuffer(row["sum"], "<f4"), np.frombuffer(row["moved"], "<u4")
+            flat[at] += (total / np.maximum(moved, 1))[: at.stop - at.start]
+        sent.unpersist()
+        release(rows.sparkSession)
     return flat
 
 
@@ -220,24 +215,21 @@ def _row(**given) -> pa.RecordBatch:
 
 
 def _stage(ranges: int):
-    """doc_id, held out, text -> rows of documents with their words' places in the unit's vocabulary, rows of that vocabulary, rows of bucket sums."""
+    """doc_id, held out, text -> rows of documents with their words' places in the unit's vocabulary, rows of that vocabulary."""
 
     def run(batches):
         unit, held_tokens, pending = TaskContext.get().partitionId() << 20, 0, []
-        sums = np.zeros(_BUCKETS, np.int64)
 
         def close():
-            nonlocal sums
             h = np.concatenate([p[0] for p in pending])
             train = np.concatenate([np.repeat(~p[2], np.diff(p[1])) for p in pending])
             vocab, ids = np.unique(h, return_inverse=True)
             n = np.bincount(ids, weights=train, minlength=len(vocab)).astype(np.int64)
-            sums += np.bincount(bucket(vocab), weights=n, minlength=_BUCKETS).astype(np.int64)
             order = np.argsort(-n, kind="stable")  # frequent words get small places
             place = np.empty(len(vocab), np.int64)
             place[order] = np.arange(len(vocab))
             ids, at = place[ids].astype("<u4"), 0
-            where = (bucket(vocab) * ranges) // _BUCKETS if ranges <= _BUCKETS else ((vocab >> np.uint64(44)).astype(np.int64) * ranges) >> 20
+            where = (bucket(vocab) * ranges) // _FINE
             edges = np.searchsorted(where, np.arange(ranges + 1))
             for r in range(ranges):
                 a, b = edges[r], edges[r + 1]
@@ -258,27 +250,38 @@ def _stage(ranges: int):
                 unit, held_tokens, pending = unit + 1, 0, []
         if pending:
             yield from close()
-        yield _row(unit=-1, n=sums.astype("<i8").tobytes())
 
     return run
 
 
-_COUNTED = "unit long, idx binary, hash binary, n binary, known binary"
+_COUNTED = "unit long, range int, idx binary, hash binary, n binary, known binary, tokens binary"
 
 
-def _count(key, table):
-    """One range of hashes: the corpus's count of each unit's words and, once, how many known words each bucket has."""
-    hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("hash")]
-    n = np.concatenate([_unpack(x.as_buffer()) for x in table.column("n")]).astype(np.int64)
-    vocab, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    c = np.bincount(at, weights=n, minlength=len(vocab)).astype(np.int64)
-    known = np.bincount(bucket(vocab), weights=c > 0, minlength=_BUCKETS).astype("<u4")
-    counts = [_pack(x.astype(_counts_type(c))) for x in np.split(c[at], np.cumsum([len(h) for h in hashes])[:-1])]
-    once = [_pack(known)] + [None] * (len(hashes) - 1)
-    return pa.table({"unit": table.column("unit"), "idx": table.column("idx"), "hash": table.column("hash"), "n": pa.array(counts, pa.binary()), "known": pa.array(once, pa.binary())})
+def _bounds(r: int, ranges: int) -> tuple[int, int]:
+    """The finest buckets of a range."""
+    return -(-r * _FINE // ranges), -(-(r + 1) * _FINE // ranges)
 
 
-def _score(prior, known_in, weights):
+def _count(ranges: int):
+    def run(key, table):
+        """One range of hashes: the corpus's count of each unit's words and, once, known words and tokens of each of its finest buckets."""
+        hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("hash")]
+        n = np.concatenate([_unpack(x.as_buffer()) for x in table.column("n")]).astype(np.int64)
+        vocab, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        c = np.bincount(at, weights=n, minlength=len(vocab)).astype(np.int64)
+        low, high = _bounds(key[0].as_py(), ranges)
+        each = [np.bincount(bucket(vocab) - low, weights=w, minlength=high - low).astype("<u8") for w in (c > 0, c)]
+        counts = [_pack(x.astype(_counts_type(c))) for x in np.split(c[at], np.cumsum([len(h) for h in hashes])[:-1])]
+        known, tokens_ = ([_pack(x)] + [None] * (len(hashes) - 1) for x in each)
+        return pa.table({
+            "unit": table.column("unit"), "range": table.column("range"), "idx": table.column("idx"), "hash": table.column("hash"), "n": pa.array(counts, pa.binary()),
+            "known": pa.array(known, pa.binary()), "tokens": pa.array(tokens_, pa.binary()),
+        })
+
+    return run
+
+
+def _score(prior, known_in, weights, sent):
     total, vocabulary = int(prior.sum()), int(known_in.sum())
 
     def run(key, docs, known):
@@ -287,8 +290,8 @@ def _score(prior, known_in, weights):
         for i, x, n in zip(*(known.column(k) for k in ("idx", "hash", "n"))):
             at = _unpack(i.as_buffer())
             h[at], c[at] = np.frombuffer(x.as_buffer(), "<u8"), _unpack(n.as_buffer())
-        within = np.log10((c + 0.5) / (prior + 0.5 * (known_in + 1.0))[bucket(h)])  # a word's share of its bucket
-        model = Model(prior, weights.value)
+        model = Model(prior, weights, sent.value)
+        within = np.log10((c + 0.5) / (prior + 0.5 * (known_in + 1.0))[bucket(h, model.depth)])  # a word's share of its bucket
         base = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for d, held, lens, raw in zip(*(docs.column(k) for k in ("docs", "held", "lens", "ids"))):
@@ -317,19 +320,21 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     ranges = int(np.clip(size // (24 << 20), 4, 1 << 16))
     asked = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    staged, _ = materialise(spark, asked.mapInArrow(_stage(ranges), _STAGED), "units")
-    prior = np.zeros(_BUCKETS, np.int64)
-    for row in staged.where("unit = -1").select("n").toLocalIterator():  # 8 KB a task
-        prior += np.frombuffer(row["n"], "<i8")
-    share = F.pmod(F.xxhash64("d", F.octet_length("t")), F.lit(ROUNDS))
-    weights = spark.sparkContext.broadcast(train(asked.where("not held").select(share.alias("share"), "t"), prior))
+    result = Scratch(spark)
+    staged = result.keep(asked.mapInArrow(_stage(ranges), _STAGED), "units")
     vocab = staged.where("range is not null").select("unit", "range", "idx", "hash", "n")
-    counted, _ = materialise(spark, vocab.groupBy("range").applyInArrow(_count, _COUNTED), "counts")
-    known_in = np.zeros(_BUCKETS, np.int64)
-    for row in counted.where("known is not null").select("known").toLocalIterator():  # one a range
-        known_in += _unpack(row["known"]).astype(np.int64)
+    counted = result.keep(vocab.groupBy("range").applyInArrow(_count(ranges), _COUNTED), "counts")
+    prior, known_in = np.zeros(_FINE, np.int64), np.zeros(_FINE, np.int64)
+    for row in counted.where("known is not null").select("range", "known", "tokens").toLocalIterator():  # a slice of the finest buckets a range
+        at = slice(*_bounds(row["range"], ranges))
+        known_in[at], prior[at] = _unpack(row["known"]), _unpack(row["tokens"])
+    depth, weights = shape(int(prior.sum()), int(known_in.sum()))
+    prior, known_in = (x.reshape(1 << depth, -1).sum(1) for x in (prior, known_in))
+    release(spark)
+    share = F.pmod(F.xxhash64("d", F.octet_length("t")), F.lit(ROUNDS))
+    sent = spark.sparkContext.broadcast(train(asked.where("not held").select(share.alias("share"), "t"), prior, weights, size))
     pages = staged.where("docs is not null").select("unit", "docs", "held", "lens", "ids").groupBy("unit")
-    run = _score(prior, known_in, weights)
+    run = _score(prior, known_in, weights, sent)
     return pages.cogroup(counted.select("unit", "idx", "hash", "n").groupBy("unit")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
