@@ -1,16 +1,21 @@
 """Operator 9: personal data by a character-level bidirectional LSTM with CRF transitions.
 
 Four kinds of spans have an exact base: e-mail addresses, IP addresses, card numbers and phone
-numbers by pattern and check. The tagger is trained in numpy on such spans (the labels) of at most
-LABELLED documents, those with the smallest hash of their id, and on variants of them that the
-patterns miss (a phone number without its plus, other separators). It reads every stretch of text
-that can hold personal data of these kinds, that is with an @ or with four digits or more, in
-windows that overlap; the windows' marginals are averaged, nearer to a window's middle counting
-more, one path is decoded over the whole stretch, and its spans are added where they pass a check of
-their kind and touch no base span. Base spans always stay.
+numbers by pattern and check; a fifth, secrets (keys and tokens), is only the tagger's. The tagger is
+trained in numpy on labelled spans of at most LABELLED documents (those with the smallest hash of their
+id): base spans, assigned keys, and both written in ways that no pattern here matches (FORMS). WINDOWS
+bounds the windows that are learned from, by a hash of document and place: a third hold a labelled span,
+a third digits or an @ without one, a third neither.
+
+Every text is read whole, in windows that overlap. Where windows overlap their emissions are averaged,
+nearer to a window's middle counting more, and one path is decoded over each stretch in which any place
+could leave the tag of none (elsewhere transitions can't make up for it, so the path is known). A span
+is added if the tags' posteriors are SURE of it on average, its number is valid (Luhn, length, parts up
+to 255) and it touches no base span. Base spans always stay; no pattern decides on added ones.
 
 Null and empty texts have no spans. Repeated rows find the same. With no labelled spans at all nothing
-is added. Offsets are code points. Extra columns are ignored unless named in `keep`.
+is added. Offsets are code points. An empty table gives an empty result. Extra columns are ignored
+unless named in `keep`; one that is named like a result column is an error.
 """
 
 from __future__ import annotations
@@ -24,18 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that are learned from at most, and windows.
-LABELLED, WINDOWS = 20_000, 4_000
-#: Characters in a window, from one to the next, and around what calls for one.
-WINDOW, STRIDE, AROUND = 64, 32, 24
-HIDDEN, STEPS = 16, 350
+LABELLED, WINDOWS = 20_000, 6_000
+#: Characters in a window, that two windows share, and in a window that is learned from.
+WINDOW, SHARED, LEARNED = 384, 32, 96
+HIDDEN, STEPS = 10, 600
+SURE = 0.8
 KINDS = ("email", "ip", "card", "phone")
+TAGGED = (*KINDS, "secret")
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_CALLS = re.compile(r"[0-9@]")
+_SECRET = re.compile(r"(?i)(?:token|secret|key|password)\s*[:=]+\s*[\"']?([A-Za-z0-9/+_-]{16,})")
+_HARD = re.compile(r"[0-9@]")
 
 #: Signs that are a symbol of their own to the tagger.
 _SIGNS = "@._%+-() \n,:;/\"'=<>[]#*|&"
@@ -84,25 +92,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text that can hold personal data, with what is around."""
-    out, first, last, n, sign = [], -1, -1, 0, False
-
-    def close():
-        if n >= 4 or sign:
-            out.append((max(0, first - AROUND), min(len(text), last + 1 + AROUND)))
-
-    for m in _CALLS.finditer(text):
-        at = m.start()
-        if first >= 0 and at - last > 2 * AROUND:
-            close()
-            first, n, sign = at, 0, False
-        if first < 0:
-            first = at
-        last, n, sign = at, n + 1, sign or m[0] == "@"
-    if first >= 0:
-        close()
-    return out
+def labelled_spans(text: str) -> list[tuple[int, int, int]]:
+    """Base spans, and what is assigned to a name of secrets."""
+    base = base_spans(text)
+    more = [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)]
+    return sorted(base + [x for x in more if all(x[2] <= a or e <= x[0] for a, _, e in base)])
 
 
 def symbols(text: str) -> np.ndarray:
@@ -117,14 +111,24 @@ def symbols(text: str) -> np.ndarray:
     return out
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _gate(z):
+    """Piecewise linear sigmoid."""
+    z *= 0.2
+    z += 0.5
+    np.maximum(z, 0, out=z)
+    return np.minimum(z, 1, out=z)
+
+
+def _bent(x):
+    """Piecewise linear hyperbolic tangent."""
+    x = np.maximum(x, -1)
+    return np.minimum(x, 1, out=x)
 
 
 class Tagger:
-    """A bidirectional LSTM over symbols with a linear-chain CRF over five tags (0: none)."""
+    """A bidirectional LSTM over symbols, with piecewise linear gates, and a linear-chain CRF over the kinds' tags (0: none)."""
 
-    TAGS = len(KINDS) + 1
+    TAGS = len(TAGGED) + 1
 
     def __init__(self, hidden: int = HIDDEN, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -132,36 +136,45 @@ class Tagger:
         self.p = {"out": r.normal(0, 0.3, (2 * h, t)), "bias": np.zeros(t), "pair": np.zeros((t, t))}
         for d in "fb":
             gate = np.zeros(4 * h)
-            gate[h : 2 * h] = 1.0  # what is forgotten, at first little
+            gate[h : 2 * h] = 1.5  # what is forgotten, at first little
             self.p |= {f"x{d}": r.normal(0, 0.5, (_ALPHABET, 4 * h)), f"h{d}": r.normal(0, 1 / np.sqrt(h), (h, 4 * h)), f"g{d}": gate}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def _run(self, ids, d, keep):
-        """Hidden states (batch, time, hidden) in one direction, and what the way back needs."""
-        n, t = ids.shape
+        """Hidden states (time, batch, hidden) in one direction, and what the way back needs. ids: (time, batch)."""
+        t, n = ids.shape
         size = self.p[f"h{d}"].shape[0]
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-        x = self.p[f"x{d}"][ids] + self.p[f"g{d}"]
-        out, kept = np.zeros((n, t, size), np.float32), []
+        dtype = self.p["out"].dtype
+        h, c = np.zeros((n, size), dtype), np.zeros((n, size), dtype)
+        x = self.p[f"x{d}"] + self.p[f"g{d}"]
+        out, kept = np.zeros((t, n, size), dtype), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            z = x[:, k] + h @ self.p[f"h{d}"]
-            gates = _sigmoid(z[:, : 3 * size])
+            z = x[ids[k]]
+            z += h @ self.p[f"h{d}"]
+            gates = _gate(z[:, : 3 * size].copy() if keep else z[:, : 3 * size])
             i, f, o = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :]
-            u = np.tanh(z[:, 3 * size :])
+            u = _bent(z[:, 3 * size :])
             before_c, before_h = c, h
-            c = f * c + i * u
-            tc = np.tanh(c)
+            c = f * c
+            c += i * u
+            tc = _bent(c)
             h = o * tc
-            out[:, k] = h
+            out[k] = h
             if keep:
                 kept.append((k, i, f, o, u, before_c, before_h, tc))
         return out, kept
 
     def emissions(self, ids, keep=False):
-        hf, kf = self._run(ids, "f", keep)
-        hb, kb = self._run(ids, "b", keep)
-        both = np.concatenate([hf, hb], 2)
-        return both @ self.p["out"] + self.p["bias"], both, (kf, kb)
+        """(batch, time, tags) for ids (batch, time)."""
+        turned = np.ascontiguousarray(ids.T)
+        hf, kf = self._run(turned, "f", keep)
+        hb, kb = self._run(turned, "b", keep)
+        size = hf.shape[2]
+        emit = hf.reshape(-1, size) @ self.p["out"][:size]
+        emit += hb.reshape(-1, size) @ self.p["out"][size:]
+        emit += self.p["bias"]
+        both = np.concatenate([hf, hb], 2).transpose(1, 0, 2) if keep else None
+        return emit.reshape(*turned.shape, -1).transpose(1, 0, 2), both, (kf, kb)
 
     def marginals(self, emit):
         """(P of each tag at each place, expected pairs, log of the sum over paths)."""
@@ -200,8 +213,9 @@ class Tagger:
             dh, dc = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
             for k, i, f, o, u, before_c, before_h, tc in reversed(steps):
                 dh = dh + part[:, k]
-                dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate([dc * u * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], 1)
+                dc = dc + dh * o * (np.abs(tc) < 1)
+                open_ = lambda g: 0.2 * ((g > 0) & (g < 1))
+                dz = np.concatenate([dc * u * open_(i), dc * before_c * open_(f), dh * tc * open_(o), dc * i * (np.abs(u) < 1)], 1)
                 gx[:, k] = dz
                 gh += before_h.T @ dz
                 dh, dc = dz @ self.p[f"h{d}"].T, dc * f
@@ -210,7 +224,7 @@ class Tagger:
             g |= {f"x{d}": table, f"h{d}": gh, f"g{d}": gx.sum((0, 1))}
         return g
 
-    def train(self, ids, tags, steps: int = STEPS, size: int = 64, rate: float = 0.02, seed: int = 11):
+    def train(self, ids, tags, steps: int = STEPS, size: int = 96, rate: float = 0.015, seed: int = 11):
         r = np.random.default_rng(seed)
         m, v = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}
         for step in range(1, steps + 1):
@@ -224,150 +238,236 @@ class Tagger:
                 self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def decode(self, score: np.ndarray) -> np.ndarray:
-        """Best path over a stretch of any length; score: log of the averaged marginals."""
-        pair = np.clip(self.p["pair"].astype(np.float64), -4, 4) * 0.5
-        best, back = score[0], np.zeros(score.shape, np.int64)
-        for k in range(1, len(score)):
-            step = best[:, None] + pair
-            back[k] = step.argmax(0)
-            best = step.max(0) + score[k]
-        path = [int(best.argmax())]
-        for k in range(len(score) - 1, 0, -1):
-            path.append(int(back[k, path[-1]]))
-        return np.array(path[::-1])
-
-
-def windows_of(start: int, end: int) -> list[int]:
-    """Where windows over a stretch begin; each has WINDOW characters (padded at the end)."""
-    return list(range(start, max(start + 1, end - WINDOW + STRIDE), STRIDE))
+    def margin(self) -> float:
+        """The most that a step between tags can gain on staying at none; a place whose tags are twice that behind none can't leave it."""
+        pair = self.p["pair"]
+        return float(max(0.0, pair.max() - pair[0, 0]))
+
+    def decode(self, emit: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best paths (stretch, time) and the posteriors of their tags; emit: (stretch, time, tags), with `size` places each."""
+        n, t, _ = emit.shape
+        emit = emit.astype(np.float64)
+        pair = self.p["pair"].astype(np.float64)
+        for k, m in enumerate(size):  # beyond a stretch's end nothing is tagged
+            emit[k, m:] = 0
+            emit[k, m:, 1:] = -1e9
+        best, back = emit[:, 0].copy(), np.zeros(emit.shape, np.int8)
+        for k in range(1, t):
+            step = best[:, :, None] + pair[None]
+            back[:, k] = step.argmax(1)
+            best = step.max(1) + emit[:, k]
+        path = np.zeros((n, t), np.int64)
+        path[:, -1] = best.argmax(1)
+        for k in range(t - 1, 0, -1):
+            path[:, k - 1] = back[np.arange(n), k, path[:, k]]
+        p = self.marginals(emit)[0]
+        return path, np.take_along_axis(p, path[:, :, None], 2)[:, :, 0]
 
 
-def padded(text: str, at: int) -> np.ndarray:
-    ids = symbols(text[at : at + WINDOW])
-    return ids if len(ids) == WINDOW else np.concatenate([ids, np.full(WINDOW - len(ids), 5)])
+def windows_of(n: int) -> list[int]:
+    """Where the windows over a text of n characters begin."""
+    return list(range(0, max(1, n - SHARED), WINDOW - SHARED)) if n else []
 
 
-_NEAR = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)
+def padded(text: str, size: int = WINDOW) -> np.ndarray:
+    ids = symbols(text[:size])
+    return ids if len(ids) == size else np.concatenate([ids, np.full(size - len(ids), 5)])
 
 
-def plausible(kind: int, text: str) -> bool:
-    """The check of an added span."""
+def valid(kind: int, text: str) -> bool:
+    """What a number of this kind must be, however it is written."""
     d = digits_of(text)
     if kind == 0:
-        left, sign, right = text.partition("@")
-        return bool(sign and left and len(right) >= 2 and not re.search(r"\s|@", left + right))
+        return sum(c.isalnum() for c in text) >= 4
     if kind == 1:
-        parts = text.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        parts = [x for x in re.split(r"[^0-9]+", text) if x]
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9]([\x20./-]?[0-9])+", text)) and 12 <= len(d) <= 19 and luhn(d)
-    return bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9/-]+[0-9]", text)) and 9 <= len(d) <= 15 and (text[0] in "+(" or len(re.findall(r"[\x20().-]+", text)) >= 2) and not all(len(x) <= 3 for x in text.split("."))
+        return 12 <= len(d) <= 19 and luhn(d)
+    if kind == 3:
+        return 9 <= len(d) <= 15
+    return sum(c.isalnum() for c in text) >= 16
+
+
+def text_emissions(texts: list[str], tagger: Tagger):
+    """(text, first place, emissions) of each stretch that can hold a span, overlapping windows averaged."""
+    need = -2 * tagger.margin()
+    places = [(d, at) for d, t in enumerate(texts) for at in windows_of(len(t))]
+    ids = [symbols(t) for t in texts]
+    cut = [ids[d][at : at + WINDOW] for d, at in places]
+    width = np.array([-(-len(x) // 32) * 32 for x in cut], np.int64)
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        for k in range(0, len(mine), 1024):
+            part = mine[k : k + 1024]
+            block = np.full((len(part), w), 5)
+            for r, i in enumerate(part.tolist()):
+                block[r, : len(cut[i])] = cut[i]
+            emit, _, _ = tagger.emissions(block)
+            live = emit[:, :, 1] > emit[:, :, 0] + need
+            for k2 in range(2, Tagger.TAGS):
+                live |= emit[:, :, k2] > emit[:, :, 0] + need
+            live &= block != 5
+            for r in np.flatnonzero(live.any(1)).tolist():
+                d, at = places[part[r]]
+                found.setdefault(d, []).append((at, emit[r, : len(cut[part[r]])]))
+    for d, parts in found.items():
+        parts.sort(key=lambda x: x[0])
+        runs: list[list[tuple[int, np.ndarray]]] = []
+        for at, e in parts:
+            if runs and at <= runs[-1][-1][0] + len(runs[-1][-1][1]):
+                runs[-1].append((at, e))
+            else:
+                runs.append([(at, e)])
+        for run in runs:
+            first, end = run[0][0], run[-1][0] + len(run[-1][1])
+            total, weight = np.zeros((end - first, Tagger.TAGS)), np.zeros((end - first, 1))
+            for at, e in run:
+                near = np.minimum(np.arange(1, len(e) + 1), np.arange(len(e), 0, -1))[:, None]
+                total[at - first : at - first + len(e)] += near * e
+                weight[at - first : at - first + len(e)] += near
+            total /= weight
+            live = np.flatnonzero(total[:, 1:].max(1) - total[:, 0] > need)
+            if len(live):
+                for piece in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1):
+                    a, b = max(0, piece[0] - 1), min(len(total), piece[-1] + 2)  # none before and after
+                    yield d, first + a, total[a:b]
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """What the tagger adds to each text's base spans."""
-    places, ids = [], []
-    for d, text in enumerate(texts):
-        for a, b in stretches(text):
-            for at in windows_of(a, b):
-                places.append((d, a, b, at))
-                ids.append(padded(text, at))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    votes: dict[tuple[int, int, int], np.ndarray] = {}
-    for k in range(0, len(ids), 1024):
-        emit, _, _ = tagger.emissions(np.stack(ids[k : k + 1024]))
-        p = tagger.marginals(emit.astype(np.float64))[0]
-        for (d, a, b, at), x in zip(places[k : k + 1024], p):
-            total = votes.setdefault((d, a, b), np.zeros((b - a, Tagger.TAGS)))
-            n = min(WINDOW, b - at)
-            total[at - a : at - a + n] += _NEAR[:n, None] * x[:n]
-    for (d, a, b), total in votes.items():
-        tags = tagger.decode(np.log(total / total.sum(1, keepdims=True) + 1e-6))
-        edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), b - a]
-        for x, y in zip(edges, edges[1:]):
-            if tags[x]:
-                kind, piece = int(tags[x]) - 1, texts[d][a + x : a + y]
-                start = a + x + len(piece) - len(piece.lstrip(" .,;:\n\"'"))
-                end = a + y - (len(piece) - len(piece.rstrip(" .,;:\n\"'")))
-                clear = all(end <= s or e <= start for s, _, e in base[d]) and all(end <= s or e <= start for s, _, e in out[d])
-                if start < end and clear and plausible(kind, texts[d][start:end]):
-                    out[d].append((start, kind, end))
+    pieces = sorted(text_emissions(texts, tagger), key=lambda x: len(x[2]))
+    at = 0
+    while at < len(pieces):
+        size = max(32, 2 * len(pieces[at][2]))
+        group = [p for p in pieces[at : at + 512] if len(p[2]) <= size]
+        at += len(group)
+        lens = np.array([len(e) for _, _, e in group])
+        emit = np.zeros((len(group), int(lens.max()), Tagger.TAGS))
+        for k, (_, _, e) in enumerate(group):
+            emit[k, : len(e)] = e
+        for (d, first, e), tags, sure in zip(group, *tagger.decode(emit, lens)):
+            tags, n = tags[: len(e)], len(e)
+            edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), n]
+            for x, y in zip(edges, edges[1:]):
+                if tags[x] and sure[x:y].mean() >= SURE:
+                    piece, kind = texts[d][first + x : first + y], int(tags[x]) - 1
+                    start = first + x + len(piece) - len(piece.lstrip(" .,;:\n\"'"))
+                    end = first + y - (len(piece) - len(piece.rstrip(" .,;:\n\"'")))
+                    clear = all(end <= s or e2 <= start for s, _, e2 in base[d]) and all(end <= s or e2 <= start for s, _, e2 in out[d])
+                    if start < end and clear and valid(kind, texts[d][start:end]):
+                        out[d].append((start, kind, end))
     return out
 
 
 def written(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return ",".join(f"{TAGGED[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
 # ---- training ------------------------------------------------------------------------------------
 
 
 def _examples(batches):
-    """Windows with their tags, of the texts' stretches."""
+    """Windows with their labelled spans: share 0 with a span, 1 with digits or an @ and no span, 2 with neither."""
     for b in batches:
-        pieces, marks, key = [], [], []
+        rows = []
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             text = t or ""
-            spans = None
-            for a, e in stretches(text):
-                spans = base_spans(text) if spans is None else spans
-                for at in windows_of(a, e):
-                    pieces.append(text[at : at + WINDOW])
-                    marks.append([v for s, k, x in spans if s < at + WINDOW and x > at for v in (max(s, at) - at, k, min(x, at + WINDOW) - at)])
-                    key.append(d)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pieces, pa.string()), pa.array(marks, pa.list_(pa.int64()))], names=["key", "piece", "marks"])
-
-
-def variant(piece: str, marks: list[tuple[int, int, int]], r) -> tuple[str, list[tuple[int, int, int]]]:
-    """The same window with its phone and card numbers written another way."""
+            spans = labelled_spans(text)
+            for at in range(0, len(text), LEARNED):
+                piece = text[at : at + LEARNED]
+                inside = [x for x in spans if x[0] < at + LEARNED and x[2] > at]
+                for s, k, e in inside:  # a span is learned whole, somewhere in its window
+                    if s >= at:
+                        begin = max(0, s - (d + s) % 30)
+                        near = [v for q, kind, z in spans if q >= begin and z <= begin + LEARNED for v in (q - begin, kind, z - begin)]
+                        rows.append((d ^ s, 0, text[begin : begin + LEARNED], near))
+                if not inside:
+                    rows.append((d ^ at, 1 if _HARD.search(piece) else 2, piece, []))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+        ], names=["key", "share", "piece", "marks"])
+
+
+def _grouped(digits: str, n: int, sep: str) -> str:
+    return sep.join(digits[i : i + n] for i in range(0, len(digits), n))
+
+
+#: Ways to write a span that the patterns miss; the last of each kind is never learned from, only tried.
+FORMS = {
+    0: (lambda x: x.replace("@", " @ "), lambda x: x.replace("@", " (at) "), lambda x: x.replace("@", "[at]").replace(".", "[dot]"), lambda x: x.replace("@", " at ").replace(".", " dot "), lambda x: x.replace("@", "(at)").replace(".", "(dot)")),
+    1: (lambda x: x.replace(".", " . "), lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", "(.)"), lambda x: x.replace(".", ", "), lambda x: x.replace(".", ". ")),
+    2: (lambda x: _grouped(digits_of(x), 4, "."), lambda x: _grouped(digits_of(x), 4, "/"), lambda x: _grouped(digits_of(x), 4, "  "), lambda x: _grouped(digits_of(x), 4, " - "), lambda x: _grouped(digits_of(x), 4, "_")),
+    3: (lambda x: "00" + digits_of(x), lambda x: f"({digits_of(x)[:3]}) {_grouped(digits_of(x)[3:], 4, ' ')}", lambda x: _grouped(digits_of(x)[-10:], 3, "."), lambda x: _grouped(digits_of(x)[-10:], 3, "-"), lambda x: f"0{digits_of(x)[-10:-6]} {digits_of(x)[-6:]}", lambda x: _grouped(digits_of(x)[-10:], 3, "/")),
+    4: (lambda x: x, lambda x: x.upper(), lambda x: x[: 20 + len(x) // 4], lambda x: _grouped(x, 8, "-")),
+}
+
+
+def variant(piece: str, marks: list[tuple[int, int, int]], r, unseen: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
+    """The same window with its spans written another way, and where they are then."""
     out, spans, at = "", [], 0
     for s, k, e in sorted(marks):
+        forms = FORMS[k]
+        inner = (forms[-1] if unseen else forms[r.integers(0, len(forms) - 1)])(piece[s:e])
         out += piece[at:s]
-        inner = piece[s:e]
-        if k == 3:
-            if inner[:1] == "+" and r.random() < 0.7:
-                inner = re.sub(r"^\+[0-9]{1,2}[ .-]?", "", inner) or inner
-            inner = inner.replace("-", r.choice(["-", ".", " "]))
-        elif k == 2 and len(digits_of(inner)) == len(inner) == 16 and r.random() < 0.6:
-            inner = r.choice(["-", " ", "."]).join(inner[i : i + 4] for i in range(0, 16, 4))
+        if k == 4 and not unseen and r.random() < 0.5:  # another name, without quotes
+            out = re.sub(r"\w+\s*[:=]+\s*[\"']?$", lambda m: r.choice(["api_key=", "secret: ", "password = '", "key="]), out)
         spans.append((len(out), k, len(out) + len(inner)))
         out += inner
         at = e
-    return (out + piece[at:])[:WINDOW], [(s, k, min(e, WINDOW)) for s, k, e in spans if s < WINDOW]
+    return (out + piece[at:])[:LEARNED], [(s, k, min(e, LEARNED)) for s, k, e in spans if s < LEARNED]
 
 
-def tag_array(marks) -> np.ndarray:
-    tags = np.zeros(WINDOW, np.int64)
+def tag_array(marks, size: int = LEARNED) -> np.ndarray:
+    tags = np.zeros(size, np.int64)
     for s, k, e in marks:
         tags[s:e] = k + 1
     return tags
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED, windows: int = WINDOWS):
-    """A trained tagger, or None where no span is labelled."""
-    chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)
+def examples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED, windows: int = WINDOWS) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Windows to learn from, with their spans."""
+    chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)  # 8 bytes a row
     rows = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("__id")).select(F.xxhash64("__id").alias("k"), F.col(text).alias("t"))
-    got = rows.mapInArrow(_examples, "key long, piece string, marks array<long>").orderBy("key", "piece").limit(windows).collect()
+    told = rows.mapInArrow(_examples, "key long, share int, piece string, marks array<long>")
+    place = F.xxhash64("key", "piece")
+    found = []
+    for share in range(3):
+        for row in told.where(F.col("share") == share).orderBy(place, "key", "piece").limit(windows // 3).collect():
+            m = row["marks"]
+            found.append((row["piece"], [tuple(m[i : i + 3]) for i in range(0, len(m), 3)]))
+    return found
+
+
+def fit(found: list[tuple[str, list[tuple[int, int, int]]]], steps: int = STEPS) -> Tagger | None:
+    """A tagger trained on windows and on variants of those with spans, or None where there is none."""
     r = np.random.default_rng(3)
-    ids, tags, some = [], [], False
-    for row in got:
-        m = row["marks"]
-        marks = [tuple(m[i : i + 3]) for i in range(0, len(m), 3)]
-        some = some or bool(marks)
-        ids.append(padded(row["piece"], 0))
+    ids, tags = [], []
+    for piece, marks in found:
+        ids.append(padded(piece, LEARNED))
         tags.append(tag_array(marks))
-        if any(k in (2, 3) for _, k, _ in marks):
-            piece, moved = variant(row["piece"], marks, r)
-            ids.append(padded(piece, 0))
+        for _ in range(4 if marks else 0):
+            other, moved = variant(piece, marks, r)
+            ids.append(padded(other, LEARNED))
             tags.append(tag_array(moved))
-    return Tagger().train(np.stack(ids), np.stack(tags)) if some else None
+    return Tagger().train(np.stack(ids), np.stack(tags), steps) if any(m for _, m in found) else None
+
+
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED, windows: int = WINDOWS) -> Tagger | None:
+    return fit(examples(docs, doc_id, text, limit, windows))
+
+
+RESULT = (*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secret", "secrets", "n_found")
 
 
 def find(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans: all spans."""
+    """The columns of `keep`; n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans: these and the added ones of the
+    four kinds, n_added: how many were added; n_secret and secrets: of the fifth kind; n_found: all."""
+    if set(keep) & set(RESULT):
+        raise ValueError(f"columns named like results: {sorted(set(keep) & set(RESULT))}")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    counts = [f"n_{k}" for k in KINDS]
     weights = None if tagger is None else tagger.p
 
     def run(batches):
@@ -379,8 +479,12 @@ def find(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: tuple
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, model) if model else [[]] * len(texts)
-            cols = [pa.array([sum(k == j for _, k, _ in s) for s in base], pa.int64()) for j in range(len(KINDS))]
-            cols += [pa.array([hashlib.sha256(written(s).encode()).hexdigest() for s in base], pa.string()), pa.array([written([*s, *m]) for s, m in zip(base, more)], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*keep, *counts, "base_sha256", "spans"])
-
-    return docs.select(*keep, F.col(text)).mapInArrow(run, f"{ddl}, {', '.join(f'{c} long' for c in counts)}, base_sha256 string, spans string")
+            four, fifth = [[x for x in m if x[1] < 4] for m in more], [[x for x in m if x[1] == 4] for m in more]
+            number = lambda xs: pa.array(xs, pa.int64())
+            cols = [number([sum(k == j for _, k, _ in s) for s in base]) for j in range(len(KINDS))]
+            cols += [pa.array([hashlib.sha256(written(s).encode()).hexdigest() for s in base], pa.string()), pa.array([written([*s, *m]) for s, m in zip(base, four)], pa.string())]
+            cols += [number([len(x) for x in four]), number([len(x) for x in fifth]), pa.array([written(x) for x in fifth], pa.string()), number([len(s) + len(m) for s, m in zip(base, more)])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*keep, *RESULT])
+
+    kinds = ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans', 'secrets') else 'long'}" for c in RESULT)
+    return docs.select(*keep, F.col(text)).mapInArrow(run, f"{ddl}, {kinds}")
