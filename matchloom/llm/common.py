@@ -29,6 +29,12 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def no_clash(keep: tuple[str, ...], *made: str) -> None:
+    """Columns that are kept must not be named like those that are made."""
+    if both := sorted(set(keep) & set(made)):
+        raise ValueError(f"columns named like results: {both}")
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -3,8 +3,8 @@
 Null texts count as empty and give no ids. Texts of any length are cut at safe boundaries (a
 non-space character followed by white space: no match of a pre-split pattern of this family goes
 across, and what follows doesn't depend on what came before), so the library sees pieces of bounded
-size; a piece without such a boundary stays whole. Repeated rows are encoded each on its own; extra
-columns are dropped by `encode` unless named in `keep`. Decoding goes through raw bytes, so ids that
+size; a piece without such a boundary stays whole. Repeated rows are encoded each on its own; an empty table gives an
+empty result; extra columns are dropped unless named in `keep`, and one named like a result is an error. Decoding goes through raw bytes, so ids that
 cut a character apart decode as they should.
 """
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import no_clash
+
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE_CHARS = 16_384
 
@@ -61,6 +63,7 @@ def encode_text(encoder, text: str, size: int = PIECE_CHARS) -> list[int]:
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, and ids array<int>."""
+    no_clash(keep, "ids")
     schema = docs.select(*keep).schema
 
     def run(batches):
@@ -75,6 +78,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ke
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, and bytes binary: the raw bytes of the ids (null ids: none)."""
+    no_clash(keep, "bytes")
 
     def run(batches):
         enc = load_encoder(rank_file, pattern)
@@ -88,6 +92,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", k
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, n_tokens, ids_sha256 and decoded_sha256 in one pass: ids needn't leave the worker."""
+    no_clash(keep, "n_tokens", "ids_sha256", "decoded_sha256")
 
     def run(batches):
         enc = load_encoder(rank_file, pattern)

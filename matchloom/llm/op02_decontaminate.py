@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
+from matchloom.llm.common import no_clash
 
 #: UTF-8 bytes of benchmark text up to which its windows are broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -122,6 +123,7 @@ def small_enough(benchmark: DataFrame, text: str, limit: int) -> bool:
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, prefix: str = "") -> DataFrame:
     """The columns of `keep`, n_words, n_hit, items (sorted item ids as strings), spans (bytes of each run of hit words); `prefix` goes before these names."""
+    no_clash(keep, *_names(prefix))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     if not small_enough(items, "t", broadcast_bytes):
@@ -186,30 +188,45 @@ def _find_by_join(docs: DataFrame, items: DataFrame, n: int, text: str, keep: tu
     return both.mapInArrow(run, f"{ddl}, {_found(prefix)}")
 
 
-def _cut(batches):
-    for b in batches:
-        texts = []
-        for t, spans in zip(b.column("__text").to_pylist(), b.column("__found_spans").to_pylist()):
-            raw, at, out = (t or "").encode(), 0, []
-            for s in spans:
-                out.append(raw[at : s["start"]])
-                at = s["end"]
-            texts.append(None if t is None else b"".join([*out, raw[at:]]).decode())
-        yield b.drop_columns(["__text", "__found_spans"]).append_column("__cut", pa.array(texts, pa.string()))
+def _cut(place: int):
+    """Rows with their spans behind them -> rows with these cut out of the text in column `place`."""
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for t, spans in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                raw, at, out = (t or "").encode(), 0, []
+                for s in spans:
+                    out.append(raw[at : s["start"]])
+                    at = s["end"]
+                texts.append(None if t is None else b"".join([*out, raw[at:]]).decode())
+            columns = b.columns[:-1]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return run
+
+
+def _free(docs: DataFrame) -> str:
+    """A prefix that no column of docs has."""
+    prefix = "__found_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that no window occurs in."""
-    keep = tuple(docs.columns)
-    return find(docs, benchmark, keep=keep, prefix="__found_", **options).where("__found_n_hit = 0").select(*keep)
+    keep, prefix = tuple(docs.columns), _free(docs)
+    return find(docs, benchmark, keep=keep, prefix=prefix, **options).where(F.col(f"{prefix}n_hit") == 0).select(*keep)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs with the hit words cut out of their texts."""
-    keep = tuple(docs.columns)
-    found = find(docs, benchmark, text=text, keep=keep, prefix="__found_", **options).withColumn("__text", F.col(text)).select(*keep, "__text", "__found_spans")
+    keep, prefix = tuple(docs.columns), _free(docs)
+    found = find(docs, benchmark, text=text, keep=keep, prefix=prefix, **options).select(*keep, f"{prefix}spans")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.mapInArrow(_cut, f"{ddl}, __cut string").withColumn(text, F.col("__cut")).drop("__cut")
+    return found.mapInArrow(_cut(keep.index(text)), ddl)
 
 
 def digest(items: list[str]) -> str:

@@ -526,12 +526,13 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str =
     gone = scratch.keep(crowd.where("best = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.col("best").alias("__best")), "gone")
     words64 = 1 << int(np.clip(gone.count() // 4, 1 << 10, 1 << 20)).bit_length()
     bits = F.broadcast(_bits(gone, "__id", words64))  # one row; most texts needn't be shuffled to be kept
-    marked = docs.join(bits, F.lit(True)).withColumn("__maybe", _tested(doc_id, words64)).drop("__bits")
-    rest, maybe = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe").withColumn("__hash", F.xxhash64(text))
-    met = maybe.join(gone, maybe[doc_id].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__check")), "left")
-    out = rest.unionByName(met.where("__best is null").select(*docs.columns))
-    again = met.where("__best = 1")  # rows that stay, but come more than once
-    return out if gone.where("__best = 1").isEmpty() else out.unionByName(again.dropDuplicates([doc_id, "__hash"]).select(*docs.columns))
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))  # no name of docs can clash
+    marked = whole.join(bits, F.lit(True)).withColumn("__maybe", _tested("id", words64)).drop("__bits")
+    met = marked.where("__maybe").drop("__maybe").join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__check")), "left")
+    out = marked.where("not __maybe").select("row").unionByName(met.where("__best is null").select("row"))
+    if not gone.where("__best = 1").isEmpty():  # rows that stay, but come more than once
+        out = out.unionByName(met.where("__best = 1").dropDuplicates(["id", "hash"]).select("row"))
+    return out.select("row.*")
 
 
 ORACLE = r"""

@@ -33,8 +33,7 @@ def normalised(text: Column) -> Column:
 
 def _narrow(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     norm = docs.select(*more, normalised(F.col(text)).alias("__norm"))
-    prefix = F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS))
-    return norm.withColumns({"__len": F.octet_length("__norm"), "__prefix": prefix})
+    return norm.withColumns({"__len": F.octet_length("__norm"), "__prefix": F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS))})
 
 
 def _slots(words64: int, *columns: str) -> Column:
@@ -105,14 +104,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     gone = told.where("best = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("len").alias("__of_len"), F.col("full").alias("__full"), F.col("best").alias("__best"))
     gone = result.keep(gone, "gone")
     scratch.clear()
-    marked = _marked(docs, gone, ("__id",), (doc_id,))
-    rest, maybe = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe")
-    norm = normalised(F.col(text))
-    maybe = maybe.withColumns({"__hash": F.sha2(norm, 256), "__size": F.octet_length(norm)})
-    met = maybe.join(gone, maybe[doc_id].eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of_len")) & (F.col("__hash") == F.col("__full")), "left")
-    none = rest.unionByName(met.where("__best is null").select(*docs.columns))
-    again = met.where("__best = 1")  # rows that stay, but come more than once
-    return none if gone.where("__best = 1").isEmpty() else none.unionByName(again.dropDuplicates([doc_id, "__hash"]).select(*docs.columns))
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), normalised(F.col(text)).alias("norm"))  # no name of docs can clash
+    marked = _marked(whole, gone, ("__id",), ("id",))
+    rest, maybe = marked.where("not __maybe").select("row"), marked.where("__maybe").select("row", "id", F.octet_length("norm").alias("size"), F.sha2("norm", 256).alias("hash"))
+    met = maybe.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__of_len")) & (F.col("hash") == F.col("__full")), "left")
+    out = rest.unionByName(met.where("__best is null").select("row"))
+    if not gone.where("__best = 1").isEmpty():  # rows that stay, but come more than once
+        out = out.unionByName(met.where("__best = 1").dropDuplicates(["id", "hash"]).select("row"))
+    return out.select("row.*")
 
 
 ORACLE = r"""

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import no_clash
 from matchloom.session import Scratch
 
 #: Labelled rows that are learned from at most.
@@ -218,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """weights, exceptions, slope and offset, from the rows of labels (ids and 0 or 1)."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit))  # 12 bytes a row
-    rows = docs.join(chosen, docs[doc_id] == F.col("__id")).select(F.col(text).alias("t"), F.col("__y").alias("y"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(chosen, F.col("id") == F.col("__id")).select("t", F.col("__y").alias("y"))
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(distinct(rows), "labelled")  # read five times
     n = rows.groupBy("y").count().collect()
@@ -240,6 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, and score."""
+    no_clash(keep, "score", "__score")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     made: list[Lexicon] = []
 
@@ -260,9 +262,8 @@ def fold_of(doc_id, modulus: int):
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score under the threshold."""
-    keep = tuple(docs.columns)
+    at = docs.columns.index("text")
     model = learn(docs, labels.where(fold_of("doc_id", 4) != 2))
-    plain = docs.withColumn("__t", F.col("text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     made: list[Lexicon] = []
 
@@ -270,6 +271,6 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
         if not made:
             made.append(Lexicon(*model))
         for b in batches:
-            yield b.drop_columns(["__t"]).filter(pa.array([made[0].score(t or "") < threshold for t in b.column("__t").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([made[0].score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return plain.mapInArrow(run, ddl).select(*keep)
+    return docs.mapInArrow(run, ddl)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import tokens
+from matchloom.llm.common import no_clash
 from matchloom.session import scratch
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -78,6 +79,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache_path: str, text: str = "te
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, n_bytes and n_tokens of every row. Without a cache_path the cache is this call's own."""
+    no_clash(keep, "n_bytes", "n_tokens", "digest", "__digest")
     spark = docs.sparkSession
     cache_path = cache_path or scratch(spark, "token-counts")
     fill_cache(docs, tokenizer, cache_path, text)

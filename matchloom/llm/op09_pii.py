@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import no_clash
+
 #: Documents that are learned from at most, and windows.
 LABELLED, WINDOWS = 20_000, 6_000
 #: Characters in a window, that two windows share, and in a window that is learned from.
@@ -430,7 +432,7 @@ def tag_array(marks, size: int = LEARNED) -> np.ndarray:
 def examples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED, windows: int = WINDOWS) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Windows to learn from, with their spans."""
     chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)  # 8 bytes a row
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("__id")).select(F.xxhash64("__id").alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("__id")).select(F.xxhash64("__id").alias("k"), "t")
     told = rows.mapInArrow(_examples, "key long, share int, piece string, marks array<long>")
     place = F.xxhash64("key", "piece")
     found = []
@@ -465,8 +467,7 @@ RESULT = (*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added", "n_secr
 def find(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`; n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans: these and the added ones of the
     four kinds, n_added: how many were added; n_secret and secrets: of the fifth kind; n_found: all."""
-    if set(keep) & set(RESULT):
-        raise ValueError(f"columns named like results: {sorted(set(keep) & set(RESULT))}")
+    no_clash(keep, *RESULT)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     weights = None if tagger is None else tagger.p
 

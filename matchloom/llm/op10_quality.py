@@ -12,7 +12,7 @@ learned from whole texts of labelled rows: at most LABELLED of them, in the orde
 id, and only as many as have LINES lines in all. Texts that are null, empty or blank get the share of
 good labels. Texts of any length are scored whole. Repeated rows score alike; without labels of both
 kinds every text gets that share, or a half. An empty table gives an empty result; extra columns are
-dropped unless named in `keep`, which may hold any name but __score.
+dropped unless named in `keep`, and one named like the result is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
+from matchloom.llm.common import no_clash
 from matchloom.session import Scratch
 
 #: Labelled documents that are learned from at most, and their lines in all (68 bytes each on the driver).
@@ -239,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """The model, from the rows of labels (ids and 0 or 1); a row without a label or id doesn't count, nor does an id's second label."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit))  # 12 bytes a row
-    rows = docs.join(chosen, docs[doc_id] == F.col("__id")).select(F.col(text).alias("t"), F.col("__y").alias("y"), F.xxhash64("__id").alias("place"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(chosen, F.col("id") == F.col("__id")).select("t", F.col("__y").alias("y"), F.xxhash64("__id").alias("place"))
     scratch = Scratch(docs.sparkSession)
     told = scratch.keep(rows.mapInArrow(_featured, "size binary, x binary, n long, y int, place long"), "labelled-lines")
     upto = told.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("place", "n", "y").rowsBetween(Window.unboundedPreceding, 0)))  # LABELLED rows
@@ -254,6 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, and score: the probability that the text is good."""
+    no_clash(keep, "score", "__score")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
