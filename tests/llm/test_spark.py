@@ -1,17 +1,15 @@
 """The operators on small tables: nulls, empty and long texts, ties, repeated rows, no rows, extra columns."""
 
 import hashlib
-import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from matchloom.llm import op01_bpe, op02_decontaminate, op03_jaccard, op04_exact, op05_toxicity, op06_binary, op07_counts, op08_maxent, op09_pii, op10_quality
 from matchloom.llm.common import ready
 from matchloom.session import Scratch
-from tests.oracle import SF, same
+from tests.oracle import same
 
 vocab = pytest.importorskip("public_tokenizers")
 LONG = "word " * 30_000 + "x" * 50_000
@@ -210,18 +208,3 @@ def test_op10(spark, docs, nothing):
     got = op10_quality.score(docs, op10_quality.learn(docs, labels)).collect()
     assert len(got) == len(TEXTS) + 1 and all(0 <= r["score"] <= 1 for r in got)
     assert op10_quality.score(nothing, op10_quality.learn(nothing, labels.limit(0))).count() == 0
-
-
-def test_pipeline(spark):
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
-    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    windows = set()
-    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
-        w = word.findall(r["text"].lower())
-        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
-    for d in got:
-        w = word.findall(rows[d].lower())
-        assert not any(tuple(w[i : i + 10]) in windows for i in range(len(w)))
-    clean = [re.sub(r"[\x20\x09-\x0D]+", " ", rows[d]) for d in got]
-    assert len(clean) == len(set(clean)) and len(got) > 100

@@ -95,25 +95,56 @@ def test_disguises_fold():
 
 
 def test_bucket_probabilities_sum_to_one():
-    model = op08_maxent.Model(np.arange(op08_maxent._BUCKETS), np.random.default_rng(1).normal(0, 1, op08_maxent._SIZE).astype(np.float32))
-    h = (np.arange(op08_maxent._BUCKETS, dtype=np.uint64) << np.uint64(54)) + np.uint64(1)
-    context = np.repeat(np.stack([h[3:4], h[5:6]], 1), len(h), 0)
+    n, weights = 1 << 11, 1 << 16
+    model = op08_maxent.Model(np.arange(n), weights, np.random.default_rng(1).normal(0, 1, weights + n).astype(np.float32))
+    h = (np.arange(n, dtype=np.uint64) << np.uint64(53)) + np.uint64(1)
+    context = np.repeat(np.stack([h[3:4], h[5:6]], 1), n, 0)
     seq = np.concatenate([context, h[:, None]], 1).ravel()
     p = model.log10(seq, np.arange(0, len(seq) + 1, 3))[2::3]
     assert abs((10**p).sum() - 1) < 1e-3
+    plain = op08_maxent.Model(np.arange(n), weights).log10(h, np.arange(n + 1))  # without weights: the shares of the counts
+    assert np.allclose(10**plain, (np.arange(n) + 1) / (np.arange(n) + 1).sum(), rtol=1e-3)
 
 
-def test_both_softmaxes_use_every_feature():
+def test_every_level_uses_every_feature():
     h = np.arange(1, 9, dtype=np.uint64) << np.uint64(55)
     first = np.array([0, len(h)])
-    feats = op08_maxent.features(h, first)
-    top, low = op08_maxent.Model(np.ones(op08_maxent._BUCKETS)).parts(feats, op08_maxent.bucket(h))[2:4]
-    assert len(feats) == len(top) == len(low) == 4 and len(set(feats[0].tolist())) == 1
+    model = op08_maxent.Model(np.ones(1 << 11), 1 << 20)
+    node, _ = model.path(op08_maxent.bucket(h, model.depth))
+    one = model.slots(op08_maxent.features(h, first), node)
     skipped = h.copy()
-    skipped[3] += np.uint64(7)  # two words before the sixth: its skip and pair features change, in both softmaxes
-    other = op08_maxent.Model(np.ones(op08_maxent._BUCKETS)).parts(op08_maxent.features(skipped, first), op08_maxent.bucket(h))[2:4]
-    for a, b in zip((top, low), other):
-        assert [x[5] != y[5] for x, y in zip(a, b)] == [False, False, True, True]
+    skipped[3] += np.uint64(7)  # two words before the sixth: its skip and pair features change, at all levels
+    two = model.slots(op08_maxent.features(skipped, first), node)
+    assert one.shape == (3, 11, 8) and (one[0, :, 5] == two[0, :, 5]).all() and (one[1:, :, 5] != two[1:, :, 5]).all()
+
+
+def test_model_grows_with_the_corpus():
+    small, large = op08_maxent.shape(10**7, 10**6), op08_maxent.shape(5 * 10**7, 5 * 10**6)
+    assert small[0] < large[0] <= op08_maxent.MOST_DEPTH and small[1] < large[1] <= op08_maxent.MOST_WEIGHTS
+
+
+def test_steps_raise_the_likelihood():
+    r = np.random.default_rng(2)
+    h = words.mix(r.integers(0, 50, 4_000).astype(np.uint64) // np.uint64(3))
+    h[1::2] = words.mix(h[::2])  # every second word follows from the first
+    first, prior = np.array([0, len(h)]), np.bincount(op08_maxent.bucket(h, 11), minlength=1 << 11)
+    model = op08_maxent.Model(prior, 1 << 16)
+    before = model.log10(h, first).mean()
+    gains = np.ones(1 << 16, np.float32), np.ones(1 << 11, np.float32)
+    for _ in range(20):
+        model.descend(op08_maxent.features(h, first), op08_maxent.bucket(h, 11), gains)
+    assert model.log10(h, first).mean() > before + 0.2
+
+
+def test_neighbours_equal_columns_side_by_side():
+    r = np.random.default_rng(0)
+    first, x = np.array([0, 3, 3, 8, 9]), r.normal(size=(9, op10_quality.N_LINE)).astype(np.float32)
+    doc, full = np.repeat(np.arange(4), np.diff(first)), []
+    for i in range(9):
+        before, after = i > 0 and doc[i - 1] == doc[i], i < 8 and doc[i + 1 if i < 8 else i] == doc[i]
+        full.append(np.concatenate([x[i], x[i - 1] * before, x[(i + 1) % 9] * after, [before, after, 1]]))
+    c, w, v = op10_quality.Context(first, x), r.normal(size=3 * op10_quality.N_LINE + 3), r.normal(size=9)
+    assert np.allclose(np.array(full) @ w, c.scores(w), atol=1e-4) and np.allclose(np.array(full).T @ v, c.sums(v), atol=1e-4)
 
 
 def test_crf_marginals_equal_enumeration():
@@ -149,6 +180,46 @@ def test_tagger_gradient():
         t.p[k][at] = kept
 
 
+def test_best_path_equals_enumeration():
+    import itertools
+
+    t = op09_pii.Tagger(hidden=3)
+    r = np.random.default_rng(4)
+    t.p["pair"] = r.normal(0, 1, t.p["pair"].shape)
+    emit = r.normal(0, 1, (2, 4, t.TAGS))
+    path, sure = t.decode(emit.copy(), np.array([4, 3]))
+    total = lambda e, p: sum(e[i, x] for i, x in enumerate(p)) + sum(t.p["pair"][a, b] for a, b in zip(p, p[1:]))
+    best = max(itertools.product(range(t.TAGS), repeat=4), key=lambda p: total(emit[0], p))
+    assert path[0].tolist() == list(best) and path[1, 3] == 0 and (sure > 0).all()
+
+
+def test_windows_cover_a_text():
+    for n in (0, 1, 31, 384, 385, 5_000):
+        at = op09_pii.windows_of(n)
+        covered = sorted({x for a in at for x in range(a, min(n, a + op09_pii.WINDOW))})
+        assert covered == list(range(n)) and all(b - a == op09_pii.WINDOW - op09_pii.SHARED for a, b in zip(at, at[1:]))
+
+
+def test_tagger_adds_what_patterns_miss():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9)))
+    number = lambda: "+1 555 " + "".join(r.choice("0123456789") for _ in range(7))
+    found = []
+    for i in range(240):
+        left = " ".join(word() for _ in range(4)) + " "
+        if i % 2:
+            found.append((left + " ".join(word() for _ in range(8)), []))
+        else:
+            inner = number() if i % 4 else f"{word()}@{word()}.org"
+            found.append((left + inner + " " + word(), [(len(left), 3 if i % 4 else 0, len(left) + len(inner))]))
+    tagger = op09_pii.fit(found, 250)
+    text = "x" * 20 + " " + " ".join(word() for _ in range(120)) + " write anna (at) leto.org or so " + " ".join(word() for _ in range(120))
+    base = [op09_pii.base_spans(text)]
+    added = op09_pii.added_spans([text], base, tagger)[0]
+    assert base == [[]] and any(k == 0 and "anna" in text[a:e] for a, k, e in added) and len(added) <= 3
+    assert op09_pii.added_spans(["", "plain words"], [[], []], tagger) == [[], []]
+
+
 def test_base_spans():
     found = op09_pii.base_spans("x@y.co 1.2.3.4 300.1.1.1, 4242 4242 4242 4242; +1 (555) 555-5136 4242424242424241")
     assert op09_pii.written(found) == "email:0:6,ip:7:14,card:26:45"
