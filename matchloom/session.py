@@ -11,6 +11,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Paths of intermediate tables, in the order they were made.
+MADE: list[str] = []
 
 
 def get_session(app: str = "matchloom", cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -57,12 +59,29 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def materialise(spark: SparkSession, df, name: str):
-    """Write df in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    In local mode without spark.checkpoint.dir the folder is a temporary one of this machine.
+    """
     path = scratch(spark, name)
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def made() -> int:
+    """How many intermediate tables there have been, for `clean`."""
+    return len(MADE)
+
+
+def clean(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables made since then, but those to keep: for when what reads them is written."""
+    for path in MADE[since:]:
+        if path not in keep:
+            remove(spark, path)
+    MADE[since:] = [p for p in MADE[since:] if p in keep]
+
+
 class Scratch:
     """Intermediate tables of one operator, deleted together when its result no longer reads them."""
 
