@@ -53,7 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    docs, begin = documents(spark, sf_dir), session.made()
     for name, stage in STAGES[:-1]:
-        docs, _ = session.materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = session.materialise(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        session.clean(spark, begin, keep=(path,))  # the stage before and what this one has written on its way
     return STAGES[-1][1](spark, docs, sf_dir)
