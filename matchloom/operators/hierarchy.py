@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +68,22 @@ def _indel(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
 
 
+def bounded(labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """The labels, once their number is measured: comparing all with all is for catalogues, and more is an error."""
+    n = labels.count()
+    if n > most:
+        raise ValueError(f"{n} labels, {most} are allowed")
+    return labels
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
 def alike(left: DataFrame, right: DataFrame, least: int = 55, most: int = 30) -> DataFrame:
-    """Distinct label pairs that are alike, the best `most` (a top-k report). Both sides hold distinct labels of a fixed catalogue."""
-    ratio = F.udf(token_set_ratio, "int")
-    pairs = left.select(F.col("label").alias("a")).join(F.broadcast(right.select(F.col("label").alias("b"))), F.col("a") != F.col("b"))
-    return pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "a", "b").limit(most)
+    """Distinct label pairs that are alike, the best `most` (a top-k report). Both sides hold distinct labels of a catalogue, whose size is measured."""
+    pairs = bounded(left).select(F.col("label").alias("a")).join(F.broadcast(bounded(right).select(F.col("label").alias("b"))), F.col("a") != F.col("b"))
+    return pairs.withColumn("ratio", F.pandas_udf(_ratios, "int")("a", "b")).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "a", "b").limit(most)
 
 
 def outside(a: Column, b: Column) -> Column:

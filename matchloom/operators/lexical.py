@@ -32,8 +32,8 @@ def with_bigrams(t: Column) -> Column:
 
 def terms(df: DataFrame, keys: list[str], text: str, bigrams: bool = True) -> DataFrame:
     """keys, term, tf."""
-    # the column must be made before it is used twice
-    found = df.select(*keys, tokens(F.col(text)).alias("t"))
+    # texts are dealt by id before they become many terms, so counts and norms of an id need no exchange of terms
+    found = df.select(*keys, F.col(text).alias("__text")).repartition(keys[0]).select(*keys, tokens(F.col("__text")).alias("t"))
     made = with_bigrams(F.col("t")) if bigrams else F.col("t")
     return found.select(*keys, F.explode(made).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
@@ -50,11 +50,18 @@ def fit(found: DataFrame, ids: DataFrame, group: list[str] | None = None, max_df
     return kept.select(*group, "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def asked(idf: DataFrame, demand: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """idf with `asked`: whether the demand side has the term."""
+    on = [*(group or []), "term"]
+    return idf.join(demand.select(*on).distinct().withColumn("asked", F.lit(True)), on, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
 def weigh(found: DataFrame, idf: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
-    """keys, term, w: sublinear tf times idf, each id's vector of unit length."""
-    raw = found.join(idf, [*(group or []), "term"]).withColumn("x", (1.0 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, keys).select(*keys, "term", (F.col("x") / F.col("norm")).alias("w"))
+    """keys, term, w: sublinear tf times idf, each id's vector of unit length; only terms that are asked for, where idf tells."""
+    raw = found.join(F.broadcast(idf), [*(group or []), "term"]).withColumn("x", (1.0 + F.log("tf")) * F.col("idf"))  # `fit` bounds the rows of idf
+    term = F.struct("term", "x")
+    vectors = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("asked"), term) if "asked" in idf.columns else term).alias("terms"))
+    return vectors.select(*keys, "norm", F.explode("terms").alias("t")).select(*keys, "t.term", (F.col("t.x") / F.col("norm")).alias("w"))
 
 
 def products(demand: DataFrame, supply: DataFrame, on: list[str] | None = None) -> DataFrame:

@@ -229,17 +229,19 @@ e AS (SELECT * FROM i WHERE regexp_matches(lower(position), 'lecturer|professor|
 s AS (SELECT module_id, count(*) AS n, count_if(score >= 0.12 AND greatest(core, pub) >= 0.1) AS ok FROM e JOIN score USING (module_id, staff_id) GROUP BY module_id)
 SELECT module_id, CASE WHEN module_id NOT IN (SELECT module_id FROM i) THEN 'no_hierarchy_internal_staff' WHEN module_id NOT IN (SELECT module_id FROM e) THEN 'no_eligible_hierarchy_staff' WHEN n IS NULL THEN 'no_hierarchy_staff_with_m2_evidence' WHEN ok = 0 THEN 'all_hierarchy_candidates_failed_gate' WHEN ok < 5 THEN 'limited_hierarchy_internal_pool' ELSE 'hierarchy_internal_ranked' END AS status FROM module LEFT JOIN s USING (module_id)""")
 def _(spark, sf):
+    """People are counted by path before they meet modules; only scored pairs are looked at one by one."""
     from matchloom.operators.hierarchy import under
 
     all_modules = modules(spark, sf).select("module_id", F.col("path").alias("wanted"))
-    inside = under(all_modules, staff(spark, sf).select("staff_id", "position", "path"), "wanted", "path").withColumn("fit", policy.is_eligible(F.col("position")))
+    people = staff(spark, sf).select("staff_id", "path", policy.is_eligible(F.col("position")).alias("fit"))
+    per = people.groupBy("path").agg(F.count("*").alias("inside"), F.count_if("fit").alias("fit"))
+    inside = under(all_modules, per, "wanted", "path").groupBy("module_id").agg(F.sum("inside").alias("inside"), F.sum("fit").alias("fit"))
     ok = (F.col("score") >= policy.LEAST_TOTAL) & (F.greatest("core", "pub") >= policy.LEAST_FIELD)
-    both = inside.join(scores(spark, sf), ["module_id", "staff_id"], "left").groupBy("module_id").agg(
-        F.count("*").alias("inside"), F.count_if("fit").alias("fit"), F.count_if(F.col("fit") & F.col("score").isNotNull()).alias("seen"), F.count_if(F.col("fit") & ok).alias("ok"),
-    )
+    pairs = scores(spark, sf).join(people.where("fit"), "staff_id").join(all_modules, "module_id").where("path = wanted or startswith(path, concat(wanted, '/'))")
+    seen = pairs.groupBy("module_id").agg(F.count("*").alias("seen"), F.count_if(ok).alias("ok"))
     n = lambda c: F.coalesce(c, F.lit(0))
     status = F.when(n("inside") == 0, "no_hierarchy_internal_staff").when(n("fit") == 0, "no_eligible_hierarchy_staff").when(n("seen") == 0, "no_hierarchy_staff_with_m2_evidence").when(n("ok") == 0, "all_hierarchy_candidates_failed_gate").when(n("ok") < 5, "limited_hierarchy_internal_pool").otherwise("hierarchy_internal_ranked")
-    return all_modules.join(both, "module_id", "left").select("module_id", status.alias("status"))
+    return all_modules.join(inside, "module_id", "left").join(seen, "module_id", "left").select("module_id", status.alias("status"))
 
 
 @query("a11_status_summary", f"WITH {_TOP_SQL} SELECT CASE WHEN n < 5 THEN 'limited' ELSE 'full' END AS status, count(*) AS modules, CAST(sum(n) AS BIGINT) AS recs FROM (SELECT module_id, count(*) AS n FROM top GROUP BY module_id) GROUP BY 1")
@@ -286,9 +288,9 @@ def _(spark, sf):
 
 @query("p22_c20_fallback_cause", f"WITH {STAFF_SQL}, {MODULE_SQL}, c AS (SELECT m.module_id, count(t.staff_id) AS n, count_if(position <> '') AS placed, count_if(regexp_matches(lower(position), 'lecturer|professor|reader')) AS fit FROM module m LEFT JOIN staff t USING (department) GROUP BY m.module_id) SELECT module_id, CASE WHEN n = 0 THEN 'no_staff_in_department' WHEN placed = 0 THEN 'positions_missing' WHEN fit = 0 THEN 'no_eligible_role' ELSE 'covered' END AS cause FROM c")
 def _(spark, sf):
-    both = modules(spark, sf).select("module_id", "department").join(staff(spark, sf).select("staff_id", "position", "department"), "department", "left")
     p = F.lower("position")
-    c = both.groupBy("module_id").agg(F.count("staff_id").alias("n"), F.count_if(p != "").alias("placed"), F.count_if(p.rlike("lecturer|professor|reader")).alias("fit"))
+    per = staff(spark, sf).groupBy("department").agg(F.count("*").alias("n"), F.count_if(p != "").alias("placed"), F.count_if(p.rlike("lecturer|professor|reader")).alias("fit"))
+    c = modules(spark, sf).select("module_id", "department").join(per, "department", "left").fillna(0, ["n", "placed", "fit"])
     return c.select("module_id", explain.fallback_cause(F.col("n"), F.col("placed"), F.col("fit")).alias("cause"))
 
 

@@ -14,6 +14,7 @@ from matchloom.operators import lexical as L
 from matchloom.operators import ranking, semantic
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
+from matchloom.session import materialise
 from matchloom.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
@@ -39,7 +40,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9)
 def _weights(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     supply, demand = L.terms(docs, ["doc_id"], "text"), L.terms(items, ["item_id"], "text")
-    idf = L.fit(supply, docs).persist()
+    idf, _ = materialise(spark, L.asked(L.fit(supply, docs), demand), "idf")
     return L.weigh(demand, idf, ["item_id"]), L.weigh(supply, idf, ["doc_id"])
 
 
@@ -80,7 +81,7 @@ def _fielded(spark, sf):
     src = c.select(F.col("c_custkey").alias("staff_id"), F.explode(kinds).alias("x")).select("staff_id", "x.*").where("text <> ''")
     want = table(spark, sf, "nation").select(F.col("n_nationkey").alias("module_id"), F.explode(F.array(*[F.lit(f) for f in ("core", "titles", "topics")])).alias("field"), F.concat(F.lit("building furniture segment nation "), F.col("n_nationkey").cast("string")).alias("text"))
     s, d = L.terms(src, ["staff_id", "field"], "text"), L.terms(want, ["module_id", "field"], "text")
-    idf = L.fit(s, src, ["field"]).persist()
+    idf, _ = materialise(spark, L.asked(L.fit(s, src, ["field"]), d, ["field"]), "idf")
     return L.products(L.weigh(d, idf, ["module_id", "field"], ["field"]), L.weigh(s, idf, ["staff_id", "field"], ["field"]), ["field"])
 
 
@@ -151,8 +152,10 @@ def _(spark, sf):
 
 @query("j6_under_path", f"WITH {STAFF_SQL}, {MODULE_SQL} SELECT module_id, count(*) AS n, min(staff_id) AS least FROM module m JOIN staff s ON s.path = m.path OR starts_with(s.path, m.path || '/') GROUP BY module_id")
 def _(spark, sf):
-    pairs = H.under(modules(spark, sf).select("module_id", F.col("path").alias("wanted")), staff(spark, sf).select("staff_id", "path"), "wanted", "path")
-    return pairs.groupBy("module_id").agg(F.count("*").alias("n"), F.min("staff_id").alias("least"))
+    """People are counted by path first, so what is joined are paths."""
+    per = staff(spark, sf).groupBy("path").agg(F.count("*").alias("n"), F.min("staff_id").alias("least"))
+    pairs = H.under(modules(spark, sf).select("module_id", F.col("path").alias("wanted")), per, "wanted", "path")
+    return pairs.groupBy("module_id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
 
 
 @query("j7_home_and_external", f"WITH {STAFF_SQL}, {MODULE_SQL}, h AS (SELECT DISTINCT department FROM module WHERE size = 50) SELECT staff_id, department IN (SELECT department FROM h) AS home FROM staff")
@@ -187,7 +190,7 @@ def _(spark, sf):
 def _(spark, sf):
     a = staff(spark, sf).select(F.col("department").alias("a")).distinct()
     b = modules(spark, sf).select(F.col("department").alias("b")).distinct()
-    return a.join(F.broadcast(b), H.outside(F.col("a"), F.col("b")))  # distinct labels of a fixed catalogue
+    return H.bounded(a).join(F.broadcast(H.bounded(b)), H.outside(F.col("a"), F.col("b")))  # distinct labels of a catalogue
 
 
 @query("j1_left_links", """SELECT c_custkey, count(o_orderkey) AS links, count(DISTINCT year(o_orderdate)) AS years FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
