@@ -2,8 +2,8 @@
 
 Tokens are words (runs of what isn't ASCII white space, A-Z folded) and one end a document. A word's
 hash names its bucket; the softmax over buckets is factored into levels of classes, each level a
-softmax over the two classes that a class divides into, with hashed features: a constant of the class,
-the word before, the one before that as a skip, and both together. Within its bucket a word has its smoothed
+softmax over the two classes that a class divides into, with hashed features: the word before, the one
+before that as a skip, both together, and a constant of the class. Within its bucket a word has its smoothed
 share of the training counts, unseen words one share together as in the base. Probabilities of all
 known words and one unknown word a bucket sum to 1.
 
@@ -34,8 +34,8 @@ from matchloom.llm import words
 from matchloom.session import Scratch, release
 
 #: Levels at least and at most, distinct training words a bucket, training tokens a weight, weights at least and at most.
-LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 1024, 8, 1 << 21, 1 << 23
-ROUNDS, BATCH, RATE = 2, 4_096, 0.1
+LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 2048, 8, 1 << 21, 1 << 23
+ROUNDS, BATCH, RATE, STEP = 2, 2_048, 0.1, 4
 #: Training tasks of a round at least; bytes of text that a task reads for a byte that it sends.
 TASKS, READ_FOR_SENT = 6, 8
 #: Tokens after which a unit of documents is closed; weights in a piece on their way to the sum.
@@ -102,7 +102,11 @@ def shape(tokens: int, vocabulary: int) -> tuple[int, int]:
 
 
 class Model:
-    """Hashed weights, then a constant for each class; their sum is added to the log odds of the class's halves."""
+    """Hashed weights, then a constant for each class; their sum is added to the log odds of the class's halves.
+
+    A feature's weights for the classes of STEP levels lie together in a block of 2**STEP, which keeps
+    the memory that a token touches small, and share their rate of learning.
+    """
 
     def __init__(self, prior: np.ndarray, weights: int, flat: np.ndarray | None = None):
         self.depth = len(prior).bit_length() - 1
@@ -115,15 +119,22 @@ class Model:
         odds[1:] = np.log(tree[2:].reshape(-1, 2)[:, 1]) - np.log(tree[2:].reshape(-1, 2)[:, 0])
         self.odds = odds.astype(np.float32)
         self.names = (words.mix(np.arange(len(prior), dtype=np.uint64) + np.uint64(99)) >> np.uint64(32)).astype(np.uint32)
-        self.shift = np.uint32(32 - (weights.bit_length() - 1))
+        self.blocks = weights >> STEP
+        self.shift = np.uint32(32 - (self.blocks.bit_length() - 1))
         self.level = np.arange(self.depth)[:, None]
+        self.heads = np.arange(0, self.depth, STEP)
+        self.held = np.diff(np.append(self.heads, self.depth))  # levels of each block
+        self.within = self.level % STEP
 
     def path(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class at each level of each bucket, and which half of it the bucket is in."""
         return (1 << self.level) + (b >> (self.depth - self.level)), (b >> (self.depth - 1 - self.level)) & 1
 
-    def slots(self, feats: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return (((feats[:, None, :] ^ self.names[node]) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.intp)
+    def slots(self, feats: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each feature's block for each STEP levels, and its weight at each level."""
+        block = (((feats[:, None, :] ^ self.names[node[self.heads]]) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.intp)
+        place = (1 << self.within) + (node & ((1 << self.within) - 1))
+        return block, (np.repeat(block, self.held, 1) << STEP) + place
 
     def log_odds(self, node: np.ndarray, at: np.ndarray) -> np.ndarray:
         got = self.table[at]
@@ -135,18 +146,23 @@ class Model:
         out = np.empty(len(h))
         for k in range(0, len(h), BATCH):
             node, half = self.path(b[k : k + BATCH])
-            z = self.log_odds(node, self.slots(feats[:, k : k + BATCH], node))
-            out[k : k + BATCH] = -np.logaddexp(0, np.where(half == 1, -z, z)).sum(0) / np.log(10)
+            z = self.log_odds(node, self.slots(feats[:, k : k + BATCH], node)[1])
+            np.negative(z, out=z, where=half == 1)
+            out[k : k + BATCH] = -np.log1p(np.exp(np.minimum(z, 80))).sum(0, dtype=np.float64) / np.log(10)
         return out
 
     def descend(self, feats: np.ndarray, b: np.ndarray, gains: tuple[np.ndarray, np.ndarray]) -> None:
-        """One step on a batch, each weight with its own falling rate."""
+        """One step on a batch, each block and each constant with its own falling rate."""
         node, half = self.path(b)
-        at = self.slots(feats, node)
+        block, at = self.slots(feats, node)
         wrong = (1 / (1 + np.exp(-self.log_odds(node, at))) - half).astype(np.float32)
-        for table, gain, where, d in ((self.table, gains[0], at.reshape(-1), np.broadcast_to(wrong, at.shape).reshape(-1)), (self.constant, gains[1], node.reshape(-1), wrong.reshape(-1))):
-            np.add.at(gain, where, d * d)
-            np.subtract.at(table, where, np.float32(RATE) * d / np.sqrt(gain[where]))
+        square = wrong * wrong
+        each = np.add.reduceat(square, self.heads, 0) / np.float32(STEP)
+        np.add.at(gains[0], block.reshape(-1), np.broadcast_to(each, block.shape).reshape(-1))
+        rate = np.float32(RATE) / np.sqrt(gains[0][block])
+        np.subtract.at(self.table, at.reshape(-1), (np.repeat(rate, self.held, 1) * wrong).reshape(-1))
+        np.add.at(gains[1], node.reshape(-1), square.reshape(-1))
+        np.subtract.at(self.constant, node.reshape(-1), (np.float32(RATE) * wrong / np.sqrt(gains[1][node])).reshape(-1))
 
 
 _PIECES = pa.schema([("piece", pa.int32()), ("scale", pa.float64()), ("sum", pa.binary()), ("moved", pa.binary())])
@@ -156,7 +172,7 @@ def _train(prior, weights, sent):
     def run(batches):
         flat = sent.value.copy()
         model = Model(prior, weights, flat)
-        gains = np.ones(weights, np.float32), np.ones(len(prior), np.float32)
+        gains = np.ones(model.blocks, np.float32), np.ones(len(prior), np.float32)
         for b in batches:
             h, first = tokens(b.column(0))
             feats, names = features(h, first), bucket(h, model.depth)
