@@ -111,10 +111,10 @@ def test_every_level_uses_every_feature():
     first = np.array([0, len(h)])
     model = op08_maxent.Model(np.ones(1 << 11), 1 << 20)
     node, _ = model.path(op08_maxent.bucket(h, model.depth))
-    one = model.slots(op08_maxent.features(h, first), node)
+    one = model.slots(op08_maxent.features(h, first), node)[1]
     skipped = h.copy()
     skipped[3] += np.uint64(7)  # two words before the sixth: its skip and pair features change, at all levels
-    two = model.slots(op08_maxent.features(skipped, first), node)
+    two = model.slots(op08_maxent.features(skipped, first), node)[1]
     assert one.shape == (3, 11, 8) and (one[0, :, 5] == two[0, :, 5]).all() and (one[1:, :, 5] != two[1:, :, 5]).all()
 
 
@@ -130,7 +130,7 @@ def test_steps_raise_the_likelihood():
     first, prior = np.array([0, len(h)]), np.bincount(op08_maxent.bucket(h, 11), minlength=1 << 11)
     model = op08_maxent.Model(prior, 1 << 16)
     before = model.log10(h, first).mean()
-    gains = np.ones(1 << 16, np.float32), np.ones(1 << 11, np.float32)
+    gains = np.ones(1 << 12, np.float32), np.ones(1 << 11, np.float32)
     for _ in range(20):
         model.descend(op08_maxent.features(h, first), op08_maxent.bucket(h, 11), gains)
     assert model.log10(h, first).mean() > before + 0.2
