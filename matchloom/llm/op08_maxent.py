@@ -34,7 +34,7 @@ from matchloom.llm import words
 from matchloom.session import Scratch, release
 
 #: Levels at least and at most, distinct training words a bucket, training tokens a weight, weights at least and at most.
-LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 2048, 8, 1 << 21, 1 << 23
+LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 2048, 8, 1 << 22, 1 << 23
 ROUNDS, BATCH, RATE, STEP = 2, 2_048, 0.1, 4
 #: Training tasks of a round at least; bytes of text that a task reads for a byte that it sends.
 TASKS, READ_FOR_SENT = 6, 8
