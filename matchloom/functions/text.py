@@ -35,6 +35,11 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (collapse(c) == "")
 
 
+def is_blank_json(c: Column) -> Column:
+    """A JSON value that says nothing: none, null, an empty or white text, an empty list or object; 0 and false say something."""
+    return is_blank(c) | F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "").isin("null", '""', "[]", "{}") | c.rlike(r'^\s*"\s*"\s*$')
+
+
 def distinct_parts(parts: Column) -> Column:
     """Array of collapsed non-empty texts; of those equal but for case, the first."""
     clean = F.filter(F.transform(parts, collapse), lambda x: x != "")
@@ -159,19 +164,17 @@ def code_and_title(code: Column, title: Column, slug_text: Column) -> tuple[Colu
 
 
 #: What a department label begins and ends with, without meaning.
-PREFIXES = ("department of ", "school of ", "division of ", "college of ", "faculty of ", "institute of ")
-SUFFIXES = (" department", " school", " division", " college", " faculty", " institute")
-
-
-def department_text(value: str | None) -> str:
-    s = "".join(c for c in unicodedata.normalize("NFKD", value or "") if not unicodedata.combining(c)).casefold().replace("&", " and ")
-    s = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", s)).strip()
-    while p := next((p for p in PREFIXES if s.startswith(p)), None):
-        s = s[len(p) :].strip()
-    for x in SUFFIXES:
-        if s.endswith(x):
-            s = s[: -len(x)].strip()
-    return s
+PREFIXES = ("department of ", "school of ", "division of ")
+SUFFIXES = (" department", " school", " division")
+
+
+def department_text(value: str | None, institutions: tuple[str, ...] = ()) -> str:
+    """A department's bare name: without what it begins with, again and again (also the institutions' own names, lower-case), nor what it ends with."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", value or "") if not unicodedata.combining(c)).casefold().replace("&", " and ")
+    heads = "|".join(re.escape(x.strip()) for x in (*PREFIXES, *institutions))
+    tails = "".join(f"(?:{x})?" for x in reversed(SUFFIXES))
+    bare = re.sub(rf"^(?:(?:{heads}) )+", "", " ".join(re.findall("[a-z0-9]+", plain)))
+    return re.sub(f"{tails}$", "", bare)
 
 
 def plain_text(value: str | None) -> str:

@@ -11,6 +11,7 @@ from matchloom.operators import semantic
 from matchloom.operators import topics as T
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
+from matchloom.session import scratch
 from matchloom.sources import readers, sinks
 from matchloom.tables import table
 
@@ -173,6 +174,69 @@ def _(spark, sf):
     return sinks.bundle(None, one, links).select("module_id", "staff_id", F.size("links").cast("long").alias("n_links"))
 
 
+def _written(spark, df, kind: str) -> str:
+    """A source to read: df written in the shared folder."""
+    path = scratch(spark, f"source-{kind}")
+    {"text": df.write.text, "json": df.write.json}[kind](path)
+    return path
+
+
+@query("s1_json_array", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, sf):
+    """A list under a wrapper key; the nations are a catalogue of fixed size."""
+    listed = F.concat(F.lit('{"meta": 1, "data": '), F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))), F.lit("}"))
+    return readers.json_records(spark, _written(spark, table(spark, sf, "nation").agg(listed.alias("value")), "text"), "n_nationkey bigint, n_name string")
+
+
+@query("s2_s5_strict_lines", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def _(spark, sf):
+    path = _written(spark, table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "json")
+    return readers.strict_jsonl(spark, path, "o_orderkey bigint, o_custkey bigint, o_orderpriority string")
+
+
+@query("s3_lenient_lines", "SELECT p_partkey, p_name FROM part WHERE p_type <> 'PROMO'")
+def _(spark, sf):
+    """Promoted parts are written as lists and broken lines, which are no objects."""
+    good = F.to_json(F.struct("p_partkey", "p_name"))
+    line = F.when(F.col("p_type") != "PROMO", good).when(F.col("p_size") > 25, F.concat(F.lit("["), good, F.lit("]"))).otherwise(F.substring(good, 1, 12))
+    return readers.lenient_jsonl(spark, _written(spark, table(spark, sf, "part").select(line.alias("value")), "text"), "p_partkey bigint, p_name string")
+
+
+@query("s4_optional_lines", "SELECT r_regionkey FROM region WHERE false")
+def _(spark, sf):
+    return readers.optional_jsonl(spark, scratch(spark, "source-missing"), "r_regionkey bigint")
+
+
+@query("s6_bare_object", "SELECT count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+def _(spark, sf):
+    one = table(spark, sf, "orders").agg(F.to_json(F.struct(F.count("*").alias("orders"), F.sum("o_custkey").alias("total"))).alias("value"))
+    return readers.by_suffix(spark, _written(spark, one, "text"), "orders bigint, total bigint")
+
+
+@query("s9_s18_csv", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, sf):
+    """Written with a byte order mark and read without it; a column that isn't there is ignored."""
+    path = scratch(spark, "source-csv")
+    sinks.csv(table(spark, sf, "customer"), path, ["c_custkey", "c_name", "not_there", "c_mktsegment"])
+    return readers.csv_table(spark, path, "c_custkey bigint, c_name string, c_mktsegment string")
+
+
+@query("p2_profile_fallback", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind FROM events")
+def _(spark, sf):
+    """What an object lacks is looked up in its profile."""
+    deep = F.concat(F.lit('{"K": " ", "profile": '), "props", F.lit("}"))
+    raw = F.when(F.col("event_type") == "error", deep).otherwise(F.col("props"))
+    return table(spark, sf, "events").select("event_id", readers.aliased_within(raw, "k").alias("k"), F.col("event_type").alias("kind"))
+
+
+@query("p4_blank_values", "SELECT event_id, event_type IN ('click', 'error') AS blank FROM events")
+def _(spark, sf):
+    from matchloom.functions.text import is_blank_json
+
+    said = F.when(F.col("event_type") == "click", " [ ] ").when(F.col("event_type") == "error", "{}").otherwise(F.when(F.col("value") > 50, F.lit("0")).otherwise(F.col("props")))
+    return table(spark, sf, "events").select("event_id", is_blank_json(said).alias("blank"))
+
+
 # ---- enrichment ------------------------------------------------------------------------------------
 
 
@@ -197,8 +261,6 @@ def _publications(spark, sf):
 
 
 def _merged(spark, sf):
-    from matchloom.session import scratch
-
     p = _publications(spark, sf)
     c = N.fetch(p, FixtureProvider("crossref"), scratch(spark, "crossref"))
     o = N.fetch(p, FixtureProvider("openalex"), scratch(spark, "openalex"))

@@ -19,12 +19,20 @@ def _missing(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e)
 
 
-def json_records(spark: SparkSession, path: str, schema: str, wrappers: tuple[str, ...] = ("records", "data", "items")) -> DataFrame:
-    """A JSON array, or the first list under one of the wrapper keys; a source without records is an error."""
+def json_records(spark: SparkSession, path: str, schema: str, wrappers: tuple[str, ...] = ("records", "data", "items"), bare: bool = False) -> DataFrame:
+    """A JSON array, or the first list under one of the wrapper keys, or with `bare` an object that has none of these as one row.
+
+    A source without records is an error, and so is a list with something else than objects in it.
+    """
     text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^﻿", "").alias("v"))
     listed = F.from_json(F.col("v"), f"array<struct<{_fields(schema)}>>", {"mode": "PERMISSIVE"})
     wrapped = F.coalesce(*[F.from_json(F.get_json_object("v", f"$.{w}"), f"array<struct<{_fields(schema)}>>") for w in wrappers])
-    rows = text.select(F.explode(F.when(F.trim("v").startswith("["), listed).otherwise(wrapped)).alias("r")).select("r.*")
+    one = F.when(F.lit(bare) & F.trim("v").startswith("{"), F.array(F.from_json("v", schema)))
+    found = text.select("v", F.when(F.trim("v").startswith("["), listed).otherwise(F.coalesce(wrapped, one)).alias("l"))
+    odd = F.exists(F.from_json("v", "array<string>"), lambda x: ~F.trim(x).startswith("{"))
+    if not found.where((F.trim("v").startswith("[") & (F.col("l").isNull() | odd)) | F.exists("l", lambda x: x.isNull())).isEmpty():
+        raise ValueError(f"a record isn't an object: {path}")
+    rows = found.select(F.explode("l").alias("r")).select("r.*")
     if rows.isEmpty():
         raise EmptySource(path)
     return rows
@@ -35,7 +43,14 @@ def _fields(schema: str) -> str:
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; a line that isn't one fails the read. Blank lines are skipped."""
+    """One object a line; the first line that isn't one is an error that tells its number. Blank lines are skipped."""
+    wide = StructType.fromDDL(schema).add("_corrupt_record", "string")
+    bad = (F.trim("value") != "") & (~F.trim("value").startswith("{") | F.from_json("value", wide)["_corrupt_record"].isNotNull())
+    lines = spark.read.text(path)
+    if not lines.where(bad).isEmpty():
+        numbered = lines.withColumn("wrong", F.coalesce(bad, F.lit(False))).rdd.zipWithIndex()  # only where the read fails anyway
+        row, at = numbered.filter(lambda x: x[0]["wrong"]).first()
+        raise ValueError(f"{path}: line {at + 1} is no object: {row['value'][:80]}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -57,7 +72,7 @@ def optional_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def by_suffix(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return strict_jsonl(spark, path, schema) if re.search(r"\.(jsonl|ndjson)$", path) else json_records(spark, path, schema)
+    return strict_jsonl(spark, path, schema) if re.search(r"\.(jsonl|ndjson)$", path) else json_records(spark, path, schema, bare=True)
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -113,6 +128,11 @@ def aliased(raw: Column, *names: str) -> Column:
     return F.get(hits, 0)["value"]
 
 
+def aliased_within(raw: Column, *names: str, inside: str = "profile") -> Column:
+    """As `aliased`; where the object has nothing under these names, the object inside it is asked."""
+    return F.coalesce(aliased(raw, *names), aliased(F.get_json_object(raw, f"$.{inside}"), *names))
+
+
 def nested(df: DataFrame, array: str, inherit: dict[str, str]) -> DataFrame:
     """A row for each element; where an element lacks a field, it has the parent's. inherit: element field -> parent column."""
     rows = df.withColumn("__x", F.explode_outer(array))

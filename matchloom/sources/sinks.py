@@ -16,8 +16,9 @@ def jsonl(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """CSV with a header; columns that aren't asked for are left out."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header after a byte order mark; columns that aren't asked for are left out, and those that df lacks are ignored."""
+    kept = [c for c in columns or df.columns if c in df.columns]
+    df.select(*[F.col(c).alias("\ufeff" + c if not i else c) for i, c in enumerate(kept)]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def swapped(df: DataFrame, path: str) -> None:
