@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +68,26 @@ def bootstrap(values: np.ndarray, draws: int = 2000, level: float = 0.95, seed:
     return float(v.mean()), float(np.percentile(means, 50 * (1 - level))), float(np.percentile(means, 50 * (1 + level)))
 
 
-def confidence(df: DataFrame, group: list[str], value: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+def confidence(df: DataFrame, group: list[str], value: str, draws: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """group, mean, lower, upper: percentiles of resampled means. Every row is drawn a Poisson number of times where it is read, so only sums of draws are exchanged."""
     ddl = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in group)
 
-    def run(key, frame):
-        mean, low, high = bootstrap(frame[value].to_numpy(), draws, seed=seed)
-        return pd.DataFrame([[*key, mean, low, high]], columns=[*group, "mean", "lower", "upper"])
+    def resample(frames):
+        r = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, part in frame.groupby(group, dropna=False):
+                got = sums.setdefault(key, np.zeros((2, draws)))
+                for v in np.array_split(part[value].to_numpy(float), -(-len(part) // 2_000)):
+                    times = r.poisson(1.0, (draws, len(v)))
+                    got += [times @ v, times.sum(1)]
+        for key, (total, n) in sums.items():
+            yield pd.DataFrame({**{g: [k] * draws for g, k in zip(group, key)}, "draw": np.arange(draws), "total": total, "n": n})
 
-    return df.select(*group, value).groupBy(*group).applyInPandas(run, f"{ddl}, mean double, lower double, upper double")
+    rows = df.select(*group, value).where(F.col(value).isNotNull())
+    drawn = rows.mapInPandas(resample, f"{ddl}, draw int, total double, n double").groupBy(*group, "draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    ends = drawn.groupBy(*group).agg(F.percentile("m", (1 - level) / 2).alias("lower"), F.percentile("m", (1 + level) / 2).alias("upper"))
+    return rows.groupBy(*group).agg(F.avg(value).alias("mean")).join(ends, group).select(*group, "mean", "lower", "upper")
 
 
 # ---- paired tests, without a statistics library ----------------------------------------------------
@@ -104,28 +117,33 @@ def beta_inc(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
-def t_test(d: np.ndarray) -> tuple[float, float]:
-    """(t, two-sided p) of paired differences."""
-    n, s = len(d), d.std(ddof=1)
-    if s == 0:
-        return 0.0, 1.0 if d.mean() == 0 else 0.0
-    t = d.mean() / (s / math.sqrt(n))
+def _moments(d: np.ndarray, k: np.ndarray) -> tuple[int, float, float]:
+    """Number, mean and population deviation of values d that occur k times."""
+    n = int(k.sum())
+    mean = float((d * k).sum() / n)
+    return n, mean, math.sqrt(float((k * (d - mean) ** 2).sum() / n))
+
+
+def t_test(d: np.ndarray, k: np.ndarray | None = None) -> tuple[float, float]:
+    """(t, two-sided p) of paired differences d that occur k times."""
+    n, mean, s = _moments(d, np.ones(len(d)) if k is None else k)
+    if s == 0 or n < 2:
+        return 0.0, 1.0 if mean == 0 else 0.0
+    t = mean / (s / math.sqrt(n - 1))
     return float(t), beta_inc((n - 1) / 2, 0.5, (n - 1) / (n - 1 + t * t))
 
 
-def wilcoxon(d: np.ndarray) -> tuple[float, float]:
+def wilcoxon(d: np.ndarray, k: np.ndarray | None = None) -> tuple[float, float]:
     """(smaller rank sum, two-sided p): exact to 25 differences without ties, else by the normal curve."""
+    k = (np.ones(len(d)) if k is None else k)[d != 0]
     d = d[d != 0]
-    n = len(d)
+    n = int(k.sum())
     if not n:
         return 0.0, 1.0
-    size = np.abs(d)
-    order = np.argsort(size, kind="stable")
-    ranks = np.empty(n)
-    values, counts = np.unique(size, return_counts=True)
-    ends = np.cumsum(counts)
-    ranks[order] = np.repeat(ends - (counts - 1) / 2, counts)
-    plus = float(ranks[d > 0].sum())
+    size, at = np.unique(np.abs(d), return_inverse=True)
+    counts = np.bincount(at, weights=k)
+    ranks = np.cumsum(counts) - (counts - 1) / 2
+    plus = float((ranks[at] * k)[d > 0].sum())
     w = min(plus, n * (n + 1) / 2 - plus)
     if n <= 25 and (counts == 1).all():
         ways = np.zeros(n * (n + 1) // 2 + 1)
@@ -137,29 +155,38 @@ def wilcoxon(d: np.ndarray) -> tuple[float, float]:
     return w, math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(var) / math.sqrt(2))
 
 
-def looks_normal(d: np.ndarray, alpha: float = 0.05) -> bool:
+def looks_normal(d: np.ndarray, k: np.ndarray, alpha: float = 0.05) -> bool:
     """Jarque-Bera in place of Shapiro-Wilk, with the exact tail of its limit; small or constant samples aren't rejected."""
-    n, s = len(d), d.std()
+    n, mean, s = _moments(d, k)
     if n < 3 or s == 0:
         return False
-    z = (d - d.mean()) / s
-    jb = n / 6 * ((z**3).mean() ** 2 + ((z**4).mean() - 3) ** 2 / 4)
+    z = (d - mean) / s
+    jb = n / 6 * (((z**3 * k).sum() / n) ** 2 + ((z**4 * k).sum() / n - 3) ** 2 / 4)
     return math.exp(-jb / 2) > alpha
 
 
+def tested(d: np.ndarray, k: np.ndarray, base: float, alpha: float = 0.05) -> dict:
+    """A paired test of differences d that occur k times: t-test where they look normal, else signed ranks; effect size and gain on the mean `base`."""
+    normal = looks_normal(d, k)
+    stat, p = t_test(d, k) if normal else wilcoxon(d, k)
+    n, mean, s = _moments(d, k)
+    s = s * math.sqrt(n / (n - 1)) if n > 1 else 0.0
+    return {"test": "paired_t" if normal else "wilcoxon", "statistic": stat, "p_value": p, "cohens_d": mean / s if s else 0.0, "gain_pct": 100 * mean / max(1e-6, base), "significant": bool(p < alpha)}
+
+
 def paired_test(a: np.ndarray, b: np.ndarray, alpha: float = 0.05) -> dict:
-    """Whether b differs from a: t-test where the differences look normal, else signed ranks; effect size and gain."""
+    """Whether b differs from a."""
     d = np.asarray(b, float) - np.asarray(a, float)
-    normal = looks_normal(d)
-    stat, p = t_test(d) if normal else wilcoxon(d)
-    s = d.std(ddof=1) if len(d) > 1 else 0.0
-    return {"test": "paired_t" if normal else "wilcoxon", "statistic": stat, "p_value": p, "cohens_d": float(d.mean() / s) if s else 0.0, "gain_pct": float(100 * d.mean() / max(1e-6, np.mean(a))), "significant": bool(p < alpha)}
+    return tested(d, np.ones(len(d)), float(np.mean(a)), alpha)
 
 
 def compare(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """A paired test a group; its task gets the different differences with their numbers, not the rows."""
     ddl = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in group)
 
     def run(key, frame):
-        return pd.DataFrame([[*key, *paired_test(frame[a].to_numpy(), frame[b].to_numpy()).values()]], columns=[*group, "test", "statistic", "p_value", "cohens_d", "gain_pct", "significant"])
+        d, k = frame["d"].to_numpy(float), frame["k"].to_numpy(float)
+        return pd.DataFrame([[*key, *tested(d, k, float(frame["total"].sum() / k.sum())).values()]], columns=[*group, "test", "statistic", "p_value", "cohens_d", "gain_pct", "significant"])
 
-    return df.select(*group, a, b).groupBy(*group).applyInPandas(run, f"{ddl}, test string, statistic double, p_value double, cohens_d double, gain_pct double, significant boolean")
+    counted = df.groupBy(*group, F.round(F.col(b) - F.col(a), 12).alias("d")).agg(F.count("*").alias("k"), F.sum(a).alias("total"))
+    return counted.groupBy(*group).applyInPandas(run, f"{ddl}, test string, statistic double, p_value double, cohens_d double, gain_pct double, significant boolean")

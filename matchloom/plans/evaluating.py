@@ -300,9 +300,21 @@ def _(spark, sf):
     return _top(spark, sf).select("module_id", "staff_id", explain.match_text(F.col("rank"), policy.band(F.col("score")), topics).alias("said"))
 
 
-@query("x4_allocation_texts", f"WITH {_TOP_SQL} SELECT module_id, staff_id, CASE WHEN rank = 1 THEN 'UnconstrainedOptimal' WHEN score >= 0.5 THEN 'CapacityQuotaEnforced' ELSE 'ExemptOrUnassigned' END AS kind FROM top")
+@query("x3_gap_texts", f"WITH {_TOP_SQL} SELECT module_id, staff_id, 'Person ' || CAST(staff_id AS VARCHAR) || ' can bring rank ' || CAST(rank AS VARCHAR) || ' (' || printf('%.1f%%', score * 100) || ' fit)' AS said FROM top")
 def _(spark, sf):
-    return _top(spark, sf).select("module_id", "staff_id", explain.allocation_kind(F.col("rank") - 1, F.col("score") >= 0.5).alias("kind"))
+    return _top(spark, sf).select("module_id", "staff_id", explain.gap_text(F.concat(F.lit("Person "), F.col("staff_id").cast("string")), F.concat(F.lit("rank "), F.col("rank").cast("string")), F.col("score")).alias("said"))
+
+
+@query("x4_allocation_texts", f"""WITH {_TOP_SQL}, l AS (SELECT module_id, max(staff_id) FILTER (rank = 1) AS original, max(score) AS best FROM top GROUP BY module_id)
+SELECT module_id, staff_id, CASE WHEN rank = 1 THEN 'UnconstrainedOptimal' WHEN score >= 0.5 THEN 'CapacityQuotaEnforced' ELSE 'ExemptOrUnassigned' END AS kind,
+CASE WHEN rank = 1 THEN 'Person ' || CAST(staff_id AS VARCHAR) || ' is the best match and has room' WHEN score >= 0.5 THEN 'Person ' || CAST(staff_id AS VARCHAR) || ' takes over from Person ' || CAST(original AS VARCHAR) || ', who is full (' || CAST(rank - 1 AS VARCHAR) || ' places down)' ELSE 'Person ' || CAST(original AS VARCHAR) || ' keeps the module outside the capacity rules' END AS said FROM top JOIN l USING (module_id)""")
+def _(spark, sf):
+    top = _top(spark, sf)
+    first = top.where("rank = 1").select("module_id", F.col("staff_id").alias("original"))
+    person = lambda c: F.concat(F.lit("Person "), F.col(c).cast("string"))
+    shift = F.col("rank") - 1
+    kind = explain.allocation_kind(shift, F.col("score") >= 0.5)
+    return top.join(first, "module_id").select("module_id", "staff_id", kind.alias("kind"), explain.allocation_text(kind, person("staff_id"), person("original"), shift).alias("said"))
 
 
 @query("x5_reviewer_rows", f"WITH {_TOP_SQL} SELECT module_id, rank, staff_id, '' AS rating FROM module_ids LEFT JOIN top USING (module_id)".replace("module_ids", "(SELECT p_partkey AS module_id FROM part)"))

@@ -321,19 +321,36 @@ def _(spark, sf):
     return found.select("module_id", "staff_id", F.col("place").cast("long").alias("place"), "matched", F.round(F.col("relevance") + 1e-7, 4).alias("relevance"))
 
 
-@query("c7_c8_pairs", f"""WITH {_REL_SQL}, pr AS (SELECT a.module_id, a.staff_id AS a, b.staff_id AS b, greatest(a.relevance, b.relevance) AS best FROM cand a JOIN cand b ON a.module_id = b.module_id AND a.staff_id < b.staff_id),
+_PAIR_SQL = f"""WITH {_REL_SQL}, pr AS (SELECT a.module_id, a.staff_id AS a, b.staff_id AS b, greatest(a.relevance, b.relevance) AS best FROM cand a JOIN cand b ON a.module_id = b.module_id AND a.staff_id < b.staff_id),
 cov AS (SELECT pr.module_id, a, b, any_value(best) AS best, sum(least(mt.w, greatest(coalesce(x.w, 0), coalesce(y.w, 0)))) / sum(mt.w) AS coverage FROM pr JOIN mt USING (module_id) LEFT JOIN st x ON x.staff_id = a AND x.topic = mt.topic LEFT JOIN st y ON y.staff_id = b AND y.topic = mt.topic GROUP BY pr.module_id, a, b),
 sz AS (SELECT staff_id, count(*) AS n FROM st GROUP BY staff_id), ab AS (SELECT DISTINCT a, b FROM pr),
 ov AS (SELECT a, b, count(*) AS n FROM ab JOIN st x ON x.staff_id = a JOIN st y ON y.staff_id = b AND y.topic = x.topic GROUP BY a, b),
 g AS (SELECT c.*, greatest(0, coverage - best) AS gain, coalesce(ov.n, 0) / CAST(s.n + u.n - coalesce(ov.n, 0) AS DOUBLE) AS overlap FROM cov c LEFT JOIN ov USING (a, b) JOIN sz s ON s.staff_id = a JOIN sz u ON u.staff_id = b),
 sc AS (SELECT *, 0.5 * coverage + 0.35 * gain + 0.1 * best + 0.05 * least(overlap, 0.2) / 0.2 AS score FROM g WHERE round(gain, 9) >= 0.05)
-SELECT module_id, a, b, rank, round(score + 1e-7, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS rank FROM sc) WHERE rank <= 50""")
+"""
+
+
+@query("c7_c8_pairs", _PAIR_SQL + """SELECT module_id, a, b, rank, round(score + 1e-7, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS rank FROM sc) WHERE rank <= 50""")
 def _(spark, sf):
     st, mt = _profiles(spark, sf)
     found = C.pairs(C.candidates(C.relevance(st, mt)), st, mt)
     return found.select("module_id", "a", "b", F.col("rank").cast("long").alias("rank"), F.round(F.col("score") + 1e-7, 4).alias("score"))
 
 
+@query("x2_pair_texts", _PAIR_SQL + """SELECT module_id, a, b, 'Person ' || CAST(a AS VARCHAR) || ' and Person ' || CAST(b AS VARCHAR) || ' together cover ' || printf('%.1f%%', round(coverage, 6) * 100) || ' of Module ' || CAST(module_id AS VARCHAR) || ', ' || printf('%.1f%%', round(gain, 6) * 100) || ' more than either alone' || CASE WHEN n_shared > 0 THEN ', with ' || topics ELSE '' END || '.' AS said
+FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS rank FROM sc) JOIN (SELECT module_id, count(*) AS n_shared, CASE count(*) WHEN 1 THEN min(topic) ELSE array_to_string(list_sort(list(topic))[1:count(*) - 1], ', ') || ' and ' || max(topic) END AS topics FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY w DESC, topic) AS k FROM mt QUALIFY k <= 3) GROUP BY module_id) USING (module_id) WHERE rank <= 3""")
+def _(spark, sf):
+    """Why a module's three best pairs complete each other, with the module's three heaviest topics."""
+    from matchloom.operators import explain
+
+    st, mt = _profiles(spark, sf)
+    found = C.pairs(C.candidates(C.relevance(st, mt)), st, mt, most=3)
+    heavy = ranking.top_k(mt, ["module_id"], [F.desc("w"), F.col("topic")], 3).groupBy("module_id").agg(F.array_sort(F.collect_list("topic")).alias("topics"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
+    said = explain.pair_text(name("Person", "a"), name("Person", "b"), name("Module", "module_id"), F.round("coverage", 6), F.round("gain", 6), F.col("topics"))
+    return found.join(heavy, "module_id").select("module_id", "a", "b", said.alias("said"))
+
+
 @query("a12_topic_evidence", """WITH e AS (SELECT l_suppkey AS entity, p_brand AS topic, sum(CAST(l_quantity AS BIGINT)) / 100.0 + ln(1.0 + count(*)) + 0.25 * ln(1.0 + count(DISTINCT p_type)) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
 SELECT entity, topic, round(score, 4) AS score, round(score / max(score) OVER (PARTITION BY entity), 4) AS weight FROM e""")
 def _(spark, sf):

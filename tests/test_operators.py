@@ -101,6 +101,84 @@ def test_balance_moves_a_star(spark):
     assert len(got) == 10 and sum(r["staff_id"] == 0 for r in got) == 3 and sum(r["rank_shift"] == 1 for r in got) == 7
 
 
+def test_balance_of_two_components_equals_one_problem(spark):
+    r = random.Random(3)
+    rows = [(m, s, k + 1, round(r.random(), 3), 1) for m in range(24) for k, s in enumerate(r.sample(range(5) if m % 2 else range(10, 15), 3))]
+    offers = spark.createDataFrame(rows, "module_id long, staff_id long, rank long, score double, capacity int")
+    assert {x["part"] for x in A.parts(offers).select("part").distinct().collect()} == {0, 1}
+    edges = [(m, s, A.cost(x, k)) for m, s, k, x, _ in rows]
+    got = {x["module_id"]: x["staff_id"] for x in A.balance(offers).collect()}
+    assert A.objective(got, edges, {s: 1 for _, s, *_ in rows}) == A.objective(A.solve(edges, {s: 1 for _, s, *_ in rows}), edges, {s: 1 for _, s, *_ in rows})
+    with pytest.raises(ValueError):
+        A.balance(offers, most=5)
+
+
+def test_extraction_and_deltas(spark):
+    taught = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "module_id long, taught boolean")
+    offers = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5), (2, 7, 1, 0.8), (2, 9, 2, 0.7), (3, 7, 1, 0.6), (3, 8, 2, 0.3)], "module_id long, staff_id long, rank long, score double")
+    balanced = spark.createDataFrame([(1, 7), (2, 9)], "module_id long, staff_id long")
+    found = A.extraction(taught, offers, balanced)
+    got = {r["module_id"]: r for r in found.collect()}
+    assert (got[1]["staff_id"], got[1]["rank_shift"], got[1]["displaced"]) == (7, 0, [])
+    assert (got[2]["staff_id"], got[2]["rank_shift"], [tuple(x) for x in got[2]["displaced"]]) == (9, 1, [(7, 0.8, 1)])
+    assert (got[3]["staff_id"], got[3]["rank_shift"]) == (7, 0) and got[4]["staff_id"] is None
+    told = A.deltas(found, spark.createDataFrame([(7,), (8,), (9,)], "staff_id long")).first()
+    assert (told["modules"], told["reallocated"], told["reallocated_pct"]) == (2, 1, 50.0)
+    assert abs(told["gini_reduction"] - (2 / 3 - 1 / 3)) < 1e-3 and told["relevance_cost"] == 0.05 and told["relevance_retention"] == 94.12 and told["utilisation_increase"] == 33.34
+
+
+def test_fairness_equals_sorted_loads(spark):
+    r = random.Random(8)
+    loads = [r.choice([0, 0, 1, 1, 2, 3, 7]) for _ in range(57)]
+    df = spark.createDataFrame(list(enumerate(loads)), "staff_id long, load long")
+    row, down = A.fairness(df).first(), sorted(loads, reverse=True)
+    assert row["ten_share"] == round(100 * sum(down[:10]) / sum(loads), 2) and row["busiest_share"] == round(100 * sum(down[:3]) / sum(loads), 2)
+    up, curve = sorted(loads), sorted(A.lorenz(df).collect())
+    assert [round(sum(up[: k * 56 // 9 + 1]) / sum(loads), 4) for k in range(10)] == [x["load_share"] for x in curve]
+
+
+def test_gap_fillers_equal_a_loop(spark):
+    from matchloom.operators import collaboration as C
+
+    r = random.Random(2)
+    gaps = [(m, a, round(r.random(), 3), r.choice(["Moderate Co-Delivery Need", "Covered By Primary Lead", "High Co-Delivery Need"])) for m in range(12) for a in "abcdef"]
+    offers = [(m, a, s, round(r.random(), 3), round(r.random() - 0.2, 3)) for m in range(12) for a in "abcdef" for s in range(5) if r.random() < 0.7]
+    want = []
+    for m in range(12):
+        taken = set()
+        for gap, a in sorted((-g, a) for mm, a, g, need in gaps if mm == m and need != "Covered By Primary Lead"):
+            fit = sorted((-round(0.7 * x + 0.3 * max(0.0, f), 9), s) for mm, aa, s, x, f in offers if (mm, aa) == (m, a) and x >= 0.28 and 0.7 * x + 0.3 * max(0.0, f) >= 0.26)
+            free = [x for x in fit if x[1] not in taken]
+            if free and len(taken) < 3:
+                taken.add(free[0][1])
+                want.append((m, a, free[0][1], round(-free[0][0], 6)))
+    found = C.gap_fillers(spark.createDataFrame(gaps, "module_id long, aspect string, gap double, need string"), spark.createDataFrame(offers, "module_id long, aspect string, staff_id long, affinity double, fit double"))
+    assert sorted((x["module_id"], x["aspect"], x["staff_id"], round(x["score"], 6)) for x in found.collect()) == sorted(want)
+
+
+def test_confidence_and_compare_by_partitions(spark):
+    r = random.Random(4)
+    rows = [("m", i % 7 / 7, i % 7 / 7 + r.choice([0.0, 0.1, 0.1, -0.05])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(4)
+    got = E.confidence(df, ["g"], "a", 1000).first()
+    _, low, high = E.bootstrap(np.array([x[1] for x in rows]), 1000)
+    assert abs(got["lower"] - low) < 0.01 and abs(got["upper"] - high) < 0.01 and got["lower"] < got["mean"] < got["upper"]
+    told, want = E.compare(df, ["g"], "a", "b").first(), E.paired_test(np.array([x[1] for x in rows]), np.array([x[2] for x in rows]).round(12))
+    assert told["test"] == want["test"] and abs(told["p_value"] - want["p_value"]) < 1e-6 and abs(told["gain_pct"] - want["gain_pct"]) < 1e-6
+
+
+def test_sources_tell_what_is_wrong(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"id": 1}\n\n[2]\n{"id": 3}\n')
+    with pytest.raises(ValueError, match="line 3"):
+        readers.strict_jsonl(spark, str(tmp_path / "l.jsonl"), "id int")
+    (tmp_path / "odd.json").write_text('[{"id": 1}, 5]')
+    with pytest.raises(ValueError):
+        readers.json_records(spark, str(tmp_path / "odd.json"), "id int")
+    (tmp_path / "bare.json").write_text('{"id": 4}')
+    assert readers.by_suffix(spark, str(tmp_path / "bare.json"), "id int").collect() == [(4,)]
+    assert T.department_text("Brand College Department of Law Division School", ("brand college",)) == "law"
+
+
 @pytest.mark.parametrize("loads, want", [([2, 2, 2, 2, 2], 0.0), ([10, 0, 0, 0, 0], 0.8), ([0, 0, 0], 0.0)])
 def test_gini(spark, loads, want):
     df = spark.createDataFrame(list(enumerate(loads)), "staff_id long, load long")
