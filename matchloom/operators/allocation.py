@@ -163,11 +163,15 @@ def deltas(extracted: DataFrame, pool: DataFrame) -> DataFrame:
     )
 
 
+def everyone(pool: DataFrame, assigned: DataFrame, staff_id: str = "staff_id") -> DataFrame:
+    """Who is in the pool or has something, each once; nobody stands for what has nobody."""
+    return pool.select(staff_id).union(assigned.select(staff_id)).where(F.col(staff_id).isNotNull()).distinct()
+
+
 def workloads(assigned: DataFrame, pool: DataFrame, staff_id: str = "staff_id") -> DataFrame:
     """staff_id, load of everyone in the pool or assigned; who has nothing has 0. Nobody stands for unassigned modules."""
     load = assigned.where(F.col(staff_id).isNotNull()).groupBy(staff_id).agg(F.count("*").alias("load"))
-    everyone = pool.select(staff_id).union(load.select(staff_id)).distinct()
-    return everyone.join(load, staff_id, "left").select(staff_id, F.coalesce("load", F.lit(0)).cast("long").alias("load"))
+    return everyone(pool, load, staff_id).join(load, staff_id, "left").select(staff_id, F.coalesce("load", F.lit(0)).cast("long").alias("load"))
 
 
 def _steps(load: DataFrame, group: list[str], falling: bool = False) -> DataFrame:

@@ -40,6 +40,15 @@ def dangling(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFr
     return reduce(DataFrame.unionByName, found)
 
 
+def consolidated(summaries: dict[str, DataFrame]) -> DataFrame:
+    """report, metric, value: the numbers of several one-row summaries under each other."""
+    rows = []
+    for name, df in summaries.items():
+        metrics = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])
+        rows.append(df.select(F.lit(name).alias("report"), F.explode(metrics).alias("m")).select("report", "m.*"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def categories(df: DataFrame, values: Column) -> DataFrame:
     """value, n over a column of arrays."""
     return df.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n"))

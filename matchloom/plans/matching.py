@@ -379,12 +379,12 @@ def _(spark, sf):
 
 
 @query("g11_c4_rerank", f"""WITH {_SHARED_SQL}, h AS (SELECT pr.module_id, pr.staff_id, pr.score, round(0.8 * pr.score + (1 - 0.8) * coalesce(least(1.0, 0.5 * least(shared / 5, 1.0) + 0.3 * least(strength / 30, 1.0) + 0.15 * CAST(pr.module_id % 25 = pr.staff_id % 25 AS INT) + 0.05 * CAST(pr.module_id % 5 = pr.staff_id % 5 AS INT)), 0.0), 6) AS hybrid FROM pr LEFT JOIN gs USING (module_id, staff_id))
-SELECT module_id, staff_id, round(hybrid, 4) AS hybrid FROM h""")
+SELECT module_id, staff_id, round(hybrid, 4) AS hybrid, row_number() OVER (PARTITION BY module_id ORDER BY hybrid DESC, score DESC, staff_id) AS rank FROM h""")
 def _(spark, sf):
     pairs, found = _shared(spark, sf)
     support = C.graph_support(F.col("shared"), F.col("strength"), F.expr("module_id % 25 = staff_id % 25"), F.expr("module_id % 5 = staff_id % 5"))
     both = pairs.join(found.withColumn("graph", support), ["module_id", "staff_id"], "left")
-    return C.rerank(both, "score", "graph", "module_id", "staff_id").select("module_id", "staff_id", F.round("hybrid", 4).alias("hybrid"))
+    return C.rerank(both, "score", "graph", "module_id", "staff_id").select("module_id", "staff_id", F.round("hybrid", 4).alias("hybrid"), F.col("rank").cast("long").alias("rank"))
 
 
 _GAP_SQL = """aff AS (SELECT p_size AS module_id, p_brand AS aspect, (12 + count(*) % 40) / 100.0 AS affinity, (sum(p_partkey) % 70) / 100.0 AS lead FROM part GROUP BY ALL),

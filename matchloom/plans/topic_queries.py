@@ -98,13 +98,11 @@ def _(spark, sf):
     return T.canonical(_clusters(spark, sf)[1])
 
 
-@query("t13_t14_t15_candidates", """SELECT p_partkey, lower(p_name) AS topic FROM part UNION SELECT p_partkey, lower(p_type) FROM part WHERE p_type <> 'PROMO'""")
+@query("t13_t14_t15_candidates", """SELECT p_partkey, 'name' AS field, lower(p_name) AS topic FROM part UNION SELECT p_partkey, 'type', lower(p_type) FROM part WHERE p_type <> 'PROMO'""")
 def _(spark, sf):
-    """Topics from two fields, folded, without those on a list of general ones."""
-    fields = F.array(F.struct(F.lit("name").alias("field"), F.col("p_name").alias("topic")), F.struct(F.lit("type").alias("field"), F.col("p_type").alias("topic")))
-    found = table(spark, sf, "part").select("p_partkey", F.explode(fields).alias("x")).select("p_partkey", F.lower("x.topic").alias("topic"))
-    n = F.size(F.split("topic", " "))
-    return found.where((F.length("topic") >= 2) & (n <= 8) & ~F.col("topic").isin("promo")).distinct()
+    """Topics from three fields, of which sizes are mere digits; promotions are general."""
+    fields = {"name": F.col("p_name"), "type": F.col("p_type"), "size": F.format_string("%03d", "p_size")}
+    return T.candidates(table(spark, sf, "part"), "p_partkey", fields, ["promo", "general"]).select("p_partkey", "field", "topic")
 
 
 @query("t18_assignments", """SELECT DISTINCT p_partkey AS record, split_part(p_name, ' ', 2) AS canonical FROM part""")
@@ -299,31 +297,42 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", c.alias("code"), t.alias("title"))
 
 
-@query("c9_foundation", """WITH t AS (SELECT vec_id % 40 AS s, label AS topic FROM embeddings WHERE vec_id < 200 GROUP BY ALL), p AS (SELECT s AS a, s + 1 AS b FROM range(39) r(s))
-SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM t x JOIN t y ON x.topic = y.topic WHERE x.s = a AND y.s = b) THEN 'exact' ELSE 'other' END AS kind FROM p""")
+@query("c9_foundation", """WITH t AS (SELECT DISTINCT vec_id // 2 AS s, label AS topic FROM embeddings), v AS (SELECT label AS topic, arg_min(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec_id) AS e FROM embeddings GROUP BY 1),
+p AS (SELECT x.s AS a, y.s AS b, x.topic AS ta, y.topic AS tb, list_dot_product(v.e, w.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(w.e, w.e))) AS c FROM t x JOIN t y ON y.s = x.s + 1 JOIN v ON v.topic = x.topic JOIN v w ON w.topic = y.topic)
+SELECT a, b, CASE WHEN bool_or(ta = tb) THEN 'exact' WHEN max(c) >= 0.1 THEN 'semantic' ELSE 'none' END AS kind, CASE WHEN bool_or(ta = tb) THEN 1.0 ELSE round(max(c), 4) END AS similarity FROM p GROUP BY a, b""")
 def _(spark, sf):
-    """People of the first two hundred vectors' catalogue: do neighbours share a topic or a similar one?"""
+    """Neighbours with two topics each: do they share one, or have similar ones?"""
     from matchloom.operators import collaboration as C
 
-    e = table(spark, sf, "embeddings").where("vec_id < 200")
-    topics = e.select((F.col("vec_id") % 40).alias("staff_id"), F.col("label").cast("string").alias("topic")).distinct()
-    vectors = e.groupBy(F.col("label").cast("string").alias("topic")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-    found = C.foundation(spark.range(39).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), topics, vectors)
-    return found.select("a", "b", F.when(F.col("kind") == "exact", "exact").otherwise("other").alias("kind"))
+    e = table(spark, sf, "embeddings").withColumn("topic", F.col("label").cast("string"))
+    topics = e.select(F.expr("vec_id div 2").alias("staff_id"), "topic").distinct()
+    people = topics.select("staff_id").distinct()
+    pairs = people.select(F.col("staff_id").alias("a"), (F.col("staff_id") + 1).alias("b")).join(people.select(F.col("staff_id").alias("b")), "b")
+    found = C.foundation(pairs, topics, e.groupBy("topic").agg(F.min_by("embedding", "vec_id").alias("vector")), least=0.1)
+    return found.select("a", "b", "kind", F.round("similarity", 4).alias("similarity"))
 
 
-@query("c13_unified_records", f"WITH {MODULE_SQL}, {SCORE_SQL}, t AS (SELECT module_id, count(*) AS n FROM score GROUP BY module_id) SELECT m.module_id, CASE WHEN regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad') THEN 'independent_project_placement' ELSE 'taught_academic' END AS classification, coalesce(least(n, 5), 0) AS candidates, NOT regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad') AS second_layer FROM module m LEFT JOIN t USING (module_id)")
+@query("c13_unified_records", f"""WITH {MODULE_SQL}, {SCORE_SQL}, t AS (SELECT module_id, count(*) AS n, max(score) AS best, max(core) AS core, max(pub) AS pub FROM score GROUP BY module_id),
+f AS (SELECT module_id, arg_min(staff_id, staff_id) FILTER (pub >= 0.5) AS helper FROM score GROUP BY module_id), m AS (SELECT module_id, NOT regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad') AS taught FROM module)
+SELECT module_id, CASE WHEN taught THEN 'taught_academic' ELSE 'independent_project_placement' END AS classification, coalesce(least(n, 5), 0) AS candidates,
+CASE WHEN taught THEN CAST(best < 0.6 AS INT) + CAST(core < 0.6 AS INT) + CAST(pub < 0.6 AS INT) END AS gaps, CASE WHEN taught THEN helper END AS helper FROM m LEFT JOIN t USING (module_id) LEFT JOIN f USING (module_id)""")
 def _(spark, sf):
+    """Gaps are fields in which nobody reaches 0.6; who has published enough and comes first helps."""
     from matchloom.operators import collaboration as C
     from matchloom.operators import policy
-    from matchloom.operators.ranking import top_k
-
-    m = modules(spark, sf).select("module_id", "title")
-    primary = top_k(scores(spark, sf), ["module_id"], [F.desc("score"), F.col("staff_id")], 5)
-    gaps = m.select("module_id", F.lit("ethics").alias("aspect"), F.lit(0.3).alias("gap"), F.lit("Moderate Co-Delivery Need").alias("need"))
-    fillers = m.select("module_id", F.lit("ethics").alias("aspect"), F.lit(1).cast("long").alias("staff_id"), F.lit(0.5).alias("score"))
+    from matchloom.operators.ranking import best, top_k
+
+    m, s = modules(spark, sf).select("module_id", "title"), scores(spark, sf)
+    primary = top_k(s, ["module_id"], [F.desc("score"), F.col("staff_id")], 5)
+    most = s.groupBy("module_id").agg(*[F.max(c).alias(c) for c in ("score", "core", "pub")])
+    aspects = F.array(*[F.struct(F.lit(c).alias("aspect"), (1 - F.col(c)).alias("gap")) for c in ("score", "core", "pub")])
+    gaps = most.select("module_id", F.explode(aspects).alias("x")).select("module_id", "x.*").where("gap > 0.4").withColumn("need", F.lit("Moderate Co-Delivery Need"))
+    fillers = best(s.where("pub >= 0.5"), ["module_id"], [F.col("staff_id")]).select("module_id", F.lit("pub").alias("aspect"), "staff_id", F.col("pub").alias("score"))
     got = C.unified(m, policy.is_taught(F.col("title")), primary, gaps, fillers)
-    return got.select("module_id", "classification", F.coalesce(F.when(F.col("candidates").isNull(), 0).otherwise(F.size("candidates")), F.lit(0)).cast("long").alias("candidates"), F.col("gaps").isNotNull().alias("second_layer"))
+    found = F.when(F.col("candidates").isNull(), 0).otherwise(F.size("candidates")).cast("long")
+    seen, taught = F.col("candidates").isNotNull(), F.col("classification") == "taught_academic"
+    n_gaps = F.when(taught & seen, F.when(F.col("gaps").isNull(), 0).otherwise(F.size("gaps")))
+    return got.select("module_id", "classification", found.alias("candidates"), n_gaps.alias("gaps"), F.get("collaborators", 0)["staff_id"].alias("helper"))
 
 
 @query("o2_nulls_last", f"WITH {SCORE_SQL}, r AS (SELECT module_id, count(*) AS n FROM score WHERE score >= 0.9 GROUP BY module_id) SELECT p_partkey, row_number() OVER (ORDER BY n ASC NULLS LAST, p_partkey) AS place FROM part LEFT JOIN r ON module_id = p_partkey QUALIFY place <= 200")
@@ -336,25 +345,34 @@ def _(spark, sf):
     return first.select("p_partkey", F.row_number().over(Window.orderBy(F.asc_nulls_last("n"), "p_partkey")).cast("long").alias("place"))
 
 
-@query("c3_hierarchy_mapping", f"WITH {STAFF_SQL} SELECT staff_id, 'resolved' AS status, path FROM staff")
+@query("c3_hierarchy_mapping", f"""WITH {STAFF_SQL}, l AS (SELECT staff_id, CASE WHEN balance < 0 THEN '' WHEN position = '' THEN lower(college) WHEN position = 'Consultant' THEN 'visitors' WHEN position = 'Technician' THEN 'workshop' ELSE lower(department) END AS label, path FROM staff),
+i AS (SELECT DISTINCT lower(department) AS label, path FROM staff UNION SELECT DISTINCT lower(college), path FROM staff), m AS (SELECT label, count(DISTINCT path) AS n, min(path) AS one FROM i GROUP BY label)
+SELECT staff_id, CASE WHEN label = '' THEN 'missing' WHEN label = 'workshop' OR n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN label = '' THEN NULL WHEN label = 'workshop' THEN 'europe/workshop' WHEN n = 1 THEN one END AS path FROM l LEFT JOIN m USING (label)""")
 def _(spark, sf):
-    """People under the units that their department labels name; the source's own mapping wins."""
+    """People under the units that their labels name: departments, colleges with several departments, labels that name nothing, and one that the source maps."""
     from matchloom.operators import hierarchy as H
 
-    people = staff(spark, sf)
-    index = people.select(F.lower("department").alias("label"), "path").distinct()
-    labels = people.select("staff_id", F.lower("department").alias("label"))
-    return H.resolve(labels, index, index.limit(0)).select("staff_id", "status", "path")
+    people, c = staff(spark, sf), F.col
+    label = F.when(c("balance") < 0, "").when(c("position") == "", F.lower("college")).when(c("position") == "Consultant", "visitors").when(c("position") == "Technician", "workshop").otherwise(F.lower("department"))
+    index = people.select(F.lower("department").alias("label"), "path").union(people.select(F.lower("college"), "path")).distinct()
+    mapping = spark.createDataFrame([("workshop", "europe/workshop")], "label string, path string")
+    return H.resolve(people.select("staff_id", label.alias("label")), index, mapping).select("staff_id", "status", "path")
 
 
 @query("u4_pool", f"WITH {STAFF_SQL}, {SCORE_SQL} SELECT staff_id FROM staff WHERE position <> '' UNION SELECT staff_id FROM score WHERE score > 0.9")
 def _(spark, sf):
-    pool = staff(spark, sf).where("position <> ''").select("staff_id")
-    return pool.union(scores(spark, sf).where("score > 0.9").select("staff_id")).distinct()
+    from matchloom.operators.allocation import everyone
+
+    return everyone(staff(spark, sf).where("position <> ''"), scores(spark, sf).where("score > 0.9"))
 
 
-@query("a23_a25_reports", f"WITH {MODULE_SQL} SELECT department, count(*) AS modules, count_if(regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad')) AS exempt FROM module GROUP BY department")
+@query("a23_a25_reports", f"""WITH {MODULE_SQL}, {STAFF_SQL}, {SCORE_SQL}, a AS (SELECT count(*) AS modules, count_if(regexp_matches(lower(title), 'placement|dissertation|capstone project|study abroad')) AS exempt FROM module), b AS (SELECT count(*) AS people, count_if(position = '') AS unplaced FROM staff), c AS (SELECT count(*) AS n, min(score) AS least, max(score) AS most FROM score)
+SELECT 'modules' AS report, 'modules' AS metric, CAST(modules AS DOUBLE) AS value FROM a UNION ALL SELECT 'modules', 'exempt', exempt FROM a UNION ALL SELECT 'staff', 'people', people FROM b UNION ALL SELECT 'staff', 'unplaced', unplaced FROM b UNION ALL SELECT 'scores', 'n', n FROM c UNION ALL SELECT 'scores', 'least', least FROM c UNION ALL SELECT 'scores', 'most', most FROM c""")
 def _(spark, sf):
-    from matchloom.operators import policy
+    from matchloom.operators import audit, policy
 
-    return modules(spark, sf).groupBy("department").agg(F.count("*").alias("modules"), F.count_if(~policy.is_taught(F.col("title"))).alias("exempt"))
+    return audit.consolidated({
+        "modules": modules(spark, sf).agg(F.count("*").alias("modules"), F.count_if(~policy.is_taught(F.col("title"))).alias("exempt")),
+        "staff": staff(spark, sf).agg(F.count("*").alias("people"), F.count_if(F.col("position") == "").alias("unplaced")),
+        "scores": audit.summary(scores(spark, sf), "score").select("n", "least", "most"),
+    })
