@@ -40,11 +40,12 @@ def _(spark, sf):
     return found.select("item_id", "topic", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("g4_g7_explicit", f"WITH {STAFF_SQL} SELECT staff_id, 'machine vision' AS topic, CAST(14 AS BIGINT) AS score FROM staff WHERE position <> ''")
+@query("g4_g7_explicit", f"""WITH {STAFF_SQL}, w AS (SELECT staff_id, list_filter(string_split(lower(position), ' '), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS t FROM staff)
+SELECT staff_id, array_to_string(t, ' ') AS topic, CAST(14 AS BIGINT) AS score FROM w WHERE len(t) = 2 UNION ALL SELECT staff_id, x, CAST(2 AS BIGINT) FROM (SELECT staff_id, unnest(t) AS x FROM w) WHERE x IN ({", ".join(f"'{w}'" for w in T.SINGLE)})""")
 def _(spark, sf):
-    """Explicit topics weigh 12; two mentions add to them, and a person's own name is no topic."""
-    people = staff(spark, sf).where("position <> ''").select("staff_id", F.lit("machine vision. again machine vision").alias("text"))
-    found = T.extract(people, "staff_id", "text", F.array(F.lit("Machine Vision"), F.lit("supplier person")), F.array(F.lit("supplier"), F.lit("again")), least=2)
+    """A person's position, said twice and given as explicit, which weighs 12; words of the person's name are in no topic."""
+    people = staff(spark, sf).select("staff_id", "position", F.split(F.lower("full_name"), "[^a-z]+").alias("name"), F.concat_ws(" ", "full_name", "position", F.lit("."), "position").alias("text"))
+    found = T.extract(people, "staff_id", "text", F.array("position"), F.filter("name", lambda x: x != ""), least=2)
     return found.select("staff_id", "topic", F.col("score").cast("long").alias("score"))
 
 
