@@ -6,7 +6,7 @@ vanish in the join. Scores are an equi-join on term, so pairs without a common t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words that are no terms.
@@ -50,6 +50,20 @@ def fit(found: DataFrame, ids: DataFrame, group: list[str] | None = None, max_df
     return kept.select(*group, "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def save(idf: DataFrame, path: str) -> None:
+    """Stores a fitted vocabulary."""
+    idf.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored vocabulary; a term without a weight, or one that comes twice, is an error."""
+    idf = spark.read.parquet(path)
+    keys = [c for c in idf.columns if c not in ("idf", "asked")]
+    if not idf.where("idf is null or idf <= 0").isEmpty() or not idf.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"no vocabulary: {path}")
+    return idf
+
+
 def asked(idf: DataFrame, demand: DataFrame, group: list[str] | None = None) -> DataFrame:
     """idf with `asked`: whether the demand side has the term."""
     on = [*(group or []), "term"]

@@ -14,7 +14,7 @@ from matchloom.operators import lexical as L
 from matchloom.operators import ranking, semantic
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
-from matchloom.session import materialise
+from matchloom.session import materialise, scratch
 from matchloom.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
@@ -51,6 +51,14 @@ def _(spark, sf):
     return L.fit(L.terms(docs, ["doc_id"], "text"), docs).select("term", F.round("idf", 4).alias("idf"))
 
 
+@query("s20_model_cache", f"WITH {_terms_sql('s', 'documents', 'doc_id')}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM s GROUP BY term) SELECT term, round(ln((1.0 + n) / (1.0 + df)) + 1.0, 4) AS idf FROM df, n WHERE df <= 0.95 * n ORDER BY total DESC, term LIMIT 75000")
+def _(spark, sf):
+    """A fitted vocabulary, stored and read back."""
+    docs, path = table(spark, sf, "documents"), scratch(spark, "vocabulary")
+    L.save(L.fit(L.terms(docs, ["doc_id"], "text"), docs), path)
+    return L.load(spark, path).select("term", F.round("idf", 4).alias("idf"))
+
+
 @query("t3_tfidf_topk", f"WITH {_TFIDF_SQL} SELECT item_id, doc_id, rank, n_terms, round(score, 4) AS score FROM r WHERE rank <= 5")
 def _(spark, sf):
     best = L.top_k(L.products(*_weights(spark, sf)), "item_id", "doc_id", 5)

@@ -236,6 +236,37 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", is_blank_json(said).alias("blank"))
 
 
+@query("s12_s20_vectors", "SELECT vec_id, 'core' AS field, len(embedding) AS n FROM embeddings")
+def _(spark, sf):
+    """A bundle of vectors, stored and read back with its checks."""
+    path = scratch(spark, "vectors")
+    e = table(spark, sf, "embeddings")
+    sinks.save_vectors(e.select(F.lit("staff").alias("entity"), F.col("vec_id").alias("id"), F.lit("core").alias("field"), F.col("embedding").alias("vector")), path)
+    back = sinks.load_vectors(spark, path, {"core": 1.0}, 64)
+    return back.select(F.col("id").alias("vec_id"), "field", F.size("vector").cast("long").alias("n"))
+
+
+@query("s17_swapped", "SELECT o_orderkey, o_custkey FROM orders")
+def _(spark, sf):
+    """A table written over another one in one move."""
+    path = scratch(spark, "swapped")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    sinks.swapped(orders.where("o_custkey = 0"), path)
+    sinks.swapped(orders, path, order=["o_orderkey"])
+    return spark.read.parquet(path)
+
+
+@query("s21_graphml", f"""WITH {STAFF_SQL}, {MODULE_SQL}, n AS (SELECT DISTINCT 'department:' || lower(department) AS id, 'department' AS kind FROM staff UNION SELECT 'module:' || lower(module_code), 'module' FROM module)
+SELECT '<node id="' || id || '"><data key="node_type">' || kind || '</data></node>' AS line FROM n UNION ALL SELECT DISTINCT '<edge source="module:' || lower(module_code) || '" target="department:' || lower(department) || '"><data key="edge_type">owned_by</data></edge>' FROM module
+UNION ALL SELECT unnest(['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="edge_type" for="edge" attr.name="edge_type" attr.type="string"/>', '<key id="node_type" for="node" attr.name="node_type" attr.type="string"/>', '<graph edgedefault="directed">', '</graph>', '</graphml>'])""")
+def _(spark, sf):
+    m = modules(spark, sf)
+    nodes, edges = T.graph({"department": (staff(spark, sf), "department"), "module": (m, "module_code")}, {"owned_by": (m, "module", "module_code", "department", "department")})
+    path = scratch(spark, "graphml")
+    sinks.write_lines(sinks.graphml_document(nodes, edges), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 # ---- enrichment ------------------------------------------------------------------------------------
 
 

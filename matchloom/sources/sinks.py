@@ -21,9 +21,10 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     df.select(*[F.col(c).alias("\ufeff" + c if not i else c) for i, c in enumerate(kept)]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def swapped(df: DataFrame, path: str) -> None:
-    """Writes beside the path and renames, so a reader sees the old table or the new one."""
+def swapped(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Writes beside the path, in the order asked for, and renames: a reader sees the old table or the new one, or for a moment none, and never half of one."""
     spark = df.sparkSession
+    df = df.orderBy(*order) if order else df
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
     jvm = spark.sparkContext._jvm
@@ -62,11 +63,30 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.select(F.lit("link").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("json")))
 
 
+_HEAD = (
+    '<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="edge_type" for="edge" attr.name="edge_type" attr.type="string"/>',
+    '<key id="node_type" for="node" attr.name="node_type" attr.type="string"/>', '<graph edgedefault="directed">',
+)
+
+
+def graphml_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """place, line of a whole GraphML document: its head, nodes, edges and end; `write_lines` keeps that order."""
+    spark = nodes.sparkSession
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(_HEAD)] + [(9_000, "</graph>"), (9_001, "</graphml>")], "place int, line string")
+    body = graphml(nodes, edges)
+    return frame.unionByName(body.select(F.when(F.col("line").startswith("<node"), 100).otherwise(200).alias("place"), "line"))
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """Text files that, one after the other by name, hold the lines by place."""
+    df.orderBy("place", "line").select("line").write.mode("overwrite").text(path)
+
+
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a GraphML document's body."""
     esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     n = nodes.select(F.format_string('<node id="%s"><data key="node_type">%s</data></node>', esc("id"), esc("node_type")).alias("line"))
-    return n.unionByName(edges.select(F.format_string('<edge source="%s" target="%s"><data key="edge_type">%s</data></edge>', esc("source"), esc("target"), esc("edge_type"))))
+    return n.unionByName(edges.select(F.format_string('<edge source="%s" target="%s"><data key="edge_type">%s</data></edge>', esc("source"), esc("target"), esc("edge_type")).alias("line")))
 
 
 def bundle(primary: DataFrame | None, fallback: DataFrame, links: DataFrame, key: str = "module_id") -> DataFrame:

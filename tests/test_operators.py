@@ -265,3 +265,24 @@ def test_stages_stop_at_the_first_failure(spark, tmp_path):
     got = stages.run_all(all_stages, stages.Context(spark, str(tmp_path)))
     assert [r.status for r in got] == ["success", "failed"] and got[0].metrics == {"rows": 3}
     assert not json.loads(stages.report(got))["succeeded"]
+
+
+def test_command_line(capsys, tmp_path, spark):
+    from matchloom.__main__ import main
+    from tests.oracle import SF
+
+    assert main(["list"]) == 0 and "t3_tfidf_topk" in capsys.readouterr().out
+    assert main(["run", "a6_blanks", SF, "--out", str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() > 0
+    assert main(["stages", SF]) == 0 and "evaluation: success, 1 rows" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "no such query", SF])
+
+
+def test_graph_document_is_whole(spark, tmp_path):
+    import xml.etree.ElementTree as tree
+
+    nodes = spark.createDataFrame([("a:1", "a", "x"), ("b:2", "b", 'y & "z"')], "id string, node_type string, label string")
+    edges = spark.createDataFrame([("a:1", "b:2", "has")], "source string, target string, edge_type string")
+    sinks.write_lines(sinks.graphml_document(nodes, edges), str(tmp_path / "g"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    assert len(tree.fromstring(text.encode())[2]) == 3
