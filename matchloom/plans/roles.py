@@ -19,8 +19,6 @@ TITLES = (
     "", " Dissertation", " Work Placement", " Performance", " Major Group Project", " Capstone Project", " Theory", " Study Abroad", " Practice", " Systems",
 )
 
-_POSITION = "element_at(array({}), cast(s_suppkey % {} as int) + 1)".format(", ".join(f"'{p}'" for p in POSITIONS), len(POSITIONS))
-_TITLE = "concat(p_name, element_at(array({}), cast(p_partkey % {} as int) + 1))".format(", ".join(f"'{t}'" for t in TITLES), len(TITLES))
 _D_POSITION = "list_extract([{}], CAST(s_suppkey % {} AS INT) + 1)".format(", ".join(f"'{p}'" for p in POSITIONS), len(POSITIONS))
 _D_TITLE = "p_name || list_extract([{}], CAST(p_partkey % {} AS INT) + 1)".format(", ".join(f"'{t}'" for t in TITLES), len(TITLES))
 
@@ -34,21 +32,28 @@ SCORE_SQL = """score AS (SELECT l_partkey AS module_id, l_suppkey AS staff_id, c
  sum(CAST(round(l_tax * 100) AS BIGINT)) / (count(*) * 16.0) AS pub FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 
 
+def _catalogue(spark: SparkSession, values: tuple[str, ...], key: str, name: str) -> DataFrame:
+    """A table of texts by number: joined and not computed from a key, or rules on the text would be inferred for every table with that key."""
+    rows = ", ".join(f"({i}, '{v}')" for i, v in enumerate(values))
+    return F.broadcast(spark.sql(f"SELECT cast({key} as bigint) AS {key}, {name} FROM VALUES {rows} AS t({key}, {name})"))  # a dozen rows
+
+
 def staff(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     n, r = t("nation"), t("region")
+    people = t("supplier").withColumn("__p", F.col("s_suppkey") % len(POSITIONS)).join(_catalogue(spark, POSITIONS, "__p", "position"), "__p")
     return (
-        t("supplier").join(n, _eq("s_nationkey", "n_nationkey")).join(r, _eq("n_regionkey", "r_regionkey"))
-        .selectExpr("s_suppkey as staff_id", "s_name as full_name", f"{_POSITION} as position", "n_name as department", "r_name as college", "concat(lower(r_name), '/', lower(n_name)) as path", "s_acctbal as balance")
+        people.join(n, _eq("s_nationkey", "n_nationkey")).join(r, _eq("n_regionkey", "r_regionkey"))
+        .selectExpr("s_suppkey as staff_id", "s_name as full_name", "position", "n_name as department", "r_name as college", "concat(lower(r_name), '/', lower(n_name)) as path", "s_acctbal as balance")
     )
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    parts = t("part").withColumn("__n", F.expr("p_partkey % 25"))
+    parts = t("part").withColumns({"__n": F.col("p_partkey") % 25, "__t": F.col("p_partkey") % len(TITLES)}).join(_catalogue(spark, TITLES, "__t", "suffix"), "__t")
     return (
         parts.join(t("nation"), _eq("__n", "n_nationkey")).join(t("region"), _eq("n_regionkey", "r_regionkey"))
-        .selectExpr("p_partkey as module_id", "concat(upper(substr(p_name, 1, 2)), cast(1000 + p_partkey as string)) as module_code", f"{_TITLE} as title", "n_name as department", "r_name as college", "case when p_partkey % 4 = 0 then lower(r_name) else concat(lower(r_name), '/', lower(n_name)) end as path", "p_size as size")
+        .selectExpr("p_partkey as module_id", "concat(upper(substr(p_name, 1, 2)), cast(1000 + p_partkey as string)) as module_code", "concat(p_name, suffix) as title", "n_name as department", "r_name as college", "case when p_partkey % 4 = 0 then lower(r_name) else concat(lower(r_name), '/', lower(n_name)) end as path", "p_size as size")
     )
 
 
