@@ -35,7 +35,8 @@ from matchloom.session import Scratch, release
 
 #: Levels at least and at most, distinct training words a bucket, training tokens a weight, weights at least and at most.
 LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 2048, 8, 1 << 22, 1 << 23
-ROUNDS, BATCH, RATE, STEP = 2, 2_048, 0.1, 4
+ROUNDS, BATCH, RATE, STEP = 2, 512, 0.1, 4
+#: A batch is small, so that what it reads is still near when it is written.
 #: Training tasks of a round at least; bytes of text that a task reads for a byte that it sends.
 TASKS, READ_FOR_SENT = 6, 8
 #: Tokens after which a unit of documents is closed; weights in a piece on their way to the sum.
