@@ -35,7 +35,7 @@ from matchloom.session import Scratch, release
 
 #: Levels at least and at most, distinct training words a bucket, training tokens a weight, weights at least and at most.
 LEAST_DEPTH, MOST_DEPTH, WORDS, TOKENS, LEAST_WEIGHTS, MOST_WEIGHTS = 11, 20, 2048, 8, 1 << 22, 1 << 23
-ROUNDS, BATCH, RATE, STEP = 2, 512, 0.1, 4
+ROUNDS, BATCH, RATE, STEP = 2, 1_024, 0.1, 4
 #: A batch is small, so that what it reads is still near when it is written.
 #: Training tasks of a round at least; bytes of text that a task reads for a byte that it sends.
 TASKS, READ_FOR_SENT = 6, 8
@@ -162,8 +162,10 @@ class Model:
         np.add.at(gains[0], block.reshape(-1), np.broadcast_to(each, block.shape).reshape(-1))
         rate = np.float32(RATE) / np.sqrt(gains[0][block])
         np.subtract.at(self.table, at.reshape(-1), (np.repeat(rate, self.held, 1) * wrong).reshape(-1))
-        np.add.at(gains[1], node.reshape(-1), square.reshape(-1))
-        np.subtract.at(self.constant, node.reshape(-1), (np.float32(RATE) * wrong / np.sqrt(gains[1][node])).reshape(-1))
+        # constants are few: the same sums, a class at a time
+        more, drift = (np.bincount(node.reshape(-1), x.reshape(-1), len(self.constant)).astype(np.float32) for x in (square, wrong))
+        gains[1][:] += more
+        self.constant -= np.float32(RATE) * drift / np.sqrt(gains[1])
 
 
 _PIECES = pa.schema([("piece", pa.int32()), ("scale", pa.float64()), ("sum", pa.binary()), ("moved", pa.binary())])
