@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import no_clash
+from matchloom.llm.common import no_clash, roomy
 
 #: Documents that are learned from at most, and windows.
 LABELLED, WINDOWS = 20_000, 6_000
@@ -472,6 +472,7 @@ def find(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: tuple
     weights = None if tagger is None else tagger.p
 
     def run(batches):
+        roomy()
         model = None
         if weights is not None:
             model = Tagger()
