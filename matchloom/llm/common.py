@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +35,6 @@ def no_clash(keep: tuple[str, ...], *made: str) -> None:
         raise ValueError(f"columns named like results: {both}")
 
 
-def roomy() -> None:
-    """Lets a worker keep freed memory: the allocator maps and unmaps blocks larger than the largest mapped one that it got back, which costs numpy's temporaries more than their arithmetic."""
-    np.empty(31 << 20, np.uint8)
-
-
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]

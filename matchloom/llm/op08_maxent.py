@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
-from matchloom.llm.common import roomy
 from matchloom.session import Scratch, release
 
 #: Levels at least and at most, distinct training words a bucket, training tokens a weight, weights at least and at most.
@@ -174,7 +173,6 @@ _PIECES = pa.schema([("piece", pa.int32()), ("scale", pa.float64()), ("sum", pa.
 
 def _train(prior, weights, sent):
     def run(batches):
-        roomy()
         flat = sent.value.copy()
         model = Model(prior, weights, flat)
         gains = np.ones(model.blocks, np.float32), np.ones(len(prior), np.float32)
@@ -306,7 +304,6 @@ def _score(prior, known_in, weights, sent):
     total, vocabulary = int(prior.sum()), int(known_in.sum())
 
     def run(key, docs, known):
-        roomy()
         size = sum(len(x.as_buffer()) // 8 for x in known.column("hash"))
         h, c = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         for i, x, n in zip(*(known.column(k) for k in ("idx", "hash", "n"))):
