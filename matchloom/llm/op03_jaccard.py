@@ -4,7 +4,8 @@ A document's set holds its distinct shingles of `n` words (A-Z folded; words are
 ASCII white space; a shorter text is one shingle, a text without words or null has an empty set and
 links with nothing). Two sets link when 100 * |intersection| >= PERCENT * |union|.
 
-1. Equal sets become one node (64-bit signature of the set). Copies are never paired.
+1. Equal sets become one node. Its 64-bit name comes with 64 further bits; sets that share a name but not
+   these get names of their own (a handful in a corpus of any size). Copies are never paired.
 2. Shingles get one order for the whole corpus, rare before frequent: by how far their slot of a count
    table exceeds the usual, then by the rarest of their words, then by all their words. A link needs a
    common shingle among the first |x| - ceil(.9 |x|) + 1 of either set: those are the short inverted
@@ -19,7 +20,8 @@ links with nothing). Two sets link when 100 * |intersection| >= PERCENT * |union
    by DivideSkip, and gives one link to each component that it reaches.
 
 No list is capped and no pair is dropped. A hot list is split by Spark's skew joins or by block.
-Sets are compared by 64-bit hashes of shingles. Repeated rows are copies. Null ids never name a
+Sets are compared by 64-bit hashes of shingles, and a link counts once the words behind equal hashes are
+compared too. Repeated rows are copies. Null ids never name a
 component unless it has no other. Empty tables give empty results; extra columns do no harm.
 """
 
@@ -62,13 +64,17 @@ def _sets(w: words.Words, n: int):
             yield words.windows(w.hash[a:b], b - a) if b > a else whole[:0]
 
 
-def signature(shingles: np.ndarray) -> int:
-    """A set's 64-bit name."""
-    h = words.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+def _digest(h: np.ndarray) -> int:
     parts = np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(h), len(h)], np.uint64)
     return int(words.mix((words.mix(parts) * np.array([3, 5, 7], np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
 
 
+def signature(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's 64-bit name, and 64 bits that tell sets of one name apart."""
+    h = words.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return _digest(h), _digest(words.mix(h * np.uint64(0xD6E8FEB86659FD93) + shingles))
+
+
 def prefix_size(size: int, percent: int = PERCENT) -> int:
     """Lists of which a link needs one in common: all but the required overlap, and one more."""
     return size - -(-percent * size // 100) + 1
@@ -132,8 +138,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def search_block(nodes: list[int], members: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what is connected in a block; a link within what is already connected is left out."""
+def always(i: int, j: int) -> bool:
+    return True
+
+
+def search_block(nodes: list[int], members: list[np.ndarray], percent: int = PERCENT, confirmed=always) -> list[tuple[int, int]]:
+    """Links that connect what is connected in a block; a link within what is already connected is left out. confirmed: compares two members' words."""
     order = sorted(range(len(nodes)), key=lambda i: len(members[i]))
     root = list(range(len(nodes)))
 
@@ -152,7 +162,7 @@ def search_block(nodes: list[int], members: list[np.ndarray], percent: int = PER
     for place, i in enumerate(order):
         mine = members[i]
         for j in heads[-4:]:  # most of a group of near copies links with one of its first
-            if top(j) != top(i) and linked(mine, members[j], percent):
+            if top(j) != top(i) and linked(mine, members[j], percent) and confirmed(i, j):
                 join(i, j)
         apart = {top(order[k]) for k in range(place)} - {top(i)}
         if apart:
@@ -160,7 +170,7 @@ def search_block(nodes: list[int], members: list[np.ndarray], percent: int = PER
             least = required(-(-percent * len(mine) // 100), len(mine), percent)
             for k, common in divide_skip(lists, max(1, least)).items():
                 j = order[k]
-                if top(j) != top(i) and 100 * common >= percent * (len(mine) + len(members[j]) - common):
+                if top(j) != top(i) and 100 * common >= percent * (len(mine) + len(members[j]) - common) and confirmed(i, j):
                     join(i, j)
         if all(top(j) != top(i) for j in heads):
             heads.append(i)
@@ -169,15 +179,15 @@ def search_block(nodes: list[int], members: list[np.ndarray], percent: int = PER
     return out
 
 
-def search_one(mine: np.ndarray, others: list[np.ndarray], comps: list[int], percent: int = PERCENT) -> list[int]:
-    """Places of one linked set of each component among the others."""
+def search_one(mine: np.ndarray, others: list[np.ndarray], comps: list[int], percent: int = PERCENT, confirmed=lambda k: True) -> list[int]:
+    """Places of one linked set of each component among the others. confirmed: compares the words with one of them."""
     lists: dict[int, list[int]] = {t: [] for t in mine.tolist()}
     for k, s in enumerate(others):
         for t in np.intersect1d(mine, s, assume_unique=True).tolist():
             lists[t].append(k)
     out, reached = [], set()
     for k, common in divide_skip(list(lists.values()), max(1, required(-(-percent * len(mine) // 100), len(mine), percent))).items():
-        if comps[k] not in reached and 100 * common >= percent * (len(mine) + len(others[k]) - common):
+        if comps[k] not in reached and 100 * common >= percent * (len(mine) + len(others[k]) - common) and confirmed(k):
             reached.add(comps[k])
             out.append(k)
     return out
@@ -190,13 +200,20 @@ def _slots(h: np.ndarray, slots: int) -> np.ndarray:
     return h >> np.uint64(64 - slots.bit_length() + 1)
 
 
+def pieces(table: np.ndarray):
+    """(numbers, contents as compressed bytes) of a task's pieces in which something was counted, some at a time."""
+    at = [p for p in range(0, len(table), PIECE) if table[p : p + PIECE].any()]
+    for part in (at[i : i + 1024] for i in range(0, len(at), 1024)):
+        yield [p // PIECE for p in part], [pa.compress(np.minimum(table[p : p + PIECE], 255).astype(np.uint8).tobytes(), "zstd", asbytes=True) for p in part]
+
+
 def _describe(n: int, slots: int, word_slots: int):
     """doc_id, check, text -> a row a document (size, node), then the task's counts of shingles and words in pieces."""
 
     def run(batches):
         counts, used = np.zeros(slots, np.uint32), np.zeros(word_slots, np.uint32)
-        schema = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
-        seen: set[int] = set()
+        schema = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             w = words.scan(b.column(2), words.NONSPACE)
             found = list(_sets(w, n))
@@ -206,13 +223,12 @@ def _describe(n: int, slots: int, word_slots: int):
                 np.add.at(counts, _slots(np.concatenate([found[d] for d in fresh]), slots), 1)
                 np.add.at(used, _slots(np.concatenate([w.hash[w.first[d] : w.first[d + 1]] for d in fresh]), word_slots), 1)
             k = len(found)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            named = [pa.array([x and x[i] for x in nodes], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), *named, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         for base, table in ((0, counts), (slots // PIECE, used)):
-            at = [p for p in range(0, len(table), PIECE) if table[p : p + PIECE].any()]
-            for part in (at[i : i + 1024] for i in range(0, len(at), 1024)):
+            for part, small in pieces(table):
                 k = len(part)
-                small = [pa.compress(np.minimum(table[p : p + PIECE], 255).astype(np.uint8).tobytes(), "zstd", asbytes=True) for p in part]
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array([base + p // PIECE for p in part], pa.int32()), pa.array(small, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 5, pa.array([base + p for p in part], pa.int32()), pa.array(small, pa.binary())], schema=schema)
 
     return run
 
@@ -286,28 +302,37 @@ def ordered(w: words.Words, n: int, tables) -> list[tuple[np.ndarray, np.ndarray
 _LISTS = "node long, size int, postings array<struct<at:int,key:long>>, bits array<long>"
 
 
-def _short_lists(n: int, tables, percent: int):
+def may_link(size: int, percent: int) -> bool:
+    """Whether a set of this size can link with one that isn't equal."""
+    return 100 * size >= percent * (size + 1) or 100 * (size - 1) >= percent * size
+
+
+def lists_batch(nodes: list[int], sizes: list[int], places: list[np.ndarray], keys: list[np.ndarray], bits: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of _LISTS."""
+    ends = np.cumsum([0, *map(len, places)])
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *x]), t) for x, t in ((places, "int32"), (keys, "int64"))], names=["at", "key"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "postings", "bits"])
+
+
+def _short_lists(n: int, tables, percent: int, renamed: dict[tuple[int, int], int]):
     def run(batches):
-        seen: set[int] = set()
-        posting = pa.struct([("at", pa.int32()), ("key", pa.int64())])
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            nodes, sizes, ends, places, keys, bits = [], [], [0], [], [], []
+            nodes, sizes, places, keys, bits = [], [], [], [], []
             for s, order, shared in ordered(words.scan(b.column(0), words.NONSPACE), n, tables.value):
-                if 100 * len(s) >= percent * (len(s) + 1) or 100 * (len(s) - 1) >= percent * len(s):  # else only an equal set links
-                    node = signature(s)
-                    if node not in seen:
-                        seen.add(node)
+                if may_link(len(s), percent):
+                    named = signature(s)
+                    if named not in seen:
+                        seen.add(named)
                         first = order[: prefix_size(len(s), percent)]
                         at = np.flatnonzero(shared[first])
-                        nodes.append(node)
+                        nodes.append(renamed.get(named, named[0]))
                         sizes.append(len(s))
-                        ends.append(ends[-1] + len(at))
                         places.append(at.astype(np.int32))
                         keys.append(s[first[at]].view(np.int64))
                         bits.append(parity(s))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), f.type) for x, f in zip((places, keys), posting)], fields=list(posting))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["node", "size", "postings", "bits"])
+            yield lists_batch(nodes, sizes, places, keys, bits)
 
     return run
 
@@ -330,21 +355,40 @@ def _tested(column: str, words64: int):
     return F.expr(f"shiftright(__bits[cast(shiftright({slot}, 6) as int)], cast({slot} & 63 as int)) & 1L") == 1
 
 
-def _search(n: int, percent: int):
+def same_words(w: words.Words, n: int):
+    """(i, j) -> whether all shingles of texts i and j with equal hashes have equal words."""
+
+    def places(i: int):
+        a, b = int(w.first[i]), int(w.first[i + 1])
+        if b - a < n:
+            return words.windows(w.hash[a:b], b - a), np.array([a]), b - a
+        found, at = np.unique(words.windows(w.hash[a:b], n), return_index=True)
+        return found, at + a, n
+
+    def same(i: int, j: int) -> bool:
+        (x, at, size), (y, to, _) = places(i), places(j)
+        _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        return bool(w.equal((at[p][:, None] + np.arange(size)).ravel(), (to[q][:, None] + np.arange(size)).ravel()))
+
+    return same
+
+
+def _search(n: int, percent: int, block=search_block, one=search_one):
     """The texts of a block -> links. With rows that ask, only these are searched among the others."""
 
     def run(key, table):
         table = table.combine_chunks()
         nodes, comps, asks = (table.column(c).to_pylist() for c in ("node", "comp", "asks"))
         texts = table.column("t").combine_chunks()
-        members, seen, found = sets(texts if isinstance(texts, pa.Array) else texts.chunk(0), n), set(), []
+        w = words.scan(texts if isinstance(texts, pa.Array) else texts.chunk(0), words.NONSPACE)
+        members, same, seen, found = list(_sets(w, n)), same_words(w, n), set(), []
         once = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]  # a text may come twice where rows are repeated
         if any(asks):
             others = [i for i in once if not asks[i]]
             for i in (i for i in once if asks[i]):
-                found += [(nodes[i], nodes[others[k]]) for k in search_one(members[i], [members[j] for j in others], [comps[j] for j in others], percent)]
+                found += [(nodes[i], nodes[others[k]]) for k in one(members[i], [members[j] for j in others], [comps[j] for j in others], percent, lambda k: same(i, others[k]))]
         else:
-            found = search_block([nodes[i] for i in once], [members[i] for i in once], percent)
+            found = block([nodes[i] for i in once], [members[i] for i in once], percent, lambda i, j: same(once[i], once[j]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
@@ -369,16 +413,9 @@ class _Join:
 
     def __init__(self, docs: DataFrame, scratch: Scratch, n: int, percent: int, doc_id: str, text: str):
         self.spark, self.docs, self.scratch, self.n, self.percent, self.doc_id, self.text = docs.sparkSession, docs, scratch, n, percent, doc_id, text
-        total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
-        size = lambda x, least, most: 1 << int(np.clip(np.ceil(np.log2(max(1, x))), least, most.bit_length() - 1))
-        self.words64 = size(total["n"] / 4, 10, 1 << 20)
-        slots, word_slots = size((total["b"] or 0) / 400, 16, MOST_SLOTS), size((total["b"] or 0) / 32, 16, MOST_SLOTS >> 2)
-        asked = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text))
-        told = scratch.keep(asked.mapInArrow(_describe(n, slots, word_slots), "doc_id long, check long, size long, node long, piece int, counts binary"), "sets")
-        self.rows = told.where("piece is null").select("doc_id", "check", "size", "node")
-        shingles = self.rows.agg(F.sum("size").alias("n")).first()["n"] or 0
-        tables = self.spark.sparkContext.broadcast(_tables(told.where("piece is not null").select("piece", "counts"), slots, word_slots, shingles))
-        self.lists = scratch.keep(docs.select(F.col(text)).mapInArrow(_short_lists(n, tables, percent), _LISTS), "short-lists")
+        self.total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
+        self.words64 = self.sized(self.total["n"] / 4, 10, 1 << 20)
+        self.describe()
         flat = self.lists.select("node", "size", F.explode("postings").alias("p")).select("node", "size", "p.at", "p.key")
         shared = scratch.keep(flat.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared-lists")
         posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).join(shared, "key").dropDuplicates(["key", "node"])
@@ -387,6 +424,41 @@ class _Join:
         self.sketches = scratch.keep(self.sketches.join(self.posted.select("node").distinct(), "node"), "sketches")
         self.links, self.roots, self.left = None, None, self.posted
 
+    @staticmethod
+    def sized(x: float, least: int, most: int) -> int:
+        """The power of two from x on, between 2^least and most."""
+        return 1 << int(np.clip(np.ceil(np.log2(max(1, x))), least, most.bit_length() - 1))
+
+    def describe(self) -> None:
+        """Sets rows (a row a document) and lists (a row a node, with its short lists)."""
+        held = self.total["b"] or 0
+        slots, word_slots = self.sized(held / 400, 16, MOST_SLOTS), self.sized(held / 32, 16, MOST_SLOTS >> 2)
+        asked = self.docs.select(F.col(self.doc_id).cast("long"), F.xxhash64(self.text), F.col(self.text))
+        told = self.scratch.keep(asked.mapInArrow(_describe(self.n, slots, word_slots), "doc_id long, check long, size long, node long, second long, piece int, counts binary"), "sets")
+        renamed = self.name(told.where("piece is null"))
+        shingles = self.rows.agg(F.sum("size").alias("n")).first()["n"] or 0
+        tables = self.spark.sparkContext.broadcast(_tables(told.where("piece is not null").select("piece", "counts"), slots, word_slots, shingles))
+        self.lists = self.scratch.keep(self.docs.select(F.col(self.text)).mapInArrow(_short_lists(self.n, tables, self.percent, renamed), _LISTS), "short-lists")
+
+    def name(self, told: DataFrame) -> dict[tuple[int, int], int]:
+        """Sets rows; new names of sets whose 64-bit name another set has (as many as n * n / 2^65 of n sets: few at any size)."""
+        self.rows = told.select("doc_id", "check", "size", "node")
+        both = told.where("node is not null").groupBy("node").agg(F.min("second").alias("least"), F.max("second").alias("most")).where("least <> most")
+        more = told.join(both, "node").where("second <> least").select("node", "second", F.xxhash64("second", "node").alias("other")).distinct().collect()
+        if more:
+            other = F.broadcast(self.spark.createDataFrame(more, "node long, second long, other long"))
+            self.rows = told.join(other, ["node", "second"], "left").select("doc_id", "check", "size", F.coalesce("other", "node").alias("node"))
+        return {(r["node"], r["second"]): r["other"] for r in more}
+
+    def near(self, x: str, y: str) -> str:
+        return _near(x, y, self.percent)
+
+    def alike(self, x: str, y: str) -> str:
+        return _alike(x, y, self.percent)
+
+    def searcher(self):
+        return _search(self.n, self.percent)
+
     def mixed(self) -> DataFrame:
         """The postings of lists that hold several components: key, node, size, at, comp, and whether the list's components have changed."""
         if self.roots is not None:
@@ -414,7 +486,7 @@ class _Join:
         seen = self.docs.select(F.col(self.doc_id).cast("long").alias("id"), F.xxhash64(self.text).alias("check"), F.col(self.text).alias("t"))
         seen = _maybe(seen, "check", _bits(chosen.select("__check").distinct(), "__check", self.words64), self.words64)
         told = seen.join(chosen, (F.col("check") == F.col("__check")) & F.col("id").eqNullSafe(F.col("__id"))).select("block", "part", "node", "comp", "asks", "t")
-        return told.groupBy("block", "part").applyInArrow(_search(self.n, self.percent), "a long, b long")
+        return told.groupBy("block", "part").applyInArrow(self.searcher(), "a long, b long")
 
     def by_first_list(self, left: DataFrame) -> DataFrame:
         """Blocks of the nodes whose first list of several components is the same; two of them are in every block of a list.
@@ -439,7 +511,7 @@ class _Join:
 
     def candidates(self, x: DataFrame, y: DataFrame, also) -> DataFrame:
         """a, a_comp, a_size, b, b_comp: pairs of different components that share a list and may link."""
-        both = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & also & F.expr(_near("x", "y", self.percent)) & F.expr(_alike("x", "y", self.percent)))
+        both = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & also & F.expr(self.near("x", "y")) & F.expr(self.alike("x", "y")))
         first = F.col("x.node") > F.col("y.node")
         one = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
         (a, b), (ca, cb), (sa, _) = one("node"), one("comp"), one("size")
@@ -484,41 +556,41 @@ class _Join:
             tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
 
 
-def link_classes(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"):
+def link_classes(docs: DataFrame, scratch: Scratch, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", kind: type[_Join] = _Join):
     """(a row a document: doc_id, check, size, node; node and root of every node that isn't its component's root).
 
-    check is a hash of the text, to tell rows with the same id apart.
+    check is a hash of the text, to tell rows with the same id apart. kind: how links are found.
     """
-    join = _Join(docs, scratch, n, percent, doc_id, text)
+    join = kind(docs, scratch, n, percent, doc_id, text)
     join.run()
     return join.rows, join.roots if join.roots is not None else docs.sparkSession.createDataFrame([], "node long, root long")
 
 
-def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, Scratch]:
+def _classes(docs: DataFrame, n: int, percent: int, doc_id: str, text: str, kind: type[_Join] = _Join) -> tuple[DataFrame, Scratch]:
     """(doc_id, check, size, comp of every row, what it is read from)."""
     scratch, result = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    rows, roots = link_classes(docs, scratch, n, percent, doc_id, text)
+    rows, roots = link_classes(docs, scratch, n, percent, doc_id, text, kind)
     named = result.keep(rows.join(roots, "node", "left").select("doc_id", "check", "size", F.coalesce("root", "node").alias("comp")), "classes")
     scratch.clear()
     return named, result
 
 
-def classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", kind: type[_Join] = _Join) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    named, _ = _classes(docs, n, percent, doc_id, text)
+    named, _ = _classes(docs, n, percent, doc_id, text, kind)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     joined = named.where("comp is not null").join(least, "comp").select("doc_id", "size", "least")
     alone = named.where("comp is null").select("doc_id", "size", F.col("doc_id").alias("least"))
     return joined.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", kind: type[_Join] = _Join) -> DataFrame:
     """One row of docs, with all its columns, of each component: the one with the smallest id (a null id is larger than any other).
 
     Of rows with that id the text with the smallest hash stays, and of rows with the same id and text any one.
     Rows without words are no component and all stay.
     """
-    named, scratch = _classes(docs, n, percent, doc_id, text)
+    named, scratch = _classes(docs, n, percent, doc_id, text, kind)
     spark = docs.sparkSession
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")
     groups = named.where("comp is not null").groupBy("comp").agg(F.min(row).alias("best"), F.count("*").alias("n")).where("n > 1")
@@ -535,13 +607,18 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = PERCENT, doc_id: str =
     return out.select("row.*")
 
 
-ORACLE = r"""
+def oracle(n: int, percent: int) -> str:
+    """SQL of classes()."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) >= 3 THEN ws[i:i + 2] ELSE ws END, ' ') AS shingle
-      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) >= {n} THEN ws[i:i + {n} - 1] ELSE ws END, ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - {n} + 1, 1))) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+links AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {percent} * (p.n + q.n - k)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
 """
+
+
+ORACLE = oracle(3, PERCENT)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import op01_bpe, op02_decontaminate, op03_jaccard, op04_exact, op05_toxicity, op06_binary, op07_counts, op08_maxent, op09_pii, op10_quality
+from matchloom.llm import op11_minhash as minhash
 from matchloom.llm import op12_fim as fim
 from matchloom.llm import op13_whitening as whitening
 from matchloom.llm.common import documents, ready
@@ -70,6 +71,10 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (op05_toxicity.fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.expr("if(score >= 0.3, 1, 0)").alias("predicted"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(documents(spark, sf_dir), n=4)
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
@@ -78,5 +83,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_jaccard, op4_exact_dedup, op5_toxicity, op6_binary, op7_token_counts, op8_lm_maxent, op9_pii, op10_quality_crf, op12_fim, op13_whitening)}
-ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op3_jaccard": op03_jaccard.ORACLE, "op4_exact_dedup": op04_exact.ORACLE, "op12_fim": fim.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_jaccard, op4_exact_dedup, op5_toxicity, op6_binary, op7_token_counts, op8_lm_maxent, op9_pii, op10_quality_crf, op11_minhash, op12_fim, op13_whitening)}
+ORACLES = {"op2_decontaminate": op02_decontaminate.ORACLE, "op3_jaccard": op03_jaccard.ORACLE, "op4_exact_dedup": op04_exact.ORACLE, "op11_minhash": minhash.ORACLE, "op12_fim": fim.ORACLE}

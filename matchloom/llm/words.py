@@ -47,6 +47,19 @@ class Words:
     hash: np.ndarray
     first: np.ndarray
 
+    def equal(self, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> bool:
+        """Whether words a and b, pair by pair, are the same but for case."""
+        pairs = np.unique(a.astype(np.int64) * len(self.start) + b)
+        for some in (pairs[i : i + step] for i in range(0, len(pairs), step)):
+            x, y = some // len(self.start), some % len(self.start)
+            size = self.end[x] - self.start[x]
+            if (size != self.end[y] - self.start[y]).any():
+                return False
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            if (_FOLD[self.data[np.repeat(self.start[x], size) + within]] != _FOLD[self.data[np.repeat(self.start[y], size) + within]]).any():
+                return False
+        return True
+
     def text(self, i: int, j: int) -> bytes:
         """Words i to j, exclusive, folded and joined by one space."""
         return b" ".join(_FOLD[self.data[a:b]].tobytes() for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist()))
