@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,29 +44,6 @@ def resolve(labels: DataFrame, index: DataFrame, mapping: DataFrame | None = Non
     return found.withColumn("status", status).withColumn("path", F.when(F.col("status") == "resolved", F.coalesce("mapped", "one"))).drop("n", "one", "mapped")
 
 
-def token_set_ratio(a: str, b: str) -> int:
-    """0 to 100: how alike two labels are as sets of words (the better of three comparisons of common and other words)."""
-    x, y = set(a.lower().split()), set(b.lower().split())
-    common, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    one, two = f"{common} {left}".strip(), f"{common} {right}".strip()
-    if not one or not two:
-        return 0
-    if common and (not left or not right):
-        return 100
-    pairs = [(one, two)] + ([(common, one), (common, two)] if common else [])
-    return max(round(100 * _indel(p, q)) for p, q in pairs)
-
-
-def _indel(a: str, b: str) -> float:
-    """Twice the longest common subsequence over both lengths."""
-    row = [0] * (len(b) + 1)
-    for c in a:
-        last = 0
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
-
-
 def bounded(labels: DataFrame, most: int = 20_000) -> DataFrame:
     """The labels, once their number is measured: comparing all with all is for catalogues, and more is an error."""
     n = labels.count()
@@ -76,16 +52,6 @@ def bounded(labels: DataFrame, most: int = 20_000) -> DataFrame:
     return labels
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-def alike(left: DataFrame, right: DataFrame, least: int = 55, most: int = 30) -> DataFrame:
-    """Distinct label pairs that are alike, the best `most` (a top-k report). Both sides hold distinct labels of a catalogue, whose size is measured."""
-    pairs = bounded(left).select(F.col("label").alias("a")).join(F.broadcast(bounded(right).select(F.col("label").alias("b"))), F.col("a") != F.col("b"))
-    return pairs.withColumn("ratio", F.pandas_udf(_ratios, "int")("a", "b")).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "a", "b").limit(most)
-
-
 def outside(a: Column, b: Column) -> Column:
     """Neither label holds the other; an empty label is unknown, not inside."""
     return (a != "") & (b != "") & ~F.contains(a, b) & ~((F.length(b) > 3) & F.contains(b, a))

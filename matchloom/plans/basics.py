@@ -102,11 +102,11 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", T.whole(said, -1).alias("i"), T.number(said, 0.5).alias("d"))
 
 
-@query("f24_formats", """SELECT n_nationkey, printf('%.1f%%', n_nationkey * 3.5) AS pct, CASE WHEN n_regionkey = 0 THEN 'Yes' ELSE 'No' END AS yes,
+@query("f24_formats", """SELECT n_nationkey, printf('%.1f%%', n_nationkey * 3.5) AS pct, printf('%.1f%%', n_nationkey * 3.75 + 0.25 * n_regionkey) AS ties, CASE WHEN n_regionkey = 0 THEN 'Yes' ELSE 'No' END AS yes,
 CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'a and b' ELSE 'a, b and c' END AS listed FROM nation""")
 def _(spark, sf):
     some = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), F.col("n_nationkey") % 4)
-    return table(spark, sf, "nation").select("n_nationkey", T.percentage(F.col("n_nationkey") * 0.035).alias("pct"), T.yes_no(F.col("n_regionkey") == 0).alias("yes"), T.listed(some).alias("listed"))
+    return table(spark, sf, "nation").select("n_nationkey", T.percentage(F.col("n_nationkey") * 0.035).alias("pct"), T.percentage((F.col("n_nationkey") * 3.75 + 0.25 * F.col("n_regionkey")) / 100).alias("ties"), T.yes_no(F.col("n_regionkey") == 0).alias("yes"), T.listed(some).alias("listed"))
 
 
 @query("f25_replace_ids", """SELECT s_suppkey, s_name || ' works with ' || s_name AS text FROM supplier""")

@@ -11,7 +11,7 @@ from matchloom.functions import vectors as V
 from matchloom.operators import collaboration as C
 from matchloom.operators import hierarchy as H
 from matchloom.operators import lexical as L
-from matchloom.operators import ranking, semantic
+from matchloom.operators import ranking, semantic, similar
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
 from matchloom.session import materialise, scratch
@@ -189,9 +189,20 @@ def _(spark, sf):
 
 @query("j9_alike_labels")
 def _(spark, sf):
-    a = table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct()
-    b = table(spark, sf, "part").select(F.concat(F.lit("the "), "p_name", F.lit(" unit")).alias("label")).distinct()
-    return H.alike(a, b)
+    """Each name of a product, with its type, and the 30 most similar units."""
+    parts = table(spark, sf, "part")
+    units = parts.select(F.concat(F.lit("the "), "p_name", F.lit(" "), F.lower("p_brand"), F.lit(" unit")).alias("label"))
+    return similar.alike(parts.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("label")), units)
+
+
+@query("j9_alike_staff")
+def _(spark, sf):
+    """Of each module with two department labels, the 30 people whose department is named most alike."""
+    parts = table(spark, sf, "part")
+    labels = parts.select(F.col("p_partkey").alias("module_id"), F.explode(F.array(F.col("p_name"), F.concat_ws(" ", F.lit("school of"), F.lower("p_type"), F.lower("p_brand")))).alias("label"))
+    people = table(spark, sf, "customer").join(parts, F.col("c_custkey") == F.col("p_partkey"))
+    staff_ = people.select(F.col("c_custkey").alias("staff_id"), F.col("c_name").alias("full_name"), F.concat_ws(" ", F.lit("department of"), "p_name", F.lower("p_type")).alias("department"))
+    return similar.alike_staff(labels, staff_)
 
 
 @query("j10_outside", f"WITH {STAFF_SQL}, {MODULE_SQL}, d AS (SELECT DISTINCT department FROM module), s AS (SELECT DISTINCT department FROM staff) SELECT s.department AS a, d.department AS b FROM s JOIN d ON NOT contains(s.department, d.department) AND NOT contains(d.department, s.department)")
@@ -346,13 +357,13 @@ def _(spark, sf):
 
 
 @query("x2_pair_texts", _PAIR_SQL + """SELECT module_id, a, b, 'Person ' || CAST(a AS VARCHAR) || ' and Person ' || CAST(b AS VARCHAR) || ' together cover ' || printf('%.1f%%', round(coverage, 6) * 100) || ' of Module ' || CAST(module_id AS VARCHAR) || ', ' || printf('%.1f%%', round(gain, 6) * 100) || ' more than either alone' || CASE WHEN n_shared > 0 THEN ', with ' || topics ELSE '' END || '.' AS said
-FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS rank FROM sc) JOIN (SELECT module_id, count(*) AS n_shared, CASE count(*) WHEN 1 THEN min(topic) ELSE array_to_string(list_sort(list(topic))[1:count(*) - 1], ', ') || ' and ' || max(topic) END AS topics FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY w DESC, topic) AS k FROM mt QUALIFY k <= 3) GROUP BY module_id) USING (module_id) WHERE rank <= 3""")
+FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS rank FROM sc) JOIN (SELECT module_id, count(*) AS n_shared, CASE count(*) WHEN 1 THEN min(topic) ELSE array_to_string(list_sort(list(topic))[1:count(*) - 1], ', ') || ' and ' || max(topic) END AS topics FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY w DESC, topic) AS k FROM mt QUALIFY k <= 3) GROUP BY module_id) USING (module_id) WHERE rank <= 50""")
 def _(spark, sf):
-    """Why a module's three best pairs complete each other, with the module's three heaviest topics."""
+    """Why a module's pairs complete each other, with the module's three heaviest topics."""
     from matchloom.operators import explain
 
     st, mt = _profiles(spark, sf)
-    found = C.pairs(C.candidates(C.relevance(st, mt)), st, mt, most=3)
+    found = C.pairs(C.candidates(C.relevance(st, mt)), st, mt)
     heavy = ranking.top_k(mt, ["module_id"], [F.desc("w"), F.col("topic")], 3).groupBy("module_id").agg(F.array_sort(F.collect_list("topic")).alias("topics"))
     name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
     said = explain.pair_text(name("Person", "a"), name("Person", "b"), name("Module", "module_id"), F.round("coverage", 6), F.round("gain", 6), F.col("topics"))
