@@ -402,15 +402,18 @@ def _near(x: str, y: str, percent: int) -> str:
     )
 
 
-def _alike(x: str, y: str, percent: int) -> str:
-    """SQL: parities differ in no more bits than linked sets of these sizes do in members."""
-    differ = " + ".join(f"bit_count({x}.p{i} ^ {y}.p{i})" for i in range(8))
+def _alike(x: str, y: str, percent: int, first: int = 0) -> str:
+    """SQL: parities (from word `first` of the sketches on) differ in no more bits than linked sets of these sizes do in members."""
+    differ = " + ".join(f"bit_count({x}.p{i} ^ {y}.p{i})" for i in range(first, first + 8))
     return f"{differ} <= {x}.size + {y}.size - 2 * ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
 
 
 class _Join:
     """The tables of one join, and its steps."""
 
+    #: 64-bit words of a node's sketch.
+    sketch_words = 8
+
     def __init__(self, docs: DataFrame, scratch: Scratch, n: int, percent: int, doc_id: str, text: str):
         self.spark, self.docs, self.scratch, self.n, self.percent, self.doc_id, self.text = docs.sparkSession, docs, scratch, n, percent, doc_id, text
         self.total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
@@ -420,7 +423,7 @@ class _Join:
         shared = scratch.keep(flat.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "shared-lists")
         posted = _maybe(flat, "key", _bits(shared, "key", self.words64), self.words64).join(shared, "key").dropDuplicates(["key", "node"])
         self.posted = scratch.keep(posted.select("key", "node", "size", "at", F.col("node").alias("comp"), F.lit(True).alias("moved")), "postings")
-        self.sketches = self.lists.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in range(8)]).dropDuplicates(["node"])
+        self.sketches = self.lists.select("node", *[F.col("bits")[i].alias(f"p{i}") for i in range(self.sketch_words)]).dropDuplicates(["node"])
         self.sketches = scratch.keep(self.sketches.join(self.posted.select("node").distinct(), "node"), "sketches")
         self.links, self.roots, self.left = None, None, self.posted
 
