@@ -155,19 +155,11 @@ def wilcoxon(d: np.ndarray, k: np.ndarray | None = None) -> tuple[float, float]:
     return w, math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(var) / math.sqrt(2))
 
 
-def looks_normal(d: np.ndarray, k: np.ndarray, alpha: float = 0.05) -> bool:
-    """Jarque-Bera in place of Shapiro-Wilk, with the exact tail of its limit; small or constant samples aren't rejected."""
-    n, mean, s = _moments(d, k)
-    if n < 3 or s == 0:
-        return False
-    z = (d - mean) / s
-    jb = n / 6 * (((z**3 * k).sum() / n) ** 2 + ((z**4 * k).sum() / n - 3) ** 2 / 4)
-    return math.exp(-jb / 2) > alpha
-
-
 def tested(d: np.ndarray, k: np.ndarray, base: float, alpha: float = 0.05) -> dict:
     """A paired test of differences d that occur k times: t-test where they look normal, else signed ranks; effect size and gain on the mean `base`."""
-    normal = looks_normal(d, k)
+    from matchloom.operators.reliability import shapiro
+
+    normal = bool(k.sum() >= 3 and np.ptp(d) > 1e-12 and shapiro(np.repeat(d, k.astype(int)))[1] > 0.05)
     stat, p = t_test(d, k) if normal else wilcoxon(d, k)
     n, mean, s = _moments(d, k)
     s = s * math.sqrt(n / (n - 1)) if n > 1 else 0.0
@@ -181,12 +173,7 @@ def paired_test(a: np.ndarray, b: np.ndarray, alpha: float = 0.05) -> dict:
 
 
 def compare(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    """A paired test a group; its task gets the different differences with their numbers, not the rows."""
-    ddl = ", ".join(f"`{g}` {dict(df.dtypes)[g]}" for g in group)
-
-    def run(key, frame):
-        d, k = frame["d"].to_numpy(float), frame["k"].to_numpy(float)
-        return pd.DataFrame([[*key, *tested(d, k, float(frame["total"].sum() / k.sum())).values()]], columns=[*group, "test", "statistic", "p_value", "cohens_d", "gain_pct", "significant"])
+    """A paired test a group, from sums: see reliability.compare."""
+    from matchloom.operators import reliability
 
-    counted = df.groupBy(*group, F.round(F.col(b) - F.col(a), 12).alias("d")).agg(F.count("*").alias("k"), F.sum(a).alias("total"))
-    return counted.groupBy(*group).applyInPandas(run, f"{ddl}, test string, statistic double, p_value double, cohens_d double, gain_pct double, significant boolean")
+    return reliability.compare(df, group, a, b)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.operators import allocation as A
 from matchloom.operators import evaluation as E
 from matchloom.operators import explain, policy, ranking
+from matchloom.operators import reliability as R
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
 from matchloom.tables import table
@@ -189,19 +190,48 @@ def _(spark, sf):
     return E.fleiss_kappa(votes, "doc_id", "c").select(F.round("kappa", 4).alias("kappa"))
 
 
+#: Orders that stand for the six models: each ranks a module's people by another blend of their scores.
+_MODELS = {"M0": "score", "M1": "core", "M2": "pub", "M3": "0.8 * score + 0.2 * core", "M4": "greatest(core, pub)", "M5": "0.5 * core + 0.5 * pub"}
+_SIX_SQL = f"""{SCORE_SQL}, truth AS (SELECT DISTINCT l_partkey AS query, l_suppkey AS item FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40),
+ranked AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, module_id AS query, staff_id AS item, round({order}, 9) AS score FROM score" for m, order in _MODELS.items())}),
+rel AS (SELECT model, r.query, rank, CASE WHEN t.item IS NOT NULL THEN 2 WHEN score >= 0.3 THEN 1 ELSE 0 END AS rel FROM (SELECT *, row_number() OVER (PARTITION BY model, query ORDER BY score DESC, item) AS rank FROM ranked QUALIFY rank <= 5) r LEFT JOIN truth t USING (query, item)),
+e AS (SELECT *, CAST(rel = 2 AS INT) AS hit, row_number() OVER (PARTITION BY model, query ORDER BY rel DESC, rank) AS ideal, sum(CAST(rel = 2 AS INT)) OVER (PARTITION BY model, query ORDER BY rank) AS hits FROM rel),
+m AS (SELECT model, query, round(CASE WHEN sum((pow(2, rel) - 1) / log2(ideal + 1)) = 0 THEN 0 ELSE sum((pow(2, rel) - 1) / log2(rank + 1)) / sum((pow(2, rel) - 1) / log2(ideal + 1)) END, 6) AS ndcg_at_5, CAST(max(CASE WHEN rank = 1 THEN hit ELSE 0 END) AS DOUBLE) AS precision_at_1_strict, round(avg(hit), 6) AS precision_at_5_strict,
+ round(coalesce(1.0 / min(rank) FILTER (hit = 1), 0), 6) AS mrr_strict, round(coalesce(sum(hits / rank) FILTER (hit = 1) / sum(hit), 0), 6) AS map_at_5_strict FROM e WHERE query IN (SELECT query FROM truth) GROUP BY model, query),
+long AS (UNPIVOT m ON {", ".join(R.METRICS)} INTO NAME metric VALUE v), pairs AS (SELECT unnest([{", ".join(f"'{a}'" for a, _ in R.PAIRS)}]) AS model_a, unnest([{", ".join(f"'{b}'" for _, b in R.PAIRS)}]) AS model_b),
+d AS (SELECT model_a, model_b, x.metric, x.v AS a, round(y.v - x.v, 12) AS d FROM pairs JOIN long x ON x.model = model_a JOIN long y ON y.model = model_b AND y.query = x.query AND y.metric = x.metric)"""
+
+
+def _six(spark, sf):
+    """Metrics of all six models side by side, of modules that all of them and the truth know."""
+    truth = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("item"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.round(F.expr(order), 9).alias("score")) for m, order in _MODELS.items()]))
+    long = scores(spark, sf).select(F.col("module_id").alias("query"), F.col("staff_id").alias("item"), each.alias("x")).select("query", "item", "x.*")
+    ranked = ranking.top_k(long, ["model", "query"], [F.desc("score"), F.col("item")], 5)
+    return R.aligned(E.graded(ranked, truth), truth, list(_MODELS))
+
+
 @query("v5_bootstrap")
 def _(spark, sf):
-    return E.confidence(E.metrics(_graded(spark, sf)).select(F.lit("m0").alias("model"), "ndcg"), ["model"], "ndcg")
+    """Confidence intervals of five metrics of six models, from shared draws."""
+    return R.intervals(_six(spark, sf), "query", [f"{m}_{x}" for m in _MODELS for x in R.METRICS])
 
 
 @query("v6_v7_paired_tests")
 def _(spark, sf):
-    truth = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("item"))
-    per = []
-    for name, order in (("a", "score"), ("b", "core")):
-        ranked = ranking.top_k(scores(spark, sf), ["module_id"], [F.desc(order), F.col("staff_id")], 5).select(F.col("module_id").alias("query"), F.col("staff_id").alias("item"), "rank", F.col(order).alias("score"))
-        per.append(E.metrics(E.graded(ranked, truth)).select("query", F.explode(F.create_map(F.lit("ndcg"), "ndcg", F.lit("precision"), "precision", F.lit("rr"), "rr")).alias("metric", name)))
-    return E.compare(per[0].join(per[1], ["query", "metric"]), ["metric"], "a", "b")
+    """Seven pairs of models by five metrics, with both tests and the one that the check of normality chooses."""
+    return R.benchmark(_six(spark, sf))
+
+
+@query("v7_benchmark", f"""WITH {_SIX_SQL} SELECT model_a, model_b, metric, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(d), 6) AS mean_difference, round(avg(d) / stddev_samp(d), 6) AS cohens_d, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS ttest_statistic,
+CAST(count(*) FILTER (d <> 0) AS BIGINT) AS differing FROM d GROUP BY ALL""")
+def _(spark, sf):
+    """What SQL can tell of the paired tests: 35 rows."""
+    wide = _six(spark, sf)
+    some = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.lit(m).alias("metric"), F.when(F.round(F.col(f"{b}_{m}") - F.col(f"{a}_{m}"), 12) != 0, 1).alias("x")) for a, b in R.PAIRS for m in R.METRICS]
+    differing = wide.select(F.explode(F.array(*some)).alias("s")).select("s.*").groupBy("model_a", "model_b", "metric").agg(F.count("x").alias("differing"))
+    tests = R.benchmark(wide).select("model_a", "model_b", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_difference", "cohens_d", "ttest_statistic")])
+    return tests.join(differing, ["model_a", "model_b", "metric"])
 
 
 @query("v8_thresholded_raters", f"WITH {SCORE_SQL}, r AS (SELECT CASE WHEN score >= 0.4 THEN 1 ELSE 0 END AS a, CASE WHEN core >= 0.4 THEN 1 ELSE 0 END AS b FROM score) SELECT a, b, count(*) AS n FROM r GROUP BY a, b")
