@@ -11,7 +11,7 @@ from matchloom.functions import vectors as V
 from matchloom.operators import collaboration as C
 from matchloom.operators import hierarchy as H
 from matchloom.operators import lexical as L
-from matchloom.operators import ranking, semantic, similar
+from matchloom.operators import aspects, ranking, semantic, similar
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
 from matchloom.session import materialise, scratch
@@ -420,6 +420,25 @@ def _(spark, sf):
     return _gap_rows(spark, sf).select("module_id", "aspect", "affinity", "gap", "need")
 
 
+_UNIT = "sqrt(list_dot_product({0}, {0}))"
+_ASPECT_SQL = f"""v AS ({_EMB}), x AS (SELECT label, unnest(e) AS c, unnest(range(1, 65)) AS i FROM v JOIN embeddings USING (vec_id)), ce AS (SELECT 'label ' || CAST(label AS VARCHAR) AS aspect, i, avg(c) AS c FROM x GROUP BY ALL UNION ALL SELECT 'all', i, avg(c) FROM x GROUP BY i),
+asp AS (SELECT aspect, list(c ORDER BY i) AS a FROM ce GROUP BY aspect),
+aff AS (SELECT m.vec_id AS module_id, aspect, list_dot_product(m.e, a) / ({_UNIT.format("m.e")} * {_UNIT.format("a")}) AS affinity, coalesce(list_dot_product(l.e, a) / ({_UNIT.format("l.e")} * {_UNIT.format("a")}), 0.0) AS lead FROM v m CROSS JOIN asp LEFT JOIN v l ON l.vec_id = m.vec_id + 1),
+g AS (SELECT *, affinity * greatest(0.0, 1 - lead / 0.65) AS gap FROM (SELECT *, CASE WHEN max(affinity) OVER (PARTITION BY module_id) >= 0.2 THEN 0.2 ELSE 0.18 END AS least_ FROM aff) WHERE affinity >= least_)"""
+
+
+@query("c10_aspect_gaps", f"""WITH {_ASPECT_SQL} SELECT module_id, aspect, round(affinity, 4) AS affinity, round(lead, 4) AS lead, round(gap, 4) AS gap, CASE WHEN lead >= 0.55 THEN 'Covered By Primary Lead' WHEN round(gap, 4) >= 0.35 THEN 'High Co-Delivery Need' ELSE 'Moderate Co-Delivery Need' END AS need FROM g""")
+def _(spark, sf):
+    """Each vector as a module, the next one as its lead, and eleven aspects: the centre of each label and of all."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    parts = e.select(F.explode(F.array(F.concat(F.lit("label "), F.col("label").cast("string")), F.lit("all"))).alias("aspect"), "vector").select("aspect", F.posexplode("vector").alias("i", "c"))
+    centres = parts.groupBy("aspect", "i").agg(F.avg(F.col("c").cast("double")).alias("c")).groupBy("aspect").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("vector"))
+    leads = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vector").alias("lead_vector"))
+    modules_ = e.join(leads, "vec_id", "left").withColumnRenamed("vec_id", "module_id")
+    found = C.gaps(aspects.affinities(modules_, aspects.catalogue(centres)))
+    return found.select("module_id", "aspect", *[F.round(c, 4).alias(c) for c in ("affinity", "lead", "gap")], "need")
+
+
 @query("c11_blend", f"WITH v AS ({_EMB}), b AS (SELECT x.vec_id, list_transform(generate_series(1, 64), lambda i: 0.5 * x.e[i] + 0.25 * y.e[i] + 0.25 * z.e[i]) AS s FROM v x JOIN v y ON y.vec_id = x.vec_id + 1 JOIN v z ON z.vec_id = x.vec_id + 2) SELECT vec_id, round(s[1] / (sqrt(list_dot_product(s, s)) + 1e-9), 4) AS first FROM b")
 def _(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
