@@ -16,28 +16,32 @@ from matchloom.functions.text import collapse, distinct_parts, rebuilt
 FINAL = ("enriched", "metadata_not_found", "no_doi")
 RETRIED = (429, 500, 502, 503, 504)
 
-CROSSREF = "title array<string>, abstract string, type string, subject array<string>, published struct<`date-parts`:array<array<int>>>, issued struct<`date-parts`:array<array<int>>>, author array<struct<given:string,family:string,ORCID:string>>"
-OPENALEX = "display_name string, publication_year int, type string, abstract_inverted_index map<string,array<bigint>>, topics array<struct<id:string,display_name:string,score:double>>, keywords array<struct<display_name:string,score:double>>"
+CROSSREF = "title array<string>, abstract string, type string, subject array<string>, published struct<`date-parts`:array<array<int>>>, issued struct<`date-parts`:array<array<int>>>, author array<struct<given:string,family:string,ORCID:string,affiliation:array<struct<name:string>>>>, license array<struct<URL:string>>, publisher string, `container-title` array<string>, `reference-count` int, `is-referenced-by-count` int, URL string, resource struct<primary:struct<URL:string>>, language string"
+OPENALEX = "display_name string, publication_year int, type string, abstract_inverted_index map<string,array<bigint>>, topics array<struct<id:string,display_name:string,score:double,subfield:struct<display_name:string>,field:struct<display_name:string>,domain:struct<display_name:string>>>, keywords array<struct<display_name:string,score:double>>, id string, cited_by_count int, open_access struct<is_oa:boolean>"
 
 
 class Provider(Protocol):
-    """Answers (HTTP status, body) for a DOI; the network adapter and the fixture of the tests both do."""
+    """Answers (HTTP status, body) or (HTTP status, body, headers) for a DOI; the network adapter and the fixture of the tests both do."""
 
-    def get(self, doi: str) -> tuple[int, str]: ...
+    def get(self, doi: str) -> tuple[int, str] | tuple[int, str, dict[str, str]]: ...
 
 
 def ask(provider: Provider, doi: str, tries: int = 4, wait=time.sleep) -> tuple[str, int, str]:
-    """(status, HTTP status, body): success, not_found, http_error, network_error or invalid_response; busy servers are asked again."""
+    """(status, HTTP status, body): success, not_found, http_error, network_error or invalid_response (no JSON object, or one whose message is none).
+
+    Busy servers are asked again after the whole seconds that they name in Retry-After, else after 1, 2, 4 seconds and so on, 30 at most.
+    """
     code, body = 0, ""
     for n in range(tries):
         try:
-            code, body = provider.get(doi)
+            code, body, *more = provider.get(doi)
         except OSError:
-            code, body = 0, ""
+            code, body, more = 0, "", []
         if code and code not in RETRIED:
             break
         if n + 1 < tries:
-            wait(min(2**n, 30))
+            named = next((v for k, v in (more[0] if more else {}).items() if k.lower() == "retry-after"), "")
+            wait(float(named) if named.isascii() and named.isdigit() else min(2**n, 30))
     if code == 404:
         return "not_found", code, ""
     if not code:
@@ -45,9 +49,11 @@ def ask(provider: Provider, doi: str, tries: int = 4, wait=time.sleep) -> tuple[
     if code != 200:
         return "http_error", code, ""
     try:
-        json.loads(body)
+        told = json.loads(body)
     except ValueError:
         return "invalid_response", code, ""
+    if not isinstance(told, dict) or not isinstance(told.get("message", {}), dict):
+        return "invalid_response", code, ""
     return "success", code, body
 
 
@@ -84,16 +90,24 @@ def fetch(dois: DataFrame, provider: Provider, path: str, lanes: int = 4) -> Dat
 
 
 def parse_crossref(body: Column) -> Column:
-    m = F.from_json(body, CROSSREF)
+    """Fields of a message, bare or within its envelope."""
+    m = F.from_json(F.coalesce(F.get_json_object(body, "$.message"), body), CROSSREF)
+    none = F.array().cast("array<string>")
+    texts = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, none), collapse), lambda x: x != ""))
+    author = F.transform(m["author"], lambda a: F.struct(collapse(a["given"]).alias("given_name"), collapse(a["family"]).alias("family_name"), F.trim(F.concat_ws(" ", collapse(a["given"]), collapse(a["family"]))).alias("full_name"), collapse(a["ORCID"]).alias("orcid"), F.filter(F.transform(F.coalesce(a["affiliation"]["name"], none), collapse), lambda x: x != "").alias("affiliations")))
     year = F.coalesce(m["published"]["date-parts"][0][0], m["issued"]["date-parts"][0][0])
     names = F.transform(m["author"], lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"])))
-    return F.struct(collapse(F.get(m["title"], 0)).alias("title"), collapse(F.regexp_replace(m["abstract"], "<[^>]+>", " ")).alias("abstract"), year.alias("year"), m["type"].alias("type"), names.alias("authors"), F.coalesce(m["subject"], F.array().cast("array<string>")).alias("subjects"))
+    return F.struct(collapse(F.get(m["title"], 0)).alias("title"), collapse(F.regexp_replace(m["abstract"], "<[^>]+>", " ")).alias("abstract"), year.alias("year"), m["type"].alias("type"), names.alias("authors"), texts(m["subject"]).alias("subjects"),
+        texts(m["license"]["URL"]).alias("licenses"), author.alias("people"), collapse(m["publisher"]).alias("publisher"), collapse(F.get(m["container-title"], 0)).alias("container_title"), m["reference-count"].alias("reference_count"),
+        m["is-referenced-by-count"].alias("is_referenced_by_count"), collapse(m["URL"]).alias("url"), collapse(m["resource"]["primary"]["URL"]).alias("primary_resource_url"), collapse(m["language"]).alias("language"))
 
 
 def parse_openalex(body: Column) -> Column:
     m = F.from_json(body, OPENALEX)
     names = lambda c: F.coalesce(F.transform(c, lambda x: x["display_name"]), F.array().cast("array<string>"))
-    return F.struct(collapse(m["display_name"]).alias("title"), rebuilt(m["abstract_inverted_index"]).alias("abstract"), m["publication_year"].alias("year"), m["type"].alias("type"), names(m["topics"]).alias("topics"), names(m["keywords"]).alias("keywords"))
+    return F.struct(collapse(m["display_name"]).alias("title"), rebuilt(m["abstract_inverted_index"]).alias("abstract"), m["publication_year"].alias("year"), m["type"].alias("type"), names(m["topics"]).alias("topics"), names(m["keywords"]).alias("keywords"),
+        F.transform(m["topics"], lambda t: F.struct(collapse(t["id"]).alias("id"), collapse(t["display_name"]).alias("name"), t["score"].alias("score"), *[collapse(t[k]["display_name"]).alias(k) for k in ("subfield", "field", "domain")])).alias("topic_records"),
+        F.coalesce(m["open_access"]["is_oa"], F.lit(False)).alias("is_open_access"), m["cited_by_count"].alias("cited_by_count"), collapse(m["id"]).alias("openalex_id"))
 
 
 def first_nonempty(**sources: Column) -> tuple[Column, Column]:
@@ -122,6 +136,7 @@ def merge(publications: DataFrame, crossref: DataFrame, openalex: DataFrame) ->
     return both.select(
         "publication_id", "doi", title.alias("title"), year.alias("year"), abstract.alias("abstract"), distinct_parts(F.concat(F.coalesce("c.subjects", none), F.coalesce("o.topics", none))).alias("topics"),
         distinct_parts(F.coalesce("o.keywords", none)).alias("keywords"), F.map_from_arrays(F.array(F.lit("title"), F.lit("year"), F.lit("abstract")), F.array(t_from, y_from, a_from)).alias("field_sources"), status.alias("status"),
+        F.coalesce("c.licenses", none).alias("licenses"), F.coalesce("o.is_open_access", F.lit(False)).alias("is_open_access"),
     )
 
 

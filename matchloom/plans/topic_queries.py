@@ -304,6 +304,45 @@ def _(spark, sf):
     return _merged(spark, sf).select("publication_id", "status", "title", "year", "abstract")
 
 
+class BusyProvider(FixtureProvider):
+    """Every answer in its envelope; some servers are busy once, gone, or send no JSON. Who asks is remembered where it runs."""
+
+    def __init__(self):
+        super().__init__("crossref")
+        self.asked: dict[str, int] = {}
+
+    def get(self, doi: str) -> tuple[int, str, dict[str, str]]:
+        n = int(doi.rsplit("/", 1)[1])
+        self.asked[doi] = self.asked.get(doi, 0) + 1
+        if n % 11 == 0:
+            return 403, "no", {}
+        if n % 13 == 0:
+            return 200, "<html>", {}
+        if n % 50 == 1 and self.asked[doi] == 1:
+            return 429, "", {"Retry-After": "0"}
+        code, body = super().get(doi)
+        if code != 200:
+            return code, body, {}
+        told = json.loads(body) | {"license": [{"URL": "http://l/1"}, {"URL": "http://l/1"}, {"URL": ""}, {"URL": f"http://l/{n % 3}"}]}
+        return code, json.dumps({"status": "ok", "message": told}), {}
+
+
+@query("s13_s14_f19_source", """SELECT '10.1000/' || CAST(p_partkey AS VARCHAR) AS doi, CASE WHEN p_partkey % 11 = 0 THEN 'http_error' WHEN p_partkey % 13 = 0 THEN 'invalid_response' WHEN p_partkey % 5 = 0 THEN 'not_found' ELSE 'success' END AS status,
+CASE WHEN p_partkey % 11 = 0 THEN 403 WHEN p_partkey % 13 = 0 THEN 200 WHEN p_partkey % 5 = 0 THEN 404 ELSE 200 END AS http_status,
+CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'http://l/1' ELSE 'http://l/1 http://l/' || CAST(p_partkey % 3 AS VARCHAR) END AS licenses FROM part WHERE p_partkey % 7 <> 0""")
+def _(spark, sf):
+    """Every publication's DOI through a provider's data source, with licences parsed."""
+    from matchloom import session
+    from matchloom.sources import providers
+
+    session.ship(spark)
+    providers.register(spark, "fixture_provider", BusyProvider())
+    path = providers.deposit(_publications(spark, sf), 16)
+    told = spark.read.format("fixture_provider").option("path", path).option("lanes", 8).load()
+    licences = F.array_join(N.parse_crossref(F.col("body"))["licenses"], " ")
+    return told.select("doi", "status", "http_status", F.when(F.col("status") == "success", licences).otherwise("").alias("licenses"))
+
+
 @query("a9_roll_up", """WITH l AS (SELECT DISTINCT l_suppkey AS staff_id, l_partkey AS k FROM lineitem) SELECT s_suppkey AS staff_id, count(k) AS publications, count_if(k % 7 <> 0 AND k % 5 <> 0) AS enriched, CASE WHEN count_if(k % 7 <> 0 AND k % 5 <> 0) > 0 THEN 'Robots' ELSE '' END AS topics FROM supplier LEFT JOIN l ON staff_id = s_suppkey GROUP BY s_suppkey""")
 def _(spark, sf):
     links = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("staff_id"), F.col("l_partkey").cast("string").alias("publication_id")).distinct()
