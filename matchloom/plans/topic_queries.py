@@ -350,6 +350,30 @@ def _(spark, sf):
     return N.roll_up(people, links, _merged(spark, sf)).select("staff_id", "publications", "enriched", "topics")
 
 
+@query("x9_stream_state", """SELECT CAST(user_id AS VARCHAR) AS publication_id, CASE WHEN count_if(event_type <> 'error') = 0 THEN 'retrieval_error' WHEN user_id % 5 = 0 THEN 'metadata_not_found' ELSE 'enriched' END AS status,
+CAST(CASE WHEN count_if(event_type <> 'error') > 0 THEN 1 ELSE 0 END AS BIGINT) AS finals, CASE WHEN count_if(event_type <> 'error') = 0 THEN count(*) END AS attempts FROM events GROUP BY user_id""")
+def _(spark, sf):
+    """Each event asks for its user's record, in seven micro-batches; an error is tried again with the next event, a final outcome never."""
+    from matchloom import session
+    from matchloom.streaming import enrich
+
+    session.ship(spark)
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("publication_id"), "event_id", "event_type")
+    path, out, check = (scratch(spark, n) for n in ("arrivals", "outcomes", "checkpoint"))
+    events.repartition(7).write.parquet(path)
+
+    def work(row: dict) -> tuple[str, str]:
+        if row["event_type"] == "error":
+            raise OSError("busy")
+        return ("metadata_not_found", "") if int(row["publication_id"]) % 5 == 0 else ("enriched", "{}")
+
+    told = enrich.enriched(enrich.arrivals(spark, path, "publication_id string, event_id long, event_type string"), work, ["event_id"])
+    enrich.into(told, out, check).awaitTermination()
+    final = F.col("status").isin(*N.FINAL)
+    per = spark.read.parquet(out).groupBy("publication_id").agg(F.max_by("status", "attempt").alias("status"), F.count_if(final).alias("finals"), F.max("attempt").cast("long").alias("tried"))
+    return per.select("publication_id", "status", "finals", F.when(F.col("finals") == 0, F.col("tried")).alias("attempts"))
+
+
 @query("x9_pending", """SELECT CAST(p_partkey AS VARCHAR) AS publication_id FROM part WHERE p_partkey % 3 <> 0""")
 def _(spark, sf):
     p = _publications(spark, sf)
