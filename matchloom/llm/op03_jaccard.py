@@ -501,8 +501,7 @@ class _Join:
         lists = firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", (F.col("n") <= FEW).alias("few"))
         listed = firsts.join(lists, "key")
         some = self.scratch.keep(listed.where("few").drop("few").join(self.sketches, "node"), "of-few")
-        pairs = self.candidates(some, some, F.col("x.node") > F.col("y.node"))
-        alike = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        alike = some.alias("x").join(some.alias("y"), self.matched(), "left_semi").select("node")  # a row a node, however many others it may link with
         firsts = firsts.join(listed.where("not few").select("node").unionByName(alike), "node")
         firsts = self.scratch.keep(firsts, "searched-firsts")
         crowds = firsts.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum("size").alias("held"), F.min("node").alias("one"), F.max("node").alias("two")).where("x <> y")
@@ -512,9 +511,13 @@ class _Join:
         part = F.explode(F.when(F.col("node").isin(F.col("one"), F.col("two")), everywhere).otherwise(mine))
         return firsts.join(crowds, "key").select(F.col("key").alias("block"), part.alias("part"), "node", "comp", F.lit(False).alias("asks"))
 
+    def matched(self):
+        """Postings x and y are of one list and different components, and their nodes may link."""
+        return (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(self.near("x", "y")) & F.expr(self.alike("x", "y"))
+
     def candidates(self, x: DataFrame, y: DataFrame, also) -> DataFrame:
         """a, a_comp, a_size, b, b_comp: pairs of different components that share a list and may link."""
-        both = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & also & F.expr(self.near("x", "y")) & F.expr(self.alike("x", "y")))
+        both = x.alias("x").join(y.alias("y"), self.matched() & also)
         first = F.col("x.node") > F.col("y.node")
         one = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
         (a, b), (ca, cb), (sa, _) = one("node"), one("comp"), one("size")
