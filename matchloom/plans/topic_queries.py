@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import enrichment as N
 from matchloom.operators import semantic
+from matchloom.operators import topic_records as TR
 from matchloom.operators import topics as T
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
@@ -15,7 +16,7 @@ from matchloom.session import scratch
 from matchloom.sources import readers, sinks
 from matchloom.tables import table
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP)
+_STOP = ", ".join(f"'{w}'" for w in (*T.STOP, *T.NOISE))
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '&', ' and '), '[/|_]', ' ', 'g'), '[^a-z0-9\-+.\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _TOKEN_SQL = rf"""sen AS (SELECT item_id, unnest(generate_series(1, len(p))) AS s, p FROM (SELECT item_id, string_split_regex({_CLEAN}, '[.;:\n\r]+') AS p FROM benchmark)),
 tok AS (SELECT item_id, s, list_filter(list_transform(regexp_extract_all(p[s], '[a-z0-9][a-z0-9\-+.]*'), lambda t: regexp_replace(t, '^[-+.]+|[-+.]+$', '', 'g')), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}) AND NOT regexp_matches(t, '^\d+$') AND NOT regexp_matches(t, '^[a-z]{{1,6}}\d{{1,8}}[a-z0-9\-]*$')) AS t FROM sen)"""
@@ -34,14 +35,14 @@ _GRAM_SQL = f"""{_TOKEN_SQL}, gram AS (SELECT item_id, unnest(list_concat(list_c
 cnt AS (SELECT item_id, topic, count(*) AS score, len(string_split(topic, ' ')) AS nw FROM gram WHERE length(topic) >= 5 AND topic NOT IN ({", ".join(f"'{w}'" for w in T.GENERAL)}) AND (contains(topic, ' ') OR topic IN ({", ".join(f"'{w}'" for w in T.SINGLE)})) GROUP BY ALL)"""
 
 
-@query("g5_g8_topics", f"WITH {_GRAM_SQL} SELECT item_id, topic, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, nw DESC, topic) AS rank FROM cnt WHERE score >= 1 AND (nw < 3 OR score >= 3)) WHERE rank <= 10")
+@query("g5_g8_topics", f"WITH {_GRAM_SQL} SELECT item_id, topic, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, nw DESC, topic) AS rank FROM cnt WHERE score >= 2 AND (nw < 3 OR score >= 3)) WHERE rank <= 10")
 def _(spark, sf):
-    found = T.extract(table(spark, sf, "benchmark"), "item_id", "text", least=1)
+    found = T.extract(table(spark, sf, "benchmark"), "item_id", "text")
     return found.select("item_id", "topic", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("g4_g7_explicit", f"""WITH {STAFF_SQL}, w AS (SELECT staff_id, list_filter(string_split(lower(position), ' '), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS t FROM staff)
-SELECT staff_id, array_to_string(t, ' ') AS topic, CAST(14 AS BIGINT) AS score FROM w WHERE len(t) = 2 UNION ALL SELECT staff_id, x, CAST(2 AS BIGINT) FROM (SELECT staff_id, unnest(t) AS x FROM w) WHERE x IN ({", ".join(f"'{w}'" for w in T.SINGLE)})""")
+SELECT staff_id, array_to_string(t, ' ') AS topic, CAST(14 AS BIGINT) AS score FROM w WHERE len(t) = 2 UNION ALL SELECT staff_id, x, CAST(CASE WHEN n = 1 THEN 14 ELSE 2 END AS BIGINT) FROM (SELECT staff_id, unnest(t) AS x, len(t) AS n FROM w) WHERE x IN ({", ".join(f"'{w}'" for w in T.SINGLE)})""")
 def _(spark, sf):
     """A person's position, said twice and given as explicit, which weighs 12; words of the person's name are in no topic."""
     people = staff(spark, sf).select("staff_id", "position", F.split(F.lower("full_name"), "[^a-z]+").alias("name"), F.concat_ws(" ", "full_name", "position", F.lit("."), "position").alias("text"))
@@ -106,6 +107,30 @@ def _(spark, sf):
     return T.candidates(table(spark, sf, "part"), "p_partkey", fields, ["promo", "general"]).select("p_partkey", "field", "topic")
 
 
+_TOPIC_SQL = rf"""lem AS (SELECT word, CASE WHEN word LIKE '%s' THEN word[:length(word) - 1] ELSE word[:length(word) - 1] || 'ing' END AS lemma FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS word FROM benchmark) WHERE word LIKE '%s' OR word LIKE '%e'), lm AS (SELECT map(list(word), list(lemma)) AS m FROM lem),
+raw AS (SELECT CASE WHEN doc_id % 3 > 0 THEN 'd' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS record_id, 'topics' AS field, 0 AS place, trim(coalesce(source, '')) || ' C++ & .NET' AS original_text, CASE WHEN n_chars % 2 = 0 THEN 2.5 ELSE 1.0 END AS weight FROM documents
+ UNION ALL SELECT CASE WHEN doc_id % 3 > 0 THEN 'd' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END, 'keywords', 1, trim(unnest(string_split_regex(coalesce(text, ''), '[.|,;\n]'))), 1.0 FROM documents),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(original_text)), '[^\x00-\x7F]', '', 'g'), '\bc\+\+\b|\bc\s*\+\+', 'cpp', 'g'), '\bc#\b|\bc\s*#', 'csharp', 'g'), '\.net\b', 'dotnet', 'g'), '&', ' and '), '[/|]', ' ', 'g'), '[_\-]+', ' ', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned_text FROM raw WHERE original_text <> ''),
+n AS (SELECT *, array_to_string(list_filter(list_transform(string_split(cleaned_text, ' '), lambda w: coalesce(m[w], w)), lambda w: w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in TR.STOP)}) AND NOT regexp_full_match(w, '[0-9]+')), ' ') AS topic FROM c, lm)"""
+
+
+@query("t13_t15_record_topics", f"WITH {_TOPIC_SQL} SELECT record_id, field, place, original_text, cleaned_text, topic, CAST(weight AS DOUBLE) AS weight FROM n WHERE topic <> '' AND length(topic) >= 2 AND len(string_split(topic, ' ')) <= 8 AND topic NOT IN ({', '.join(f'{chr(39)}{w}{chr(39)}' for w in TR.GENERIC)})")
+def _(spark, sf):
+    """Every sentence of every document as a keyword, its source as a weighted topic, with lemmas of the benchmark's words."""
+    docs = table(spark, sf, "documents")
+    word = F.col("word")
+    found = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"))).alias("word")).distinct().where(word.endswith("s") | word.endswith("e"))
+    short = F.substring("word", F.lit(1), F.length("word") - 1)
+    lemmas = TR.lemma_table(found.withColumn("lemma", F.when(word.endswith("s"), short).otherwise(F.concat(short, F.lit("ing")))))
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    records = docs.select(
+        F.lit("").alias("module_id"), F.when(i % 3 > 0, F.concat(F.lit("d"), i.cast("string"))).alias("staff_id"), i.alias("id"),
+        F.array(F.struct(F.concat(F.trim(F.coalesce("source", F.lit(""))), F.lit(" C++ & .NET")).alias("topic"), F.when(F.col("n_chars") % 2 == 0, "2.5").otherwise("heavy").alias("weight")), F.struct(none.alias("topic"), F.lit("1").alias("weight"))).alias("topics"),
+        F.split(F.coalesce("text", F.lit("")), r"[.|,;\n]").alias("keywords"),
+    )
+    return TR.candidates(records, "staff", lemmas).drop("source_type")
+
+
 @query("t18_assignments", """SELECT DISTINCT p_partkey AS record, split_part(p_name, ' ', 2) AS canonical FROM part""")
 def _(spark, sf):
     p = table(spark, sf, "part")
