@@ -57,6 +57,10 @@ _SIGN = re.compile(r"(?<=[^\W\d_])[0134578@$!](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Characters of a word before a hit that can be part of an exception: what stands after a longer one (a text without white space) has none.
+LONGEST = 256
+
+
 def _plain(text: str) -> str:
     text = text.lower()
     if not text.isascii():
@@ -88,15 +92,15 @@ def patterns(folded: str) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
 
 
-def word_before(text: str, at: int) -> str:
-    """What stands between the white space before `at` and the white space before that."""
+def word_before(text: str, at: int) -> str | None:
+    """What stands between the white space before `at` and the white space before that; None if it is longer than LONGEST."""
     end = at
     while end and text[end - 1].isspace():
         end -= 1
-    start = end
-    while start and not text[start - 1].isspace():
+    start, least = end, max(0, end - LONGEST)
+    while start > least and not text[start - 1].isspace():
         start -= 1
-    return text[start:end]
+    return None if start and not text[start - 1].isspace() else text[start:end]
 
 
 class Lexicon:
@@ -114,7 +118,7 @@ class Lexicon:
             self.machine.make_automaton()
 
     def hits(self, folded: str):
-        """(pattern, the phrase it ends) of each hit at a word's beginning."""
+        """(place, pattern, the phrase it ends) of each hit at a word's beginning; no phrase after a word that is too long for one."""
         if not self.weights:
             return
         for end, (size, names) in self.machine.iter(folded):
@@ -122,9 +126,10 @@ class Lexicon:
             if start and folded[start - 1].isalpha():
                 continue
             whole = end + 1 == len(folded) or not folded[end + 1].isalpha()
+            before = word_before(folded, start)
             for name in names:
                 if whole or name[-1] == "*":
-                    yield start, name, f"{word_before(folded, start)} {name}"
+                    yield start, name, None if before is None else f"{before} {name}"
 
     def found(self, read: list[str]):
         """Hits in every reading of a text."""
@@ -178,7 +183,7 @@ def _phrases(known: Lexicon):
         for b in batches:
             rows = []
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += [(phrase, y, 1 - y) for phrase in {x[2] for x in known.found(readings(t or ""))}]
+                rows += [(phrase, y, 1 - y) for phrase in {x[2] for x in known.found(readings(t or "")) if x[2] is not None}]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["phrase", "pos", "neg"])
 
     return run

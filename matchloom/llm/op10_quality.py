@@ -9,7 +9,7 @@ quality through a logistic curve.
 Only documents are labelled, so lines start with their document's label; lines of bad documents that
 look like those of good ones are then called good, but never a bad document's worst line. It is
 learned from whole texts of labelled rows: at most LABELLED of them, in the order of a hash of their
-id, and only as many as have LINES lines in all. Texts that are null, empty or blank get the share of
+id, and only as many as have LINES lines in all; a text that doesn't fit any more is passed over. Texts that are null, empty or blank get the share of
 good labels. Texts of any length are scored whole. Repeated rows score alike; without labels of both
 kinds every text gets that share, or a half. An empty table gives an empty result; extra columns are
 dropped unless named in `keep`, and one named like the result is an error.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm import words
@@ -236,6 +236,16 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.diff(first)), *b.columns[1:]], names=["size", "x", "n", "y", "place"])
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Places of those that fit into `most` one after the other; what doesn't fit is passed over."""
+    out, held = [], 0
+    for i, n in enumerate(sizes):
+        if held + n <= most:
+            held += n
+            out.append(i)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = LABELLED, most_lines: int = LINES):
     """The model, from the rows of labels (ids and 0 or 1); a row without a label or id doesn't count, nor does an id's second label."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
@@ -243,8 +253,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(chosen, F.col("id") == F.col("__id")).select("t", F.col("__y").alias("y"), F.xxhash64("__id").alias("place"))
     scratch = Scratch(docs.sparkSession)
     told = scratch.keep(rows.mapInArrow(_featured, "size binary, x binary, n long, y int, place long"), "labelled-lines")
-    upto = told.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("place", "n", "y").rowsBetween(Window.unboundedPreceding, 0)))  # LABELLED rows
-    got = upto.where(F.col("upto") <= most_lines).orderBy("place", "n", "y").limit(limit).select("size", "x", "y").collect()
+    order = ("place", "n", "y")
+    sizes = told.select(*order).orderBy(*order).limit(limit).collect()  # LABELLED rows of three numbers
+    fits = told.sparkSession.createDataFrame([sizes[i] for i in fitting([r["n"] for r in sizes], most_lines)], "place long, n long, y int")
+    got = told.join(F.broadcast(fits.distinct()), list(order), "left_semi").orderBy(*order).select("size", "x", "y", "n").collect()
+    got = [got[i] for i in fitting([r["n"] for r in got], most_lines)][:limit]  # repeated rows share their numbers
     scratch.clear()
     size = [np.frombuffer(r["size"], "<f4").astype(np.float64) for r in got]
     x = [np.frombuffer(r["x"], "<f4").reshape(-1, N_LINE) for r in got]

@@ -208,3 +208,13 @@ def test_op10(spark, docs, nothing):
     got = op10_quality.score(docs, op10_quality.learn(docs, labels)).collect()
     assert len(got) == len(TEXTS) + 1 and all(0 <= r["score"] <= 1 for r in got)
     assert op10_quality.score(nothing, op10_quality.learn(nothing, labels.limit(0))).count() == 0
+
+
+def test_op10_one_long_labelled_text_does_not_hide_the_others(spark):
+    good, bad = "This is a clean sentence about things.\nAnother fine line follows it here.\nAnd a third one.", "$$$ ### 00 11 !!!\n|||| 99 %%\n@@ ## 77"
+    first = spark.range(1_000, 9_000).orderBy(F.xxhash64("id")).first()["id"]  # the first of all in the order in which labelled rows are taken
+    rows = [(i, good if i % 2 else bad) for i in range(60)] + [(first, "\n".join([good] * 170))]
+    docs = ready(spark).createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(first, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in op10_quality.score(docs, op10_quality.learn(docs, labels, most_lines=400)).collect()}
+    assert all((got[i] > 0.5) == bool(i % 2) for i in range(60))

@@ -224,3 +224,31 @@ def test_base_spans():
     found = op09_pii.base_spans("x@y.co 1.2.3.4 300.1.1.1, 4242 4242 4242 4242; +1 (555) 555-5136 4242424242424241")
     assert op09_pii.written(found) == "email:0:6,ip:7:14,card:26:45"
     assert op09_pii.base_spans("") == []
+
+
+def test_hits_in_a_text_without_white_space_take_linear_time():
+    import time
+
+    lexicon = op05_toxicity.Lexicon({"idiot": 2.0, "idi*": 1.0}, {"no idiot"})
+    text = "idiot," * 160_000
+    began = time.monotonic()
+    assert lexicon.raw(text) > 0 and time.monotonic() - began < 20
+    assert op05_toxicity.word_before("x " + "a" * 256 + " idiot", 259) == "a" * 256 and op05_toxicity.word_before("a" * 257 + " idiot", 258) is None and op05_toxicity.word_before("idiot", 0) == ""
+    assert lexicon.raw("no idiot") < lexicon.raw("an idiot")
+
+
+def test_mail_search_takes_linear_time_and_finds_what_the_pattern_finds():
+    import re
+    import time
+
+    began = time.monotonic()
+    assert list(op09_pii.emails("a" * 1_000_000 + "@")) == [] and list(op09_pii.emails("@a." * 300_000)) == [] and time.monotonic() - began < 20
+    pattern, r = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), random.Random(7)
+    for _ in range(5_000):
+        text = "".join(r.choice("ab.@-_ ü%") for _ in range(r.randint(0, 30)))
+        assert list(op09_pii.emails(text)) == [m.span() for m in pattern.finditer(text)]
+
+
+def test_a_labelled_text_that_does_not_fit_is_passed_over():
+    assert op10_quality.fitting([5, 500, 7, 395, 2, 386], 400) == [0, 2, 4, 5]
+    assert op10_quality.fitting([2_000_001, 3], 2_000_000) == [1] and op10_quality.fitting([], 5) == []
