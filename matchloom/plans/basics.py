@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
 from matchloom.operators import audit, policy, ranking
+from matchloom.operators.reliability import before
 from matchloom.plans.catalog import query
 from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
 from matchloom.tables import table
@@ -324,11 +325,11 @@ def _(spark, sf):
     return ranking.repeated_pairs(lines, "l_returnflag", "l_partkey", "l_suppkey", "o").groupBy(F.col("copy").cast("long").alias("copy")).agg(F.count("*").alias("n"))
 
 
-@query("o1_o3_orders", """SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate) DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100""")
+@query("o1_o3_orders", """SELECT o_orderkey, row_number() OVER (ORDER BY year(o_orderdate) DESC, o_orderkey) AS place FROM orders""")
 def _(spark, sf):
-    """The first hundred of a total order: a top-k report."""
-    w = table(spark, sf, "orders").orderBy(F.desc(F.year("o_orderdate")), "o_orderkey").limit(100)
-    return w.select("o_orderkey", F.row_number().over(ranking.Window.orderBy(F.desc(F.year("o_orderdate")), "o_orderkey")).cast("long").alias("place"))
+    """The place of every order in a total order, by global ranks: no task holds them all."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.struct((-F.year("o_orderdate")).alias("y"), "o_orderkey").alias("at"), F.lit(1).alias("k"))
+    return before(o, [], "at").select("o_orderkey", (F.col("before") + 1).alias("place"))
 
 
 @query("o4_stratified", """SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS k FROM documents) WHERE k <= 3""")

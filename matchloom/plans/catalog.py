@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    for name in ("basics", "matching", "evaluating", "topic_queries", "graph_queries", "rule_queries", "report_queries", "catalogue_stages"):
+    for name in ("basics", "matching", "evaluating", "topic_queries", "graph_queries", "rule_queries", "report_queries", "case_queries", "catalogue_stages"):
         importlib.import_module(f"matchloom.plans.{name}")
 
 

@@ -455,14 +455,14 @@ def _(spark, sf):
     return got.select("module_id", "classification", found.alias("candidates"), n_gaps.alias("gaps"), F.get("collaborators", 0)["staff_id"].alias("helper"))
 
 
-@query("o2_nulls_last", f"WITH {SCORE_SQL}, r AS (SELECT module_id, count(*) AS n FROM score WHERE score >= 0.9 GROUP BY module_id) SELECT p_partkey, row_number() OVER (ORDER BY n ASC NULLS LAST, p_partkey) AS place FROM part LEFT JOIN r ON module_id = p_partkey QUALIFY place <= 200")
+@query("o2_nulls_last", f"WITH {SCORE_SQL}, r AS (SELECT module_id, count(*) AS n FROM score WHERE score >= 0.9 GROUP BY module_id) SELECT p_partkey, row_number() OVER (ORDER BY n ASC NULLS LAST, p_partkey) AS place FROM part LEFT JOIN r ON module_id = p_partkey")
 def _(spark, sf):
-    """The first two hundred of an order in which missing ranks come last: a top-k report."""
-    from pyspark.sql import Window
+    """Every part's place in an order in which missing ranks come last."""
+    from matchloom.operators.reliability import before
 
     r = scores(spark, sf).where("score >= 0.9").groupBy("module_id").agg(F.count("*").alias("n"))
-    first = table(spark, sf, "part").join(r, F.col("module_id") == F.col("p_partkey"), "left").orderBy(F.asc_nulls_last("n"), "p_partkey").limit(200)
-    return first.select("p_partkey", F.row_number().over(Window.orderBy(F.asc_nulls_last("n"), "p_partkey")).cast("long").alias("place"))
+    all_ = table(spark, sf, "part").join(r, F.col("module_id") == F.col("p_partkey"), "left").select("p_partkey", F.struct(F.col("n").isNull().alias("last"), "n", "p_partkey").alias("at"), F.lit(1).alias("k"))
+    return before(all_, [], "at").select("p_partkey", (F.col("before") + 1).alias("place"))
 
 
 @query("c3_hierarchy_mapping", f"""WITH {STAFF_SQL}, l AS (SELECT staff_id, CASE WHEN balance < 0 THEN '' WHEN position = '' THEN lower(college) WHEN position = 'Consultant' THEN 'visitors' WHEN position = 'Technician' THEN 'workshop' ELSE lower(department) END AS label, path FROM staff),
