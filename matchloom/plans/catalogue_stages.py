@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import allocation, explain, policy, ranking, topics
+from matchloom.operators import allocation, collaboration, explain, knowledge, policy, ranking
 from matchloom.plans.catalog import query
-from matchloom.plans.roles import MODULE_SQL, SCORE_SQL, STAFF_SQL, modules, scores, staff
+from matchloom.plans.graph_queries import EDGE_FACTS, RECORDS_SQL, records
+from matchloom.plans.roles import SCORE_SQL, modules, scores, staff
 from matchloom.plans.stages import Context, TableStage, run_all
 
 
@@ -20,12 +21,11 @@ def _data(context: Context) -> DataFrame:
 
 
 def _graph(context: Context) -> DataFrame:
-    people, catalogue = context.get("staff"), context.get("modules")
-    nodes, edges = topics.graph(
-        {"staff": (people, "full_name"), "module": (catalogue, "module_code"), "department": (people, "department")},
-        {"works_in": (people, "staff", "full_name", "department", "department"), "owned_by": (catalogue, "module", "module_code", "department", "department")},
-    )
+    """Five types of nodes and edges of all records."""
+    told = records(context.spark, context.root)
+    nodes, edges = knowledge.build(*told)
     context.put("nodes", nodes)
+    context.put("records", told)
     return edges
 
 
@@ -34,8 +34,13 @@ def _matching(context: Context) -> DataFrame:
 
 
 def _explanation(context: Context) -> DataFrame:
-    none = F.array().cast("array<string>")
-    return context.get("matching").select("module_id", "staff_id", explain.match_text(F.col("rank"), policy.band(F.col("score")), none).alias("said"))
+    """Why each match was made, with the topics that module and person share (the strongest five)."""
+    mods, people = context.get("records")
+    topic = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.explode("topics").alias("t")).groupBy(key, F.lower("t.topic").alias("topic")).agg(F.max("t.score").alias("score")).where("topic <> ''")
+    pairs = context.get("matching").select("module_id", "staff_id")
+    common = collaboration.shared_topics(topic(mods, "module_id"), topic(people, "staff_id"), pairs).select("module_id", "staff_id", F.split("names", ", ").alias("topics"))
+    found = context.get("matching").join(common, ["module_id", "staff_id"], "left")
+    return found.select("module_id", "staff_id", explain.match_text(F.col("rank"), policy.band(F.col("score")), F.coalesce("topics", F.array().cast("array<string>"))).alias("said"))
 
 
 def _evaluation(context: Context) -> DataFrame:
@@ -53,8 +58,8 @@ def run(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(r.stage, r.status, int(r.metrics.get("rows", -1))) for r in results], "stage string, status string, rows long")
 
 
-@query("x6_x7_stages", f"""WITH {STAFF_SQL}, {MODULE_SQL}, {SCORE_SQL}, t AS (SELECT module_id, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score)
-SELECT 'data' AS stage, 'success' AS status, (SELECT count(*) FROM staff) + (SELECT count(*) FROM module) AS rows UNION ALL SELECT 'graph', 'success', (SELECT count(DISTINCT full_name || department) FROM staff) + (SELECT count(DISTINCT module_code || department) FROM module)
+@query("x6_x7_stages", f"""WITH {RECORDS_SQL}, {SCORE_SQL}, t AS (SELECT module_id, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score)
+SELECT 'data' AS stage, 'success' AS status, (SELECT count(*) FROM staff) + (SELECT count(*) FROM module) AS rows UNION ALL SELECT 'graph', 'success', (SELECT count(*) FROM (SELECT DISTINCT source, target, edge_type FROM ({EDGE_FACTS})))
 UNION ALL SELECT 'matching', 'success', (SELECT count(*) FROM t WHERE k <= 5) UNION ALL SELECT 'explanation', 'success', (SELECT count(*) FROM t WHERE k <= 5) UNION ALL SELECT 'evaluation', 'success', 1""")
 def _(spark, sf):
     return run(spark, sf)

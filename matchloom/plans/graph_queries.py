@@ -10,7 +10,7 @@ from matchloom.plans.roles import MODULE_SQL, STAFF_SQL, modules, staff
 from matchloom.tables import table
 
 #: Modules with departments in two spellings and topics that come again; people with a second record, which fills what the first lacks.
-_RECORDS_SQL = f"""{STAFF_SQL}, {MODULE_SQL},
+RECORDS_SQL = f"""{STAFF_SQL}, {MODULE_SQL},
 mod AS (SELECT module_id AS ord, CAST(module_id AS VARCHAR) AS module_id, CASE WHEN module_id % 5 > 0 THEN module_code END AS module_code, CASE WHEN module_id % 7 > 0 THEN title END AS module_title,
  CASE WHEN module_id % 3 = 0 THEN [upper(department) || ' & co', department] ELSE [department, ''] END AS departments, [college, lower(college)] AS colleges,
  [(split_part(title, ' ', 1), CAST(size AS INT)), (split_part(title, ' ', 2), 3), (upper(split_part(title, ' ', 1)), CAST(size + 1 AS INT))] AS topics FROM module),
@@ -23,7 +23,7 @@ mt AS (SELECT ord, module_id, unnest(topics) AS t, unnest(range(len(topics))) AS
 _ID = "'{}:' || replace(translate(lower({}), ' /', '__'), '&', 'and')"
 
 
-def _records(spark, sf):
+def records(spark, sf):
     word = lambda i: F.get(F.split("title", " "), i)
     topic = lambda name, score: F.struct(name.alias("topic"), score.cast("int").alias("score"))
     m = F.col("module_id")
@@ -60,20 +60,20 @@ def _edge(kind: str, st: str, s: str, tt: str, t: str, source: str, at: str, sco
     return f"SELECT {_ID.format(st, s)} AS source, {_ID.format(tt, t)} AS target, '{kind}' AS edge_type, {at} AS o, CAST({score} AS INT) AS topic_score FROM {source} WHERE {s} <> '' AND {t} <> ''"
 
 
-_EDGE_FACTS = " UNION ALL ".join((
+EDGE_FACTS = " UNION ALL ".join((
     _edge("module_in_department", "module", "module_id", "department", "department", "md", "ord"), _edge("department_in_college", "department", "department", "college", "college", "mc", "ord"),
     _edge("module_has_topic", "module", "module_id", "topic", "t[1]", "mt", "p", "t[2]"), _edge("staff_in_department", "staff", "staff_id", "department", "department_name", "per", "ord"),
     _edge("department_in_college", "department", "department_name", "college", "college_name", "per", "ord"), _edge("staff_has_topic", "staff", "staff_id", "topic", "topic", "pt", "ord", "score"),
 ))
 
 
-@query("g9_graph_nodes", f"WITH {_RECORDS_SQL}, f AS ({_NODE_FACTS}) SELECT id, node_type, {', '.join(f'arg_min({a}, o) FILTER (WHERE {a} <> {chr(39) * 2}) AS {a}' for a in K.ATTRIBUTES)} FROM f GROUP BY id, node_type")
+@query("g9_graph_nodes", f"WITH {RECORDS_SQL}, f AS ({_NODE_FACTS}) SELECT id, node_type, {', '.join(f'arg_min({a}, o) FILTER (WHERE {a} <> {chr(39) * 2}) AS {a}' for a in K.ATTRIBUTES)} FROM f GROUP BY id, node_type")
 def _(spark, sf):
     """Five types of nodes; of each attribute the first value that isn't blank."""
-    return K.build(*_records(spark, sf))[0]
+    return K.build(*records(spark, sf))[0]
 
 
-@query("g9_graph_edges", f"WITH {_RECORDS_SQL}, f AS ({_EDGE_FACTS}) SELECT source, target, edge_type, arg_max(topic_score, o) AS topic_score FROM f GROUP BY source, target, edge_type")
+@query("g9_graph_edges", f"WITH {RECORDS_SQL}, f AS ({EDGE_FACTS}) SELECT source, target, edge_type, arg_max(topic_score, o) AS topic_score FROM f GROUP BY source, target, edge_type")
 def _(spark, sf):
     """Five types of edges; of each score the last."""
-    return K.build(*_records(spark, sf))[1]
+    return K.build(*records(spark, sf))[1]
