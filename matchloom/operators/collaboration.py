@@ -29,27 +29,27 @@ def candidates(rel: DataFrame, least: float = 0.10, most: int = 20) -> DataFrame
 
 
 def pairs(chosen: DataFrame, staff: DataFrame, module: DataFrame, least_gain: float = 0.05, most: int = 50) -> DataFrame:
-    """Pairs of a module's candidates with coverage, gain, overlap and score; the pruned candidates bound their number."""
-    one = chosen.select("module_id", F.col("staff_id").alias("a"), F.col("relevance").alias("ra"))
-    two = chosen.select("module_id", F.col("staff_id").alias("b"), F.col("relevance").alias("rb"))
-    both = one.join(two, "module_id").where("a < b")
-    topics = F.map_from_entries(F.collect_list(F.struct("topic", "w")))
-    profile = staff.groupBy("staff_id").agg(topics.alias("topics"))
-    wanted = module.groupBy("module_id").agg(F.sort_array(F.collect_list(F.struct("topic", "w"))).alias("wanted"))
-    full = (
-        both.join(wanted, "module_id").join(profile.select(F.col("staff_id").alias("a"), F.col("topics").alias("ta")), "a")
-        .join(profile.select(F.col("staff_id").alias("b"), F.col("topics").alias("tb")), "b")
-    )
-    none = F.lit(0.0)
-    covered = F.aggregate("wanted", none, lambda s, x: s + F.least(x["w"], F.greatest(F.coalesce(F.try_element_at("ta", x["topic"]), none), F.coalesce(F.try_element_at("tb", x["topic"]), none))))
-    total = F.aggregate("wanted", none, lambda s, x: s + x["w"])
-    ka, kb = F.map_keys("ta"), F.map_keys("tb")
-    overlap = F.size(F.array_intersect(ka, kb)) / F.size(F.array_union(ka, kb))
-    best = F.greatest("ra", "rb")
-    found = full.select("module_id", "a", "b", best.alias("best"), (covered / total).alias("coverage"), overlap.alias("overlap"))
-    found = found.withColumn("gain", F.greatest(F.lit(0.0), F.col("coverage") - F.col("best"))).where(F.round("gain", 9) >= least_gain)
+    """Pairs of a module's candidates with coverage, gain, overlap and score; the pruned candidates bound their number.
+
+    What both cover of a topic is the smaller of their shares, so a pair's coverage is both people's less the sum of these over the
+    topics that both have: a join on (module, topic). How far two people's topics overlap is found once for each two people.
+    """
+    total = module.groupBy("module_id").agg(F.sum("w").alias("total"))
+    held = chosen.select("module_id", "staff_id").join(staff.withColumnRenamed("w", "sw"), "staff_id").join(module.withColumnRenamed("w", "mw"), ["module_id", "topic"]).select("module_id", "topic", "staff_id", F.least("mw", "sw").alias("h"))
+    side = lambda df, who, *keep: df.select(*keep, F.col("staff_id").alias(who), *[F.col(c).alias(f"{c}_{who}") for c in df.columns if c not in (*keep, "staff_id")])
+    twice = side(held, "a", "module_id", "topic").join(side(held, "b", "module_id", "topic"), ["module_id", "topic"]).where("a < b").groupBy("module_id", "a", "b").agg(F.sum(F.least("h_a", "h_b")).alias("twice"))
+    known = chosen.select("module_id", "staff_id", "relevance")
+    both = side(known, "a", "module_id").join(side(known, "b", "module_id"), "module_id").where("a < b").join(twice, ["module_id", "a", "b"], "left").join(total, "module_id")
+    people = both.select("a", "b").distinct()
+    sizes = staff.groupBy("staff_id").agg(F.count_distinct("topic").alias("n"))
+    topics = staff.select("staff_id", "topic").distinct()
+    common = people.join(side(topics, "a", "topic"), "a").join(side(topics, "b", "topic"), ["b", "topic"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    shared = F.coalesce("common", F.lit(0))
+    overlap = people.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b").join(common, ["a", "b"], "left").select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("overlap"))
+    best, coverage = F.greatest("relevance_a", "relevance_b"), F.col("relevance_a") + F.col("relevance_b") - F.coalesce("twice", F.lit(0.0)) / F.col("total")
+    found = both.select("module_id", "a", "b", best.alias("best"), coverage.alias("coverage")).withColumn("gain", F.greatest(F.lit(0.0), F.col("coverage") - F.col("best"))).where(F.round("gain", 9) >= least_gain)
     score = 0.50 * F.col("coverage") + 0.35 * F.col("gain") + 0.10 * F.col("best") + 0.05 * F.least("overlap", F.lit(0.2)) / 0.2
-    return top_k(found.withColumn("score", score), ["module_id"], [F.desc(F.round("score", 9)), F.desc("a"), F.desc("b")], most)
+    return top_k(found.join(overlap, ["a", "b"]).withColumn("score", score), ["module_id"], [F.desc(F.round("score", 9)), F.desc("a"), F.desc("b")], most)
 
 
 def gaps(affinity: DataFrame, usual: float = 0.20, again: float = 0.18) -> DataFrame:

@@ -95,9 +95,14 @@ def block_top_k(demand: DataFrame, supply: DataFrame, fields: dict[str, tuple[in
                 each = {n: np.clip(blocks[n] @ unit(rows[:, a:b]).T, 0, 1) for n, (a, b, _) in fields.items()}
                 total = sum(w * each[n] for n, (_, _, w) in fields.items())
                 supply_ids = f[supply_id].to_numpy()
-                for i in range(len(ids)):
-                    at = np.lexsort((supply_ids, -np.round(total[i], 9)))[:k]
-                    yield pd.DataFrame({demand_id: ids[i], supply_id: supply_ids[at], "score": total[i, at], **{n: each[n][i, at] for n in names}})
+                rounded = np.round(total, 9)
+                least = np.partition(rounded, -k, axis=1)[:, -k, None] if k < rounded.shape[1] else np.full((len(ids), 1), -np.inf)
+                row, at = np.nonzero(rounded >= least)  # the k best of each row, and who is equal to the last of them
+                order = np.lexsort((supply_ids[at], -rounded[row, at], row))
+                row, at = row[order], at[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[kept], at[kept]
+                yield pd.DataFrame({demand_id: ids[row], supply_id: supply_ids[at], "score": total[row, at], **{n: each[n][row, at] for n in names}})
 
         one = supply.select(supply_id, vector).mapInPandas(run, ddl)
         found = one if found is None else found.unionByName(one)

@@ -317,8 +317,9 @@ def _publications(spark, sf):
 
 def _merged(spark, sf):
     p = _publications(spark, sf)
-    c = N.fetch(p, FixtureProvider("crossref"), scratch(spark, "crossref"))
-    o = N.fetch(p, FixtureProvider("openalex"), scratch(spark, "openalex"))
+    lanes = spark.sparkContext.defaultParallelism  # the fixture answers at once; a network provider's lanes are its own bound
+    c = N.fetch(p, FixtureProvider("crossref"), scratch(spark, "crossref"), lanes)
+    o = N.fetch(p, FixtureProvider("openalex"), scratch(spark, "openalex"), lanes)
     return N.merge(p, c, o)
 
 
