@@ -544,7 +544,7 @@ class _Join:
         """Candidates among all nodes; those of a list's largest component needn't meet each other. Where every component has one node, it stood for itself."""
         per = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).where("m.n > 1").select("key", F.col("m.comp").alias("main"))
         all_ = self.sketched(left.join(per, "key"))
-        return self.candidates(all_, all_.where("comp <> main"), F.lit(True))
+        return self.candidates(all_, all_.where("comp <> main"), (F.col("x.comp") == F.col("x.main")) | (F.col("x.node") > F.col("y.node")))  # a pair once, not in both orders
 
     def run(self) -> None:
         for _ in range(BLOCK_TURNS):
