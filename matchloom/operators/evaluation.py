@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Categories of ratings at most; more is a mistaken column, and an error.
+MOST_CATEGORIES = 1_000
+
+
 def graded(ranked: DataFrame, truth: DataFrame, own: float = 0.30) -> DataFrame:
     """rel of each ranked row (query, item, rank, score): 2 if the truth has it, 1 if its own score reaches `own`, else 0."""
     known = truth.select("query", "item").distinct().withColumn("__hit", F.lit(True))
@@ -39,6 +43,8 @@ def metrics(rel: DataFrame, k: int = 5, threshold: int = 1) -> DataFrame:
 def cohen_kappa(ratings: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:
     """One row: observed (share of equal ratings) and kappa; weights none, linear or quadratic over the ratings' range."""
     cells = ratings.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    if (n := cells.agg(F.greatest(F.count_distinct("a"), F.count_distinct("b"))).first()[0]) > MOST_CATEGORIES:
+        raise ValueError(f"{n} categories, {MOST_CATEGORIES} are allowed")
     size = cells.agg(F.sum("n").alias("total"), (F.greatest(F.max("a"), F.max("b")) - F.least(F.min("a"), F.min("b"))).alias("range"))
     left, right = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
     # a row for each pair of categories: as many as there are categories squared

@@ -226,9 +226,12 @@ def _(spark, sf):
     return readers.lenient_jsonl(spark, _written(spark, table(spark, sf, "part").select(line.alias("value")), "text"), "p_partkey bigint, p_name string")
 
 
-@query("s4_optional_lines", "SELECT r_regionkey FROM region WHERE false")
+@query("s4_optional_lines", "SELECT event_id, event_type FROM events")
 def _(spark, sf):
-    return readers.optional_jsonl(spark, scratch(spark, "source-missing"), "r_regionkey bigint")
+    """A source that is there and one that is missing."""
+    path, schema = scratch(spark, "source-lines"), "event_id bigint, event_type string"
+    table(spark, sf, "events").select("event_id", "event_type").write.json(path)
+    return readers.optional_jsonl(spark, path, schema).unionByName(readers.optional_jsonl(spark, scratch(spark, "source-missing"), schema))
 
 
 @query("s6_bare_object", "SELECT count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
