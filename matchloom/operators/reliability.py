@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators import evaluation as E
+from matchloom.session import materialise
 
 _NORMAL = NormalDist()
 #: Order statistics summed one by one at each end; between them their sum is an integral, to within rounding.
@@ -124,10 +125,10 @@ def shapiro(values: Sequence[float]) -> tuple[float, float]:
 def before(counted: DataFrame, group: list[str], value: str, n: str = "k") -> DataFrame:
     """counted with `before`: how many (by n) of the group are smaller, and `size`: of all. A value comes once in a group.
 
-    A sort by ranges and two small sums: no group is in one task.
+    A sort by ranges and two small sums: no group is in one task. The dealt rows are written once, for ranges are drawn anew at each run.
     """
     parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counted.repartitionByRange(parts, *group, value).withColumn("__part", F.spark_partition_id())
+    dealt, _ = materialise(counted.sparkSession, counted.repartitionByRange(parts, *group, value).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = dealt.withColumn("__inside", F.sum(n).over(Window.partitionBy("__part", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)))
     per = dealt.groupBy("__part", *group).agg(F.sum(n).alias("__n"))  # a row a partition and group
     w = Window.partitionBy(*group)

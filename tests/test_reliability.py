@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.operators import evaluation as E
 from matchloom.operators import reliability as R
@@ -44,6 +45,15 @@ def test_before_counts_what_is_smaller(spark):
         assert (x["before"], x["size"]) == (sum(k for g, v, k in rows if g == x["g"] and v < x["d"]), sum(k for g, v, k in rows if g == x["g"]))
 
 
+def test_before_on_more_rows_than_ranges_are_drawn_from(spark):
+    df = spark.range(60_000).selectExpr("(id * 7919) % 60000 as v", "id % 3 as g", "1L as k").repartition(13)
+    got = R.before(df, ["g"], "v")
+    per = got.groupBy("g").agg(F.max("before").alias("most"), F.count_distinct("before").alias("n"), F.min("size").alias("size")).collect()
+    assert {(r["g"], r["most"], r["n"], r["size"]) for r in per} == {(i, 19_999, 20_000, 20_000) for i in range(3)}
+    whole = R.before(df.drop("g"), [], "v")
+    assert whole.count() == 60_000 and whole.where("before <> v or size <> 60000").isEmpty()
+
+
 def plain(d, mean_a):
     """The tests on an array."""
     n, m = len(d), int((d != 0).sum())
