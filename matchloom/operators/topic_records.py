@@ -101,7 +101,9 @@ def candidates(records: DataFrame, source_type: str, lemmas: dict[str, str] | No
     told = [F.transform(_values(f, kinds[f]), entry(f, i)) for i, f in enumerate(have)]
     if not told:
         return records.sparkSession.createDataFrame([], "record_id string, source_type string, field string, place int, original_text string, cleaned_text string, topic string, weight double")
-    each = records.select(record_id(records, ids).alias("record_id"), F.explode(reduce(lambda a, b: F.concat(a, b), told)).alias("v")).select("record_id", "v.*")
+    # ids are made before values are taken apart, and of a record only its id goes with each value
+    listed = records.select(record_id(records, ids).alias("record_id"), reduce(lambda a, b: F.concat(a, b), told).alias("__all"))
+    each = listed.select("record_id", F.explode("__all").alias("v")).select("record_id", "v.*")
     known, drop, least_most = dict(lemmas or {}), frozenset(stop), words
     plain = frozenset(x.strip().lower() for x in generic)
 
@@ -111,5 +113,6 @@ def candidates(records: DataFrame, source_type: str, lemmas: dict[str, str] | No
         topics = clean.map(lambda c: normalised(c, known, drop))
         return pd.DataFrame({"cleaned_text": clean, "topic": topics.where(topics.map(lambda t: valid(t, plain, drop, *least_most)), None)})
 
-    out = each.withColumn("__m", made("original_text")).select("record_id", F.lit(source_type).alias("source_type"), "field", "place", "original_text", "__m.*", "weight")
+    # not deterministic, so that the filter below isn't moved before it, where it would clean each text a second time
+    out = each.withColumn("__m", made.asNondeterministic()("original_text")).select("record_id", F.lit(source_type).alias("source_type"), "field", "place", "original_text", "__m.*", "weight")
     return out.where("topic is not null")

@@ -40,3 +40,11 @@ def test_lemmas_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(TR, "MOST_LEMMAS", 0)
     with pytest.raises(ValueError):
         TR.lemma_table(df)
+
+
+def test_values_carry_only_their_records_id_and_are_cleaned_once(spark):
+    df = spark.createDataFrame([(1, ["law", "art"])], "id long, keywords array<string>")
+    plan = TR.candidates(df, "staff")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[made(") == 1
+    taken_apart = next(line for line in plan.splitlines() if "Generate explode(" in line)
+    assert "record_id" in taken_apart and "keywords" not in taken_apart
