@@ -38,15 +38,15 @@ def terms(df: DataFrame, keys: list[str], text: str, bigrams: bool = True) -> Da
     return found.select(*keys, F.explode(made).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def fit(found: DataFrame, ids: DataFrame, group: list[str] | None = None, max_df: float = 0.95, features: int = 75_000) -> DataFrame:
-    """group, term, idf of the terms that at most max_df of the ids have; of those the `features` most frequent."""
+def fit(found: DataFrame, ids: DataFrame, group: list[str] | None = None, max_df: float = 0.95, features: int | None = 75_000) -> DataFrame:
+    """group, term, idf of the terms that at most max_df of the ids have; of those the `features` most frequent, or all where it is None."""
     group = group or []
     n = ids.groupBy(*group).agg(F.count("*").alias("n")) if group else ids.agg(F.count("*").alias("n"))
     counts = found.groupBy(*group, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     counts = counts.join(F.broadcast(n), group) if group else counts.join(F.broadcast(n), F.lit(True))  # a row a group
     counts = counts.where(F.col("df") <= max_df * F.col("n"))
     w = Window.partitionBy(*group).orderBy(F.desc("total"), "term")
-    kept = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= features) if group else counts.orderBy(F.desc("total"), "term").limit(features)
+    kept = counts if features is None else counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= features) if group else counts.orderBy(F.desc("total"), "term").limit(features)
     return kept.select(*group, "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
@@ -70,9 +70,12 @@ def asked(idf: DataFrame, demand: DataFrame, group: list[str] | None = None) ->
     return idf.join(demand.select(*on).distinct().withColumn("asked", F.lit(True)), on, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
-def weigh(found: DataFrame, idf: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
-    """keys, term, w: sublinear tf times idf, each id's vector of unit length; only terms that are asked for, where idf tells."""
-    raw = found.join(F.broadcast(idf), [*(group or []), "term"]).withColumn("x", (1.0 + F.log("tf")) * F.col("idf"))  # `fit` bounds the rows of idf
+def weigh(found: DataFrame, idf: DataFrame, keys: list[str], group: list[str] | None = None, bounded: bool = True) -> DataFrame:
+    """keys, term, w: sublinear tf times idf, each id's vector of unit length; only terms that are asked for, where idf tells.
+
+    bounded: whether `fit` had a bound on the terms, so that every task can hold them.
+    """
+    raw = found.join(F.broadcast(idf) if bounded else idf, [*(group or []), "term"]).withColumn("x", (1.0 + F.log("tf")) * F.col("idf"))
     term = F.struct("term", "x")
     vectors = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("asked"), term) if "asked" in idf.columns else term).alias("terms"))
     return vectors.select(*keys, "norm", F.explode("terms").alias("t")).select(*keys, "t.term", (F.col("t.x") / F.col("norm")).alias("w"))
