@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,8 @@ from matchloom.session import Scratch
 
 #: Offers that hang together at most: one task solves them.
 MOST_OFFERS = 2_000_000
+#: Tasks that components times capacities are dealt to.
+GROUPS = 211
 #: What it costs to go beyond a person's capacity (extra places, cost of each), and to leave a module out.
 TIERS = ((2, 5_000), (15, 25_000))
 LEFT_OUT, SCALE, RANK_COST = 200_000, 10_000, 5
@@ -30,54 +34,62 @@ def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIE
     convex cost is an order, not a network. Modules and persons are taken in ascending order, which
     settles ties.
     """
-    offers: dict[int, dict[int, int]] = {}
+    price: dict[int, dict[int, int]] = {}
     for m, p, c in sorted(edges):
-        offers.setdefault(m, {})[p] = c
-    prices = {p: [0] * capacity.get(p, 0) + [c for n, c in tiers for _ in range(n)] for _, p, _ in edges}
-    taken: dict[int, list[int]] = {p: [] for p in prices}
-    chosen: dict[int, int] = {}
-    pot: dict[tuple[int, int], int] = {}  # of (0, module) and (1, person); the sink's stays 0
-    sink = (2, 0)
-
-    def ways(v):
-        kind, x = v
-        if kind == 0:
-            yield from (((1, p), c) for p, c in offers[x].items() if chosen.get(x) != p)
-            yield sink, left_out
-        else:
-            yield from (((0, m), -offers[m][x]) for m in taken[x])
-            if len(taken[x]) < len(prices[x]):
-                yield sink, prices[x][len(taken[x])]
-
-    for start in offers:
-        dist, back, done, heap = {(0, start): 0}, {}, set(), [(0, (0, start))]
-        while sink not in done:
-            d, v = heapq.heappop(heap)
-            if v in done:
+        price.setdefault(m, {})[p] = c
+    modules, people = list(price), sorted({p for _, p, _ in edges})
+    # nodes are numbers: modules, then people, then the sink, each in ascending order; the sink's potential stays 0
+    first, sink = len(modules), len(modules) + len(people)
+    node = {p: first + i for i, p in enumerate(people)}
+    offers = [[(node[p], c) for p, c in price[m].items()] for m in modules]
+    costs = [dict(o) for o in offers]
+    places = [[0] * capacity.get(p, 0) + [c for n, c in tiers for _ in range(n)] for p in people]
+    taken: list[list[int]] = [[] for _ in people]
+    chosen, pot = [-1] * first, [0] * (sink + 1)
+    push, pop = heapq.heappush, heapq.heappop
+
+    for start in range(first):
+        dist, back, done, heap, nearest = {start: 0}, {}, [], [(0, start)], math.inf
+        closed = set()
+        while heap:
+            d, v = pop(heap)
+            if v in closed:
                 continue
-            done.add(v)
+            closed.add(v)
+            done.append(v)
             if v == sink:
                 break
-            for w, c in ways(v):
-                step = d + c + pot.get(v, 0) - pot.get(w, 0)
-                if w not in done and step < dist.get(w, step + 1):
+            at = d + pot[v]
+            if v < first:
+                mine, ways, out = chosen[v], offers[v], left_out
+            else:
+                mine, held, all_ = -1, taken[v - first], places[v - first]
+                ways, out = [(m, -costs[m][v]) for m in held], all_[len(held)] if len(held) < len(all_) else None
+            for w, c in ways:
+                step = at + c - pot[w]
+                # what isn't nearer than the sink is on no shortest path
+                if step < nearest and w != mine and w not in closed and step < dist.get(w, math.inf):
                     dist[w], back[w] = step, v
-                    heapq.heappush(heap, (step, w))
+                    push(heap, (step, w))
+            if out is not None and at + out < nearest:
+                nearest = dist[sink] = at + out
+                back[sink] = v
+                push(heap, (nearest, sink))
         for v in done:
-            pot[v] = pot.get(v, 0) + dist[v] - dist[sink]
-        v, path = sink, []
-        while v in back:
-            path.append((back[v], v))
-            v = back[v]
-        for (kind, x), (to, y) in reversed(path):
-            if (kind, to) == (0, 1):  # a module takes a person's place
-                chosen[x] = y
-                taken[y].append(x)
-            elif (kind, to) == (1, 0):  # a person gives a module up
-                taken[x].remove(y)
-            elif kind == 0:
-                chosen.pop(x, None)
-    return chosen
+            pot[v] += dist[v] - nearest
+        w, path = sink, []
+        while w in back:
+            path.append((back[w], w))
+            w = back[w]
+        for v, w in reversed(path):
+            if v < first <= w < sink:  # a module takes a person's place
+                chosen[v] = w
+                taken[w - first].append(v)
+            elif first <= v and w < first:  # a person gives a module up
+                taken[v - first].remove(w)
+            elif v < first:
+                chosen[v] = -1
+    return {modules[i]: people[c - first] for i, c in enumerate(chosen) if c >= 0}
 
 
 def objective(assigned: dict[int, int], edges, capacity, tiers=TIERS, left_out: int = LEFT_OUT) -> int:
@@ -106,25 +118,32 @@ def parts(offers: DataFrame) -> DataFrame:
     return found.withColumn("part", F.coalesce("__root", F.col("module_id") * 2)).drop("__root")
 
 
-def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS) -> DataFrame:
+def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS, capacities: Sequence[int] | None = None) -> DataFrame:
     """module_id, staff_id, rank, rank_shift of the cheapest allocation of the modules that get somebody.
 
     offers: module_id, staff_id, rank, score, capacity. Modules that share people are one problem, so a
     person's capacity counts once: each connected component is solved in one task. What has more than
     `most` offers is no task's work, and an error tells so (a catalogue by year or campus comes apart).
+    capacities: instead of each person's own, all people have these in turn; the result tells `capacity`,
+    and each component is solved in one task a capacity.
     """
+    swept = ["capacity"] if capacities else []
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         edges = [(int(m), int(s), cost(float(x), int(r))) for m, s, x, r in zip(frame["module_id"], frame["staff_id"], frame["score"], frame["rank"])]
         capacity = {int(s): int(c) for s, c in zip(frame["staff_id"], frame["capacity"])}
         found = solve(edges, capacity, tiers)
-        return pd.DataFrame({"module_id": list(found), "staff_id": list(found.values())}, dtype="int64")
+        out = pd.DataFrame({"module_id": list(found), "staff_id": list(found.values())}, dtype="int64")
+        return out.assign(capacity=int(frame["capacity"].iloc[0])) if swept else out
 
     marked = parts(offers)
     largest = marked.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     if largest > most:
         raise ValueError(f"{largest} offers hang together, {most} are allowed")
-    chosen = marked.groupBy("part").applyInPandas(run, "module_id long, staff_id long")
+    if swept:
+        marked = marked.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))
+        marked = marked.repartition(GROUPS, "part", "capacity")  # by number, or the few groups would be put together in one task
+    chosen = marked.groupBy("part", *swept).applyInPandas(run, "module_id long, staff_id long" + ", capacity int" * len(swept))
     ranks = offers.select("module_id", "staff_id", "rank")
     return chosen.join(ranks, ["module_id", "staff_id"]).withColumn("rank_shift", F.col("rank") - 1)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +92,10 @@ def _(spark, sf):
 def _(spark, sf):
     offers = _offers(spark, sf)
     pool = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("staff_id"))
-    rows = []
-    for c in (1, 2, 3, 4, 5, 8, 15):
-        found = A.balance(offers.withColumn("capacity", F.lit(c)))
-        rows.append(A.gini(A.workloads(found, pool)).select(F.lit(c).alias("capacity"), F.round("gini", 4).alias("gini")))
-    return reduce(DataFrame.unionByName, rows)
+    capacities = (1, 2, 3, 4, 5, 8, 15)
+    load = A.balance(offers, capacities=capacities).groupBy("capacity", "staff_id").agg(F.count("*").alias("load"))
+    all_ = pool.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities]))).join(load, ["capacity", "staff_id"], "left").select("capacity", F.coalesce("load", F.lit(0)).alias("load"))
+    return A.gini(all_, ["capacity"]).select("capacity", F.round("gini", 4).alias("gini"))
 
 
 _TOP_SQL = f"{SCORE_SQL}, top AS (SELECT module_id, staff_id, score, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS rank FROM score QUALIFY rank <= 5)"

@@ -113,6 +113,15 @@ def test_balance_of_two_components_equals_one_problem(spark):
         A.balance(offers, most=5)
 
 
+def test_balance_under_several_capacities_equals_one_after_the_other(spark):
+    r = random.Random(4)
+    rows = [(m, s, k + 1, round(r.random(), 3), 9) for m in range(30) for k, s in enumerate(r.sample(range(5) if m % 2 else range(10, 15), 3))]
+    offers = spark.createDataFrame(rows, "module_id long, staff_id long, rank long, score double, capacity int")
+    got = A.balance(offers, capacities=(1, 4)).select("capacity", "module_id", "staff_id", "rank", "rank_shift").collect()
+    each = [(c, *x) for c in (1, 4) for x in A.balance(offers.withColumn("capacity", F.lit(c))).select("module_id", "staff_id", "rank", "rank_shift").collect()]
+    assert sorted(map(tuple, got)) == sorted(each)
+
+
 def test_extraction_and_deltas(spark):
     taught = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "module_id long, taught boolean")
     offers = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5), (2, 7, 1, 0.8), (2, 9, 2, 0.7), (3, 7, 1, 0.6), (3, 8, 2, 0.3)], "module_id long, staff_id long, rank long, score double")
