@@ -79,8 +79,10 @@ def _(spark, sf):
 @query("c15_exempt", f"""WITH {SCORE_SQL}, {MODULE_SQL}, b AS (SELECT module_id, staff_id FROM (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY score DESC, staff_id) AS k FROM score) WHERE k = 1)
 SELECT module_id, staff_id, staff_id AS greedy_id, CAST(0 AS BIGINT) AS rank_shift, 0 AS displaced FROM module LEFT JOIN b USING (module_id) WHERE regexp_matches(lower(title), '{"|".join(policy.UNTAUGHT_TITLES)}')""")
 def _(spark, sf):
-    """Modules outside the capacity rules keep their first choice."""
-    return _extracted(spark, sf).where("not taught").select("module_id", "staff_id", "greedy_id", F.col("rank_shift").cast("long").alias("rank_shift"), F.size("displaced").alias("displaced"))
+    """Modules outside the capacity rules keep their first choice: nothing is balanced for them, so no allocation is solved."""
+    exempt = modules(spark, sf).where(~policy.is_taught(F.col("title"))).select("module_id", F.lit(False).alias("taught"))
+    offers = _offers(spark, sf, taught_only=False).join(exempt, "module_id", "left_semi")
+    return A.extraction(exempt, offers, offers.where("false")).select("module_id", "staff_id", "greedy_id", F.col("rank_shift").cast("long").alias("rank_shift"), F.size("displaced").alias("displaced"))
 
 
 @query("c16_balance_deltas")

@@ -122,6 +122,14 @@ def test_balance_under_several_capacities_equals_one_after_the_other(spark):
     assert sorted(map(tuple, got)) == sorted(each)
 
 
+def test_exempt_modules_need_no_allocation(spark, monkeypatch):
+    from matchloom.plans import catalog
+    from tests.oracle import same
+
+    monkeypatch.setattr(A, "balance", lambda *a, **b: pytest.fail("an allocation is solved"))
+    same(spark, catalog.queries()["c15_exempt"], catalog.oracles()["c15_exempt"])
+
+
 def test_extraction_and_deltas(spark):
     taught = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "module_id long, taught boolean")
     offers = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5), (2, 7, 1, 0.8), (2, 9, 2, 0.7), (3, 7, 1, 0.6), (3, 8, 2, 0.3)], "module_id long, staff_id long, rank long, score double")
