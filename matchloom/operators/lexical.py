@@ -30,19 +30,35 @@ def with_bigrams(t: Column) -> Column:
     return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
 
 
-def terms(df: DataFrame, keys: list[str], text: str, bigrams: bool = True) -> DataFrame:
-    """keys, term, tf."""
+def terms(df: DataFrame, keys: list[str], text: str, bigrams: bool = True, within: DataFrame | None = None) -> DataFrame:
+    """keys, term, tf; within: a bounded vocabulary, whose terms alone are counted."""
     # texts are dealt by id before they become many terms, so counts and norms of an id need no exchange of terms
     found = df.select(*keys, F.col(text).alias("__text")).repartition(keys[0]).select(*keys, tokens(F.col("__text")).alias("t"))
     made = with_bigrams(F.col("t")) if bigrams else F.col("t")
-    return found.select(*keys, F.explode(made).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    each = found.select(*keys, F.explode(made).alias("term"))
+    each = each if within is None else each.join(F.broadcast(within.select("term")), "term", "left_semi")
+    return each.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def counts(df: DataFrame, text: str, bigrams: bool = True) -> DataFrame:
+    """term, df, total of all texts, of which each is one row: combined where texts are read, so only a row a task and term is exchanged."""
+    made = with_bigrams(F.col("t")) if bigrams else F.col("t")
+    ordered = df.select(tokens(F.col(text)).alias("t")).select(F.sort_array(made).alias("term"))
+    # each term beside the one before it: of a text's equal terms the first counts for df
+    beside = ordered.select(F.explode(F.arrays_zip("term", F.array_prepend("term", F.lit(None)).alias("last"))).alias("x")).select("x.term", "x.last").where("term is not null")
+    return beside.groupBy("term").agg(F.count_if(~F.col("term").eqNullSafe(F.col("last"))).alias("df"), F.count("*").alias("total"))
 
 
 def fit(found: DataFrame, ids: DataFrame, group: list[str] | None = None, max_df: float = 0.95, features: int | None = 75_000) -> DataFrame:
     """group, term, idf of the terms that at most max_df of the ids have; of those the `features` most frequent, or all where it is None."""
+    counted = found.groupBy(*(group or []), "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return fit_counts(counted, ids, group, max_df, features)
+
+
+def fit_counts(counts: DataFrame, ids: DataFrame, group: list[str] | None = None, max_df: float = 0.95, features: int | None = 75_000) -> DataFrame:
+    """As `fit`, from term, df, total (of each group)."""
     group = group or []
     n = ids.groupBy(*group).agg(F.count("*").alias("n")) if group else ids.agg(F.count("*").alias("n"))
-    counts = found.groupBy(*group, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     counts = counts.join(F.broadcast(n), group) if group else counts.join(F.broadcast(n), F.lit(True))  # a row a group
     counts = counts.where(F.col("df") <= max_df * F.col("n"))
     w = Window.partitionBy(*group).orderBy(F.desc("total"), "term")

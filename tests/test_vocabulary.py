@@ -25,3 +25,14 @@ def test_fit_without_a_bound(spark):
     found = L.terms(docs, ["id", "field"], "text")
     count = lambda **kw: L.fit(found, docs, ["field"], max_df=1.0, **kw).count()
     assert count(features=1) == 2 and count(features=None) == count() == 6
+
+
+def test_counts_equal_those_of_terms_and_exchange_no_texts(spark):
+    docs = spark.createDataFrame([(1, "Red green red green"), (2, "red  RÉD"), (3, None), (4, "x"), (5, "blue")], "id long, text string")
+    made = L.counts(docs, "text")
+    plain = L.terms(docs, ["id"], "text").groupBy("term").agg(L.F.count("*").alias("df"), L.F.sum("tf").alias("total"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, plain.collect())) and made.where("term = 'red' and df = 2 and total = 4").count() == 1
+    plan = L.fit_counts(made, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan
+    words = spark.createDataFrame([("red",), ("red green",)], "term string")
+    assert sorted(map(tuple, L.terms(docs, ["id"], "text", within=words).collect())) == [(1, "red", 2), (1, "red green", 2), (2, "red", 2)]
