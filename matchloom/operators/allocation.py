@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ from matchloom.session import Scratch
 
 #: Offers that hang together at most: one task solves them.
 MOST_OFFERS = 2_000_000
+#: Offers up to which nothing is taken out before components are solved.
+DIRECT = 100_000
 #: Tasks that components times capacities are dealt to.
 GROUPS = 211
 #: What it costs to go beyond a person's capacity (extra places, cost of each), and to leave a module out.
@@ -26,10 +29,10 @@ def cost(score: float, rank: int) -> int:
     return SCALE - int(round(score * SCALE)) + RANK_COST * rank
 
 
-def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIERS, left_out: int = LEFT_OUT) -> dict[int, int]:
+def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIERS, left_out: int | dict[int, int] = LEFT_OUT) -> dict[int, int]:
     """module -> person of a cheapest assignment; modules that are left out are missing.
 
-    edges: (module, person, cost). Successive shortest paths with potentials, one path a module, each
+    edges: (module, person, cost). left_out: what it costs to leave a module out, or that of each module. Successive shortest paths with potentials, one path a module, each
     search ending where it first reaches the sink. A person's places cost more tier by tier, so their
     convex cost is an order, not a network. Modules and persons are taken in ascending order, which
     settles ties.
@@ -43,6 +46,7 @@ def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIE
     node = {p: first + i for i, p in enumerate(people)}
     offers = [[(node[p], c) for p, c in price[m].items()] for m in modules]
     costs = [dict(o) for o in offers]
+    outs = [left_out[m] for m in modules] if isinstance(left_out, dict) else [left_out] * first
     places = [[0] * capacity.get(p, 0) + [c for n, c in tiers for _ in range(n)] for p in people]
     taken: list[list[int]] = [[] for _ in people]
     chosen, pot = [-1] * first, [0] * (sink + 1)
@@ -61,7 +65,7 @@ def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIE
                 break
             at = d + pot[v]
             if v < first:
-                mine, ways, out = chosen[v], offers[v], left_out
+                mine, ways, out = chosen[v], offers[v], outs[v]
             else:
                 mine, held, all_ = -1, taken[v - first], places[v - first]
                 ways, out = [(m, -costs[m][v]) for m in held], all_[len(held)] if len(held) < len(all_) else None
@@ -118,33 +122,90 @@ def parts(offers: DataFrame) -> DataFrame:
     return found.withColumn("part", F.coalesce("__root", F.col("module_id") * 2)).drop("__root")
 
 
-def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS, capacities: Sequence[int] | None = None) -> DataFrame:
-    """module_id, staff_id, rank, rank_shift of the cheapest allocation of the modules that get somebody.
-
-    offers: module_id, staff_id, rank, score, capacity. Modules that share people are one problem, so a
-    person's capacity counts once: each connected component is solved in one task. What has more than
-    `most` offers is no task's work, and an error tells so (a catalogue by year or campus comes apart).
-    capacities: instead of each person's own, all people have these in turn; the result tells `capacity`,
-    and each component is solved in one task a capacity.
-    """
-    swept = ["capacity"] if capacities else []
+def _solved(priced: DataFrame, tiers, most: int, swept: list[str]) -> DataFrame:
+    """module_id, staff_id (and `swept`) of the modules that get somebody: each component of offers (module_id, staff_id, price, capacity, out) is solved in one task."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        edges = [(int(m), int(s), cost(float(x), int(r))) for m, s, x, r in zip(frame["module_id"], frame["staff_id"], frame["score"], frame["rank"])]
+        edges = [(int(m), int(s), int(c)) for m, s, c in zip(frame["module_id"], frame["staff_id"], frame["price"])]
         capacity = {int(s): int(c) for s, c in zip(frame["staff_id"], frame["capacity"])}
-        found = solve(edges, capacity, tiers)
+        found = solve(edges, capacity, tiers, {int(m): int(c) for m, c in zip(frame["module_id"], frame["out"])})
         out = pd.DataFrame({"module_id": list(found), "staff_id": list(found.values())}, dtype="int64")
         return out.assign(capacity=int(frame["capacity"].iloc[0])) if swept else out
 
-    marked = parts(offers)
-    largest = marked.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    marked = parts(priced)
+    largest = marked.groupBy("part", *swept).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     if largest > most:
         raise ValueError(f"{largest} offers hang together, {most} are allowed")
     if swept:
-        marked = marked.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))
-        marked = marked.repartition(GROUPS, "part", "capacity")  # by number, or the few groups would be put together in one task
-    chosen = marked.groupBy("part", *swept).applyInPandas(run, "module_id long, staff_id long" + ", capacity int" * len(swept))
-    ranks = offers.select("module_id", "staff_id", "rank")
+        marked = marked.repartition(GROUPS, "part", *swept)  # by number, or the few groups would be put together in one task
+    return marked.groupBy("part", *swept).applyInPandas(run, "module_id long, staff_id long" + ", capacity int" * len(swept))
+
+
+def _reduced(priced: DataFrame, tiers, most: int, left_out: int = LEFT_OUT) -> DataFrame:
+    """module_id, staff_id of a cheapest allocation, of which only what capacities decide is solved.
+
+    Somebody whose load ends within one tier takes one module more or less at that tier's price, so the
+    costs of such people are taken to be that price times their load, which is nowhere more than what they
+    really cost: modules of theirs choose by price alone, and such a person binds no two modules. What is
+    left are the others' offers, each module with the price of its best offer elsewhere. Whoever doesn't
+    keep within the tier after all joins the others, until nobody does; then the cheapest allocation
+    under the lower costs costs as much under the real ones, and none is cheaper.
+    """
+    scratch = Scratch(priced.sparkSession)
+    load = lambda chosen: chosen.where("staff_id is not null").groupBy("staff_id").agg(F.count("*").alias("load"))
+    prices = [0, *[c for _, c in tiers]]
+    most_of = [F.col("capacity") + sum(n for n, _ in tiers[:i]) for i in range(len(prices))]
+    loaded = F.coalesce("load", F.lit(0))
+    within = [loaded.between(F.lit(0) if i == 0 else most_of[i - 1], most_of[i]) for i in range(len(prices))]
+
+    people = scratch.keep(priced.groupBy("staff_id").agg(F.max("capacity").alias("capacity")), "people")
+    first = priced.groupBy("module_id").agg(F.min(F.struct("price", "staff_id")).alias("x")).select("module_id", "x.staff_id")
+    met = scratch.keep(people.join(load(first), "staff_id", "left"), "loads")
+    fits = met.agg(*[F.count_if(w) for w in within]).first()  # the tier that most people's loads are in
+    tier = max(range(len(prices)), key=lambda i: fits[i])
+    price, within = prices[tier], within[tier]
+    others = scratch.keep(met.where(~within).select("staff_id"), "others")
+    while True:
+        marked = priced.join(others.withColumn("__other", F.lit(True)), "staff_id", "left")
+        offer = F.struct("price", "staff_id", "capacity")
+        per = marked.groupBy("module_id").agg(F.min(F.when(F.col("__other").isNull(), offer)).alias("free"), F.collect_list(F.when(F.col("__other"), offer)).alias("held"))
+        out = F.least(F.col("free.price") + price, F.lit(left_out).cast("long"))
+        # an offer that costs as much as the best one elsewhere is in no cheaper allocation, as places cost nothing at least
+        per = per.withColumn("out", out).withColumn("held", F.filter("held", lambda x: x["price"] < F.col("out")))
+        per = scratch.keep(per.select("module_id", "out", "held", F.when(F.col("free.price") + price <= left_out, F.col("free.staff_id")).alias("stand")), "modules")
+        bound = per.select("module_id", "out", F.explode("held").alias("x")).select("module_id", "out", "x.*")
+        given = _solved(bound, tiers, most, []).withColumnRenamed("staff_id", "given")
+        chosen = scratch.keep(per.join(given, "module_id", "left").select("module_id", F.coalesce("given", "stand").alias("staff_id")), "chosen")
+        more = people.join(load(chosen), "staff_id", "left").join(others, "staff_id", "left_anti").where(~within).select("staff_id")
+        more = scratch.keep(more, "more")
+        if more.isEmpty():
+            return chosen.where("staff_id is not null")
+        others = others.union(more)
+
+
+def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS, capacities: Sequence[int] | None = None, direct: int = DIRECT) -> DataFrame:
+    """module_id, staff_id, rank, rank_shift of the cheapest allocation of the modules that get somebody.
+
+    offers: module_id, staff_id, rank, score, capacity. Modules that share people are one problem, so a
+    person's capacity counts once: each connected component is solved in one task. Of more than `direct`
+    offers only those are solved that hang together by people whose load isn't within one tier. What then
+    has more than `most` offers is no task's work, and an error tells so.
+    capacities: instead of each person's own, all people have these in turn; the result tells `capacity`,
+    and each component is solved in one task a capacity.
+    """
+    scratch = Scratch(offers.sparkSession)
+    swept = ["capacity"] if capacities else []
+    price = F.lit(SCALE) - F.rint(F.col("score") * SCALE).cast("long") + F.lit(RANK_COST) * F.col("rank")
+    priced = scratch.keep(offers.select("module_id", "staff_id", "rank", "capacity", price.cast("long").alias("price"), F.lit(LEFT_OUT).cast("long").alias("out")), "offers")
+    ranks = priced.select("module_id", "staff_id", "rank")
+    if priced.count() > direct:
+        of = lambda c: priced.withColumn("capacity", F.lit(c))
+        each = [_reduced(of(c), tiers, most).withColumn("capacity", F.lit(c)) for c in capacities] if swept else [_reduced(priced, tiers, most)]
+        chosen = reduce(DataFrame.unionByName, each)
+    else:
+        if swept:
+            priced = priced.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))
+        chosen = scratch.keep(_solved(priced, tiers, most, swept), "chosen")
     return chosen.join(ranks, ["module_id", "staff_id"]).withColumn("rank_shift", F.col("rank") - 1)
 
 

@@ -122,6 +122,28 @@ def test_balance_under_several_capacities_equals_one_after_the_other(spark):
     assert sorted(map(tuple, got)) == sorted(each)
 
 
+def test_what_capacities_do_not_decide_is_not_solved(spark):
+    r = random.Random(5)
+    for tiers, busy in ((A.TIERS, 60), (((1, 20), (2, 2_000)), 25)):
+        rows = [(m, s, k + 1, round(r.random(), 3), s % 3) for m in range(busy * 3) for k, s in enumerate(r.sample(range(20), 4))]
+        offers = spark.createDataFrame(rows, "module_id long, staff_id long, rank long, score double, capacity int")
+        edges, cap = [(m, s, A.cost(x, k)) for m, s, k, x, _ in rows], {s: s % 3 for s in range(20)}
+        got = {x["module_id"]: x["staff_id"] for x in A.balance(offers, tiers, direct=0).collect()}
+        assert A.objective(got, edges, cap, tiers) == A.objective(A.solve(edges, cap, tiers), edges, cap, tiers)
+
+
+def test_more_offers_than_a_task_is_given_are_allocated(spark):
+    # everybody but two people ends within one tier, so of 400 offers that hang together only those two people's are solved
+    rows = [(m, s, k + 1, 0.9 - 0.1 * k, 1) for m in range(200) for k, s in enumerate(((m % 40), (m + 1) % 40))]
+    rows += [(200 + i, s, 1, 0.9, 1) for i in range(20) for s in (i % 2,)]
+    offers = spark.createDataFrame(rows, "module_id long, staff_id long, rank long, score double, capacity int")
+    edges, cap = [(m, s, A.cost(x, k)) for m, s, k, x, _ in rows], {s: 1 for s in range(40)}
+    for capacities in (None, (2,)):
+        got = {x["module_id"]: x["staff_id"] for x in A.balance(offers, most=100, capacities=capacities, direct=0).collect()}
+        c = {s: capacities[0] if capacities else 1 for s in cap}
+        assert A.objective(got, edges, c) == A.objective(A.solve(edges, c), edges, c)
+
+
 def test_exempt_modules_need_no_allocation(spark, monkeypatch):
     from matchloom.plans import catalog
     from tests.oracle import same
