@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 MOST_CATEGORIES = 1_000
 
 
+def marked(rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """rows (query, item) with `known`: true where the truth has the pair."""
+    return rows.join(truth.select("query", "item").distinct().withColumn("known", F.lit(True)), ["query", "item"], "left")
+
+
+def relevance(own: float = 0.30) -> Column:
+    """2 of a marked row that the truth has, 1 if its own score reaches `own`, else 0."""
+    return F.when(F.col("known"), 2).when(F.col("score") >= own, 1).otherwise(0)
+
+
 def graded(ranked: DataFrame, truth: DataFrame, own: float = 0.30) -> DataFrame:
     """rel of each ranked row (query, item, rank, score): 2 if the truth has it, 1 if its own score reaches `own`, else 0."""
-    known = truth.select("query", "item").distinct().withColumn("__hit", F.lit(True))
-    found = ranked.join(known, ["query", "item"], "left")
-    return found.withColumn("rel", F.when(F.col("__hit"), 2).when(F.col("score") >= own, 1).otherwise(0)).drop("__hit")
+    return marked(ranked, truth).withColumn("rel", relevance(own)).drop("known")
 
 
 def metrics(rel: DataFrame, k: int = 5, threshold: int = 1) -> DataFrame:

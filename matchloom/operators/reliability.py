@@ -8,12 +8,12 @@ window. Only sums a group reach the test itself.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators import evaluation as E
@@ -199,6 +199,7 @@ def compare(df: DataFrame, group: list[str], a: str, b: str, alpha: float = 0.05
     """
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     counted = both.groupBy(*group, F.round(F.col(b) - F.col(a), 12).alias("d")).agg(F.count("*").alias("k"), F.sum(a).alias("total"))
+    counted, _ = materialise(df.sparkSession, counted, "counted")  # read three times, and whatever made df would be done as often
     means = counted.groupBy(*group).agg(F.sum("k").alias("n"), F.sum(F.col("d") * F.col("k")).alias("total_d"), F.sum("total").alias("total_a"), F.sum(F.when(F.col("d") != 0, F.col("k")).otherwise(0)).alias("nonzero"))
     same = [F.col(f"x.{g}").eqNullSafe(F.col(f"m.{g}")) for g in group]
     weigh = F.pandas_udf(_weighed, "double")
@@ -245,6 +246,24 @@ METRICS = ("ndcg_at_5", "precision_at_1_strict", "precision_at_5_strict", "mrr_s
 PAIRS = (("M0", "M1"), ("M0", "M2"), ("M1", "M2"), ("M2", "M3"), ("M3", "M4"), ("M4", "M5"), ("M0", "M5"))
 
 
+def tops(scored: DataFrame, models: Mapping[str, str], k: int = 5) -> DataFrame:
+    """model, query, item, score, rank of the first k items of a query by each model's expression, equal scores by item; other columns stay.
+
+    scored: query, item and what the expressions need. Rows are dealt by query once and ordered for each
+    model within the query's list; only the first k are repeated a model.
+    """
+    kept = [c for c in scored.columns if c not in ("query", "score", "rank", "model")]
+    rows = scored.select("query", *kept, *[F.round(F.expr(x), 9).alias(f"__{m}") for m, x in models.items()])
+    lists = rows.groupBy("query").agg(F.collect_list(F.struct(*kept, *[f"__{m}" for m in models])).alias("all"))
+
+    def first(m: str) -> Column:
+        # as a falling order of rows: no number first, what is null last
+        keyed = F.transform("all", lambda x: F.struct(x[f"__{m}"].isNull().alias("none"), (~F.isnan(x[f"__{m}"])).alias("some"), (-x[f"__{m}"]).alias("down"), x["item"].alias("by"), x.alias("x")))
+        return F.transform(F.slice(F.sort_array(keyed), 1, k), lambda y, i: F.struct(F.lit(m).alias("model"), *[y["x"][c].alias(c) for c in kept], y["x"][f"__{m}"].alias("score"), (i + 1).alias("rank")))
+
+    return lists.select("query", F.explode(F.flatten(F.array(*[first(m) for m in models]))).alias("__x")).select("query", "__x.*")
+
+
 def battery(rel: DataFrame, k: int = 5) -> DataFrame:
     """model, query and the metrics of METRICS, to six digits, of rows (model, query, rank, rel); strict ones count rel = 2."""
     w = Window.partitionBy("model", "query")

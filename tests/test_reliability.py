@@ -112,3 +112,31 @@ def test_benchmark_has_all_pairs_and_metrics(spark):
     assert {(x["model_a"], x["model_b"], x["metric"]) for x in rows} == {(a, b, m) for a, b in R.PAIRS for m in R.METRICS} and len(rows) == 35
     ends = catalog.queries()["v5_bootstrap"](spark, SF).collect()
     assert len(ends) == 30 and all(x["lower"] <= x["mean"] <= x["upper"] for x in ends)
+
+
+def test_tops_equal_a_ranking_of_each_model(spark):
+    r = random.Random(6)
+    rows = [(q, i, r.randint(0, 3) / 3, r.randint(0, 3) / 3) for q in range(20) for i in range(r.randint(1, 9))] + [(0, 20, None, 0.1)]
+    models = {"A": "score", "B": "core", "C": "0.5 * core + 0.5 * score"}
+    scored = spark.createDataFrame(rows, "query long, item long, score double, core double")
+    got = {(x["model"], x["query"], x["rank"], x["item"], x["score"]) for x in R.tops(scored, models, 3).collect()}
+    rows.pop()
+    want = set()
+    for m, of in (("A", lambda x: x[2]), ("B", lambda x: x[3]), ("C", lambda x: 0.5 * x[3] + 0.5 * x[2])):
+        for q in range(20):
+            first = sorted((-round(of(x), 9), x[1]) for x in rows + [(0, 20, -9.0, 0.1 if m == "B" else -9.0)] if x[0] == q)[:3]
+            want |= {(m, q, k + 1, i, None if s == 9.0 else -s) for k, (s, i) in enumerate(first)}
+    assert got == want
+
+
+def test_what_is_compared_is_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    df = spark.range(40).select(F.lit("g").alias("g"), (F.col("id") / 7).alias("a"), (F.col("id") % 5 / 3).alias("b"))
+    R.compare(df.mapInPandas(told, "g string, a double, b double"), ["g"], "a", "b").collect()
+    assert seen.value == 40
