@@ -163,12 +163,17 @@ def alike_staff(modules: DataFrame, staff: DataFrame, least: float = 55.0, most:
     """module_id, staff_id, department, similarity, rank: staff whose department is named like one of the module's, by (similarity, department, name).
 
     modules: module_id, label (a row each label); staff: staff_id, full_name, department. Distinct labels are
-    compared once. `most` departments a label are enough for `most` people of a module, as each has someone.
+    compared once, and modules with the same labels have the same people, who are found once. `most`
+    departments a label are enough for `most` people, as each has someone; of a set's departments only those
+    meet their people that come before `most` others, so no more than twice `most` people are met.
     """
     named = staff.where(F.trim(F.coalesce("department", F.lit(""))) != "")
     pairs = alike(modules, named.select(F.col("department").alias("label")), least, most).select(F.col("a").alias("label"), F.col("b").alias("department"), "ratio")
-    units = modules.select("module_id", "label").distinct().join(pairs, "label").groupBy("module_id", "department").agg(F.max("ratio").alias("similarity"))
+    labelled = modules.groupBy("module_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    sets = labelled.select("labels").distinct()
+    units = sets.select("labels", F.explode("labels").alias("label")).join(pairs, "label").groupBy("labels", "department").agg(F.max("ratio").alias("similarity"))
     people = named.withColumn("__k", F.row_number().over(Window.partitionBy("department").orderBy("full_name", "staff_id"))).where(F.col("__k") <= most)
-    w = Window.partitionBy("module_id").orderBy(F.desc("similarity"), "department", "full_name", "staff_id")
-    found = units.join(people, "department").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    return found.select("module_id", "staff_id", "department", "similarity", "rank")
+    w = Window.partitionBy("labels").orderBy(F.desc("similarity"), "department").rowsBetween(Window.unboundedPreceding, -1)
+    sized = units.join(people.groupBy("department").agg(F.count("*").alias("__n")), "department").withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    found = sized.where(F.col("__before") < most).join(people, "department").withColumn("rank", (F.col("__before") + F.col("__k")).cast("int")).where(F.col("rank") <= most)
+    return labelled.join(found, "labels").select("module_id", "staff_id", "department", "similarity", "rank")

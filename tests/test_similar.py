@@ -68,3 +68,18 @@ def test_query_equals_all_pairs(spark):
     asked = {f"{r['p_name']} {r['p_type'].lower()}" for r in parts}
     others = {f"the {r['p_name']} {r['p_brand'].lower()} unit" for r in parts}
     assert {tuple(r) for r in catalog.queries()["j9_alike_labels"](spark, SF).collect()} == all_pairs(asked, others, 55.0, 30)
+
+
+def test_modules_of_the_same_labels_are_ranked_once(spark):
+    r = random.Random(9)
+    departments = [f"department of {w}" for w in ("law", "lawn", "laws", "claw", "flaws")]
+    people = [(i, f"n{r.randint(0, 9)}", r.choice(departments)) for i in range(40)]
+    modules = [(m, x) for m in range(30) for x in (("school of law", "claws"), ("school of flaws",))[m % 2] for _ in range(2)]
+    got = similar.alike_staff(spark.createDataFrame(modules, "module_id long, label string"), spark.createDataFrame(people, "staff_id long, full_name string, department string"), 40.0, 12)
+    assert "windowspecdefinition(module_id" not in got._jdf.queryExecution().toString()
+    want = set()
+    for m in range(30):
+        mine = {x for k, x in modules if k == m}
+        each = sorted((-max(similar.ratio(x, d) for x in mine), d, n, i) for i, n, d in people if max(similar.ratio(x, d) for x in mine) >= 40)
+        want |= {(m, i, d, -s, k + 1) for k, (s, d, n, i) in enumerate(each[:12])}
+    assert {tuple(x) for x in got.collect()} == want
