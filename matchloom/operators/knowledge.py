@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import collapse
 from matchloom.operators.topics import node_id
+from matchloom.session import materialise
 
 MODULE = "module_id string, module_code string, module_title string, departments array<string>, colleges array<string>, topics array<struct<topic:string,score:int>>"
 STAFF = "staff_id string, full_name string, position string, department_name string, college_name string, profile_url string, topics array<struct<topic:string,score:int>>"
+#: Records in a file at most.
+DEALT = 5_000
 ATTRIBUTES = ("label", "college_name", "department_name", "topic_name", "module_id", "module_code", "module_title", "staff_id", "full_name", "position", "profile_url")
 
 
@@ -83,6 +86,11 @@ def upsert_edges(told: DataFrame) -> DataFrame:
 
 
 def build(modules: DataFrame, staff: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, node_type and ATTRIBUTES; edges: source, target, edge_type, topic_score)."""
+    """(nodes: id, node_type and ATTRIBUTES; edges: source, target, edge_type, topic_score).
+
+    Records are laid out as facts several times and sorted there by node, so they are written once, in files so
+    small that a task's facts don't grow with the tables.
+    """
+    modules, staff = (materialise(df.sparkSession, df, name, DEALT)[0] for df, name in ((modules, "modules"), (staff, "staff")))
     nodes, edges = facts(modules, staff, order)
     return upsert_nodes(nodes), upsert_edges(edges)

@@ -58,14 +58,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(spark: SparkSession, df, name: str):
+def materialise(spark: SparkSession, df, name: str, rows: int = 0):
     """Write df in the shared folder and read it back: cuts the lineage, survives lost executors.
 
+    rows: a file's rows at most (0: no such bound). A reading task takes some 30 files at most, as Spark counts the opening of each for 4 MB.
+
     In local mode without spark.checkpoint.dir the folder is a temporary one of this machine.
     """
     path = scratch(spark, name)
     MADE.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -62,3 +62,11 @@ def test_upsert_equals_a_loop(spark):
     assert len({x["node_type"] for x in got.values()}) == 5 and len({k[2] for k in want_edges}) == 5
     none = K.build(mods.limit(0), people.limit(0))
     assert none[0].count() == 0 and none[1].count() == 0
+
+
+def test_records_are_dealt_in_small_files(spark, monkeypatch):
+    monkeypatch.setattr(K, "DEALT", 5)
+    modules = spark.range(0, 40, 1, 1).selectExpr("id as ord", "string(id) as module_id", "'a' as module_code", "'t' as module_title", "array('law') as departments", "array('arts') as colleges", "array(struct('x' as topic, 1 as score)) as topics")
+    staff = spark.range(0, 10, 1, 1).selectExpr("id as ord", "string(id) as staff_id", "'n' as full_name", "'Reader' as position", "'law' as department_name", "'arts' as college_name", "'' as profile_url", "array(struct('x' as topic, 1 as score)) as topics")
+    nodes, edges = K.build(modules, staff)
+    assert len(nodes.inputFiles()) == 8 + 2 and nodes.count() == 40 + 10 + 3 and edges.count() == 80 + 1 + 20
