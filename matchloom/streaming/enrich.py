@@ -28,9 +28,11 @@ def enriched(records: DataFrame, work: Callable[[dict], tuple[str, str]], order:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempt = state.get if state.exists else ("", 0)
-        out = []
-        rows = pd.concat(list(frames)) if status not in final else pd.DataFrame()  # the rows of one record
-        for row in rows.sort_values(order).to_dict("records") if len(rows) else ():
+        if status in final:  # most calls of a long stream: nothing is laid out for them
+            return
+        out, rows = [], list(frames)  # the rows of one record
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+        for row in (rows.sort_values(order) if len(rows) > 1 else rows).to_dict("records"):
             if status in final:
                 break
             attempt += 1
@@ -41,7 +43,7 @@ def enriched(records: DataFrame, work: Callable[[dict], tuple[str, str]], order:
             out.append((key[0], status, attempt, body))
         if out:
             state.update((status, attempt))
-        yield pd.DataFrame(out, columns=["publication_id", "status", "attempt", "body"])
+            yield pd.DataFrame(out, columns=["publication_id", "status", "attempt", "body"])
 
     return records.where("publication_id is not null").groupBy("publication_id").applyInPandasWithState(run, _OUTCOME, "status string, attempts int", "append", GroupStateTimeout.NoTimeout)
 
