@@ -37,3 +37,14 @@ def test_pairs_come_from_the_first_list_that_they_share(spark):
     pairs = {tuple(r) for r in every.collect()}
     assert pairs and {tuple(r) for r in first.collect()} == pairs
     assert first.count() < every.count() / 2
+
+
+def test_components_stand_in_in_each_of_their_lists(spark):
+    """Two pairs of lone nodes in two lists: the second is looked at nowhere else, so that one pair of nodes for two components loses it."""
+    ready(spark)
+    join = object.__new__(minhash._Collisions)
+    join.spark, join.scratch, join.percent = spark, Scratch(spark), 80
+    left = spark.createDataFrame([(10, 1, 1), (10, 3, 3), (11, 2, 1), (11, 4, 3)], "key long, node long, comp long")
+    left = left.withColumns({"size": F.lit(100), "at": F.lit(0), "moved": F.lit(True)})
+    join.sketches = spark.range(1, 5).select(F.col("id").alias("node"), *[F.lit(0).cast("long").alias(f"p{i}") for i in range(join.sketch_words)])
+    assert {(r["a"], r["b"]) for r in join.stand_ins(left).collect()} == {(3, 1), (4, 2)}
