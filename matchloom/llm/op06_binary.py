@@ -28,6 +28,8 @@ from matchloom.session import Scratch, release, scratch
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
+#: Bytes of ids in a column of a batch, whose offsets have 32 bits.
+MOST_BYTES = 1 << 30
 
 _ENCODED = "d long, n long, ids binary, counts binary"
 _CODED = "part int, block int, first long, doc_ids array<long>, lens array<long>, n long, control binary, data binary"
@@ -43,7 +45,10 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = more
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= more[:, None]]
+    most = int(more.max(initial=0)) + 1
+    width = 4 if most == 3 else most
+    raw = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    data = raw[np.arange(width, dtype=np.uint8) <= more[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -59,6 +64,17 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _within(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows that hold `most` bytes at most, or are one row."""
+    out, at, held = [], 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > at and held + size > most:
+            out.append((at, k))
+            at, held = k, 0
+        held += size
+    return [*out, (at, len(sizes))] if len(sizes) else out
+
+
 def _encode(path: str, end_id: int):
     """d, text -> d, number of ids, packed ids; then the task's counts of ids."""
 
@@ -73,10 +89,13 @@ def _encode(path: str, end_id: int):
                 if len(counts) > len(total):
                     total, counts = counts, total
                 total[: len(counts)] += counts
-            ends, width = np.cumsum(n), 2 if not len(flat) or flat.max() < 1 << 16 else 4
-            raw = flat.astype(f"<u{width}").tobytes()
-            packed = [raw[width * (e - k) : width * e] for e, k in zip(ends.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.binary())], names=["d", "n", "ids", "counts"])
+            width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
+            for at, to in _within(width * n, MOST_BYTES):
+                ends = np.cumsum(n[:to])
+                ends = np.concatenate([[0], ends])[at:]
+                raw = flat[ends[0] : ends[-1]].astype(f"<u{width}")
+                packed = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((width * (ends - ends[0])).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:to], pa.array(n[at:to]), packed, pa.nulls(to - at, pa.binary())], names=["d", "n", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["d", "n", "ids", "counts"])
 
     return run

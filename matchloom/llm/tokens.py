@@ -49,7 +49,7 @@ class _Table(dict):
     def __missing__(self, key):
         if key == "" or key[-1].isspace():
             raise _Unsafe
-        value = self.make(" " + key)
+        value = self.make(key)
         if len(self) < KEPT_PARTS:
             self[key] = value
         return value
@@ -67,7 +67,7 @@ class ByteLevel:
         self.tokens: dict[str, bytes] = {}
         self.names = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         self.space = letters[32]
-        self.parts = _Table(self._part)
+        self.parts = _Table(self._after_space)
 
     def _token(self, mapped: str) -> bytes:
         got = self.tokens.get(mapped)
@@ -81,6 +81,16 @@ class ByteLevel:
         """A pre-token."""
         return self._token(word.encode().decode("latin-1").translate(self.letters))
 
+    def _after_space(self, core: str) -> bytes:
+        """The part of a space and what follows: words of ASCII letters, and their ends, go the short way."""
+        if core.isascii():
+            if core.isalpha():
+                return b"".join([self.names[t.id] for t in self.model.tokenize(self.space + core)])
+            stem = core.rstrip(_TAIL)
+            if stem.isalpha():
+                return self.parts[stem] + self._token(core[len(stem) :])
+        return self._part(" " + core)
+
     def _part(self, part: str) -> bytes:
         core = part[1:] if part[:1] == " " else part
         if core.isascii() and core is not part:
