@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import no_clash
+from matchloom.session import Scratch
 
 #: Documents that are learned from at most, and windows.
 LABELLED, WINDOWS = 20_000, 6_000
@@ -101,16 +102,13 @@ def labelled_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(base + [x for x in more if all(x[2] <= a or e <= x[0] for a, _, e in base)])
 
 
+#: Symbols of ASCII characters (3: any other), and 4 for all that isn't ASCII.
+_SYMBOLS = np.array([0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 6 + _SIGNS.index(chr(c)) if chr(c) in _SIGNS else 3 for c in range(128)] + [4])
+
+
 def symbols(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    out = np.full(len(c), 3, np.int64)  # other ASCII
-    out[c >= 128] = 4
-    out[(c >= 97) & (c <= 122)] = 0
-    out[(c >= 65) & (c <= 90)] = 1
-    out[(c >= 48) & (c <= 57)] = 2
-    for k, s in enumerate(_SIGNS):
-        out[c == ord(s)] = 6 + k
-    return out
+    return _SYMBOLS[np.minimum(c, 128)]
 
 
 def _gate(z):
@@ -178,6 +176,38 @@ class Tagger:
         both = np.concatenate([hf, hb], 2).transpose(1, 0, 2) if keep else None
         return emit.reshape(*turned.shape, -1).transpose(1, 0, 2), both, (kf, kb)
 
+    def emitted(self, ids, width):
+        """(time, tags, batch) for ids (batch, time): emissions() of the first `width` places of each window, widest window first, without what learning needs.
+
+        Windows lie side by side, so that each step works on whole rows of memory; what gates are scaled by is in their weights.
+        """
+        turned = np.ascontiguousarray(ids.T)
+        (t, n), size = turned.shape, self.p["hf"].shape[0]
+        scale = np.repeat(np.array([0.2, 1], np.float32), [3 * size, size])
+        shift = np.repeat(np.array([0.5, 0], np.float32), [3 * size, size])
+        total = np.broadcast_to(self.p["bias"][:, None], (t, self.TAGS, n)).copy()
+        wide = np.searchsorted(-np.asarray(width), -np.arange(t)).tolist()  # windows that have a place k
+        for d, out in (("f", self.p["out"][:size]), ("b", self.p["out"][size:])):
+            x = np.ascontiguousarray(((self.p[f"x{d}"] + self.p[f"g{d}"]) * scale + shift).T)
+            w = np.ascontiguousarray(np.concatenate([self.p[f"h{d}"] * scale, out], 1).T)
+            states, told, z, step = np.zeros((2, size, n), np.float32), np.zeros((4 * size + self.TAGS, n), np.float32), np.empty(4 * size * n, np.float32), np.empty((size, n), np.float32)
+            for k in range(t) if d == "f" else range(t - 1, -1, -1):
+                m = wide[k]  # the others are at their end, or begin later
+                (h, c), said, fed, new = states[:, :, :m], told[:, :m], z[: 4 * size * m].reshape(-1, m), step[:, :m]
+                np.take(x, turned[k, :m], axis=1, out=fed, mode="clip")
+                fed += said[: 4 * size]
+                gates, u = fed[: 3 * size], fed[3 * size :]
+                np.clip(gates, 0, 1, out=gates)
+                np.clip(u, -1, 1, out=u)
+                c *= gates[size : 2 * size]
+                np.multiply(gates[:size], u, out=new)
+                c += new
+                np.clip(c, -1, 1, out=new)
+                np.multiply(gates[2 * size :], new, out=h)
+                np.matmul(w, h, out=said)  # for the next step, and this one's tags
+                total[k, :, :m] += said[4 * size :]
+        return total
+
     def marginals(self, emit):
         """(P of each tag at each place, expected pairs, log of the sum over paths)."""
         n, t, tags = emit.shape
@@ -299,21 +329,17 @@ def text_emissions(texts: list[str], tagger: Tagger):
     cut = [ids[d][at : at + WINDOW] for d, at in places]
     width = np.array([-(-len(x) // 32) * 32 for x in cut], np.int64)
     found: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for w in np.unique(width).tolist():
-        mine = np.flatnonzero(width == w)
-        for k in range(0, len(mine), 1024):
-            part = mine[k : k + 1024]
-            block = np.full((len(part), w), 5)
-            for r, i in enumerate(part.tolist()):
-                block[r, : len(cut[i])] = cut[i]
-            emit, _, _ = tagger.emissions(block)
-            live = emit[:, :, 1] > emit[:, :, 0] + need
-            for k2 in range(2, Tagger.TAGS):
-                live |= emit[:, :, k2] > emit[:, :, 0] + need
-            live &= block != 5
-            for r in np.flatnonzero(live.any(1)).tolist():
-                d, at = places[part[r]]
-                found.setdefault(d, []).append((at, emit[r, : len(cut[part[r]])]))
+    order = np.argsort(-width, kind="stable")
+    for part in np.array_split(order, -(-len(order) // 1024)) if len(order) else []:
+        block = np.full((len(part), int(width[part[0]])), 5)
+        for r, i in enumerate(part.tolist()):
+            block[r, : len(cut[i])] = cut[i]
+        emit = tagger.emitted(block, width[part])
+        live = emit[:, 1:].max(1) > emit[:, 0] + need
+        live &= block.T != 5
+        for r in np.flatnonzero(live.any(0)).tolist():
+            d, at = places[part[r]]
+            found.setdefault(d, []).append((at, emit[: len(cut[part[r]]), :, r].copy()))
     for d, parts in found.items():
         parts.sort(key=lambda x: x[0])
         runs: list[list[tuple[int, np.ndarray]]] = []
@@ -433,13 +459,15 @@ def examples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit:
     """Windows to learn from, with their spans."""
     chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)  # 8 bytes a row
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("__id")).select(F.xxhash64("__id").alias("k"), "t")
-    told = rows.mapInArrow(_examples, "key long, share int, piece string, marks array<long>")
+    scratch = Scratch(docs.sparkSession)
+    told = scratch.keep(rows.mapInArrow(_examples, "key long, share int, piece string, marks array<long>"), "examples")  # of `limit` documents at most
     place = F.xxhash64("key", "piece")
     found = []
     for share in range(3):
         for row in told.where(F.col("share") == share).orderBy(place, "key", "piece").limit(windows // 3).collect():
             m = row["marks"]
             found.append((row["piece"], [tuple(m[i : i + 3]) for i in range(0, len(m), 3)]))
+    scratch.clear()
     return found
 
 
