@@ -48,3 +48,24 @@ def test_components_stand_in_in_each_of_their_lists(spark):
     left = left.withColumns({"size": F.lit(100), "at": F.lit(0), "moved": F.lit(True)})
     join.sketches = spark.range(1, 5).select(F.col("id").alias("node"), *[F.lit(0).cast("long").alias(f"p{i}") for i in range(join.sketch_words)])
     assert {(r["a"], r["b"]) for r in join.stand_ins(left).collect()} == {(3, 1), (4, 2)}
+
+
+def test_small_tables_go_in_few_tasks(spark):
+    """A stage's tasks each leave files of their own, so that many for few rows take disk by themselves."""
+    import glob
+
+    from matchloom.operators.components import components
+    from matchloom.session import tasks
+
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        scratch = Scratch(ready(spark))
+        found = components(spark.range(3000).selectExpr("id as a", "id - id % 10 as b"), scratch)
+        assert {r["root"] for r in found.collect()} == set(range(0, 3000, 10)) and found.count() == 2700
+        assert len(glob.glob(f"{scratch.paths[-1].removeprefix('file://')}/*.parquet")) <= tasks(spark, 2700) < 97
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
