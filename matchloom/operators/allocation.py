@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.components import components
@@ -16,8 +17,8 @@ from matchloom.session import Scratch
 
 #: Offers that hang together at most: one task solves them.
 MOST_OFFERS = 2_000_000
-#: Offers up to which nothing is taken out before components are solved.
-DIRECT = 100_000
+#: Offers up to which one task solves all (some 400 MB).
+DIRECT = 500_000
 #: Tasks that components times capacities are dealt to.
 GROUPS = 211
 #: What it costs to go beyond a person's capacity (extra places, cost of each), and to leave a module out.
@@ -32,68 +33,105 @@ def cost(score: float, rank: int) -> int:
 def solve(edges: list[tuple[int, int, int]], capacity: dict[int, int], tiers=TIERS, left_out: int | dict[int, int] = LEFT_OUT) -> dict[int, int]:
     """module -> person of a cheapest assignment; modules that are left out are missing.
 
-    edges: (module, person, cost). left_out: what it costs to leave a module out, or that of each module. Successive shortest paths with potentials, one path a module, each
-    search ending where it first reaches the sink. A person's places cost more tier by tier, so their
-    convex cost is an order, not a network. Modules and persons are taken in ascending order, which
-    settles ties.
+    edges: (module, person, cost). left_out: what it costs to leave a module out, or that of each module. Everybody starts with the
+    price of the tier that suits most loads, and modules choose by cost and price. Then each person with more modules than places taken,
+    or fewer, is evened out by shortest paths of modules between people, under prices that stay exact: a path a place that is off, not a path a module.
+    A person's places cost more tier by tier, so their convex cost is an order, not a network. Modules and
+    persons are taken in ascending order, which settles ties.
     """
     price: dict[int, dict[int, int]] = {}
     for m, p, c in sorted(edges):
         price.setdefault(m, {})[p] = c
     modules, people = list(price), sorted({p for _, p, _ in edges})
-    # nodes are numbers: modules, then people, then the sink, each in ascending order; the sink's potential stays 0
-    first, sink = len(modules), len(modules) + len(people)
-    node = {p: first + i for i, p in enumerate(people)}
+    node = {p: i for i, p in enumerate(people)}
     offers = [[(node[p], c) for p, c in price[m].items()] for m in modules]
     costs = [dict(o) for o in offers]
-    outs = [left_out[m] for m in modules] if isinstance(left_out, dict) else [left_out] * first
+    outs = [left_out[m] for m in modules] if isinstance(left_out, dict) else [left_out] * len(modules)
     places = [[0] * capacity.get(p, 0) + [c for n, c in tiers for _ in range(n)] for p in people]
-    taken: list[list[int]] = [[] for _ in people]
-    chosen, pot = [-1] * first, [0] * (sink + 1)
+    asked: list[list[tuple[int, int]]] = [[] for _ in people]
+    liked, loads = [], [0] * len(people)
+    for m, o in enumerate(offers):
+        for p, c in o:
+            asked[p].append((m, c))
+        c, p = min((c, p) for p, c in o)
+        liked.append((p, c))
+        loads[p] += 1
+    # places cheaper than a person's price are taken, dearer ones are not
+    off = lambda x: sum(max(bisect_left(all_, x) - n, n - bisect_right(all_, x), 0) for all_, n in zip(places, loads))
+    tier = min((0, *[c for _, c in tiers]), key=off)
+    prices = [tier] * len(people)
+    chosen = [p if c + tier <= out else -1 for (p, c), out in zip(liked, outs)]
+    held: list[dict[int, None]] = [{} for _ in people]
+    for m, p in enumerate(chosen):
+        if p >= 0:
+            held[p][m] = None
+    used = [min(max(len(h), bisect_left(all_, tier)), bisect_right(all_, tier)) for h, all_ in zip(held, places)]
     push, pop = heapq.heappush, heapq.heappop
 
-    for start in range(first):
-        dist, back, done, heap, nearest = {start: 0}, {}, [], [(0, start)], math.inf
-        closed = set()
+    def even(start: int, up: bool) -> None:
+        """Takes one module from who has too many, or gives one to who has too few; or a place more or less is taken, where that is cheaper."""
+        dist, back, done, heap, nearest, end, free = {start: 0}, {}, {}, [(0, start)], math.inf, start, None
         while heap:
             d, v = pop(heap)
-            if v in closed:
+            if d >= nearest:
+                break
+            if v in done:
                 continue
-            closed.add(v)
-            done.append(v)
-            if v == sink:
+            done[v] = d
+            mine, taken = held[v], used[v]
+            if v != start and (len(mine) < taken if up else len(mine) > taken):
+                nearest, end, free = d, v, None
                 break
-            at = d + pot[v]
-            if v < first:
-                mine, ways, out = chosen[v], offers[v], outs[v]
+            at = d - prices[v] if up else d + prices[v]
+            if up:
+                if taken < len(places[v]) and at + places[v][taken] < nearest:
+                    nearest, end, free = at + places[v][taken], v, -1
+                for m in mine:
+                    less = at - costs[m][v]
+                    if less + outs[m] < nearest:
+                        nearest, end, free = less + outs[m], v, m
+                    for w, c in offers[m]:
+                        step = less + c + prices[w]
+                        # what isn't nearer than the end is on no shortest path
+                        if w != v and step < nearest and step < dist.get(w, math.inf):
+                            dist[w], back[w] = step, (v, m)
+                            push(heap, (step, w))
+            else:
+                if taken and at - places[v][taken - 1] < nearest:
+                    nearest, end, free = at - places[v][taken - 1], v, -1
+                for m, c in asked[v]:
+                    w = chosen[m]
+                    if w < 0:
+                        if at + c - outs[m] < nearest:
+                            nearest, end, free = at + c - outs[m], v, m
+                    elif w != v:
+                        step = at + c - costs[m][w] - prices[w]
+                        if step < nearest and step < dist.get(w, math.inf):
+                            dist[w], back[w] = step, (v, m)
+                            push(heap, (step, w))
+        for v, d in done.items():
+            prices[v] += nearest - d if up else d - nearest
+        if free == -1:  # a place is taken or given up
+            used[end] += 1 if up else -1
+        elif free is not None:  # a module is left out, or no longer
+            chosen[free] = -1 if up else end
+            if up:
+                del held[end][free]
             else:
-                mine, held, all_ = -1, taken[v - first], places[v - first]
-                ways, out = [(m, -costs[m][v]) for m in held], all_[len(held)] if len(held) < len(all_) else None
-            for w, c in ways:
-                step = at + c - pot[w]
-                # what isn't nearer than the sink is on no shortest path
-                if step < nearest and w != mine and w not in closed and step < dist.get(w, math.inf):
-                    dist[w], back[w] = step, v
-                    push(heap, (step, w))
-            if out is not None and at + out < nearest:
-                nearest = dist[sink] = at + out
-                back[sink] = v
-                push(heap, (nearest, sink))
-        for v in done:
-            pot[v] += dist[v] - nearest
-        w, path = sink, []
-        while w in back:
-            path.append((back[w], w))
-            w = back[w]
-        for v, w in reversed(path):
-            if v < first <= w < sink:  # a module takes a person's place
-                chosen[v] = w
-                taken[w - first].append(v)
-            elif first <= v and w < first:  # a person gives a module up
-                taken[v - first].remove(w)
-            elif v < first:
-                chosen[v] = -1
-    return {modules[i]: people[c - first] for i, c in enumerate(chosen) if c >= 0}
+                held[end][free] = None
+        v = end
+        while v != start:
+            u, m = back[v]
+            giver, taker = (u, v) if up else (v, u)
+            del held[giver][m]
+            held[taker][m] = None
+            chosen[m] = taker
+            v = u
+
+    for p in range(len(people)):
+        while len(held[p]) != used[p]:
+            even(p, len(held[p]) > used[p])
+    return {modules[i]: people[c] for i, c in enumerate(chosen) if c >= 0}
 
 
 def objective(assigned: dict[int, int], edges, capacity, tiers=TIERS, left_out: int = LEFT_OUT) -> int:
@@ -113,17 +151,20 @@ def objective(assigned: dict[int, int], edges, capacity, tiers=TIERS, left_out:
     return total
 
 
-def parts(offers: DataFrame) -> DataFrame:
-    """offers with `part`: the connected component of modules and people that an offer is in."""
+def parts(offers: DataFrame, apart: Sequence[int] = ()) -> DataFrame:
+    """offers with `part`: the connected component of modules and people that an offer is in. apart: capacities whose offers don't hang together."""
     scratch = Scratch(offers.sparkSession)
-    m, p = F.col("module_id") * 2, F.col("staff_id") * 2 + 1  # one range of ids for both
+    keys = ["capacity", "module_id"] if apart else ["module_id"]
+    place = F.array_position(F.array(*[F.lit(c) for c in apart]), F.col("capacity")) - 1 if apart else F.lit(0)
+    # one range of ids for both, and for each capacity
+    m, p = ((F.col(c) * 2 + side) * max(1, len(apart)) + place for side, c in enumerate(("module_id", "staff_id")))
     named = components(offers.select(m.cast("long").alias("a"), p.cast("long").alias("b")), scratch)
-    found = offers.join(named.select((F.col("node") / 2).cast("long").alias("module_id"), F.col("root").alias("__root")).where("node % 2 = 0"), "module_id", "left")
-    return found.withColumn("part", F.coalesce("__root", F.col("module_id") * 2)).drop("__root")
+    found = offers.withColumn("node", m.cast("long")).join(named.withColumnRenamed("root", "__root"), "node", "left") if apart else offers.join(named.select((F.col("node") / 2).cast("long").alias("module_id"), F.col("root").alias("__root")).where("node % 2 = 0"), "module_id", "left")
+    return found.withColumn("part", F.coalesce("__root", m.cast("long"))).drop("__root", "node")
 
 
-def _solved(priced: DataFrame, tiers, most: int, swept: list[str]) -> DataFrame:
-    """module_id, staff_id (and `swept`) of the modules that get somebody: each component of offers (module_id, staff_id, price, capacity, out) is solved in one task."""
+def _solved(priced: DataFrame, tiers, most: int, swept: list[str], apart: Sequence[int] = (), whole: bool = False) -> DataFrame:
+    """module_id, staff_id (and `swept`) of the modules that get somebody: each component of offers (module_id, staff_id, price, capacity, out) is solved in one task, or all of them are (whole)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         edges = [(int(m), int(s), int(c)) for m, s, c in zip(frame["module_id"], frame["staff_id"], frame["price"])]
@@ -132,8 +173,8 @@ def _solved(priced: DataFrame, tiers, most: int, swept: list[str]) -> DataFrame:
         out = pd.DataFrame({"module_id": list(found), "staff_id": list(found.values())}, dtype="int64")
         return out.assign(capacity=int(frame["capacity"].iloc[0])) if swept else out
 
-    marked = parts(priced)
-    largest = marked.groupBy("part", *swept).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    marked = priced.withColumn("part", F.lit(0)) if whole else parts(priced, apart)
+    largest = 0 if whole else marked.groupBy("part", *swept).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     if largest > most:
         raise ValueError(f"{largest} offers hang together, {most} are allowed")
     if swept:
@@ -141,8 +182,8 @@ def _solved(priced: DataFrame, tiers, most: int, swept: list[str]) -> DataFrame:
     return marked.groupBy("part", *swept).applyInPandas(run, "module_id long, staff_id long" + ", capacity int" * len(swept))
 
 
-def _reduced(priced: DataFrame, tiers, most: int, left_out: int = LEFT_OUT) -> DataFrame:
-    """module_id, staff_id of a cheapest allocation, of which only what capacities decide is solved.
+def _reduced(priced: DataFrame, tiers, most: int, capacities: Sequence[int] = (), left_out: int = LEFT_OUT) -> DataFrame:
+    """module_id, staff_id (and the capacity, where all people have `capacities` in turn) of a cheapest allocation, of which only what capacities decide is solved.
 
     Somebody whose load ends within one tier takes one module more or less at that tier's price, so the
     costs of such people are taken to be that price times their load, which is nowhere more than what they
@@ -150,62 +191,77 @@ def _reduced(priced: DataFrame, tiers, most: int, left_out: int = LEFT_OUT) -> D
     left are the others' offers, each module with the price of its best offer elsewhere. Whoever doesn't
     keep within the tier after all joins the others, until nobody does; then the cheapest allocation
     under the lower costs costs as much under the real ones, and none is cheaper.
+    Capacities are solved beside each other, each until it is done.
     """
     scratch = Scratch(priced.sparkSession)
-    load = lambda chosen: chosen.where("staff_id is not null").groupBy("staff_id").agg(F.count("*").alias("load"))
+    swept = ["capacity"] if capacities else []
+    each = lambda df, some: df.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in some]))) if swept else df
+    load = lambda chosen: chosen.where("staff_id is not null").groupBy(*swept, "staff_id").agg(F.count("*").alias("load"))
     prices = [0, *[c for _, c in tiers]]
     most_of = [F.col("capacity") + sum(n for n, _ in tiers[:i]) for i in range(len(prices))]
+    least_of = [F.lit(0), *most_of[:-1]]
     loaded = F.coalesce("load", F.lit(0))
-    within = [loaded.between(F.lit(0) if i == 0 else most_of[i - 1], most_of[i]) for i in range(len(prices))]
 
-    people = scratch.keep(priced.groupBy("staff_id").agg(F.max("capacity").alias("capacity")), "people")
     first = priced.groupBy("module_id").agg(F.min(F.struct("price", "staff_id")).alias("x")).select("module_id", "x.staff_id")
-    met = scratch.keep(people.join(load(first), "staff_id", "left"), "loads")
-    fits = met.agg(*[F.count_if(w) for w in within]).first()  # the tier that most people's loads are in
-    tier = max(range(len(prices)), key=lambda i: fits[i])
-    price, within = prices[tier], within[tier]
-    others = scratch.keep(met.where(~within).select("staff_id"), "others")
+    greedy = first.groupBy("staff_id").agg(F.count("*").alias("load"))
+    met = scratch.keep(each(priced.groupBy("staff_id").agg(F.max("capacity").alias("capacity")).join(greedy, "staff_id", "left"), capacities), "loads")
+    people = met.drop("load")
+    fits = met.groupBy(*swept).agg(*[F.count_if(loaded.between(*r)).alias(f"in{i}") for i, r in enumerate(zip(least_of, most_of))]).collect()  # a row a capacity
+    best = {r["capacity"] if swept else None: max(range(len(prices)), key=lambda i: r[f"in{i}"]) for r in fits}  # the tier that most people's loads are in
+    if not best:
+        return people.select("staff_id", *swept).withColumn("module_id", F.lit(0).cast("long")).where("false")
+
+    def of(values: list) -> Column:
+        """What a row's tier has of these."""
+        return reduce(lambda other, c: F.when(F.col("capacity") == c, values[best[c]]).otherwise(other), best, F.lit(None)) if swept else values[best[None]]
+
+    price = of([F.lit(x).cast("long") for x in prices])
+    within = loaded.between(of(least_of), of(most_of))
+    others = scratch.keep(met.where(~within).select(*swept, "staff_id"), "others")
+    some, done = list(best) if swept else [], []
+    offer = F.struct("price", "staff_id") if swept else F.struct("price", "staff_id", "capacity")
     while True:
-        marked = priced.join(others.withColumn("__other", F.lit(True)), "staff_id", "left")
-        offer = F.struct("price", "staff_id", "capacity")
-        per = marked.groupBy("module_id").agg(F.min(F.when(F.col("__other").isNull(), offer)).alias("free"), F.collect_list(F.when(F.col("__other"), offer)).alias("held"))
+        marked = each(priced, some).join(others.withColumn("__other", F.lit(True)), [*swept, "staff_id"], "left")
+        per = marked.groupBy(*swept, "module_id").agg(F.min(F.when(F.col("__other").isNull(), offer)).alias("free"), F.collect_list(F.when(F.col("__other"), offer)).alias("held"))
         out = F.least(F.col("free.price") + price, F.lit(left_out).cast("long"))
         # an offer that costs as much as the best one elsewhere is in no cheaper allocation, as places cost nothing at least
         per = per.withColumn("out", out).withColumn("held", F.filter("held", lambda x: x["price"] < F.col("out")))
-        per = scratch.keep(per.select("module_id", "out", "held", F.when(F.col("free.price") + price <= left_out, F.col("free.staff_id")).alias("stand")), "modules")
-        bound = per.select("module_id", "out", F.explode("held").alias("x")).select("module_id", "out", "x.*")
-        given = _solved(bound, tiers, most, []).withColumnRenamed("staff_id", "given")
-        chosen = scratch.keep(per.join(given, "module_id", "left").select("module_id", F.coalesce("given", "stand").alias("staff_id")), "chosen")
-        more = people.join(load(chosen), "staff_id", "left").join(others, "staff_id", "left_anti").where(~within).select("staff_id")
+        per = scratch.keep(per.select(*swept, "module_id", "out", "held", F.when(F.col("free.price") + price <= left_out, F.col("free.staff_id")).alias("stand")), "modules")
+        bound = per.select(*swept, "module_id", "out", F.explode("held").alias("x")).select(*swept, "module_id", "out", "x.*")
+        given = _solved(bound, tiers, most, swept, some).withColumnRenamed("staff_id", "given")
+        chosen = scratch.keep(per.join(given, [*swept, "module_id"], "left").select(*swept, "module_id", F.coalesce("given", "stand").alias("staff_id")), "chosen")
+        asked = people.where(F.col("capacity").isin(some)) if swept else people
+        more = asked.join(load(chosen), [*swept, "staff_id"], "left").join(others, [*swept, "staff_id"], "left_anti").where(~within).select(*swept, "staff_id")
         more = scratch.keep(more, "more")
-        if more.isEmpty():
-            return chosen.where("staff_id is not null")
-        others = others.union(more)
+        left = [r["capacity"] for r in more.select("capacity").distinct().collect()] if swept else [None] * (not more.isEmpty())  # a row a capacity at most
+        done.append(chosen.where(~F.col("capacity").isin(left)) if swept and left else chosen)
+        if not left:
+            return reduce(DataFrame.unionByName, done if swept else done[-1:]).where("staff_id is not null")
+        some, others = left if swept else [], others.union(more)
 
 
 def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS, capacities: Sequence[int] | None = None, direct: int = DIRECT) -> DataFrame:
     """module_id, staff_id, rank, rank_shift of the cheapest allocation of the modules that get somebody.
 
     offers: module_id, staff_id, rank, score, capacity. Modules that share people are one problem, so a
-    person's capacity counts once: each connected component is solved in one task. Of more than `direct`
-    offers only those are solved that hang together by people whose load isn't within one tier. What then
+    person's capacity counts once: up to `direct` offers are solved in one task. Of more
+    offers only those are solved that hang together by people whose load isn't within one tier, each connected component in one task. What then
     has more than `most` offers is no task's work, and an error tells so.
     capacities: instead of each person's own, all people have these in turn; the result tells `capacity`,
-    and each component is solved in one task a capacity.
+    and each capacity is solved in tasks of its own.
     """
     scratch = Scratch(offers.sparkSession)
     swept = ["capacity"] if capacities else []
     price = F.lit(SCALE) - F.rint(F.col("score") * SCALE).cast("long") + F.lit(RANK_COST) * F.col("rank")
     priced = scratch.keep(offers.select("module_id", "staff_id", "rank", "capacity", price.cast("long").alias("price"), F.lit(LEFT_OUT).cast("long").alias("out")), "offers")
     ranks = priced.select("module_id", "staff_id", "rank")
-    if priced.count() > direct:
-        of = lambda c: priced.withColumn("capacity", F.lit(c))
-        each = [_reduced(of(c), tiers, most).withColumn("capacity", F.lit(c)) for c in capacities] if swept else [_reduced(priced, tiers, most)]
-        chosen = reduce(DataFrame.unionByName, each)
+    n = priced.count()
+    if n > direct:
+        chosen = _reduced(priced, tiers, most, capacities or ())
     else:
         if swept:
             priced = priced.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))
-        chosen = scratch.keep(_solved(priced, tiers, most, swept), "chosen")
+        chosen = scratch.keep(_solved(priced, tiers, most, swept, capacities or (), whole=n <= most), "chosen")
     return chosen.join(ranks, ["module_id", "staff_id"]).withColumn("rank_shift", F.col("rank") - 1)
 
 

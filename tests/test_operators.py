@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -325,3 +326,38 @@ def test_graph_document_is_whole(spark, tmp_path):
     sinks.write_lines(sinks.graphml_document(nodes, edges), str(tmp_path / "g"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
     assert len(tree.fromstring(text.encode())[2]) == 3
+
+
+def test_a_sweep_solves_its_capacities_together_and_each_only_what_it_binds(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(m, s, k + 1, round(r.random(), 3), 9) for m in range(90) for k, s in enumerate(r.sample(range(20), 4))]
+    offers = spark.createDataFrame(rows, "module_id long, staff_id long, rank long, score double, capacity int")
+    edges, rounds, solved = [(m, s, A.cost(x, k)) for m, s, k, x, _ in rows], [], A._solved
+    monkeypatch.setattr(A, "_solved", lambda priced, *a: rounds.append({x["capacity"] for x in priced.select("capacity").distinct().collect()}) or solved(priced, *a))
+    got = A.balance(offers, capacities=(1, 3, 4, 30), direct=0).collect()
+    assert rounds[0] >= {1, 3, 4} and all(b <= a for a, b in zip(rounds, rounds[1:]))
+    for c in (1, 3, 4, 30):
+        cap = {s: c for s in range(20)}
+        mine = {x["module_id"]: x["staff_id"] for x in got if x["capacity"] == c}
+        assert A.objective(mine, edges, cap) == A.objective(A.solve(edges, cap), edges, cap)
+
+
+def test_solve_is_cheapest_where_it_starts_from_any_tier():
+    r = random.Random(7)
+    for _ in range(60):
+        tiers, out = r.choice([((1, 3), (1, 9)), ((1, 20),), ()]), r.choice([2, 8, 40])
+        edges = [(m, s, r.randint(0, 12)) for m in range(5) for s in r.sample(range(3), r.randint(1, 3))]
+        cap = {s: r.randint(0, 2) for s in range(3)}
+        offered = [[(m, s) for m_, s, _ in edges if m_ == m] + [None] for m in range(5)]
+        room = {s: cap[s] + sum(n for n, _ in tiers) for s in cap}
+        every = (dict(x for x in way if x) for way in itertools.product(*offered))
+        best = min(A.objective(a, edges, cap, tiers, out) for a in every if all(list(a.values()).count(s) <= room[s] for s in room))
+        assert A.objective(A.solve(edges, cap, tiers, out), edges, cap, tiers, out) == best
+
+
+def test_a_large_allocation_takes_paths_only_for_what_is_off():
+    r = random.Random(8)
+    edges = [(m, s, int(r.random() * 6_000) + 5 * k) for m in range(20_000) for k, s in enumerate(r.sample(range(2_000), 5))]
+    began = time.process_time()
+    found = A.solve(edges, {s: 3 for s in range(2_000)})
+    assert len(found) == 20_000 and time.process_time() - began < 3  # some 0.2 s; a path a module took 9 s
