@@ -21,3 +21,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shared_terms_are_made_of_the_best_pairs_alone(spark, monkeypatch):
+    from matchloom.operators import lexical as L
+    from matchloom.plans import catalog
+
+    seen, shared = [], L.shared_terms
+    monkeypatch.setattr(L, "shared_terms", lambda found, best, *a: seen.append((found.select("item_id", "doc_id").distinct().count(), best.count())) or shared(found, best, *a))
+    assert catalog.queries()["t4_shared_terms"](spark, "/root/testdata/sf0.001").count()
+    assert seen[0][0] == seen[0][1]
