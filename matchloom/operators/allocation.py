@@ -182,7 +182,7 @@ def _solved(priced: DataFrame, tiers, most: int, swept: list[str], apart: Sequen
     return marked.groupBy("part", *swept).applyInPandas(run, "module_id long, staff_id long" + ", capacity int" * len(swept))
 
 
-def _reduced(priced: DataFrame, tiers, most: int, capacities: Sequence[int] = (), left_out: int = LEFT_OUT) -> DataFrame:
+def _reduced(priced: DataFrame, tiers, most: int, capacities: Sequence[int] = (), direct: int = DIRECT, left_out: int = LEFT_OUT) -> DataFrame:
     """module_id, staff_id (and the capacity, where all people have `capacities` in turn) of a cheapest allocation, of which only what capacities decide is solved.
 
     Somebody whose load ends within one tier takes one module more or less at that tier's price, so the
@@ -228,7 +228,8 @@ def _reduced(priced: DataFrame, tiers, most: int, capacities: Sequence[int] = ()
         per = per.withColumn("out", out).withColumn("held", F.filter("held", lambda x: x["price"] < F.col("out")))
         per = scratch.keep(per.select(*swept, "module_id", "out", "held", F.when(F.col("free.price") + price <= left_out, F.col("free.staff_id")).alias("stand")), "modules")
         bound = per.select(*swept, "module_id", "out", F.explode("held").alias("x")).select(*swept, "module_id", "out", "x.*")
-        given = _solved(bound, tiers, most, swept, some).withColumnRenamed("staff_id", "given")
+        n = per.groupBy(*swept).agg(F.sum(F.size("held")).alias("n")).agg(F.max("n")).first()[0] or 0  # offers of one capacity
+        given = _solved(bound, tiers, most, swept, some, n <= min(direct, most)).withColumnRenamed("staff_id", "given")
         chosen = scratch.keep(per.join(given, [*swept, "module_id"], "left").select(*swept, "module_id", F.coalesce("given", "stand").alias("staff_id")), "chosen")
         asked = people.where(F.col("capacity").isin(some)) if swept else people
         more = asked.join(load(chosen), [*swept, "staff_id"], "left").join(others, [*swept, "staff_id"], "left_anti").where(~within).select(*swept, "staff_id")
@@ -245,7 +246,7 @@ def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS, capacities:
 
     offers: module_id, staff_id, rank, score, capacity. Modules that share people are one problem, so a
     person's capacity counts once: up to `direct` offers are solved in one task. Of more
-    offers only those are solved that hang together by people whose load isn't within one tier, each connected component in one task. What then
+    offers only those are solved that hang together by people whose load isn't within one tier, each connected component in one task where they are more than `direct` again. What then
     has more than `most` offers is no task's work, and an error tells so.
     capacities: instead of each person's own, all people have these in turn; the result tells `capacity`,
     and each capacity is solved in tasks of its own.
@@ -257,7 +258,7 @@ def balance(offers: DataFrame, tiers=TIERS, most: int = MOST_OFFERS, capacities:
     ranks = priced.select("module_id", "staff_id", "rank")
     n = priced.count()
     if n > direct:
-        chosen = _reduced(priced, tiers, most, capacities or ())
+        chosen = _reduced(priced, tiers, most, capacities or (), direct)
     else:
         if swept:
             priced = priced.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))
